@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, langid, mixing
 from .common import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document in a mixture of sources by the root of their sizes."""
+    return mixing.schedule_rows(parquet(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes for every document."""
     import public_tokenizers
@@ -24,7 +29,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(parquet(spark, sf_dir, "documents")).drop("row_key")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_byte_bpe, op7_exact_dedup)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows that aren't held out."""
+    return langid.predict_languages(parquet(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pfair_mixing, op4_byte_bpe, op7_exact_dedup, op9_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
