@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, near_dedup
+from . import bpe, exact_dedup, langid, mixing, near_dedup, toxicity
 from .common import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule_rows(parquet(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels of rows that aren't held out."""
+    return toxicity.score_documents(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+
+
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_dedup.near_duplicates(parquet(spark, sf_dir, "documents")).drop("row_key")
@@ -39,7 +44,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(parquet(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pfair_mixing, op3_dart_minhash, op4_byte_bpe, op7_exact_dedup, op9_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pfair_mixing, op2_toxicity, op3_dart_minhash, op4_byte_bpe, op7_exact_dedup, op9_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
