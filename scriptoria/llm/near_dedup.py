@@ -9,11 +9,10 @@ doubled for the few documents with a coordinate still empty; so a signature take
 length. Two signatures agree in a coordinate with probability equal to the weighted Jaccard similarity.
 By default every shingle weighs 1 (Jaccard similarity of the shingle sets); by="count" weighs a shingle by its occurrences.
 
-Documents with the same weighted set collapse to one representative first. Representatives that share a band meet in it: every
-member is paired with the member of least hash, a linear number of pairs whatever the size of a bucket. Pairs that may reach the threshold by their
-signatures are checked exactly on their shingles. Then, among the buckets whose members aren't all in one class yet, members of different
-classes are paired, again filtered by signatures and checked, so no link between different texts is lost to the star
-pairing. Classes are connected components, by minimum labels with pointer jumping.
+Documents with the same weighted set collapse to one representative first. Representatives that share a band meet in it. In rounds, each band pairs its members with one member of
+its largest class and one of another class, a linear number of pairs whatever the size of a bucket; pairs whose sizes and signatures allow the threshold are checked
+exactly on their shingles, and classes joined. When few pairs between different classes are left in the bands, all of those are checked, so no link between different texts is lost
+to the rounds. Classes are connected components, by minimum labels with pointer jumping.
 
 Defined results: texts without a word (null, empty, blank) are each a class of their own; so is any text with no partner. A class is
 named by its smallest row_id. Rows that repeat are in one class. Only doc_id and text are read.
@@ -34,8 +33,7 @@ from .common import checkpointed, keep_rows, row_key, texts
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
-#: The seed of all hashes, and how far below the threshold the agreement of signatures may fall: over five standard deviations of K coordinates.
-SEED, SLACK = 0x5EED, 0.25
+SEED = 0x5EED
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,6 +132,12 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, do
     return best.reshape(docs, k)
 
 
+def _nibbles(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, 16 coordinates to a number."""
+    four = (sig & np.uint64(15)).reshape(len(sig), -1, 16)
+    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
+
+
 def _signature_rows(by: str, words: Words, b: pd.DataFrame) -> pd.DataFrame:
     doc, element, count = shingles(b["text"].tolist(), words)
     weight = count.astype(np.float64) if by == "count" else np.ones(len(count))
@@ -152,12 +156,12 @@ def _signature_rows(by: str, words: Words, b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({
         "row_id": b["row_id"].to_numpy(), "doc_id": b["doc_id"].to_numpy(), "row_key": b["row_key"].to_numpy(), "size": size,
         "set1": sums.view(np.int64), "set2": other.view(np.int64),
-        "sig": [x.tobytes() for x in (sig & np.uint64(0xFFFF)).astype("<u2")], "bands": list(key.view(np.int64)),
+        "sig": list(_nibbles(sig).view(np.int64)), "bands": list(key.view(np.int64)),
     }).astype({"doc_id": "Int64"})
 
 
 def signatures(docs: DataFrame, by: str = "set") -> DataFrame:
-    """row_id, doc_id, row_key, size (total weight), set1 and set2 (hash of the weighted set), sig (2 bytes a coordinate) and bands."""
+    """row_id, doc_id, row_key, size (total weight), set1 and set2 (hash of the weighted set), sig (4 bits a coordinate) and bands."""
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -166,17 +170,24 @@ def signatures(docs: DataFrame, by: str = "set") -> DataFrame:
                 yield _signature_rows(by, words, part)
 
     base = texts(docs, row_key(F.col("text")).alias("row_key")).withColumn("row_id", F.monotonically_increasing_id())
-    return base.mapInPandas(rows, "row_id long, doc_id long, row_key long, size double, set1 long, set2 long, sig binary, bands array<long>")
+    return base.mapInPandas(rows, "row_id long, doc_id long, row_key long, size double, set1 long, set2 long, sig array<long>, bands array<long>")
+
 
+def _differing(a: F.Column, b: F.Column) -> F.Column:
+    """In how many coordinates two packed signatures differ."""
+    out = F.lit(0)
+    for i in range(K // 16):
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        out = out + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    return out
 
-def _agreement(batches: Iterable[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Pairs whose sizes and signatures allow the threshold."""
-    for b in batches:
-        if len(b):
-            x = np.frombuffer(b"".join(b["sig_a"]), "<u2").reshape(len(b), -1)
-            y = np.frombuffer(b"".join(b["sig_b"]), "<u2").reshape(len(b), -1)
-            b = b[(x == y).mean(1) >= least]
-        yield b[["a", "b"]]
+
+def _may_link(a: str, b: str, threshold: float) -> F.Column:
+    """Whether the sizes and signatures of two structs (row_id, size, sig) allow the threshold, but for 4.5 standard deviations."""
+    most = (1 - threshold) * K + 4.5 * (K * threshold * (1 - threshold)) ** 0.5
+    fits = F.least(f"{a}.size", f"{b}.size") >= threshold * F.greatest(f"{a}.size", f"{b}.size") - 1e-9
+    return (F.col(f"{a}.row_id") != F.col(f"{b}.row_id")) & fits & (_differing(F.col(f"{a}.sig"), F.col(f"{b}.sig")) <= int(most))
 
 
 def _set_rows(by: str, words: Words, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -187,12 +198,11 @@ def _set_rows(by: str, words: Words, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"row_id": part["row_id"].to_numpy(), "elements": [x.view(np.int64) for x in held]})
 
 
-def _sets(docs: DataFrame, one: DataFrame, pairs: DataFrame, by: str) -> DataFrame:
-    """(row_id, elements) of the documents in pairs, made from their texts again."""
-    some = pairs.select(F.col("a").alias("row_id")).union(pairs.select("b")).distinct()
-    named = one.select("row_id", F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).join(some, "row_id")
+def _sets(docs: DataFrame, named: DataFrame, by: str) -> DataFrame:
+    """(row_id, elements) of the rows named by (row_id, doc_id, row_key), made from their texts again; written once."""
     keyed = texts(docs, row_key(F.col("text")).alias("row_key"))
-    wanted = keyed.join(named, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key"))).select("row_id", "text")
+    n = named.select("row_id", F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"))
+    wanted = keyed.join(n, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key"))).select("row_id", "text")
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -200,7 +210,7 @@ def _sets(docs: DataFrame, one: DataFrame, pairs: DataFrame, by: str) -> DataFra
             yield from _set_rows(by, words, b)
 
     # a repeated row gives its set as often; one of them is as good as another
-    return wanted.mapInPandas(rows, "row_id long, elements array<long>").dropDuplicates(["row_id"])
+    return checkpointed(wanted.mapInPandas(rows, "row_id long, elements array<long>").dropDuplicates(["row_id"]))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -212,23 +222,61 @@ def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter(common >= threshold * (F.size("ea") + F.size("eb") - common) - 1e-9).select("a", "b")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(row_id, class_id): each node's component, named by its smallest node; edges are rows (a, b) of nodes.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for the nodes of edges (a, b): the least node of each one's component.
 
     Each round gives every node the least label of itself and its neighbours and then that label's own label, so paths shrink by halves.
     """
     links = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    labels = checkpointed(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
     while True:
         near = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         stepped = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("next"))
         root = labels.select(F.col("node").alias("next"), F.col("label").alias("above"))
         jumped = checkpointed(stepped.join(root, "next", "left").select("node", F.least("next", F.coalesce("above", "next")).alias("label"), F.col("label").alias("was")))
-        moved = jumped.filter(F.col("label") != F.col("was")).limit(1).count()
         labels = jumped.select("node", "label")
-        if not moved:
+        if not jumped.filter(F.col("label") != F.col("was")).limit(1).count():
+            return labels
+
+
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (row_id, class_id) with the classes joined that links (a, b) of rows tie together; written once."""
+    left = classes.select(F.col("row_id").alias("a"), F.col("class_id").alias("ca"))
+    right = classes.select(F.col("row_id").alias("b"), F.col("class_id").alias("cb"))
+    ties = links.join(left, "a").join(right, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    named = components(ties)
+    return checkpointed(classes.join(named, classes["class_id"] == named["node"], "left").select("row_id", F.coalesce("label", "class_id").alias("class_id")))
+
+
+def _linked_classes(shared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(row_id, class_id) of the members (band, row: struct of row_id, size, sig) of shared bands.
+
+    In each round every band pairs its members with a member of its largest class and one of another class, drawn anew by a hash. Once the pairs left between classes are
+    few beside the members, all of them are looked at.
+    """
+    classes = checkpointed(shared.select("row.row_id").distinct().withColumn("class_id", F.col("row_id")))
+    members, before, turn = shared.count(), None, 0
+    while True:
+        held = shared.join(classes, F.col("row.row_id") == classes["row_id"]).select("band", "row", "class_id")
+        pivot = F.min_by("row", F.xxhash64(F.lit(turn), "row.row_id")).alias("pivot")
+        parts = held.groupBy("band", "class_id").agg(F.count("*").alias("n"), pivot).withColumn("h", F.xxhash64(F.lit(turn), "class_id"))
+        part = F.struct("class_id", "pivot", "n")
+        bands = parts.groupBy("band").agg(F.max_by(part, F.struct("n", "class_id")).alias("main"), F.min_by(part, "h").alias("other"), F.sum("n").alias("n"), F.count("*").alias("k"))
+        mixed = checkpointed(bands.filter("k > 1"))
+        left = mixed.agg(F.sum((F.col("n") - F.col("main.n")) * F.col("n"))).first()[0] or 0
+        if not left:
+            return classes
+        if left <= 4 * members or turn >= 12 or (before is not None and turn > 2 and left > 0.9 * before):
             break
-    return nodes.join(labels, nodes["row_id"] == labels["node"], "left").select("row_id", F.coalesce("label", "row_id").alias("class_id"))
+        met = held.join(mixed, "band").select("row", "class_id", F.explode(F.array("main", "other")).alias("p")).select("row", "class_id", F.col("p.class_id").alias("to"), F.col("p.pivot").alias("pivot"))
+        near = met.filter((F.col("class_id") != F.col("to")) & _may_link("row", "pivot", threshold))
+        pairs = near.select(F.least("row.row_id", "pivot.row_id").alias("a"), F.greatest("row.row_id", "pivot.row_id").alias("b")).distinct()
+        classes, before, turn = _merged(classes, _checked(pairs, sets, threshold)), left, turn + 1
+    held = held.join(mixed.select("band", F.col("main.class_id").alias("main")), "band")
+    stray = held.filter("class_id <> main").select("band", F.col("row").alias("stray"), F.col("class_id").alias("stray_class"))
+    met = stray.join(held, (stray["band"] == held["band"]) & (F.col("class_id") != F.col("stray_class")) & _may_link("row", "stray", threshold))
+    pairs = met.select(F.least("row.row_id", "stray.row_id").alias("a"), F.greatest("row.row_id", "stray.row_id").alias("b")).distinct()
+    return _merged(classes, _checked(pairs, sets, threshold))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, by: str = "set") -> DataFrame:
@@ -238,40 +286,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, by: str = "set")
     same = worded.groupBy("set1", "set2").agg(F.min("row_id").alias("set_id"))
     member = worded.select("row_id", "doc_id", "row_key", "set1", "set2").join(same, ["set1", "set2"]).select("row_id", "doc_id", "row_key", "set_id")
     member = checkpointed(member.unionByName(rows.filter("size = 0").select("row_id", "doc_id", "row_key", F.col("row_id").alias("set_id"))))
-    alone = member.filter("row_id = set_id").select("row_id")
-    one = worded.join(alone, "row_id", "left_semi")
-
-    bands = one.select("row_id", "size", F.explode("bands").alias("band"))
-    pivots = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("row_id").alias("h"), "row_id", "size")).alias("p"), F.count("*").alias("n")).filter("n > 1")
-    near = F.least("size", "p.size") >= threshold * F.greatest("size", "p.size") - 1e-9
-    pairs = bands.join(pivots.select("band", "p"), "band").filter(near & (F.col("row_id") != F.col("p.row_id")))
-    pairs = pairs.select(F.least("row_id", "p.row_id").alias("a"), F.greatest("row_id", "p.row_id").alias("b")).distinct()
-    shared = checkpointed(bands.join(pivots.select("band"), "band").select("band", "row_id", "size"))
-
-    def likely(found: DataFrame) -> DataFrame:
-        left = one.select(F.col("row_id").alias("a"), F.col("sig").alias("sig_a"))
-        right = one.select(F.col("row_id").alias("b"), F.col("sig").alias("sig_b"))
-        return found.join(left, "a").join(right, "b").mapInPandas(lambda x: _agreement(x, threshold - SLACK), "a long, b long")
-
-    close = checkpointed(likely(pairs))
-    edges = checkpointed(_checked(close, _sets(docs, one, close, by), threshold))
-    some = shared.select("row_id").distinct()
-    first = checkpointed(components(some, edges))
-
-    # members of a band's most frequent class need no pairs among themselves, so a large group costs its strays only
-    held = shared.join(first, "row_id")
-    mixed = held.groupBy("band").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.mode("class_id", True).alias("main")).filter("lo <> hi").select("band", "main")
-    held = checkpointed(held.join(mixed, "band"))
-    stray = held.filter("class_id <> main").select("band", F.col("row_id").alias("x"), F.col("size").alias("x_size"), F.col("class_id").alias("x_class"))
-    fits = (F.col("row_id") != F.col("x")) & (F.col("class_id") != F.col("x_class")) & (F.least("size", "x_size") >= threshold * F.greatest("size", "x_size") - 1e-9)
-    apart = stray.join(held.drop("main"), "band").filter(fits).select(F.least("row_id", "x").alias("a"), F.greatest("row_id", "x").alias("b")).distinct()
-    close = checkpointed(likely(apart).join(close, ["a", "b"], "left_anti"))
-    final = first
-    if close.limit(1).count():
-        more = checkpointed(_checked(close, _sets(docs, one, close, by), threshold))
-        final = components(some, edges.unionByName(more))
-    named = member.join(final.withColumnRenamed("row_id", "set_id"), "set_id", "left")
-    return named.select("row_id", "doc_id", "row_key", F.coalesce("class_id", "set_id").alias("class_id"), "set_id")
+    one = worded.join(member.filter("row_id = set_id").select("row_id"), "row_id", "left_semi")
+
+    bands = one.select("row_id", F.explode("bands").alias("band"))
+    several = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    met = bands.join(several, "band").join(one.select("row_id", F.struct("row_id", "size", "sig").alias("row")), "row_id")
+    shared = checkpointed(met.select("band", "row"))
+    named = member.join(shared.select("row.row_id").distinct(), "row_id", "left_semi")
+    classes = _linked_classes(shared, _sets(docs, named, by), threshold).withColumnRenamed("row_id", "set_id")
+    return member.join(classes, "set_id", "left").select("row_id", "doc_id", "row_key", F.coalesce("class_id", "set_id").alias("class_id"), "set_id")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, by: str = "set") -> DataFrame:
