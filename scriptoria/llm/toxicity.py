@@ -56,7 +56,7 @@ def stand_out(toxic: Counter, every: Counter, pi: float, chance: float = 0.01) -
     return out
 
 
-def find_patterns(rows: list[tuple[set[str], int]], most: int, pi: float, weight: float) -> list[str]:
+def find_patterns(rows: list[tuple[Iterable[str], int]], most: int, pi: float, weight: float) -> list[str]:
     """Words and word beginnings that stand out in toxic rows; a row that isn't toxic stands for weight rows."""
     toxic, every = Counter(), Counter()
     for words, y in rows:
@@ -155,7 +155,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.bias + sum(map(self.weights.__getitem__, sorted(found))), -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample_rows: int = 6000) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample_rows: int = 4500) -> Scorer:
     """A scorer learned from the rows outside the held-out fold."""
     spark = docs.sparkSession
     base = texts(docs).filter(fold_of(F.col("doc_id"), folds) != held_out)
@@ -165,8 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     balance = marks.agg(F.sum("toxic"), F.count("*")).first()
     picked = marks.filter("toxic = 1").orderBy(order).limit(sample_rows // 3).unionByName(marks.filter("toxic = 0").orderBy(order).limit(sample_rows - sample_rows // 3))
     # broadcast: sample_rows ids at most
-    gold = [(words_of(r["text"]), r["toxic"]) for r in base.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()]
-    free = [words_of(r["text"]) for r in base.orderBy(order, "text").limit(sample_rows // 3).select("text").collect()]
+    one: dict[str, str] = {}  # a word's copies are one object
+    held_of = lambda text: tuple(one.setdefault(w, w) for w in words_of(text))
+    gold = [(held_of(r["text"]), r["toxic"]) for r in base.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()]
+    free = [held_of(r["text"]) for r in base.orderBy(order, "text").limit(sample_rows // 3).select("text").collect()]
     pi = min(0.5, max(0.005, ((balance[0] or 0) + 1) / ((balance[1] or 0) + 20)))
 
     # toxic rows are sampled more densely; a clean one of the sample stands for `dense` rows beside a toxic one
@@ -202,9 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
             pairs[r["i"], r["j"]] = r["n"]
     rows = [w for w, _ in gold] + free
     votes = np.zeros((len(rows), len(voters)), bool)
-    names = [{m for w in ws for m in names_of(w)} for ws in rows]
-    for r, held in enumerate(names):
-        for m in held & place.keys():
+    for r, ws in enumerate(rows):
+        for m in {m for w in ws for m in names_of(w)} & place.keys():
             votes[r, place[m]] = True
     model = LabelModel(n, pairs.diagonal().copy(), pairs, pi, votes[: len(gold)], np.array([y for _, y in gold], int), dense)
     y = model.posterior(votes)
@@ -213,16 +214,16 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
         y[r] = 1 / (1 + np.exp(-logit))
     stands = np.array([1.0 if y else dense for _, y in gold] + [1.0] * len(free))
     toxic, every = Counter(), Counter()
-    for held, p, n in zip(names, y, stands, strict=True):
-        for m in held:
+    for ws, p, n in zip(rows, y, stands, strict=True):
+        for m in {m for w in ws for m in names_of(w)}:
             every[m] += n
             if p > 0.5:
                 toxic[m] += n
     shares = stand_out(toxic, every, float(np.clip(stands @ (y > 0.5) / max(stands.sum(), 1), 0.005, 0.5)))
     chosen = sorted(set(sorted(shares, key=lambda m: (-shares[m] * toxic[m], m))[:MAX_FEATURES]) | {"w:" + w for w in LEXICON})
     at = {m: i for i, m in enumerate(chosen)}
-    ones = [(r, at[m]) for r, held in enumerate(names) for m in sorted(held & at.keys())]
-    ones += [(len(names) + i, at["w:" + w]) for i, w in enumerate(LEXICON)]  # what a lone entry of the lexicon says
+    ones = [(r, at[m]) for r, ws in enumerate(rows) for m in sorted({m for w in ws for m in names_of(w)} & at.keys())]
+    ones += [(len(rows) + i, at["w:" + w]) for i, w in enumerate(LEXICON)]  # what a lone entry of the lexicon says
     y = np.append(y, [model.posterior(np.eye(len(voters))[[i]])[0] for i in range(len(LEXICON))])
     r, c = (np.array(x, np.int64) for x in zip(*ones, strict=True))
     w, b = fit_linear(r, c, y, np.append(stands, np.ones(len(LEXICON))), len(chosen))
