@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, near_dedup, toxicity
+from . import ann, bpe, exact_dedup, langid, mixing, near_dedup, pii, toxicity
 from .common import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,17 +34,27 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(parquet(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth embedding."""
+    return ann.nearest(parquet(spark, sf_dir, "embeddings"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of equal texts of every document."""
     return exact_dedup.exact_classes(parquet(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op8_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the terms that disclose it."""
+    return pii.span_digests(parquet(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the rows that aren't held out."""
     return langid.predict_languages(parquet(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pfair_mixing, op2_toxicity, op3_dart_minhash, op4_byte_bpe, op7_exact_dedup, op9_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pfair_mixing, op2_toxicity, op3_dart_minhash, op4_byte_bpe, op5_additive_quantisation, op7_exact_dedup, op8_pii_sanitise, op9_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
