@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A unit vector is coded as the sum of one codeword from each of several codebooks of the full dimension. The codebooks are fitted on a bounded sample: residual k-means, then rounds of
-beam-search encoding and a least-squares update of all codebooks together. Every row is encoded by beam search, and the length of its decoded vector is stored. A query makes one table of inner
+beam-search encoding and least-squares updates of the codebooks, each with the others held. Every row is encoded by beam search, and the length of its decoded vector is stored. A query makes one table of inner
 products for each codebook; a row's score is the sum of its entries, over the stored length. The best `rerank` rows of each query are then ranked exactly on the original vectors.
 
 Equal vectors are searched once. Of each distinct vector the smallest ids are kept, as many as an answer can hold (an exact bound, not a cap: ties go to the smaller id). Queries and codes meet in a grid of blocks, so that
@@ -68,15 +68,16 @@ def fit_books(x: np.ndarray, m: int = BOOKS, k: int = WORDS, rounds: int = 2, se
         left = left - c[((c**2).sum(1) - 2 * left @ c.T).argmin(1)]
     books = np.stack(books)
     for _ in range(rounds):
-        codes = beam_codes(x, books, 4) + np.arange(m, dtype=np.int64) * k
-        gram, right = np.zeros((m * k, m * k)), np.zeros((m * k, x.shape[1]))
-        for i in range(m):
-            np.add.at(right, codes[:, i], x)
+        codes = beam_codes(x, books, 4)
+        left = x - decode(codes, books)
+        for _ in range(3):  # least squares, a codebook at a time with the others held
             for j in range(m):
-                gram += np.bincount(codes[:, i] * (m * k) + codes[:, j], minlength=(m * k) ** 2).reshape(m * k, m * k)
-        # few rows a word: words are pulled to where they were
-        pull = 1.0
-        books = np.linalg.solve(gram + pull * np.eye(m * k), right + pull * books.reshape(m * k, -1)).reshape(m, k, -1)
+                size = np.bincount(codes[:, j], minlength=k)[:, None]
+                sums = np.zeros_like(books[j])
+                np.add.at(sums, codes[:, j], left)
+                step = sums / (size + 1.0)
+                books[j] += step
+                left -= step[codes[:, j]]
     return books.astype(np.float32)
 
 
@@ -137,8 +138,8 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = 50, rerank: int = R
 
     nqb, ncb = max(1, -(-nq // QUERIES)), max(1, -(-n // ROWS))
     codes = reps.select("rep", "v").mapInPandas(code_rows, "c long, code binary, length double")
-    codes = codes.withColumn("cb", F.pmod(F.xxhash64("c"), F.lit(ncb))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
-    blocks = queries.select("q", "qv").withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nqb)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(ncb - 1))).cast("long"))
+    codes = codes.withColumn("cb", F.pmod(F.xxhash64("c"), F.lit(ncb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
+    blocks = queries.select("q", "qv").withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nqb)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(ncb - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, keep_rows, row_key, texts
@@ -173,7 +173,7 @@ def signatures(docs: DataFrame, by: str = "set") -> DataFrame:
     return base.mapInPandas(rows, "row_id long, doc_id long, row_key long, size double, set1 long, set2 long, sig array<long>, bands array<long>")
 
 
-def _differing(a: F.Column, b: F.Column) -> F.Column:
+def _differing(a: Column, b: Column) -> Column:
     """In how many coordinates two packed signatures differ."""
     out = F.lit(0)
     for i in range(K // 16):
@@ -183,7 +183,7 @@ def _differing(a: F.Column, b: F.Column) -> F.Column:
     return out
 
 
-def _may_link(a: str, b: str, threshold: float) -> F.Column:
+def _may_link(a: str, b: str, threshold: float) -> Column:
     """Whether the sizes and signatures of two structs (row_id, size, sig) allow the threshold, but for 4.5 standard deviations."""
     most = (1 - threshold) * K + 4.5 * (K * threshold * (1 - threshold)) ** 0.5
     fits = F.least(f"{a}.size", f"{b}.size") >= threshold * F.greatest(f"{a}.size", f"{b}.size") - 1e-9

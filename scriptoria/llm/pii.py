@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, texts
@@ -30,7 +30,6 @@ WINDOW, SUPPORT, DISCLOSURE = 6, 3, 0.9
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT, _NO_DIGIT = re.compile("[0-9]"), re.compile("[^0-9]")
@@ -166,7 +165,7 @@ def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE, support:
     return found.select("row_id", "doc_id", "base").join(added, "row_id", "left")
 
 
-def _joined(spans: F.Column) -> F.Column:
+def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
@@ -177,7 +176,8 @@ def span_digests(docs: DataFrame) -> DataFrame:
     keyed = lambda x, kind: F.struct(x["start"].alias("start"), rank[kind].alias("rank"), x["end"].alias("end"), kind.alias("kind"))
     base = F.transform("base", lambda x: keyed(x, x["kind"]))
     more = F.coalesce(F.transform("added", lambda x: keyed(x, F.lit("term"))), F.array().cast("array<struct<start: int, rank: int, end: int, kind: string>>"))
-    count = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    kinds = F.transform("base", lambda x: x["kind"])
+    count = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *count, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.array_sort(F.concat(base, more))).alias("spans"))
 
 
