@@ -2,10 +2,12 @@
 
 A unit vector is coded as the sum of one codeword from each of several codebooks of the full dimension. The codebooks are fitted on a bounded sample: residual k-means, then rounds of
 beam-search encoding and least-squares updates of the codebooks, each with the others held. Every row is encoded by beam search, and the length of its decoded vector is stored. A query makes one table of inner
-products for each codebook; a row's score is the sum of its entries, over the stored length. The best `rerank` rows of each query are then ranked exactly on the original vectors.
+products for each codebook; a row's score is the sum of its entries, over the stored length. The best `rerank` rows of each query in a block, and all whose
+scores come within the tables' error of the last of them, are then ranked exactly on the original vectors.
 
-Equal vectors are searched once. Of each distinct vector the smallest ids are kept, as many as an answer can hold (an exact bound, not a cap: ties go to the smaller id). Queries and codes meet in a grid of blocks, so that
-a task holds one block of either; a block sends on `rerank` rows a query. The stated queries are a fiftieth of the rows, so the grid's work grows with the square of the rows, at a few bytes and table look-ups a pair.
+Equal vectors are searched once. Of each distinct vector the smallest ids are kept, as many as an answer can hold (an exact bound, not a cap: ties go to the smaller id). Queries and coded rows meet in a grid of blocks, so that
+a task holds one block of either and sends on `top` + 1 rows a query. The stated queries are a fiftieth of the rows, so the grid's work grows with the square of the rows, at a few bytes and
+table look-ups a pair.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, or whose length isn't the most frequent one, take no part; neither do rows without an id.
 Rows that repeat an id and a vector count once. An empty table gives no rows.
@@ -95,10 +97,6 @@ def _usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0)
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def nearest(vectors: DataFrame, top: int = TOP, every: int = 50, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose id is divisible by `every` the `top` nearest other rows."""
     spark = vectors.sparkSession
@@ -113,17 +111,22 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = 50, rerank: int = R
     # row_number with a limit keeps only `top + 1` rows of a vector in each task before the shuffle
     smallest = Window.partitionBy("v").orderBy("vec_id")
     ids = rows.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    reps = checkpointed(ids.select(F.col("ids")[0].alias("rep"), "ids", "v", F.sqrt(_dot(F.col("v"), F.col("v"))).alias("len")))
+    reps = checkpointed(ids.select(F.col("ids")[0].alias("rep"), "ids", "v"))
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "v"])
     asked = checkpointed(asked.join(reps.select("v", "rep"), "v").select("vec_id", "rep"))
-    queries = asked.select("rep").distinct().join(reps, "rep").select(F.col("rep").alias("q"), F.col("v").alias("qv"), F.col("len").alias("q_len"))
+    queries = asked.select("rep").distinct().join(reps, "rep").select(F.col("rep").alias("q"), F.col("v").alias("qv"))
 
     n, nq = reps.count(), asked.select("rep").distinct().count()
     fitted = reps.orderBy(F.xxhash64(F.lit(5), "rep")).limit(sample).select("v").toPandas()["v"]
     x = np.stack([np.asarray(v, np.float64) for v in fitted])
     scale = np.abs(x).max(1, keepdims=True)
     x = x / scale
-    books = spark.sparkContext.broadcast(fit_books(x / np.linalg.norm(x, axis=1, keepdims=True)))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    fitted_books = fit_books(x)
+    # how far a score from tables is off, at the spread of one standard deviation
+    near_x = decode(beam_codes(x[:512].astype(np.float32), fitted_books), fitted_books)
+    margin = float((x[:512] @ (near_x / np.maximum(np.linalg.norm(near_x, axis=1, keepdims=True), 1e-9) - x[:512]).T).std())
+    books = spark.sparkContext.broadcast(fitted_books)
 
     def unit(v: pd.Series) -> np.ndarray:
         x = np.stack([np.asarray(r, np.float64) for r in v])
@@ -134,32 +137,37 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = 50, rerank: int = R
         for b in batches:
             if len(b):
                 codes = beam_codes(unit(b["v"]), books.value)
-                yield pd.DataFrame({"c": b["rep"].to_numpy(), "code": [r.tobytes() for r in codes], "length": np.linalg.norm(decode(codes, books.value), axis=1).astype(np.float64)})
+                yield pd.DataFrame({"c": b["rep"].to_numpy(), "ids": b["ids"], "v": b["v"], "code": [r.tobytes() for r in codes], "length": np.linalg.norm(decode(codes, books.value), axis=1).astype(np.float64)})
 
     nqb, ncb = max(1, -(-nq // QUERIES)), max(1, -(-n // ROWS))
-    codes = reps.select("rep", "v").mapInPandas(code_rows, "c long, code binary, length double")
+    codes = reps.select("rep", "ids", "v").mapInPandas(code_rows, "c long, ids array<long>, v array<double>, code binary, length double")
     codes = codes.withColumn("cb", F.pmod(F.xxhash64("c"), F.lit(ncb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
     blocks = queries.select("q", "qv").withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nqb)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(ncb - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "c": [], "s": []})
+            return pd.DataFrame({"q": [], "vec_id": [], "score": []})
         code = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
-        length, c, found = np.maximum(left["length"].to_numpy(np.float32), 1e-6), left["c"].to_numpy(), []
+        length, c, ids = np.maximum(left["length"].to_numpy(np.float32), 1e-6), left["c"].to_numpy(), left["ids"].to_numpy()
+        v = np.stack(left["v"])
+        v_len = np.sqrt((v * v).sum(1))
+        found = []
         for k in range(0, len(right), 64):
-            s = table_scores(unit(right["qv"].iloc[k : k + 64]), code, length, books.value)
+            part = right.iloc[k : k + 64]
+            s = table_scores(unit(part["qv"]), code, length, books.value)
             keep = min(rerank, s.shape[1])
-            best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-            found += [(c[b], r[b].astype(np.float64)) for b, r in zip(best, s, strict=True)]
-        return pd.DataFrame({"q": right["q"].to_numpy(), "c": [f[0] for f in found], "s": [f[1] for f in found]})
-
-    met = codes.groupBy("qb", "cb").cogroup(blocks.groupBy("qb", "cb")).applyInPandas(search, "q long, c array<long>, s array<double>")
-    best = Window.partitionBy("q").orderBy(F.desc("s"), "c")
-    near = met.select("q", F.explode(F.arrays_zip("c", "s")).alias("x")).select("q", "x.*").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= rerank).select("q", "c")
-    near = near.union(queries.select("q", F.col("q").alias("c"))).distinct()
-    exact = near.join(queries, "q").join(reps.withColumnRenamed("rep", "c"), "c").select("q", "ids", (_dot(F.col("qv"), F.col("v")) / (F.col("q_len") * F.col("len"))).alias("score"))
+            least = -np.partition(-s, keep - 1, axis=1)[:, keep - 1] - margin
+            for q, qv, row, low in zip(part["q"], part["qv"], s, least, strict=True):
+                # rows whose tables say the same as the last one's are looked at as well, however many they are
+                at = np.flatnonzero((row >= low) | (c == q))
+                exact = (v[at] * qv).sum(1) / (v_len[at] * np.sqrt((qv * qv).sum()))
+                best = np.lexsort((c[at], -exact))[: top + 1]
+                found += [(q, i, exact[b]) for b in best for i in ids[at[b]]]
+        return pd.DataFrame(found, columns=["q", "vec_id", "score"])
+
+    met = codes.groupBy("qb", "cb").cogroup(blocks.groupBy("qb", "cb")).applyInPandas(search, "q long, vec_id long, score double")
     first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    held = exact.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= top + 1)
+    held = met.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= top + 1)
     answer = asked.withColumnRenamed("vec_id", "query_id").join(held, F.col("rep") == F.col("q")).filter(F.col("vec_id") != F.col("query_id"))
     place = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return answer.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
