@@ -255,27 +255,30 @@ def _linked_classes(shared: DataFrame, sets: DataFrame, threshold: float) -> Dat
     few beside the members, all of them are looked at.
     """
     classes = checkpointed(shared.select("row.row_id").distinct().withColumn("class_id", F.col("row_id")))
-    members, before, turn = shared.count(), None, 0
+    open_, before, turn = shared, None, 0
     while True:
-        held = shared.join(classes, F.col("row.row_id") == classes["row_id"]).select("band", "row", "class_id")
+        held = open_.join(classes, F.col("row.row_id") == classes["row_id"]).select("band", "row", "class_id")
         pivot = F.min_by("row", F.xxhash64(F.lit(turn), "row.row_id")).alias("pivot")
         parts = held.groupBy("band", "class_id").agg(F.count("*").alias("n"), pivot).withColumn("h", F.xxhash64(F.lit(turn), "class_id"))
         part = F.struct("class_id", "pivot", "n")
         bands = parts.groupBy("band").agg(F.max_by(part, F.struct("n", "class_id")).alias("main"), F.min_by(part, "h").alias("other"), F.sum("n").alias("n"), F.count("*").alias("k"))
         mixed = checkpointed(bands.filter("k > 1"))
-        left = mixed.agg(F.sum((F.col("n") - F.col("main.n")) * F.col("n"))).first()[0] or 0
+        left, members = mixed.agg(F.sum((F.col("n") - F.col("main.n")) * F.col("n")), F.sum("n")).first()
         if not left:
             return classes
-        if left <= 4 * members or turn >= 12 or (before is not None and turn > 2 and left > 0.9 * before):
+        # classes only grow, so a band that holds one class is done with; what is carried on shrinks
+        met = checkpointed(held.join(mixed, "band"))
+        open_ = met.select("band", "row")
+        if left <= 2 * members or turn >= 12 or (before is not None and turn > 3 and left > 0.9 * before):
             break
-        met = held.join(mixed, "band").select("row", "class_id", F.explode(F.array("main", "other")).alias("p")).select("row", "class_id", F.col("p.class_id").alias("to"), F.col("p.pivot").alias("pivot"))
-        near = met.filter((F.col("class_id") != F.col("to")) & _may_link("row", "pivot", threshold))
+        to = met.select("row", "class_id", F.explode(F.array("main", "other")).alias("p")).select("row", "class_id", F.col("p.class_id").alias("to"), F.col("p.pivot").alias("pivot"))
+        near = to.filter((F.col("class_id") != F.col("to")) & _may_link("row", "pivot", threshold))
         pairs = near.select(F.least("row.row_id", "pivot.row_id").alias("a"), F.greatest("row.row_id", "pivot.row_id").alias("b")).distinct()
         classes, before, turn = _merged(classes, _checked(pairs, sets, threshold)), left, turn + 1
-    held = held.join(mixed.select("band", F.col("main.class_id").alias("main")), "band")
+    held = met.select("band", "row", "class_id", F.col("main.class_id").alias("main"))
     stray = held.filter("class_id <> main").select("band", F.col("row").alias("stray"), F.col("class_id").alias("stray_class"))
-    met = stray.join(held, (stray["band"] == held["band"]) & (F.col("class_id") != F.col("stray_class")) & _may_link("row", "stray", threshold))
-    pairs = met.select(F.least("row.row_id", "stray.row_id").alias("a"), F.greatest("row.row_id", "stray.row_id").alias("b")).distinct()
+    last = stray.join(held, (stray["band"] == held["band"]) & (F.col("class_id") != F.col("stray_class")) & _may_link("row", "stray", threshold))
+    pairs = last.select(F.least("row.row_id", "stray.row_id").alias("a"), F.greatest("row.row_id", "stray.row_id").alias("b")).distinct()
     return _merged(classes, _checked(pairs, sets, threshold))
 
 
