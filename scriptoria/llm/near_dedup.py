@@ -21,6 +21,7 @@ named by its smallest row_id. Rows that repeat are in one class. Only doc_id and
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -239,13 +240,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """classes (row_id, class_id) with the classes joined that links (a, b) of rows tie together; written once."""
+def _ties(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that links (a, b) of rows tie together."""
     left = classes.select(F.col("row_id").alias("a"), F.col("class_id").alias("ca"))
     right = classes.select(F.col("row_id").alias("b"), F.col("class_id").alias("cb"))
-    ties = links.join(left, "a").join(right, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    named = components(ties)
-    return checkpointed(classes.join(named, classes["class_id"] == named["node"], "left").select("row_id", F.coalesce("label", "class_id").alias("class_id")))
+    return links.join(left, "a").join(right, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+
+
+def _hooked(classes: DataFrame, ties: DataFrame) -> DataFrame:
+    """classes (row_id, class_id), each class that is tied named by its least neighbour if that is less; written once."""
+    least = ties.select("a", "b").union(ties.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("to")).filter("to < a")
+    return checkpointed(classes.join(least, classes["class_id"] == least["a"], "left").select("row_id", F.coalesce("to", "class_id").alias("class_id")))
 
 
 def _linked_classes(shared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -255,7 +260,7 @@ def _linked_classes(shared: DataFrame, sets: DataFrame, threshold: float) -> Dat
     few beside the members, all of them are looked at.
     """
     classes = checkpointed(shared.select("row.row_id").distinct().withColumn("class_id", F.col("row_id")))
-    open_, before, turn = shared, None, 0
+    open_, before, turn, ties = shared, None, 0, []
     while True:
         held = open_.join(classes, F.col("row.row_id") == classes["row_id"]).select("band", "row", "class_id")
         pivot = F.min_by("row", F.xxhash64(F.lit(turn), "row.row_id")).alias("pivot")
@@ -265,7 +270,7 @@ def _linked_classes(shared: DataFrame, sets: DataFrame, threshold: float) -> Dat
         mixed = checkpointed(bands.filter("k > 1"))
         left, members = mixed.agg(F.sum((F.col("n") - F.col("main.n")) * F.col("n")), F.sum("n")).first()
         if not left:
-            return classes
+            return _named(classes, ties)
         # classes only grow, so a band that holds one class is done with; what is carried on shrinks
         met = checkpointed(held.join(mixed, "band"))
         open_ = met.select("band", "row")
@@ -274,12 +279,21 @@ def _linked_classes(shared: DataFrame, sets: DataFrame, threshold: float) -> Dat
         to = met.select("row", "class_id", F.explode(F.array("main", "other")).alias("p")).select("row", "class_id", F.col("p.class_id").alias("to"), F.col("p.pivot").alias("pivot"))
         near = to.filter((F.col("class_id") != F.col("to")) & _may_link("row", "pivot", threshold))
         pairs = near.select(F.least("row.row_id", "pivot.row_id").alias("a"), F.greatest("row.row_id", "pivot.row_id").alias("b")).distinct()
-        classes, before, turn = _merged(classes, _checked(pairs, sets, threshold)), left, turn + 1
+        ties.append(checkpointed(_ties(classes, _checked(pairs, sets, threshold))))
+        classes, before, turn = _hooked(classes, ties[-1]), left, turn + 1
     held = met.select("band", "row", "class_id", F.col("main.class_id").alias("main"))
     stray = held.filter("class_id <> main").select("band", F.col("row").alias("stray"), F.col("class_id").alias("stray_class"))
     last = stray.join(held, (stray["band"] == held["band"]) & (F.col("class_id") != F.col("stray_class")) & _may_link("row", "stray", threshold))
     pairs = last.select(F.least("row.row_id", "stray.row_id").alias("a"), F.greatest("row.row_id", "stray.row_id").alias("b")).distinct()
-    return _merged(classes, _checked(pairs, sets, threshold))
+    return _named(classes, [*ties, _ties(classes, _checked(pairs, sets, threshold))])
+
+
+def _named(classes: DataFrame, ties: list[DataFrame]) -> DataFrame:
+    """classes with the least name of all classes that the rounds' ties connect."""
+    if not ties:
+        return classes
+    named = components(reduce(DataFrame.union, ties))
+    return classes.join(named, classes["class_id"] == named["node"], "left").select("row_id", F.coalesce("label", "class_id").alias("class_id"))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, by: str = "set") -> DataFrame:
