@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, text
+from .text import let, strip, text
 
 Test = Callable[[Column], Column]
 
@@ -135,10 +135,8 @@ def boundary_top(lines: Column, after: Column, keywords: tuple[str, ...], col_le
 
 def doc_metrics(lines: Column) -> Column:
     """struct(width, height, base_h): the page's extent and the whole part of the median line height."""
-    heights = F.array_sort(F.transform(lines, height))
-    n = F.size(lines)
-    at = lambda i: F.get(heights, i.cast("int"))
-    middle = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / F.lit(2.0)
+    at = lambda h, i: F.get(h, F.floor(i).cast("int"))
+    middle = let(F.array_sort(F.transform(lines, height)), lambda h: (at(h, (F.size(h) - 1) / 2) + at(h, F.size(h) / 2)) / F.lit(2.0))
     return F.struct(F.array_max(F.transform(lines, lambda x: x["right"])).alias("width"), F.array_max(F.transform(lines, lambda x: x["bottom"])).alias("height"), middle.cast("int").alias("base_h"))
 
 
@@ -156,33 +154,40 @@ def row_sequence(blocks: Column, gap: Column, skip: tuple[str, ...] = (), prefix
     """
     start = F.struct(F.lit(False).alias("stop"), F.lit(None).cast("int").alias("right"), F.array().cast(PART).alias("parts"))
 
-    def step(s: Column, x: Column) -> Column:
-        raw = strip(x["text"])
-        stop = s["stop"] | ((raw != "") & F.coalesce(x["left"] - s["right"] > gap, F.lit(False)))
-        body = raw
+    def body(raw: Column) -> Column:
+        out = raw
         for p in reversed(prefixes):
-            body = F.when(raw.startswith(p), strip(F.regexp_replace(F.substring(raw, len(p) + 1, 1 << 30), "^[:：]+", ""))).otherwise(body)
-        take = ~stop & (raw != "") & (body != "")
-        if skip:
-            take = take & ~raw.isin(*skip)
-        part = F.array(F.struct(x.alias("x"), body.alias("text"))).cast(PART)
-        return F.struct(stop.alias("stop"), F.when(stop, s["right"]).otherwise(x["right"]).alias("right"), F.when(take, F.concat(s["parts"], part)).otherwise(s["parts"]).alias("parts"))
+            out = F.when(raw.startswith(p), strip(F.regexp_replace(F.substring(raw, len(p) + 1, 1 << 30), "^[:：]+", ""))).otherwise(out)
+        return out
+
+    def step(s: Column, x: Column) -> Column:
+        read = lambda raw: F.struct(raw.alias("raw"), body(raw).alias("body"), (s["stop"] | ((raw != "") & F.coalesce(x["left"] - s["right"] > gap, F.lit(False)))).alias("stop"))
+
+        def moved(y: Column) -> Column:
+            take = ~y["stop"] & (y["raw"] != "") & (y["body"] != "") & (~y["raw"].isin(*skip) if skip else F.lit(True))
+            part = F.array(F.struct(x.alias("x"), y["body"].alias("text"))).cast(PART)
+            return F.struct(y["stop"].alias("stop"), F.when(y["stop"], s["right"]).otherwise(x["right"]).alias("right"), F.when(take, F.concat(s["parts"], part)).otherwise(s["parts"]).alias("parts"))
+
+        return let(let(strip(x["text"]), read), moved)
 
     return F.aggregate(blocks, start, step, lambda s: s["parts"])
 
 
-def continuation(blocks: Column, bottom: Column, stops: Test, skips: Test, gap: Column, clean: Test = lambda t: t, running_max: bool = False, gap_first: bool = True) -> Column:
+def continuation(blocks: Column, bottom: Column, stops: Test, skips: Test, gap: Column, clean: Test = lambda t: t, running_max: bool = False) -> Column:
     """The texts of blocks below a first line, until a stop word or too wide a gap; a line that is taken moves the bottom."""
     start = F.struct(F.lit(False).alias("stop"), bottom.cast("int").alias("bottom"), F.array().cast("array<string>").alias("parts"))
 
     def step(s: Column, x: Column) -> Column:
-        t = strip(text(x["text"]))
-        blank = t == ""
-        stop = s["stop"] | (~blank & (stops(x) | (x["top"] - s["bottom"] > gap)))
-        body = clean(t)
-        take = ~stop & ~blank & ~skips(x) & (body != "")
-        low = F.greatest(s["bottom"], x["bottom"]) if running_max else x["bottom"]
-        return F.struct(stop.alias("stop"), F.when(take, low).otherwise(s["bottom"]).alias("bottom"), F.when(take, F.concat(s["parts"], F.array(body))).otherwise(s["parts"]).alias("parts"))
+        def read(t: Column) -> Column:
+            stop = s["stop"] | ((t != "") & (stops(x) | (x["top"] - s["bottom"] > gap)))
+            return F.struct(stop.alias("stop"), F.when((t != "") & ~skips(x), clean(t)).otherwise("").alias("body"))
+
+        def moved(y: Column) -> Column:
+            take = ~y["stop"] & (y["body"] != "")
+            low = F.greatest(s["bottom"], x["bottom"]) if running_max else x["bottom"]
+            return F.struct(y["stop"].alias("stop"), F.when(take, low).otherwise(s["bottom"]).alias("bottom"), F.when(take, F.concat(s["parts"], F.array(y["body"]))).otherwise(s["parts"]).alias("parts"))
+
+        return let(let(strip(text(x["text"])), read), moved)
 
     return F.aggregate(blocks, start, step, lambda s: s["parts"])
 

@@ -5,6 +5,7 @@ White space and digits are Unicode's, by the regex flag (?U). A missing value is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,6 +37,11 @@ def col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def text(c: ColumnOrName) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
@@ -64,8 +70,7 @@ def postprocess_text(c: ColumnOrName) -> Column:
     """White space to one space, quotes off the ends, symbols put right, and, outside codes, confused characters."""
     s = strip(F.regexp_replace(text(c), r"(?U)\s+", " "))
     s = strip(F.regexp_replace(F.regexp_replace(s, '^"+|"+$', ""), "^'+|'+$", ""))
-    s = F.translate(s, *SYMBOLS)
-    return F.when(looks_like_code(s), s).otherwise(F.translate(s, *HAN_FIXES))
+    return let(F.translate(s, *SYMBOLS), lambda x: F.when(looks_like_code(x), x).otherwise(F.translate(x, *HAN_FIXES)))
 
 
 def clean_text(c: ColumnOrName) -> Column:
@@ -74,13 +79,11 @@ def clean_text(c: ColumnOrName) -> Column:
 
 
 def extract_after(c: ColumnOrName, keyword: str) -> Column:
-    s = clean_text(c)
-    return F.when(s.contains(keyword), strip(F.split(s, quoted(keyword), 2)[1])).otherwise("")
+    return let(clean_text(c), lambda s: F.when(s.contains(keyword), strip(F.split(s, quoted(keyword), 2)[1])).otherwise(""))
 
 
 def extract_before(c: ColumnOrName, keyword: str) -> Column:
-    s = clean_text(c)
-    return F.when(s.contains(keyword), strip(F.substring_index(s, keyword, 1))).otherwise("")
+    return let(clean_text(c), lambda s: F.when(s.contains(keyword), strip(F.substring_index(s, keyword, 1))).otherwise(""))
 
 
 def regex_first(c: ColumnOrName, pattern: str, group: int = 0) -> Column:
@@ -107,9 +110,8 @@ def _dotted(s: Column, pattern: str) -> Column:
 
 def normalize_date(c: ColumnOrName) -> Column:
     """One date as YYYY.MM.DD, 长期 as it is, anything else ''."""
-    s = strip(text(c))
     forms = (r"^(\d{4})年(\d{1,2})月(\d{1,2})日$", r"^(\d{4})(\d{2})(\d{2})$", r"^(\d{4})[.\-](\d{1,2})[.\-](\d{1,2})$")
-    return F.when(s == "长期", s).otherwise(F.coalesce(*[_dotted(s, p) for p in forms], F.lit("")))
+    return let(strip(text(c)), lambda s: F.when(s == "长期", s).otherwise(F.coalesce(*[_dotted(s, p) for p in forms], F.lit(""))))
 
 
 def extract_validity(c: ColumnOrName) -> Column:
@@ -117,45 +119,52 @@ def extract_validity(c: ColumnOrName) -> Column:
     s = F.replace(F.translate(strip(text(c)), "—–－至．。· ", "----..."), F.lit("有效期限"), F.lit(""))
     date = r"\d{4}[.\-]?\d{2}[.\-]?\d{2}"
     han = r"\d{4}年\d{1,2}月\d{1,2}日"
-    found = []
-    for p in (f"({date})-({date}|长期)", f"({han})-?({han}|长期)", r"(\d{8})(\d{8})"):
-        start, end = (normalize_date(F.regexp_extract(s, p, i)) for i in (1, 2))
-        found.append(F.when((start != "") & (end != ""), F.concat_ws("-", start, end)))
-    return F.coalesce(*found, F.lit(""))
+    forms = (f"({date})-({date}|长期)", f"({han})-?({han}|长期)", r"(\d{8})(\d{8})")
+
+    def period(x: Column, p: str) -> Column:
+        ends = F.array(*[normalize_date(F.regexp_extract(x, p, i)) for i in (1, 2)])
+        return let(ends, lambda e: F.when((e[0] != "") & (e[1] != ""), F.array_join(e, "-")))
+
+    return let(s, lambda x: F.coalesce(*[period(x, p) for p in forms], F.lit("")))
 
 
 def uscc_check_digit(c: ColumnOrName) -> Column:
     """The check digit of 17 characters; null for another length or a foreign character."""
-    s = col(c)
     weights = F.array(*map(F.lit, CODE_WEIGHTS))
     place = lambda x: F.instr(F.lit(CODE_ALPHABET), x) - 1
-    total = F.aggregate(F.zip_with(F.split(s, ""), weights, lambda x, w: place(x) * w), F.lit(0), lambda a, x: a + x)
-    return F.when((F.length(s) == 17) & s.rlike(f"^[{CODE_ALPHABET}]*$"), F.substring(F.lit(CODE_ALPHABET), (F.lit(31) - total % 31) % 31 + 1, F.lit(1)))
+    total = lambda s: F.aggregate(F.zip_with(F.split(s, ""), weights, lambda x, w: place(x) * w), F.lit(0), lambda a, x: a + x)
+    digit = lambda s: F.substring(F.lit(CODE_ALPHABET), (F.lit(31) - total(s) % 31) % 31 + 1, F.lit(1))
+    return let(col(c), lambda s: F.when((F.length(s) == 17) & s.rlike(f"^[{CODE_ALPHABET}]*$"), digit(s)))
 
 
 def is_valid_uscc(c: ColumnOrName) -> Column:
-    s = col(c)
-    fine = s.rlike(f"^[{CODE_ALPHABET}]{{18}}$")
-    return F.coalesce(fine & (uscc_check_digit(F.substring(s, 1, 17)) == F.substring(s, 18, 1)), F.lit(False))
+    fine = lambda s: s.rlike(f"^[{CODE_ALPHABET}]{{18}}$") & (uscc_check_digit(F.substring(s, 1, 17)) == F.substring(s, 18, 1))
+    return let(col(c), lambda s: F.coalesce(fine(s), F.lit(False)))
 
 
 def fix_credit_code(c: ColumnOrName) -> Column:
     """Confused characters of an 18-character code that doesn't check put right: digits where only digits stand, foreign letters elsewhere."""
-    s = col(c)
-    body = F.concat(F.translate(F.substring(s, 1, 2), *MIXED_FIXES), F.translate(F.substring(s, 3, 6), *DIGIT_FIXES), F.translate(F.substring(s, 9, 9), *MIXED_FIXES))
-    last = F.translate(F.substring(s, 18, 1), *MIXED_FIXES)
-    expected = uscc_check_digit(body)
-    last = F.when(F.translate(last, *CHECK_FIXES) == expected, expected).otherwise(last)
-    return F.when((F.length(s) != 18) | is_valid_uscc(s), s).otherwise(F.concat(body, last))
+
+    def fixed(s: Column) -> Column:
+        body = F.concat(F.translate(F.substring(s, 1, 2), *MIXED_FIXES), F.translate(F.substring(s, 3, 6), *DIGIT_FIXES), F.translate(F.substring(s, 9, 9), *MIXED_FIXES))
+        last = F.translate(F.substring(s, 18, 1), *MIXED_FIXES)
+        parts = let(F.struct(body.alias("body"), last.alias("last")), lambda p: F.struct(p["body"].alias("body"), p["last"].alias("last"), uscc_check_digit(p["body"]).alias("expected")))
+        return let(parts, lambda p: F.concat(p["body"], F.when(F.translate(p["last"], *CHECK_FIXES) == p["expected"], p["expected"]).otherwise(p["last"])))
+
+    return let(col(c), lambda s: F.when((F.length(s) != 18) | is_valid_uscc(s), s).otherwise(fixed(s)))
 
 
 def strip_label(c: ColumnOrName, *labels: str) -> Column:
     """The text less the first label it holds and the colons that then lead it."""
-    s, out = col(c), strip(col(c))
-    for label in reversed(labels):
-        rest = F.regexp_replace(F.concat(F.substring_index(s, label, 1), F.split(s, quoted(label), 2)[1]), "^[:：]+", "")
-        out = F.when(s.contains(label), strip(rest)).otherwise(out)
-    return out
+
+    def stripped(s: Column) -> Column:
+        out = strip(s)
+        for label in reversed(labels):
+            rest = F.regexp_replace(F.concat(F.substring_index(s, label, 1), F.split(s, quoted(label), 2)[1]), "^[:：]+", "")
+            out = F.when(s.contains(label), strip(rest)).otherwise(out)
+        return out
+
+    return let(col(c), stripped)
 
 
 def is_label_like(c: ColumnOrName) -> Column:
@@ -167,8 +176,7 @@ def _han_count(s: Column) -> Column:
 
 
 def is_person_name(c: ColumnOrName) -> Column:
-    s = strip(text(c))
-    return F.length(s).between(2, 10) & ~s.rlike(r"(?U)\d") & ~s.rlike(NO_NAME) & (_han_count(s) >= 2)
+    return let(strip(text(c)), lambda s: F.length(s).between(2, 10) & ~s.rlike(r"(?U)\d") & ~s.rlike(NO_NAME) & (_han_count(s) >= 2))
 
 
 def is_date_text(c: ColumnOrName) -> Column:
@@ -176,20 +184,17 @@ def is_date_text(c: ColumnOrName) -> Column:
 
 
 def looks_like_capital(c: ColumnOrName) -> Column:
-    s = strip(text(c))
-    return s.rlike(r"(?U)[万亿圆元整壹贰叁肆伍陆柒捌玖拾佰仟零\d]") & ~is_date_text(s)
+    return let(strip(text(c)), lambda s: s.rlike(r"(?U)[万亿圆元整壹贰叁肆伍陆柒捌玖拾佰仟零\d]") & ~is_date_text(s))
 
 
 def clean_address(c: ColumnOrName) -> Column:
     """Leading characters that are neither Han nor digits off, then one that is known noise unless it names a place with the next."""
-    s = F.regexp_replace(strip(text(c)), rf"(?U)^[^{HAN}\d]+", "")
-    noisy = F.substring(s, 1, 1).rlike(f"[{ADDRESS_NOISE}]") & ~F.substring(s, 2, 1).rlike(f"[{ADMIN_SUFFIXES}]")
-    return F.when(noisy, strip(F.substring(s, 2, 1 << 30))).otherwise(s)
+    noisy = lambda s: F.substring(s, 1, 1).rlike(f"[{ADDRESS_NOISE}]") & ~F.substring(s, 2, 1).rlike(f"[{ADMIN_SUFFIXES}]")
+    return let(F.regexp_replace(strip(text(c)), rf"(?U)^[^{HAN}\d]+", ""), lambda s: F.when(noisy(s), strip(F.substring(s, 2, 1 << 30))).otherwise(s))
 
 
 def looks_like_address(c: ColumnOrName) -> Column:
-    s = clean_address(c)
-    return (F.length(s) >= 4) & (s.rlike(ADDRESS_WORDS) | ((_han_count(s) >= 4) & s.rlike(r"(?U)\d")))
+    return let(clean_address(c), lambda s: (F.length(s) >= 4) & (s.rlike(ADDRESS_WORDS) | ((_han_count(s) >= 4) & s.rlike(r"(?U)\d"))))
 
 
 def province_from_name(c: ColumnOrName) -> Column:
@@ -204,8 +209,12 @@ def city_from_credit_code(c: ColumnOrName) -> Column:
 
 def complete_address_prefix(address: ColumnOrName, name: ColumnOrName, code: ColumnOrName, fragments: Column) -> Column:
     """Province, city and district put before an address that lacks them."""
-    a, province, city = strip(text(address)), province_from_name(name), city_from_credit_code(code)
     has = lambda x: F.array_contains(fragments, x)
     district = F.when(has("郑东新区") | (has("郑东") & reduce(lambda p, q: p | q, map(has, ("新", "新区", "东新区")))), "郑东新区").otherwise("")
-    parts = [F.when((province != "") & ~a.startswith(province), province).otherwise(""), F.when(~a.contains(city), city).otherwise(""), F.when(~a.contains(district), district).otherwise("")]
-    return F.when(a == "", "").otherwise(F.concat(*parts, a))
+    held = F.struct(strip(text(address)).alias("a"), province_from_name(name).alias("p"), city_from_credit_code(code).alias("c"), district.alias("d"))
+
+    def completed(x: Column) -> Column:
+        parts = [F.when((x["p"] != "") & ~x["a"].startswith(x["p"]), x["p"]).otherwise("")] + [F.when(~x["a"].contains(x[k]), x[k]).otherwise("") for k in "cd"]
+        return F.when(x["a"] == "", "").otherwise(F.concat(*parts, x["a"]))
+
+    return let(held, completed)

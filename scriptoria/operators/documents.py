@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layout import build_lines
 from . import id_cards, licence
-from .pages import ID_BACK, ID_FRONT, LICENCE, UNKNOWN, classify
+from .pages import ID_BACK, ID_FRONT, LICENCE, UNKNOWN, classify, to_layouts
 
 #: What a document of no known type is told.
 NOT_RECOGNISED = "未能识别证件类型"
@@ -42,7 +41,7 @@ def parse_documents(raw: DataFrame) -> DataFrame:
     Documents whose parallel arrays differ in length become error rows; the others go on.
     """
     checked = raw.withColumn("__bad", F.coalesce(_misaligned(), F.lit(True)))
-    layouts = classify(to_layouts_with(checked))
+    layouts = classify(to_layouts(checked))
     front = F.struct(*[f(F.col("lines")).alias(k) for k, f in id_cards.FRONT.items()])
     back = F.struct(*[f(F.col("lines")).alias(k) for k, f in id_cards.BACK.items()])
     parsed = licence.with_fields(layouts)
@@ -53,15 +52,8 @@ def parse_documents(raw: DataFrame) -> DataFrame:
     return parsed.select("doc_id", "doc_type", F.when(~F.col("__bad"), data).alias("data"), error.alias("error"))
 
 
-def to_layouts_with(raw: DataFrame) -> DataFrame:
-    """to_layouts, with the other columns but the arrays carried along."""
-    return raw.withColumn("lines", build_lines(F.col("texts"), F.col("scores"), F.col("boxes"))).drop("texts", "scores", "boxes", "polys", "angle")
-
-
 def to_envelope(parsed: DataFrame, code: int = 500) -> DataFrame:
-    """doc_id and the response: {0, success, data}, or {code, the error, null}."""
-    ok = F.struct(F.lit(0).alias("code"), F.lit("success").alias("msg"), F.col("data"))
-    bad = F.struct(F.lit(code).alias("code"), F.col("error").alias("msg"), F.lit(None).cast("string").alias("data"))
-    keep = {"ignoreNullFields": "false"}
-    return parsed.select("doc_id", F.when(F.col("error").isNull(), F.to_json(ok, keep)).otherwise(F.to_json(bad, keep)).alias("response"))
-
+    """doc_id and the response, as JSON: {0, success, data}, or {code, the error, null}. data is JSON already."""
+    ok = F.concat(F.lit('{"code":0,"msg":"success","data":'), F.coalesce("data", F.lit("null")), F.lit("}"))
+    bad = F.to_json(F.struct(F.lit(code).alias("code"), F.col("error").alias("msg"), F.lit(None).cast("string").alias("data")), {"ignoreNullFields": "false"})
+    return parsed.select("doc_id", F.when(F.col("error").isNull(), ok).otherwise(bad).alias("response"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
-from ..functions.text import clean_address, complete_address_prefix, fix_credit_code, is_date_text, is_label_like, is_person_name, is_valid_uscc, looks_like_address, looks_like_capital, strip, strip_label
+from ..functions.text import clean_address, complete_address_prefix, fix_credit_code, is_date_text, is_label_like, is_person_name, is_valid_uscc, let, looks_like_address, looks_like_capital, strip, strip_label
 
 # Labels and boundary words of a licence.
 ADDRESS_LABELS = ("住所", "营业场所", "经营场所", "注册地址")
@@ -26,7 +26,7 @@ def credit_code(lines: Column) -> Column:
     """The first candidate that checks once repaired, else the first, else one from the joined text."""
     found = F.flatten(F.transform(lines, lambda x: F.transform(F.regexp_extract_all(x["text"], F.lit(f"({CODE})"), F.lit(1)), fix_credit_code)))
     joined = fix_credit_code(F.regexp_extract(L.full_text(lines), CODE, 0))
-    return _first_of(F.get(F.filter(found, is_valid_uscc), 0), F.get(found, 0), joined)
+    return let(found, lambda f: _first_of(F.get(F.filter(f, is_valid_uscc), 0), F.get(f, 0), joined))
 
 
 def _m(field: str) -> Column:
@@ -48,51 +48,61 @@ def _joined(parts: Column, keep: Callable[[Column], Column] = lambda p: F.lit(Tr
 def _labelled(lines: Column, label: str, spaced: str, first: str, second: str, drop_labels: bool) -> Column:
     """A value after a whole label, a spaced one, or one split over two boxes."""
     value = lambda p: ~is_label_like(p["text"])
-    options = []
-    for kw in (label, spaced):
-        a = L.find(lines, kw)
-        options += [F.coalesce(strip_label(a["text"], kw), F.lit("")), _joined(_row_parts(lines, a, L.row_tol(_m("base_h"), a, 1.0)), value if drop_labels else lambda p: F.lit(True))]
-    a = L.find_exact(lines, first)
-    options.append(_joined(_row_parts(lines, a, L.row_tol(_m("base_h"), a, 1.0), (second,), (second,)), value))
-    return _first_of(*options)
+    any_ = lambda p: F.lit(True)
+    whole = lambda kw: let(L.find(lines, kw), lambda a: _first_of(F.coalesce(strip_label(a["text"], kw), F.lit("")), _joined(_row_parts(lines, a, L.row_tol(_m("base_h"), a, 1.0)), value if drop_labels else any_)))
+    cut = let(L.find_exact(lines, first), lambda a: _joined(_row_parts(lines, a, L.row_tol(_m("base_h"), a, 1.0), (second,), (second,)), value))
+    return _first_of(whole(label), whole(spaced), cut)
 
 
 def legal_person(lines: Column) -> Column:
-    a = L.find_contains(lines, "法定代表人", "负责人")
-    same = [F.when(a["text"].contains(k) & is_person_name(strip_label(a["text"], k)), strip_label(a["text"], k)) for k in ("法定代表人", "负责人")]
-    right = L.same_row_right(lines, a, L.row_tol(_m("base_h"), a, 1.0))
-    under = L.blocks_below(lines, a, a["bottom"] + _m("base_h") * 4, a["left"] - _m("base_h"), a["right"] + _m("base_h") * 8, 5)
     first = lambda blocks: strip(F.get(F.filter(blocks, lambda x: is_person_name(x["text"])), 0)["text"])
-    return F.coalesce(*same, first(right), first(under), F.lit(""))
+    named = lambda t: F.when(is_person_name(t), t)
+
+    def found(a: Column) -> Column:
+        same = [F.when(a["text"].contains(k), let(strip_label(a["text"], k), named)) for k in ("法定代表人", "负责人")]
+        right = L.same_row_right(lines, a, L.row_tol(_m("base_h"), a, 1.0))
+        under = L.blocks_below(lines, a, a["bottom"] + _m("base_h") * 4, a["left"] - _m("base_h"), a["right"] + _m("base_h") * 8, 5)
+        return F.coalesce(*same, first(right), first(under), F.lit(""))
+
+    return let(L.find_contains(lines, "法定代表人", "负责人"), found)
 
 
 def row_value(lines: Column, labels: tuple[str, ...], valid: Callable[[Column], Column]) -> Column:
     """The label's own rest, or the first text to its right, that is valid."""
-    a = L.find_contains(lines, *labels)
-    same = [F.when(a["text"].contains(k) & (strip_label(a["text"], k) != "") & valid(strip_label(a["text"], k)), strip_label(a["text"], k)) for k in labels]
-    right = F.get(F.filter(L.same_row_right(lines, a, L.row_tol(_m("base_h"), a, 1.0)), lambda x: (strip(x["text"]) != "") & valid(strip(x["text"]))), 0)
-    return F.coalesce(*same, strip(right["text"]), F.lit(""))
+    fits = lambda t: F.when((t != "") & valid(t), t)
+
+    def found(a: Column) -> Column:
+        same = [F.when(a["text"].contains(k), let(strip_label(a["text"], k), fits)) for k in labels]
+        right = F.get(F.filter(L.same_row_right(lines, a, L.row_tol(_m("base_h"), a, 1.0)), lambda x: (strip(x["text"]) != "") & valid(x["text"])), 0)
+        return F.coalesce(*same, strip(right["text"]), F.lit(""))
+
+    return let(L.find_contains(lines, *labels), found)
+
+
+def _cleaned(parts: Column) -> Column:
+    return F.filter(F.transform(parts, lambda p: F.struct(p["x"].alias("x"), clean_address(p["text"]).alias("text"))), lambda p: p["text"] != "")
 
 
 def _pick(parts: Column) -> Column:
     """struct(x, text): the first part like an address, else the first that cleans to anything."""
-    cleaned = F.filter(F.transform(parts, lambda p: F.struct(p["x"].alias("x"), clean_address(p["text"]).alias("text"))), lambda p: p["text"] != "")
-    return F.coalesce(F.get(F.filter(cleaned, lambda p: looks_like_address(p["text"])), 0), F.get(cleaned, 0))
+    return let(_cleaned(parts), lambda c: F.coalesce(F.get(F.filter(c, lambda p: looks_like_address(p["text"])), 0), F.get(c, 0)))
 
 
 def _address_start(lines: Column) -> Column:
     """struct(x, text): the address's first line and text, by a whole label, the second half of a split one, or its first half."""
-    a = L.find_contains(lines, *ADDRESS_LABELS)
-    # the first label whose rest isn't empty decides, even if that cleans to nothing
-    rest = F.coalesce(*[F.nullif(F.when(a["text"].contains(k), strip_label(a["text"], k)), F.lit("")) for k in ADDRESS_LABELS])
-    same = F.when(F.coalesce(clean_address(rest), F.lit("")) != "", F.struct(a.alias("x"), clean_address(rest).alias("text")))
-    right = _pick(_row_parts(lines, a, L.row_tol(_m("base_h"), a, 1.2)))
-    suo = L.find_exact(lines, "所")
-    second = _pick(_row_parts(lines, suo, L.row_tol(_m("base_h"), suo, 1.3), ("所",), ("所",)))
-    zhu = L.find_exact(lines, "住")
-    parts = _row_parts(lines, zhu, F.greatest(F.lit(35), L.row_tol(_m("base_h"), zhu, 1.4)), ("所",), ("所",))
-    far = F.filter(F.transform(parts, lambda p: F.struct(p["x"].alias("x"), clean_address(p["text"]).alias("text"))), lambda p: (p["x"]["left"] >= _m("width") * F.lit(0.35)) & looks_like_address(p["text"]))
-    return F.coalesce(same, right, second, F.get(far, 0))
+
+    def by_label(a: Column) -> Column:
+        # the first label whose rest isn't empty decides, even if that cleans to nothing
+        rest = F.coalesce(*[F.nullif(F.when(a["text"].contains(k), strip_label(a["text"], k)), F.lit("")) for k in ADDRESS_LABELS])
+        same = let(F.coalesce(clean_address(rest), F.lit("")), lambda t: F.when(t != "", F.struct(a.alias("x"), t.alias("text"))))
+        return F.coalesce(same, _pick(_row_parts(lines, a, L.row_tol(_m("base_h"), a, 1.2))))
+
+    def by_first_half(a: Column) -> Column:
+        parts = _cleaned(_row_parts(lines, a, F.greatest(F.lit(35), L.row_tol(_m("base_h"), a, 1.4)), ("所",), ("所",)))
+        return F.get(F.filter(parts, lambda p: (p["x"]["left"] >= _m("width") * F.lit(0.35)) & looks_like_address(p["text"])), 0)
+
+    by_second_half = lambda a: _pick(_row_parts(lines, a, L.row_tol(_m("base_h"), a, 1.3), ("所",), ("所",)))
+    return F.coalesce(let(L.find_contains(lines, *ADDRESS_LABELS), by_label), let(L.find_exact(lines, "所"), by_second_half), let(L.find_exact(lines, "住"), by_first_half))
 
 
 def _address_rest(lines: Column, a: Column, bound: Column) -> Column:
@@ -105,8 +115,8 @@ def _address_rest(lines: Column, a: Column, bound: Column) -> Column:
 
 def _scope(lines: Column) -> tuple[Column, Column]:
     """The scope's own row: the label's rest, and the parts to its right."""
-    a = L.find(lines, "经营范围")
-    return F.coalesce(strip_label(a["text"], "经营范围"), F.lit("")), _row_parts(lines, a, F.greatest(F.lit(20), L.row_tol(_m("base_h"), a, 1.0)))
+    row = lambda a: _row_parts(lines, a, F.greatest(F.lit(20), L.row_tol(_m("base_h"), a, 1.0)))
+    return F.coalesce(strip_label(L.find(lines, "经营范围")["text"], "经营范围"), F.lit("")), let(L.find(lines, "经营范围"), row)
 
 
 def _scope_rest(lines: Column) -> Column:

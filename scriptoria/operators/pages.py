@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
-from ..functions.text import postprocess_text, suffix_of
+from ..functions.text import let, postprocess_text, suffix_of
 
 ID_FRONT, ID_BACK, LICENCE, UNKNOWN = "id_front", "id_back", "business_license", "unknown"
 
@@ -39,8 +39,12 @@ def clean_ocr(raw: DataFrame, min_score: float = 0.7) -> DataFrame:
 
 
 def to_layouts(raw: DataFrame, min_score: float = 0.2) -> DataFrame:
-    """(doc_id, lines): one row a document, lines in reading order; no shuffle."""
-    return raw.select("doc_id", L.build_lines(F.col("texts"), F.col("scores"), F.col("boxes"), min_score).alias("lines"))
+    """(doc_id, lines), and other columns of raw: one row a document, lines in reading order; no shuffle.
+
+    The lines come out of an explode of one element, so that the optimizer doesn't work them out again at each later use.
+    """
+    rest = [c for c in raw.columns if c not in ("texts", "scores", "boxes", "polys", "angle")]
+    return raw.select(*rest, F.explode(F.array(L.build_lines(F.col("texts"), F.col("scores"), F.col("boxes"), min_score))).alias("lines"))
 
 
 def build_lines(raw: DataFrame, min_score: float = 0.2) -> DataFrame:
@@ -50,10 +54,13 @@ def build_lines(raw: DataFrame, min_score: float = 0.2) -> DataFrame:
 
 def detect(lines: Column) -> Column:
     """The document type, from keywords in the joined text; they may straddle lines."""
-    t = L.full_text(lines)
-    both = lambda a, b: t.contains(a) & t.contains(b)
-    licence = t.contains("营业执照") | t.contains("统一社会信用代码") | both("注册资本", "法定代表人")
-    return F.when(both("姓名", "公民身份号码"), ID_FRONT).when(both("签发机关", "有效期限"), ID_BACK).when(licence, LICENCE).otherwise(UNKNOWN)
+
+    def kind(t: Column) -> Column:
+        both = lambda a, b: t.contains(a) & t.contains(b)
+        licence = t.contains("营业执照") | t.contains("统一社会信用代码") | both("注册资本", "法定代表人")
+        return F.when(both("姓名", "公民身份号码"), ID_FRONT).when(both("签发机关", "有效期限"), ID_BACK).when(licence, LICENCE).otherwise(UNKNOWN)
+
+    return let(L.full_text(lines), kind)
 
 
 def classify(layouts: DataFrame) -> DataFrame:

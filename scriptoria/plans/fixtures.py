@@ -39,12 +39,13 @@ def raw_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"polys": F.transform("boxes", corners), "angle": F.lit(0)})
 
 
-def _page(doc_id: Column, boxes: Column) -> list[Column]:
-    """The columns of raw_ocr of boxes (text, left, top, right, bottom)."""
-    return [
-        doc_id.cast("string").alias("doc_id"), F.transform(boxes, lambda b: b["t"]).alias("texts"), F.transform(boxes, lambda b: F.lit(0.9)).alias("scores"),
+def _page(c: DataFrame, boxes: Column) -> DataFrame:
+    """raw_ocr of boxes (text, left, top, right, bottom), a page for each row of c."""
+    page, boxes = c.select("k", F.explode(F.array(boxes)).alias("bx")), F.col("bx")
+    return page.select(
+        F.col("k").cast("string").alias("doc_id"), F.transform(boxes, lambda b: b["t"]).alias("texts"), F.transform(boxes, lambda b: F.lit(0.9)).alias("scores"),
         F.transform(boxes, lambda b: F.array(b["l"], b["y"], b["r"], b["b"])).alias("boxes"), F.transform(boxes, lambda b: F.array().cast("array<array<int>>")).alias("polys"), F.lit(0).alias("angle"),
-    ]
+    )
 
 
 def _box(text: Column | str, left: int, top: int, right: int, bottom: int | None = None) -> Column:
@@ -85,7 +86,7 @@ def id_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
         [_box("姓名", 40, 40, 120), _box(name, 40, 75, 300), _box(cat(lit("性别"), "sex"), 40, 110, 120), _box("民族汉", 150, 110, 300), _box("出生", 40, 160, 120), _box(F.col("birth"), 40, 192, 300), _box(cat(lit("住址"), F.substring(addr, 1, 6)), 40, 230, 500), _box(F.substring(addr, 7, 3), 45, 268, 300), _box(F.substring(addr, 10, 99), 45, 345, 300), _box("公民身份号码", 40, 400, 200), _box(F.col("id"), 40, 440, 600)],
         [_box("姓", 40, 40, 80), _box(cat(lit("名"), name), 90, 40, 300), _box("性", 40, 100, 80), _box(cat(lit("别"), "sex", lit("民族汉")), 90, 100, 300), _box("出", 40, 160, 80), _box(cat(lit("生"), "birth"), 90, 160, 300), _box("住", 40, 220, 80), _box(cat(lit("址"), addr), 90, 220, 500), _box("公民身", 40, 400, 100), _box(cat(lit("份号码"), "id"), 110, 400, 600)],
     )
-    return c.select(*_page(F.col("k"), boxes))
+    return _page(c, boxes)
 
 
 def id_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +102,15 @@ def id_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
         [_box("签发机关", 40, 40, 150), _box("郑州市公安局", 40, 90, 300), _box("有效期限", 40, 200, 150), _box(cat("vy", "vm2", "vd2", "vz", "vm2", "vd2"), 40, 250, 500)],
         [_box("签发", 40, 40, 100), _box("机关郑州市公安局", 110, 40, 400), _box("有效", 40, 120, 100), _box(cat(lit("期限"), dots, lit("-长期")), 110, 120, 500)],
     )
-    return c.select(*_page(F.col("k"), boxes))
+    return _page(c, boxes)
 
 
 def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences on a page of 1200 x 800; codes clean, with O for 0 among the digits, with I for 1 in the tail, or with a wrong check digit."""
     c = customers(spark, sf_dir).filter(F.col("k") % 3 == 2)
-    body = F.concat(F.lit("91"), F.element_at(F.array(*map(F.lit, DISTRICTS)), (F.col("k") % len(DISTRICTS) + 1).cast("int")), F.lit("MA1"), F.lpad((F.col("k") % 1000000).cast("string"), 6, "0"))
-    check = uscc_check_digit(body)
+    c = c.withColumn("body", F.concat(F.lit("91"), F.element_at(F.array(*map(F.lit, DISTRICTS)), (F.col("k") % len(DISTRICTS) + 1).cast("int")), F.lit("MA1"), F.lpad((F.col("k") % 1000000).cast("string"), 6, "0")))
+    c = c.select("*", F.explode(F.array(uscc_check_digit("body"))).alias("check"))
+    body, check = F.col("body"), F.col("check")
     other = F.substring(F.lit(CODE_ALPHABET), F.instr(F.lit(CODE_ALPHABET), check) % 31 + 1, F.lit(1))
     v = F.col("v")
     shown = F.when(v == 1, F.concat(F.substring(body, 1, 2), F.translate(F.substring(body, 3, 6), "0", "O"), F.substring(body, 9, 9), check)).when(v == 2, F.concat(F.substring(body, 1, 10), F.lit("I"), F.substring(body, 12, 6), check)).when(v == 3, F.concat(body, other)).otherwise(F.concat(body, check))
@@ -129,7 +131,7 @@ def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = [row(F.concat(F.lit("住所：斤"), addr), 700, 370, 1100)]
     scope = [row("经营范围", 40, 480, 160), row("软件开发", 180, 480, 560), row("技术服务", 180, 510, 560), row("登记机关", 700, 700, 800)]
     boxes = _variants(v, [*head, *whole, *right, *money, *place, *scope], [*head, *cut, *same, *money, *place, *scope], [*head, *whole, *under, *money, *split, *scope], [*head, *cut, *right, *money, *joined, *scope])
-    return c.select(*_page(F.col("k"), boxes))
+    return _page(c, boxes)
 
 
 def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

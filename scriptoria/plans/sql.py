@@ -8,12 +8,12 @@ x AS (SELECT d, unnest(ws) AS raw, generate_subscripts(ws, 1) - 1 AS i, len(ws)
 raw AS (SELECT d, d || '-' || (i // 60) AS doc_id, CAST(i % 60 AS INT) AS line_no, i % 60 AS k, raw, least(60, n - i // 60 * 60) AS pn FROM x),
 boxed AS (
     SELECT *, CAST((k % 5) * 170 + (d * 3 + k * 7) % 11 AS INT) AS l, CAST((k // 5) * 30 + (d * 7 + k * 5) % 9 AS INT) AS t,
-        ((d * 31 + k * 17) % 100) / 100.0 AS score, regexp_replace(raw, '^[\\s\\v\\x1c-\\x1f\\x{85}\\p{Z}]+|[\\s\\v\\x1c-\\x1f\\x{85}\\p{Z}]+$', '', 'g') AS text, NOT (d % 5 = 0 AND k = pn - 1) AS has_score
+        ((d * 31 + k * 17) % 100) / 100.0 AS score, regexp_replace(raw, '^[\\s\\v\\x{85}\\p{Z}]+|[\\s\\v\\x{85}\\p{Z}]+$', '', 'g') AS text, NOT (d % 5 = 0 AND k = pn - 1) AS has_score
     FROM raw
 ), sized AS (SELECT *, CAST(l + least(12 * length(raw), 160) AS INT) AS r, CAST(t + 20 + k % 5 AS INT) AS b FROM boxed),
 ln AS (SELECT doc_id, line_no, text, l, t, r, b, CAST(score AS DOUBLE) AS score, (t + b) / 2.0 AS cy, (l + r) / 2.0 AS cx FROM sized WHERE has_score AND text <> '' AND score >= 0.2),
 anchor AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t, l, line_no) AS n FROM ln WHERE contains(text, 'the')) WHERE n = 1),
-met AS (SELECT x.*, a.line_no AS anchor_line_no, a.l AS al, a.t AS at, a.r AS ar, a.b AS ab, a.cy AS acy, a.cx AS acx FROM ln x JOIN anchor a USING (doc_id))
+met AS (SELECT x.*, a.line_no AS anchor_line_no, a.l AS al, a.t AS aty, a.r AS ar, a.b AS ab, a.cy AS acy, a.cx AS acx FROM ln x JOIN anchor a USING (doc_id))
 """
 
 
@@ -61,11 +61,11 @@ CODES = f"""
     SELECT *, '91' || {DISTRICTS}[CAST(k % 16 + 1 AS INT)] || 'MA1' || lpad(CAST(k % 1000000 AS VARCHAR), 6, '0') AS body, {CITY_NAMES}[CAST(k % 16 + 1 AS INT)] AS city
     FROM c
 ), s AS (SELECT *, CAST(list_sum(list_transform(range(1, 18), lambda i: (instr('{ALPHABET}', substr(body, CAST(i AS INT), 1)) - 1) * {WEIGHTS}[i])) AS BIGINT) AS total FROM b),
-code AS (SELECT *, (31 - total % 31) % 31 AS at, substr('{ALPHABET}', CAST((31 - total % 31) % 31 + 1 AS INT), 1) AS digit FROM s)
+code AS (SELECT *, (31 - total % 31) % 31 AS pos, substr('{ALPHABET}', CAST((31 - total % 31) % 31 + 1 AS INT), 1) AS digit FROM s)
 """
 LICENCE = f"""
 WITH {CODES}
-SELECT CAST(k AS VARCHAR) AS doc_id, body || CASE WHEN v = 3 THEN substr('{ALPHABET}', CAST((at + 1) % 31 + 1 AS INT), 1) ELSE digit END AS credit_code,
+SELECT CAST(k AS VARCHAR) AS doc_id, body || CASE WHEN v = 3 THEN substr('{ALPHABET}', CAST((pos + 1) % 31 + 1 AS INT), 1) ELSE digit END AS credit_code,
     '河南省' || han || '有限公司' AS name, '有限责任公司' AS type_name, '张三' AS legal_person, '壹佰万元整' AS capital, '2019年06月24日' AS establish_date,
     '河南省' || city || '金水路' || han || '号' || CASE WHEN v = 3 THEN '' ELSE '一号楼' END AS address, '软件开发技术服务' AS business_scope
 FROM code WHERE k % 3 = 2"""
