@@ -263,7 +263,9 @@ def _linked_classes(shared: DataFrame, sets: DataFrame, threshold: float) -> Dat
     open_, before, turn, ties = shared, None, 0, []
     while True:
         held = open_.join(classes, F.col("row.row_id") == classes["row_id"]).select("band", "row", "class_id")
-        pivot = F.min_by("row", F.xxhash64(F.lit(turn), "row.row_id")).alias("pivot")
+        # after the first round a band draws its own members, so that a stray meets about two in each of its bands
+        drawn = F.xxhash64(F.lit(turn), "band", "row.row_id") if turn else F.xxhash64("row.row_id")
+        pivot = F.min_by("row", drawn).alias("pivot")
         parts = held.groupBy("band", "class_id").agg(F.count("*").alias("n"), pivot).withColumn("h", F.xxhash64(F.lit(turn), "class_id"))
         part = F.struct("class_id", "pivot", "n")
         bands = parts.groupBy("band").agg(F.max_by(part, F.struct("n", "class_id")).alias("main"), F.min_by(part, "h").alias("other"), F.sum("n").alias("n"), F.count("*").alias("k"))
@@ -274,7 +276,7 @@ def _linked_classes(shared: DataFrame, sets: DataFrame, threshold: float) -> Dat
         # classes only grow, so a band that holds one class is done with; what is carried on shrinks
         met = checkpointed(held.join(mixed, "band"))
         open_ = met.select("band", "row")
-        if left <= 2 * members or turn >= 12 or (before is not None and turn > 3 and left > 0.9 * before):
+        if left <= 2 * members or turn >= 12 or (before is not None and turn > 5 and left > 0.97 * before):
             break
         to = met.select("row", "class_id", F.explode(F.array("main", "other")).alias("p")).select("row", "class_id", F.col("p.class_id").alias("to"), F.col("p.pivot").alias("pivot"))
         near = to.filter((F.col("class_id") != F.col("to")) & _may_link("row", "pivot", threshold))
