@@ -1,13 +1,15 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Counts come from every training text. The root's distribution is the base, (c + 1) / (N + V + 1). A context of one or two words is a candidate if it makes up at least `context_p` of all tokens,
+Counts come from every training text. The root's distribution is the base, (c + 1) / (N + V + 1). A context of one or two words is a candidate if it stands before at least `LEAST` words,
 and is retained if its next-word distribution diverges from that of its longest retained suffix: 2 n KL must exceed what chance gives (a chi-square of as many degrees as next words, by four
-standard deviations). At a retained context s the next word t has P(t | s) = (c(s, t) + (d + r) P(t | suffix of s)) / (n + d), where n counts the context, d its
-distinct next words with a count of their own, and r the other next words: what the context doesn't know goes to its suffix, so each distribution sums to 1. A text is scored by the
-longest retained suffix at each word.
+standard deviations). A longer context is a candidate if the one shorter by its first word is retained; levels are added until one retains none. At a retained context s the next word t has
+P(t | s) = (c(s, t) + d P(t | suffix of s)) / (n + d), where n counts the context and d its distinct next words: what the context doesn't know goes to its suffix, so each distribution sums to
+1. A text is scored by the longest retained suffix at each word.
 
-Bounds: contexts, and next words with a count of their own, are those above a share of all tokens, so the tree that is broadcast has at most 1 / share entries a level, whatever the data;
-words above `head_p` likewise. All other words keep their exact counts in a table, met by a join. Counts are summed in the tasks before they are shuffled.
+The tree is a table that grows with the texts: (context, next) pairs are counted by groupBy, whatever their share, under 64-bit keys hashed from the words. log P(t | s) is a sum: the
+base, the escape log d / (n + d) of each retained suffix, and for each (suffix, next) that was counted what it adds to the escape. So a text's score is a sum over keys, met by one join.
+Keys above a share of all tokens (`ENTRY_P`), and words above `HEAD_P`, are broadcast and looked up in the task; of the others only those that may be in the table, by a filter of at most
+2^28 bits without false negatives, are sent to the join. Neither changes a score.
 
 Defined results: a null text counts as empty: it is the end token alone. Without training texts N and V are 0. Rows that repeat count, and are scored, each. Only doc_id and text are read.
 """
@@ -21,12 +23,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, fold_of, texts
 
-HEAD_P, CONTEXT_P, PAIR_P, NEXT_P, ENTRY_P = 1e-5, 1e-3, 1e-4, 1e-4, 1e-6
+HEAD_P, CONTEXT_P, NEXT_P, ENTRY_P = 1e-5, 1e-3, 1e-4, 1e-6
+#: Words that a context stands before, at least: the usual least count for a chi-square.
+LEAST = 5
 END = -(1 << 63)  # no word has this number
 
 
@@ -73,7 +78,7 @@ def _count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Tree:
-    """The head words and the retained contexts; all arrays are sorted by key."""
+    """The head words with their base; learn() and logs() are the model's in-memory form for contexts and next words of the head. All arrays are sorted by key."""
 
     def __init__(self, head: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
         """head: numbers of words by falling count, the end token among them."""
@@ -87,18 +92,6 @@ class Tree:
         self.escape = np.zeros(0)
         self.keys, self.shares = np.zeros(0, np.int64), np.zeros(0)
 
-    def pairs(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Keys (context, next word) of both orders: context 1 + a for a word, 1 + contexts + a * contexts + b for two."""
-        c = self.contexts
-        nxt = np.where((ids >= 0) & (ids < self.nexts), ids, self.nexts)
-        ok = (ids >= 0) & (ids < c)
-        one = np.zeros(len(ids), bool)
-        one[1:] = ok[:-1] & ~starts[1:]
-        two = np.zeros(len(ids), bool)
-        two[2:] = one[2:] & one[1:-1]
-        i, j = np.flatnonzero(one), np.flatnonzero(two)
-        return np.concatenate([(1 + ids[i - 1]) * self.span + nxt[i], (1 + c + ids[j - 2] * c + ids[j - 1]) * self.span + nxt[j]])
-
     def learn(self, keys: np.ndarray, counts: np.ndarray, totals: dict[int, int]) -> "Tree":
         """Retain contexts, one word before two. keys, counts: pairs above the bound; totals: how often each candidate context stands before a token."""
         order = np.argsort(keys)
@@ -183,39 +176,137 @@ def _parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two numbers, in order."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> Tree:
-    """The tree of the texts of docs, whose words are counted in counts (word, n)."""
-    head = counts.filter((F.col("n") >= HEAD_P * total) | (F.col("word") == END)).orderBy(F.desc("n"), "word").collect()  # 1 / HEAD_P rows at most
-    tree = Tree(np.array([r["word"] for r in head], np.int64), np.array([r["n"] for r in head], np.float64), total, distinct)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+def _contexts(number: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to depth: the tokens that have so many words before them, and the keys of these contexts; a suffix's key comes before that of the longer context."""
+    first = np.maximum.accumulate(np.where(starts, np.arange(len(number)), 0))
+    at = np.arange(len(number))
+    node = number
+    for k in range(1, depth + 1):
+        far = at - k >= first[at]
+        at, node = at[far], node[far]
+        node = number[at - 1] if k == 1 else _mixed(node, number[at - k])
+        yield at, node
+
+
+class Filter:
+    """A set of keys as bits by their first `bits` binary digits: says yes to all of the set, and to few others."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        """keys: one column, key."""
+        n = keys.count()
+        self.bits = min(28, max(16, (8 * n).bit_length()))
+        inner = self.bits - 10
+        slots = keys.select(F.shiftrightunsigned("key", 64 - self.bits).alias("slot")).select((F.expr(f"slot div {1 << inner}")).cast("int").alias("piece"), (F.col("slot") % (1 << inner)).cast("int").alias("slot"))
+
+        def piece(part: pd.DataFrame) -> pd.DataFrame:
+            held = np.zeros(1 << inner, bool)
+            held[part["slot"].to_numpy()] = True
+            return pd.DataFrame({"piece": part["piece"].iloc[:1], "held": [np.packbits(held, bitorder="little").tobytes()]})
+
+        self.held = np.zeros(1 << (self.bits - 3), np.uint8)
+        size = 1 << (inner - 3)
+        for r in slots.groupBy("piece").applyInPandas(piece, "piece int, held binary").toLocalIterator():
+            self.held[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["held"], np.uint8)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _count_level(docs: DataFrame, tree: Broadcast, depth: int, admitted: Filter, by: int) -> DataFrame:
+    """key, context, suffix_key and c of every (context, next) with contexts of `depth` words whose suffix of `by` words may be in admitted."""
+    sent = docs.sparkSession.sparkContext.broadcast(admitted)
 
     def pair_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, numbers, found, size = sent.value, Numbers(), [], 0
+        admitted, numbers, found, size = sent.value, Numbers(), [], 0
+
+        def out() -> pd.DataFrame:
+            key, context, suffix = (np.concatenate(x) for x in zip(*found, strict=True))
+            key, at, n = np.unique(key, return_index=True, return_counts=True)
+            return pd.DataFrame({"key": key, "context": context[at], "suffix_key": suffix[at], "c": n})
+
         for b in batches:
             for part in _parts(b):
-                ids, starts, _, _ = _ids(tree, numbers, part["text"].tolist())
-                found.append(np.unique(tree.pairs(ids, starts), return_counts=True))
-                size += len(found[-1][0])
-                if size > 4_000_000:
-                    found = [_summed(found)]
-                    size = len(found[0][0])
-                    if size > 2_000_000:
-                        yield pd.DataFrame({"pair": found[0][0], "n": found[0][1]})
-                        found, size = [], 0
+                _, starts, number, _ = _ids(tree.value, numbers, part["text"].tolist())
+                levels = dict(enumerate(_contexts(number, starts, depth), 1))
+                at, node = levels[depth]
+                over = np.zeros(len(number), np.int64)
+                over[levels[by][0]] = levels[by][1]
+                ok = admitted.has(over[at])
+                at, node = at[ok], node[ok]
+                suffix = number[at]
+                if depth > 1:
+                    shorter = np.zeros(len(number), np.int64)
+                    shorter[levels[depth - 1][0]] = levels[depth - 1][1]
+                    suffix = _entry(shorter[at], number[at])
+                found.append((_entry(node, number[at]), node, suffix))
+                size += len(at)
+                if size > 3_000_000:
+                    yield out()
+                    found, size = [], 0
         if found:
-            keys, n = _summed(found)
-            yield pd.DataFrame({"pair": keys, "n": n})
+            yield out()
+
+    rows = docs.select("text").mapInPandas(pair_rows, "key long, context long, suffix_key long, c long")
+    return rows.groupBy("key").agg(F.first("context").alias("context"), F.first("suffix_key").alias("suffix_key"), F.sum("c").alias("c"))
+
+
+def _entry(node: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of (context, next)."""
+    return _mixed(~node, word)
+
+
+def _weighed(rows: DataFrame, before: DataFrame) -> DataFrame:
+    """The entries of contexts before `LEAST` words: key, context, suffix_key, c, p (of the longest retained suffix, the context among them), the context's n and d, whether it is kept, and what the entry adds to the escape.
+
+    rows: as counted; before: key and p of the suffixes' entries.
+    """
+    met = checkpointed(rows.join(before.select(F.col("key").alias("suffix_key"), F.col("p").alias("q")), "suffix_key"))
+    of = met.groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("d"), F.sum(F.col("c") * F.log(F.col("c") / F.col("q"))).alias("g")).filter(F.col("n") >= LEAST)
+    of = of.withColumn("kept", 2 * (F.col("g") - F.col("n") * F.log("n")) > F.col("d") + 4 * F.sqrt(2 * F.col("d"))).drop("g")
+    share = (F.col("c") + F.col("d") * F.col("q")) / (F.col("n") + F.col("d"))
+    adds = F.log10(share) - F.log10(F.col("d") / (F.col("n") + F.col("d"))) - F.log10("q")
+    return checkpointed(met.join(of, "context").select("key", "context", "suffix_key", "c", "n", "d", "kept", F.when(F.col("kept"), share).otherwise(F.col("q")).alias("p"), F.when(F.col("kept"), adds).alias("adds")))
+
 
-    pairs = checkpointed(docs.select("text").mapInPandas(pair_rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
-    context = F.expr(f"pair div {tree.span}")
-    totals = pairs.groupBy(context.alias("context")).agg(F.sum("n").alias("n")).filter(F.when(F.col("context") <= tree.contexts, F.col("n") > 0).otherwise(F.col("n") >= PAIR_P * total)).collect()
-    entries = pairs.filter(F.col("n") >= ENTRY_P * total).toPandas()  # 2 / ENTRY_P rows at most
-    return tree.learn(entries["pair"].to_numpy(np.int64), entries["n"].to_numpy(np.int64), {r["context"]: r["n"] for r in totals})
+def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> tuple[Tree, DataFrame, int]:
+    """The head, the tree's values (key, v and how often it was counted) and its depth, of the texts of docs, whose words are counted in counts (word, n)."""
+    head = counts.filter((F.col("n") >= HEAD_P * total) | (F.col("word") == END)).orderBy(F.desc("n"), "word").collect()  # 1 / HEAD_P rows at most
+    tree = Tree(np.array([r["word"] for r in head], np.int64), np.array([r["n"] for r in head], np.float64), total, distinct)
+    sent = docs.sparkSession.sparkContext.broadcast(tree)
+
+    def two_words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": _mixed(b["suffix_key"].to_numpy(np.int64), b["context"].to_numpy(np.int64))})
+
+    words = counts.select(F.col("word").alias("key"), ((F.col("n") + 1.0) / F.lit(total + distinct + 1.0)).alias("p"))
+    often = Filter(counts.filter((F.col("n") >= LEAST) & (F.col("word") != END)).select(F.col("word").alias("key")))
+    levels = [_weighed(_count_level(docs, sent, 1, often, 1), words)]
+    pairs = levels[0].filter((F.col("c") >= LEAST) & (F.col("suffix_key") != END)).select("suffix_key", "context")
+    often = Filter(pairs.mapInPandas(two_words, "key long"))
+    levels.append(_weighed(_count_level(docs, sent, 2, often, 2), levels[0]))
+    while levels[-1].filter("kept").limit(1).count():
+        kept = levels[-1].filter("kept")
+        over = Filter(kept.select(F.col("context").alias("key")).distinct())
+        # the filter may let others through; the join with the kept suffixes' entries doesn't
+        levels.append(_weighed(_count_level(docs, sent, len(levels) + 1, over, len(levels)), kept))
+    values = []
+    for level in levels:
+        kept = level.filter("kept")
+        values.append(kept.select("key", F.col("adds").alias("v"), "c"))
+        values.append(kept.groupBy("context").agg(F.first("n").alias("c"), F.first("d").alias("d")).select(F.bitwise_not("context").alias("key"), F.log10(F.col("d") / (F.col("c") + F.col("d"))).alias("v"), "c"))
+    out = values[0]
+    for more in values[1:]:
+        out = out.unionByName(more)
+    return tree, out, len(levels) - 1
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -225,35 +316,57 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
     counts = learned.select("text").mapInPandas(_count_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
     counts = checkpointed(counts)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = train(learned, counts, total, distinct)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+    tree, values, depth = train(learned, counts, total, distinct)
+    values = checkpointed(values)
+    hot = values.filter(F.col("c") >= ENTRY_P * total).select("key", "v").toPandas().sort_values("key")  # 2 / ENTRY_P rows a level at most
+    sent = docs.sparkSession.sparkContext.broadcast((tree, hot["key"].to_numpy(np.int64), hot["v"].to_numpy(np.float64), Filter(values.select("key"))))
 
     def score_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, numbers = sent.value, Numbers()
+        (tree, hot, worth, held), numbers = sent.value, Numbers()
+
+        def known(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The keys' values where hot, and which of the others may be in the table."""
+            if not len(hot):
+                return np.zeros(len(keys)), held.has(keys)
+            near = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+            is_hot = hot[near] == keys
+            return np.where(is_hot, worth[near], 0.0), ~is_hot & held.has(keys)
+
         for b in batches:
             for part in _parts(b):
                 ids, starts, number, text = _ids(tree, numbers, part["text"].tolist())
                 n, head = len(part), ids >= 0
                 base = np.log10(tree.base[ids[head]]) if head.any() else np.zeros(0)
-                rare = number[~head]
-                cut = np.bincount(text[~head], minlength=n).cumsum()[:-1]
+                path = np.zeros(len(number))
+                other = [(text[~head], number[~head])]
+                for at, node in _contexts(number, starts, depth):
+                    v, ask = known(~node)
+                    other.append((text[at[ask]], ~node[ask]))
+                    path[at] += v
+                    may = (v != 0) | ask
+                    at, keys = at[may], _entry(node[may], number[at[may]])
+                    v, ask = known(keys)
+                    other.append((text[at[ask]], keys[ask]))
+                    path[at] += v
+                where, keys = (np.concatenate(x) for x in zip(*other, strict=True))
+                keys = keys[np.argsort(where, kind="stable")]
+                cut = np.bincount(where, minlength=n).cumsum()[:-1]
                 in_training = head & (number != END) if tree.total == 0 else head
                 yield pd.DataFrame({
                     "row_id": part["row_id"].to_numpy(), "doc_id": part["doc_id"].to_numpy(), "n_tokens": np.bincount(text, minlength=n),
                     "head_known": np.bincount(text[in_training], minlength=n), "head_base": np.bincount(text[head], base, n),
-                    "path": np.bincount(text, tree.logs(ids, starts), n), "rare": np.split(rare, cut),
+                    "path": np.bincount(text, path, n), "rare": np.bincount(text[~head], minlength=n), "other": np.split(keys, cut),
                 }).astype({"doc_id": "Int64"})
 
-    schema = "row_id long, doc_id long, n_tokens long, head_known long, head_base double, path double, rare array<long>"
+    schema = "row_id long, doc_id long, n_tokens long, head_known long, head_base double, path double, rare long, other array<long>"
     scored = checkpointed(texts(docs).withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(score_rows, schema))
-    other = scored.filter(F.size("rare") > 0).select("row_id", F.explode("rare").alias("word"))
-    each = other.groupBy("row_id", "word").agg(F.count("*").alias("k")).join(counts, "word", "left")
-    per = each.groupBy("row_id").agg(
-        F.sum(F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 1.0) / F.lit(total + distinct + 1.0))).alias("rare_base"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("rare_known"),
-    )
-    rare_base = F.coalesce("rare_base", F.lit(0.0))
+    asked = scored.filter(F.size("other") > 0).select("row_id", F.explode("other").alias("key"))
+    logs = F.log10((F.col("n") + 1.0) / F.lit(total + distinct + 1.0))
+    table = counts.select(F.col("word").alias("key"), logs.alias("base"), F.lit(None).cast("double").alias("v")).unionByName(values.select("key", F.lit(None).cast("double").alias("base"), "v"))
+    per = asked.join(table, "key").groupBy("row_id").agg(F.sum("base").alias("base"), F.count("base").alias("rare_known"), F.sum("v").alias("v"))
+    none = F.log10(F.lit(1.0) / F.lit(total + distinct + 1.0))
+    rare_base = F.coalesce("base", F.lit(0.0)) + (F.col("rare") - F.coalesce("rare_known", F.lit(0))) * none
     return scored.join(per, "row_id", "left").select(
         "doc_id", (fold == held_out).alias("held_out"), "n_tokens", (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("head_base") + rare_base).alias("base_score"), (F.col("path") + rare_base).alias("score"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("head_base") + rare_base).alias("base_score"), (F.col("path") + F.coalesce("v", F.lit(0.0)) + F.col("head_base") + rare_base).alias("score"),
     )

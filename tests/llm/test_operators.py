@@ -239,6 +239,55 @@ def test_tree_sums_to_one_and_beats_the_base(spark, empty):
     assert suffix_tree_lm.score_documents(empty).count() == 0
 
 
+def test_tree_against_counting_every_context(spark):
+    """Rare content words and contexts of three words make the scores that plain counting gives."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        words = [f"w{int(x)}" for x in rng.zipf(1.4, 30) % 500]
+        words += ["rare", "kin"] if i % 50 == 7 else []
+        words += [["p", "q"][i % 2], "r", "s", ["t", "u"][i % 2]] * 3
+        rows.append((i, " ".join(words), "en", "a", 1, None, None))
+    train = [[*r[1].split(), None] for r in rows if fold(r[0], 7) != 2]
+    words = Counter(w for t in train for w in t)
+    total, least = words.total(), suffix_tree_lm.LEAST
+    base = lambda w: (words[w] + 1) / (total + len(words) + 1)
+    kept: dict = {}
+
+    def p(context, w):
+        while context and context not in kept:
+            context = context[1:]
+        if not context:
+            return base(w)
+        nexts = kept[context]
+        return (nexts[w] + len(nexts) * p(context[1:], w)) / (nexts.total() + len(nexts))
+
+    depth = 0
+    while True:
+        depth += 1
+        found: dict = {}
+        for t in train:
+            for j in range(depth, len(t)):
+                c = tuple(t[j - depth : j])
+                if depth <= 2 or c[1:] in kept:
+                    found.setdefault(c, Counter())[t[j]] += 1
+        new = {}
+        for c, nexts in found.items():
+            n, d = nexts.total(), len(nexts)
+            kl = sum(x * np.log(x / n / p(c[1:], w)) for w, x in nexts.items())
+            if n >= least and 2 * kl > d + 4 * np.sqrt(2 * d):
+                new[c] = nexts
+        kept.update(new)
+        if depth > 1 and not new:
+            break
+    assert ("rare",) in kept and any(len(c) > 2 for c in kept)
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, text, *_ in rows:
+        t = [*text.split(), None]
+        want = sum(np.log10(p(tuple(t[:j]), w)) for j, w in enumerate(t))
+        assert abs(got[i]["score"] - want) < 1e-6
+
+
 # 7
 def test_exact_classes(spark, edge, empty):
     got = exact_dedup.exact_classes(edge).collect()
