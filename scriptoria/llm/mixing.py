@@ -5,27 +5,28 @@ block j the release time floor(j / w) and the deadline ceil((j + 1) / w), in slo
 block with the earliest deadline is placed (ties: the source named first). Windows of this shape always admit such a
 schedule, and then after any number t of slots every source has more than w t - 1 and fewer than w t + 1 blocks placed.
 
-Weights are whole parts of a period, so the schedule repeats after each period. One period is laid out for each set of
-sources that still have blocks (a phase): when a source has used up its blocks, the next phase shares the slots among the
-others by their weights, and counts anew. So every row is placed once, none is repeated or dropped, and the bound holds in
-each phase. Only the period tables, of at most sources x parts rows, are made on the driver, from one row count a source;
-rows find their slot by arithmetic and small joins, numbered without gathering a source in one task: rows are dealt to
-hashed buckets of bounded size, counted, and numbered inside a bucket from the bucket's offset.
+Weights are taken as they are: a float is a fraction, and all of them are whole numbers over one total, whatever its size, so releases and deadlines are exact and the bound holds for the
+weights that were given, over any number of slots and for any number of sources. When a source has used up its blocks, a phase ends: the next one shares the slots among the others by their
+weights, and counts anew. So every row is placed once, none is repeated or dropped, and the bound holds in each phase. The slots are worked out on the driver from one row count a source, a
+block at a time, and handed to Spark as a table of blocks (six numbers for block_rows rows); rows find their slot by a join with it, numbered without gathering a source in one task: rows are
+dealt to hashed buckets of bounded size, counted, and numbered inside a bucket from the bucket's offset.
 
 Defined results: a null source is the source ''. Rows that repeat take places of their own. An empty table gives an empty schedule.
-Sources that weights doesn't name get the smallest weight, one part. Other columns are carried along.
+Sources that weights doesn't name, or to which it gives nothing, get the smallest weight that it gives to one of the others. Other columns are carried along.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Parts of a period; a weight is a whole number of them.
-PARTS = 1000
 BLOCK_ROWS = 16
 #: Rows of a hashed bucket, about.
 BUCKET_ROWS = 1 << 14
@@ -36,69 +37,89 @@ def tempered_weights(counts: dict[str, int], exponent: float = 0.5) -> dict[str,
     return {s: float(n) ** exponent for s, n in counts.items() if n}
 
 
-def parts_of(weights: dict[str, float], parts: int = PARTS) -> dict[str, int]:
-    """Whole parts for each source, one at least, by largest remainder."""
+def parts_of(weights: dict[str, float], parts: int | None = None) -> dict[str, int]:
+    """Whole numbers in the very proportions of the weights; or, where a number of parts is given, so many parts, one at least for each source, by largest remainder."""
+    if parts is None:
+        exact = {s: Fraction(w) for s, w in weights.items()}
+        below = lcm(*(x.denominator for x in exact.values()))
+        return {s: int(x * below) for s, x in exact.items()}
     total = sum(weights.values())
-    exact = {s: w / total * parts for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, parts - sum(out.values()))]:
+    near = {s: w / total * parts for s, w in weights.items()}
+    out = {s: max(1, int(x)) for s, x in near.items()}
+    for s in sorted(near, key=lambda s: (int(near[s]) - near[s], s))[: max(0, parts - sum(out.values()))]:
         out[s] += 1
     return out
 
 
-def period(parts: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
-    size = sum(parts.values())
-    order = sorted(parts)
-    coming = [(0, s, 0) for s in order]  # release, source, block
-    heapq.heapify(coming)
-    ready: list[tuple[int, str, int]] = []  # deadline, source, block
-    out = []
-    for slot in range(size):
-        while coming and coming[0][0] <= slot:
-            _, s, j = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(j + 1) * size // parts[s]), s, j))
-        deadline, s, j = heapq.heappop(ready)
-        if deadline <= slot:
-            raise AssertionError("a block would miss its deadline")
-        out.append(s)
-        if j + 1 < parts[s]:
-            heapq.heappush(coming, ((j + 1) * size // parts[s], s, j + 1))
-    return out
-
-
-def phases(blocks: dict[str, int], parts: dict[str, int]) -> tuple[list[tuple], list[tuple]]:
-    """(phase, source, first block, blocks, first slot, parts, period) and (phase, source, k, slot in period) rows.
+def place(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[int, str, int, int, int, int]]:
+    """(phase, source, block in the phase, and its slot, release and deadline in the phase), slot by slot: earliest deadline first among released blocks.
 
     blocks: how many blocks each source has. A phase ends with the slot in which a source's last block is placed.
     """
-    left = {s: n for s, n in blocks.items() if n}
-    used, at, spans, slots = dict.fromkeys(left, 0), 0, [], []
+    left = {s: blocks[s] for s in sorted(blocks) if blocks[s]}
     phase = 0
     while left:
-        now = {s: parts[s] for s in left}
-        plan = period(now)
-        seen, places = dict.fromkeys(now, 0), {}
-        for slot, s in enumerate(plan):
-            places[s, seen[s]] = slot
-            seen[s] += 1
-        last = {s: (n - 1) // now[s] * len(plan) + places[s, (n - 1) % now[s]] for s, n in left.items()}
-        end = min(last.values()) + 1
-        whole, rest = divmod(end, len(plan))
-        for s in now:
-            done = whole * now[s] + plan[:rest].count(s)
-            spans.append((phase, s, used[s], done, at, now[s], len(plan)))
-            used[s] += done
-            left[s] -= done
-        slots += [(phase, s, k, slot) for (s, k), slot in places.items()]
-        left = {s: n for s, n in left.items() if n}
-        at += end
+        size = sum(parts[s] for s in left)
+        used = dict.fromkeys(left, 0)
+        ready = [(-(-size // parts[s]), s, 0, 0) for s in left]  # deadline, source, block, release
+        heapq.heapify(ready)
+        coming: list[tuple[int, str]] = []  # release, source
+        slot = 0
+        while True:
+            while coming and coming[0][0] <= slot:
+                release, s = heapq.heappop(coming)
+                heapq.heappush(ready, (-(-(used[s] + 1) * size // parts[s]), s, used[s], release))
+            deadline, s, j, release = heapq.heappop(ready)
+            if deadline <= slot:
+                raise AssertionError("a block would miss its deadline")
+            yield phase, s, j, slot, release, deadline
+            used[s] += 1
+            slot += 1
+            if used[s] == left[s]:
+                break
+            heapq.heappush(coming, (used[s] * size // parts[s], s))
+        left = {s: n - used[s] for s, n in left.items() if n > used[s]}
         phase += 1
+
+
+def phases(blocks: dict[str, int], parts: dict[str, int]) -> tuple[list[tuple], list[tuple]]:
+    """(phase, source, first block, blocks, first slot, parts, sum of the phase's parts) and (phase, source, block in the phase, slot in the phase) rows."""
+    spans, slots, used, at = [], [], dict.fromkeys(blocks, 0), 0
+
+    def close(rows: list[tuple]) -> None:
+        live = sorted(s for s in blocks if used[s] < blocks[s])
+        for s in live:
+            n = sum(r[1] == s for r in rows)
+            spans.append((rows[0][0], s, used[s], n, at, parts[s], sum(parts[x] for x in live)))
+        for r in rows:
+            used[r[1]] += 1
+
+    held: list[tuple] = []
+    for row in place(blocks, parts):
+        if held and held[0][0] != row[0]:
+            close(held)
+            at, held = at + len(held), []
+        held.append(row[:4])
+        slots.append(row[:4])
+    if held:
+        close(held)
     return spans, slots
 
 
-SPANS = T.StructType().add("__phase", "long").add("__source", "string").add("__from", "long").add("__blocks", "long").add("__at", "long").add("__parts", "long").add("__period", "long")
-SLOTS = T.StructType().add("__phase", "long").add("__source", "string").add("__k", "long").add("__slot", "long")
+def block_table(blocks: dict[str, int], parts: dict[str, int]) -> pa.Table:
+    """__source, __block, __phase, __slot, __release and __deadline of every block, counted over all phases."""
+    names = sorted(blocks)
+    number = {s: i for i, s in enumerate(names)}
+    out = [array("q") for _ in range(6)]
+    before, start, last = dict.fromkeys(names, 0), 0, 0
+    for at, (phase, s, _, slot, release, deadline) in enumerate(place(blocks, parts)):
+        if phase != last:
+            start, last = at, phase
+        for held, x in zip(out, (number[s], before[s], phase, at, start + release, start + deadline), strict=True):
+            held.append(min(x, (1 << 63) - 1))  # a deadline further away than any slot
+        before[s] += 1
+    source = pa.DictionaryArray.from_arrays(pa.array(out[0], pa.int32()), pa.array(names, pa.string())).cast(pa.string())
+    return pa.table([source, *(pa.array(x, pa.int64()) for x in out[1:])], names=["__source", "__block", "__phase", "__slot", "__release", "__deadline"])
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 42) -> DataFrame:
@@ -110,9 +131,10 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     named = docs.withColumn("__source", F.coalesce(F.col("source"), F.lit(""))).withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "text"))
     counts = {r["__source"]: r["n"] for r in named.groupBy("__source").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
-    weights = tempered_weights(counts) if weights is None else {s: float(weights.get(s, 0.0)) for s in counts}
-    parts = parts_of(weights) if sum(weights.values()) else dict.fromkeys(counts, 1)
-    spans, slots = phases({s: -(-n // block_rows) for s, n in counts.items()}, parts)
+    weights = tempered_weights(counts) if weights is None else {s: float(weights.get(s) or 0.0) for s in counts}
+    least = min((w for w in weights.values() if w > 0), default=1.0)
+    parts = parts_of({s: w if w > 0 else least for s, w in weights.items()})
+    table = block_table({s: -(-n // block_rows) for s, n in counts.items()}, parts)
 
     buckets = max(1, -(-total // BUCKET_ROWS))
     dealt = named.withColumn("__bucket", F.pmod(F.shiftright("__h", 20), F.lit(buckets)))
@@ -123,18 +145,8 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     numbered = dealt.withColumn("__n", F.row_number().over(inside)).join(offsets, ["__source", "__bucket"]).withColumn("__i", F.col("__before") + F.col("__n") - 1)
 
     numbered = numbered.withColumn("__block", F.expr(f"__i div {block_rows}")).withColumn("__place", F.col("__i") % block_rows)
-    # both tables are bounded by the number of sources and of parts, whatever the rows
-    span = F.broadcast(spark.createDataFrame(spans, SPANS))
-    slot = F.broadcast(spark.createDataFrame(slots, SLOTS))
-    placed = numbered.join(span, "__source").filter("__block >= __from and __block < __from + __blocks")
-    placed = placed.withColumn("__j", F.col("__block") - F.col("__from")).withColumn("__k", F.col("__j") % F.col("__parts"))
-    placed = placed.join(slot.withColumnRenamed("__slot", "__in"), ["__phase", "__source", "__k"])
-    return placed.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "__phase", "__block",
-        F.expr("__at + __j div __parts * __period + __in").alias("__slot"), "__place",
-        F.expr("__at + __j * __period div __parts").alias("__release"),
-        F.expr("__at + ((__j + 1) * __period + __parts - 1) div __parts").alias("__deadline"),
-    )
+    placed = numbered.join(spark.createDataFrame(table), ["__source", "__block"])
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], "__phase", "__block", "__slot", "__place", "__release", "__deadline")
 
 
 def schedule_rows(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

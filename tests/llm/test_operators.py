@@ -54,6 +54,37 @@ def test_schedule_against_earliest_deadline_first():
                 assert all(abs(count[r[1]] - (t + 1) * r[5] / r[6]) < 1 for r in rows)
 
 
+@pytest.mark.parametrize(("sources", "blocks"), [(7, 9000), (3000, 12)])
+def test_blocks_keep_to_the_weights_as_given(sources, blocks):
+    """Over many thousands of slots, and for thousands of sources, the first phase is under one block off the weights themselves."""
+    rng = np.random.default_rng(3)
+    weights = {f"s{i:04}": float(w) for i, w in enumerate(rng.random(sources) ** 3 + 1e-4)}
+    share = np.array(list(weights.values())) / sum(weights.values())
+    count, slots = np.zeros(sources), 0
+    for phase, s, _, slot, release, deadline in mixing.place(dict.fromkeys(weights, blocks), mixing.parts_of(weights)):
+        if phase:
+            break
+        count[int(s[1:])] += 1
+        slots = slot + 1
+        assert release <= slot < deadline
+        assert np.abs(count - share * slots).max() < 1 + 1e-6
+    assert slots > blocks
+    if sources == 7:
+        rounded = mixing.parts_of(weights, 1000)
+        assert max(abs(rounded[s] / 1000 - share[int(s[1:])]) for s in weights) * slots > 1  # what whole thousandths would be off by
+
+
+def test_rows_take_the_slots_of_their_blocks(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", ["a", "b", "c"][i % 9 % 3 if i % 9 else 2]) for i in range(3000)], "doc_id long, text string, source string")
+    weights = {"a": 0.61803, "b": 0.27183}
+    rows = mixing.schedule_rows(docs, weights).collect()
+    counts = Counter(r["source"] for r in rows)
+    parts = mixing.parts_of({**weights, "c": 0.27183})
+    at = {(s, b): (slot, phase) for s, b, phase, slot, *_ in zip(*mixing.block_table({s: -(-n // 16) for s, n in counts.items()}, parts).to_pydict().values(), strict=True)}
+    assert len(rows) == 3000 and len({(r["slot"], r["place"]) for r in rows}) == 3000
+    assert all(at[r["source"], r["block"]] == (r["slot"], r["phase"]) and r["release_slot"] <= r["slot"] < r["deadline_slot"] for r in rows)
+
+
 def test_mixing_keeps_every_row(edge, empty):
     assert mixing.schedule_rows(edge).count() == len(EDGE)
     out = mixing.mix(edge)
