@@ -206,8 +206,8 @@ def _encoder(raw: bytes, pattern: str) -> Bpe:
     return _WORKERS[key]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit numbers), n_tokens, decoded (binary), for every row of docs.
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit numbers), n_tokens, decoded (binary), and the carried columns, for every row of docs.
 
     The rank file is read on the driver and sent to the tasks: its size is that of the vocabulary, whatever the data.
     """
@@ -220,9 +220,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
             for k in range(0, len(b), 512):
                 part = b.iloc[k : k + 512]
                 ids = bpe.encode(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [bpe.decode(x) for x in ids]}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [bpe.decode(x) for x in ids], **{c: part[c].to_numpy() for c in carried}}).astype({"doc_id": "Int64"})
 
-    return texts(docs).mapInPandas(rows, "doc_id long, n_tokens long, ids binary, decoded binary")
+    schema = ", ".join(["doc_id long, n_tokens long, ids binary, decoded binary", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)])
+    return texts(docs, *carried).mapInPandas(rows, schema)
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

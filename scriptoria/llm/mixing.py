@@ -156,6 +156,10 @@ def schedule_rows(docs: DataFrame, weights: dict[str, float] | None = None) -> D
     return out.select("doc_id", "source", F.col("__phase").alias("phase"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__place").alias("place"), F.col("__release").alias("release_slot"), F.col("__deadline").alias("deadline_slot"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """docs, every row once, sorted by slot: files read one after another hold the mixture."""
-    return schedule(docs, weights).orderBy("__slot", "__place").select(*[F.col(f"`{c}`") for c in docs.columns])
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, placed: bool = False) -> DataFrame:
+    """docs, every row once, sorted by slot: files read one after another hold the mixture.
+
+    placed: whether the slot, and the place in it, are added as mix_slot and mix_place; readers that pack files in another order need them.
+    """
+    more = [F.col("__slot").alias("mix_slot"), F.col("__place").alias("mix_place")] if placed else []
+    return schedule(docs, weights).orderBy("__slot", "__place").select(*[F.col(f"`{c}`") for c in docs.columns], *more)

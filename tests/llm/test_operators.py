@@ -452,3 +452,15 @@ def test_pipeline(spark):
     got = [r["doc_id"] for r in out.collect()]
     assert len(got) == len(set(got)) == len(set(want.values()))
     assert {want[i] for i in got} == set(want.values())
+
+
+def test_pipeline_returns_the_mixture(spark):
+    """The final rows hold the slots and places that schedule() gives the rows that reach the mixing stage."""
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    left = docs.join(spark.createDataFrame([(r["doc_id"],) for r in out], "doc_id long"), "doc_id", "left_semi").select(*docs.columns)
+    want = {r["doc_id"]: (r["__slot"], r["__place"]) for r in mixing.schedule(left).collect()}
+    assert {r["doc_id"]: (r["mix_slot"], r["mix_place"]) for r in out} == want
+    assert len(set(want.values())) == len(out) > 1
