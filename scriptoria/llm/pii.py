@@ -1,31 +1,35 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms around them.
 
 Base spans are e-mail addresses, IP addresses, card numbers and telephone numbers, leftmost and not overlapping within a kind. Each value is a protected entity. From the whole corpus is
-counted in how many documents a term (a word of letters, in lower case) stands near an entity, n(t, c), and in how many either occurs at all, n(t) and n(c). A term discloses the share
-PMI(t; c) / IC(c) of the entity's information, with PMI = log(N n(t, c) / (n(t) n(c))) and IC = log(N / n(c)). A term seen near an entity in at least `support` documents whose
-share reaches `threshold` becomes a span of kind `term` wherever it stands near that entity. In sanitised text base spans become their kind, such a term is
-generalised to its length class, and removed if its share is 1: it occurs beside nobody else.
+counted in how many documents a term (a word of three letters or more, in lower case, outside base spans) and an entity occur together, n(t, c), and in how many either occurs at all, n(t) and
+n(c). A term discloses the share PMI(t; c) / IC(c) of the entity's information, with PMI = log(N n(t, c) / (n(t) n(c))) and IC = log(N / n(c)). A pair counts if chance hardly brings it about:
+with m = n(t) n(c) / N documents expected, exp(n(t, c) - m) (m / n(t, c)) ^ n(t, c), which bounds the Poisson tail, is `CHANCE` at most. That serves entities of one document as well. A term whose share reaches `threshold` for
+an entity becomes a span of kind `term` wherever it stands, in any text. In sanitised text base spans become their kind, such a term is generalised to its length class, and removed if its
+share is 1: it occurs beside nobody else.
 
-Texts stay in place: tasks send on the spans, the pairs of terms and entities nearby, and counts of terms summed for each task.
+Texts stay in place: tasks send on the entities and terms of texts that have base spans, counts of terms summed for each task, and in a second pass the places of words that may be such terms.
 
 Defined results: a null text counts as empty and has no spans. Rows that repeat are scanned, and counted, each. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, texts
+from .suffix_tree_lm import Filter
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, SUPPORT, DISCLOSURE = 6, 3, 0.9
+DISCLOSURE, CHANCE = 0.9, 1e-3
 #: The base patterns. A run of digits is looked at from its first digit only, which finds the same and takes linear time.
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -81,34 +85,33 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def nearby(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the words within WINDOW words of each span and outside all of them."""
-    out = set()
-    for kind, start, end in spans:
-        entity = _hash(f"{kind}:{text[start:end].lower() if kind == 'email' else _NO_DIGIT.sub('', text[start:end]) if kind != 'ip' else text[start:end]}")
-        # 32 characters a word are looked at on either side
-        low = max(0, start - 32 * WINDOW)
-        before = [(m.start() + low, m.end() + low) for m in _WORD.finditer(text[low:start])]
-        if before and low and before[0][0] == low:
-            before = before[1:]
-        reach = text[end : end + 32 * WINDOW]
-        after = [(m.start() + end, m.end() + end) for m in _WORD.finditer(reach)]
-        if after and after[-1][1] == end + len(reach) < len(text):
-            after = after[:-1]
-        for s, e in before[-WINDOW:] + after[:WINDOW]:
-            if e - s >= 3 and not any(s < y and x < e for _, x, y in spans):
-                out.add((entity, _hash(text[s:e].lower()), s, e))
-    return sorted(out)
-
-
-def _scan_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def entity_of(text: str, kind: str, start: int, end: int) -> int:
+    return _hash(f"{kind}:{text[start:end].lower() if kind == 'email' else _NO_DIGIT.sub('', text[start:end]) if kind != 'ip' else text[start:end]}")
+
+
+def words_outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the words of three letters or more that touch no span."""
+    reach, at = [], 0  # spans with their ends so far: those that start before a word end before it, or one of them touches it
+    for _, s, e in spans:
+        at = max(at, e)
+        reach.append((s, at))
+    k = -1
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while k + 1 < len(reach) and reach[k + 1][0] < e:
+            k += 1
+        if e - s >= 3 and (k < 0 or reach[k][1] <= s):
+            yield s, e
+
+
+def _met_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entities and terms of each text with base spans."""
     for b in batches:
-        spans = [base_spans(t) for t in b["text"]]
+        found = [(t, x) for t in b["text"] if (x := base_spans(t))]
         yield pd.DataFrame({
-            "row_id": b["row_id"].to_numpy(), "doc_id": b["doc_id"].to_numpy(),
-            "base": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans],
-            "near": [[{"entity": a, "term": t, "start": s, "end": e} for a, t, s, e in nearby(text, x)] if x else [] for text, x in zip(b["text"], spans, strict=True)],
-        }).astype({"doc_id": "Int64"})
+            "entities": [list({entity_of(t, *x) for x in spans}) for t, spans in found],
+            "terms": [[_hash(w) for w in {t[s:e].lower() for s, e in words_outside(t, spans)}] for t, spans in found],
+        }, dtype=object)
 
 
 def _term_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,34 +137,50 @@ def _term_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, base (spans) and near (entity, term, start, end) of every row of docs; written once."""
-    base = texts(docs).withColumn("row_id", F.monotonically_increasing_id())
-    schema = "row_id long, doc_id long, base array<struct<kind: string, start: int, `end`: int>>, near array<struct<entity: long, term: long, start: int, `end`: int>>"
-    return checkpointed(base.mapInPandas(_scan_rows, schema))
-
-
-def disclosing(docs: DataFrame, found: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, share): terms that reveal at least threshold of an entity's information."""
-    total = found.count()
-    each = found.filter(F.size("near") > 0).select("row_id", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("row_id", "p.*")
-    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("n_tc")).filter(F.col("n_tc") >= support)
-    entities = each.select("row_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    pairs = checkpointed(pairs)
+def disclosing(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
+    """(term, share): terms that reveal at least threshold of an entity's information, with the largest share."""
+    total = float(docs.count())
+    met = checkpointed(texts(docs).select("text").mapInPandas(_met_rows, "entities array<long>, terms array<long>"))
+    pairs = checkpointed(met.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_tc")))
+    entities = met.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
     terms = texts(docs).select("text").mapInPandas(_term_rows, "term long, n long").join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
     both = pairs.join(entities, "entity").join(terms, "term")
-    pmi = F.log(F.lit(float(total)) * F.col("n_tc") / (F.greatest("n_t", "n_tc").cast("double") * F.col("n_c")))
-    share = pmi / F.log((F.lit(float(total)) + 1) / F.col("n_c"))
-    return both.select("entity", "term", share.alias("share")).filter(F.col("share") >= threshold)
+    n, m = F.col("n_tc").cast("double"), F.greatest("n_t", "n_tc").cast("double") * F.col("n_c") / F.lit(total)
+    share = F.log(n / m) / F.log((F.lit(total) + 1) / F.col("n_c"))
+    sure = (n > m) & (n * F.log(n / m) - n + m >= -math.log(CHANCE))
+    return both.filter(sure).select("term", share.alias("share")).filter(F.col("share") >= threshold).groupBy("term").agg(F.max("share").alias("share"))
 
 
-def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     """row_id, doc_id, base and added spans (arrays by start), the added ones with their share, for every row of docs."""
-    found = scan(docs)
-    rows = found.filter(F.size("near") > 0).select("row_id", F.explode("near").alias("x")).select("row_id", "x.*")
-    hits = rows.join(disclosing(docs, found, threshold, support), ["entity", "term"])
-    spans = hits.groupBy("row_id", "start", "end").agg(F.max("share").alias("share"))
-    added = spans.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("added"))  # WINDOW words a base span
+    shares = checkpointed(disclosing(docs, threshold))
+    sent = docs.sparkSession.sparkContext.broadcast(Filter(shares.select(F.col("term").alias("key"))))
+
+    def scan_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of_token: dict[str, tuple[str, ...]] = {}  # the words, in lower case, that may be terms
+        for b in (whole.iloc[k : k + 256] for whole in batches for k in range(0, len(whole), 256)):
+            if len(of_token) > 200_000:
+                of_token.clear()
+            tokens = [set(t.split()) for t in b["text"]]
+            words = [(t, w.lower()) for t in set().union(*tokens).difference(of_token) for w in [*_WORD.findall(t), ""]]
+            may = sent.value.has(np.array([_hash(w) for _, w in words], np.int64)) if words else []
+            for (t, w), ok in zip(words, may, strict=True):
+                of_token[t] = of_token.get(t, ()) + ((w,) if ok and len(w) else ())
+            spans = [base_spans(t) for t in b["text"]]
+            held = []
+            for text, own, x in zip(b["text"], tokens, spans, strict=True):
+                asked = {w for t in own for w in of_token[t]}
+                places = [(s, e, text[s:e].lower()) for s, e in words_outside(text, x)] if asked else []
+                held.append([{"term": _hash(w), "start": s, "end": e} for s, e, w in places if w in asked])
+            yield pd.DataFrame({
+                "row_id": b["row_id"].to_numpy(), "doc_id": b["doc_id"].to_numpy(),
+                "base": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], "held": held,
+            }).astype({"doc_id": "Int64"})
+
+    schema = "row_id long, doc_id long, base array<struct<kind: string, start: int, `end`: int>>, held array<struct<term: long, start: int, `end`: int>>"
+    found = checkpointed(texts(docs).withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(scan_rows, schema))
+    hits = found.filter(F.size("held") > 0).select("row_id", F.explode("held").alias("x")).select("row_id", "x.*").join(shares, "term")
+    added = hits.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("added"))  # words of one text
     return found.select("row_id", "doc_id", "base").join(added, "row_id", "left")
 
 

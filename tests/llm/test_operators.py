@@ -389,6 +389,18 @@ def test_disclosing_terms(spark, edge, empty):
     assert pii.span_digests(edge).count() == len(EDGE) and pii.span_digests(empty).count() == 0
 
 
+def test_terms_of_rare_entities_wherever_they_stand(spark):
+    """One document discloses; words far off, behind a very long token, and in a text without the entity are marked."""
+    far = "Zyx " + "and so on " * 40 + "x" * 300 + " "
+    rows = [(0, far + "mail amy@mail.org today", "en", "a", 1, None, None), (1, "it was Zyx again", "en", "a", 1, None, None)]
+    rows += [(100 + i, "and so on mail today it was again", "en", "a", 1, None, None) for i in range(9000)]
+    got = {r["doc_id"]: r["spans"] for r in pii.span_digests(spark.createDataFrame([r for r in rows if r[0] != 1], DOCS)).collect()}
+    assert got[0].startswith("term:0:3,") and "email:" in got[0] and got[100] == ""
+    twice = [rows[0], (2, rows[0][1], *rows[0][2:]), (3, rows[0][1], *rows[0][2:]), *rows[1:]]
+    got = {r["doc_id"]: r["spans"] for r in pii.span_digests(spark.createDataFrame(twice, DOCS)).collect()}
+    assert got[1] == "term:7:10" and got[2].startswith("term:0:3,")
+
+
 # 9
 SPEECH = {"en": "the thing with that other weather and then thought", "fr": "le chat est dans une maison avec des fleurs", "de": "der hund ist nicht schlecht und die katze schläft"}
 
