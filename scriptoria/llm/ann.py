@@ -108,9 +108,9 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = 50, rerank: int = R
         return spark.createDataFrame([], out_schema)
     rows = rows.filter(F.size("v") == sizes[0]["d"])
 
-    # row_number with a limit keeps only `top + 1` rows of a vector in each task before the shuffle
+    # a rank with a limit keeps only `top + 1` ids of a vector in each task before the shuffle, however often a row repeats
     smallest = Window.partitionBy("v").orderBy("vec_id")
-    ids = rows.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    ids = rows.withColumn("n", F.dense_rank().over(smallest)).filter(F.col("n") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     reps = checkpointed(ids.select(F.col("ids")[0].alias("rep"), "ids", "v"))
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "v"])
     asked = checkpointed(asked.join(reps.select("v", "rep"), "v").select("vec_id", "rep"))

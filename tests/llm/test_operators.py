@@ -241,6 +241,12 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_take_one_place(spark):
+    rows = [(50, [1.0, 2.0])] * 10 + [(i, [1.0, 2.0]) for i in range(51, 56)] + [(i, [float(-i), 1.0]) for i in range(60, 90)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got if r["query_id"] == 50] == [51, 52, 53, 54, 55]
+
+
 # 6
 def test_base_scores_against_counting(spark, edge):
     got = {(r["doc_id"], r["n_tokens"]): r for r in suffix_tree_lm.score_documents(edge).collect()}
