@@ -9,19 +9,18 @@ doubled for the few documents with a coordinate still empty; so a signature take
 length. Two signatures agree in a coordinate with probability equal to the weighted Jaccard similarity.
 By default every shingle weighs 1 (Jaccard similarity of the shingle sets); by="count" weighs a shingle by its occurrences.
 
-Documents with the same weighted set collapse to one representative first. Representatives that share a band meet in it. In rounds, each band pairs its members with one member of
-its largest class and one of another class, a linear number of pairs whatever the size of a bucket; pairs whose sizes and signatures allow the threshold are checked
-exactly on their shingles, and classes joined. When few pairs between different classes are left in the bands, all of those are checked, so no link between different texts is lost
-to the rounds. Classes are connected components, by minimum labels with pointer jumping.
+Documents with the same weighted set collapse to one representative first. Representatives that share a band meet in it: each with the band's first one, checked exactly on their shingles if sizes and
+signatures allow the threshold. That labels most of a band alike. In bands that still hold several labels, all pairs with different ones are checked exactly, in cells of bounded size that Spark deals out:
+rows outside a band's main label meet all others, so a band of any size makes no pairs as rows and lands in no single task. Classes are connected components, by minimum labels with pointer jumping.
+A pair at a similarity of 0.8 shares no band, and so isn't looked at itself, with a chance of (1 - 0.8^4)^20 = 3e-5; pairs further up less.
 
-Defined results: texts without a word (null, empty, blank) are each a class of their own; so is any text with no partner. A class is
-named by its smallest row_id. Rows that repeat are in one class. Only doc_id and text are read.
+Defined results: texts without a word (null, empty, blank) are each a class of their own; so is any text with no partner. Of a class the row with the smallest doc_id is kept, a row without one last, ties by row_id.
+Rows that repeat are in one class. Only doc_id and text are read; other columns, whatever their names, are carried along by `drop_near_copies`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +33,8 @@ from .common import checkpointed, keep_rows, row_key, texts
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
+#: Members of a piece of a band, and columns of a membership matrix; both bound a task's memory only.
+PIECE, COLUMNS = 256, 4096
 SEED = 0x5EED
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -185,8 +186,8 @@ def _differing(a: Column, b: Column) -> Column:
 
 
 def _may_link(a: str, b: str, threshold: float) -> Column:
-    """Whether the sizes and signatures of two structs (row_id, size, sig) allow the threshold, but for 4.5 standard deviations."""
-    most = (1 - threshold) * K + 4.5 * (K * threshold * (1 - threshold)) ** 0.5
+    """Whether the sizes and signatures of two structs (row_id, size, sig) allow the threshold, but for 6 standard deviations."""
+    most = (1 - threshold) * K + 6 * (K * threshold * (1 - threshold)) ** 0.5
     fits = F.least(f"{a}.size", f"{b}.size") >= threshold * F.greatest(f"{a}.size", f"{b}.size") - 1e-9
     return (F.col(f"{a}.row_id") != F.col(f"{b}.row_id")) & fits & (_differing(F.col(f"{a}.sig"), F.col(f"{b}.sig")) <= int(most))
 
@@ -240,62 +241,92 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _ties(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that links (a, b) of rows tie together."""
-    left = classes.select(F.col("row_id").alias("a"), F.col("class_id").alias("ca"))
-    right = classes.select(F.col("row_id").alias("b"), F.col("class_id").alias("cb"))
-    return links.join(left, "a").join(right, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+def _cells(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, i, j, row_id and label of the members of bands that hold several labels, dealt to cells (i, j) of at most two pieces of about PIECE members.
 
+    A band's largest label is its main one; all other members are strays. Each stray meets each other member of its band in a cell; members of the main label needn't meet each other, so
+    rows grow in proportion to a band's members while it has less than PIECE strays.
+    """
+    held = shared.select("band", "row.row_id").join(labels, "row_id", "left").select("band", "row_id", F.coalesce("label", "row_id").alias("label"))
+    parts = held.groupBy("band", "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
+    mixed = mixed.select("band", "main", F.ceil((F.col("n") - F.col("n_main")) / PIECE).cast("int").alias("ps"), F.ceil(F.col("n_main") / PIECE).cast("int").alias("pm"))
+    met = held.join(mixed, "band").withColumn("main", F.col("label") == F.col("main")).withColumn("p", F.pmod(F.xxhash64("row_id"), F.when(F.col("main"), F.col("pm")).otherwise(F.col("ps"))).cast("int"))
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("ps") - 1), lambda i: cell(i, F.col("ps") + F.col("p")))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("pm") - 1), lambda j: cell(F.col("p"), F.col("ps") + j))
+    with_strays = F.transform(F.sequence(F.lit(0), F.col("ps") - 1), lambda q: cell(F.least("p", q), F.greatest("p", q)))
+    dealt = met.select("band", "row_id", "label", F.explode(F.when(F.col("main"), of_main).otherwise(F.concat(with_main, with_strays))).alias("c"))
+    return dealt.select("band", "c.i", "c.j", "row_id", "label")
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share; columns of the membership matrix are taken in blocks of bounded size."""
+    n = len(sets)
+    element = np.concatenate(sets) if n else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, count = np.unique(element, return_inverse=True, return_counts=True)
+    held = count[column] > 1
+    column, owner = column[held], owner[held]
+    out = np.zeros((n, n), np.float32)
+    if not len(column):
+        return out
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for start in range(0, int(column[-1]) + 1, COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+        member = np.zeros((n, min(COLUMNS, int(column[-1]) + 1 - start)), np.float32)
+        member[owner[lo:hi], column[lo:hi] - start] = 1
+        out += member @ member.T
+    return out
 
-def _hooked(classes: DataFrame, ties: DataFrame) -> DataFrame:
-    """classes (row_id, class_id), each class that is tied named by its least neighbour if that is less; written once."""
-    least = ties.select("a", "b").union(ties.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("to")).filter("to < a")
-    return checkpointed(classes.join(least, classes["class_id"] == least["a"], "left").select("row_id", F.coalesce("to", "class_id").alias("class_id")))
 
+def _cell_links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that tie together the labels of one cell as all its links do."""
+    size = np.array([len(x) for x in sets], np.float64)
+    common = _common(sets).astype(np.float64)
+    near = np.triu((common >= threshold * (size[:, None] + size - common) - 1e-9) & (labels[:, None] != labels), 1)
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    out = []
+    for a, b in np.argwhere(near).tolist():
+        ra, rb = root(int(labels[a])), root(int(labels[b]))
+        if ra != rb:
+            above[max(ra, rb)] = min(ra, rb)
+            out.append((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))))
+    return out
 
-def _linked_classes(shared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(row_id, class_id) of the members (band, row: struct of row_id, size, sig) of shared bands.
 
-    In each round every band pairs its members with a member of its largest class and one of another class, drawn anew by a hash. Once the pairs left between classes are
-    few beside the members, all of them are looked at.
+def _links(shared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of rows that connect the members (band, row: struct of row_id, size, sig) of shared bands as all their links do.
+
+    First each member meets its band's first one: a number of pairs that is linear in the members. What is linked so is labelled, and in bands that hold several labels every pair of rows with different ones is
+    checked, cell by cell.
     """
-    classes = checkpointed(shared.select("row.row_id").distinct().withColumn("class_id", F.col("row_id")))
-    open_, before, turn, ties = shared, None, 0, []
-    while True:
-        held = open_.join(classes, F.col("row.row_id") == classes["row_id"]).select("band", "row", "class_id")
-        # after the first round a band draws its own members, so that a stray meets about two in each of its bands
-        drawn = F.xxhash64(F.lit(turn), "band", "row.row_id") if turn else F.xxhash64("row.row_id")
-        pivot = F.min_by("row", drawn).alias("pivot")
-        parts = held.groupBy("band", "class_id").agg(F.count("*").alias("n"), pivot).withColumn("h", F.xxhash64(F.lit(turn), "class_id"))
-        part = F.struct("class_id", "pivot", "n")
-        bands = parts.groupBy("band").agg(F.max_by(part, F.struct("n", "class_id")).alias("main"), F.min_by(part, "h").alias("other"), F.sum("n").alias("n"), F.count("*").alias("k"))
-        mixed = checkpointed(bands.filter("k > 1"))
-        left, members = mixed.agg(F.sum((F.col("n") - F.col("main.n")) * F.col("n")), F.sum("n")).first()
-        if not left:
-            return _named(classes, ties)
-        # classes only grow, so a band that holds one class is done with; what is carried on shrinks
-        met = checkpointed(held.join(mixed, "band"))
-        open_ = met.select("band", "row")
-        if left <= 2 * members or turn >= 12 or (before is not None and turn > 5 and left > 0.97 * before):
-            break
-        to = met.select("row", "class_id", F.explode(F.array("main", "other")).alias("p")).select("row", "class_id", F.col("p.class_id").alias("to"), F.col("p.pivot").alias("pivot"))
-        near = to.filter((F.col("class_id") != F.col("to")) & _may_link("row", "pivot", threshold))
-        pairs = near.select(F.least("row.row_id", "pivot.row_id").alias("a"), F.greatest("row.row_id", "pivot.row_id").alias("b")).distinct()
-        ties.append(checkpointed(_ties(classes, _checked(pairs, sets, threshold))))
-        classes, before, turn = _hooked(classes, ties[-1]), left, turn + 1
-    held = met.select("band", "row", "class_id", F.col("main.class_id").alias("main"))
-    stray = held.filter("class_id <> main").select("band", F.col("row").alias("stray"), F.col("class_id").alias("stray_class"))
-    last = stray.join(held, (stray["band"] == held["band"]) & (F.col("class_id") != F.col("stray_class")) & _may_link("row", "stray", threshold))
-    pairs = last.select(F.least("row.row_id", "stray.row_id").alias("a"), F.greatest("row.row_id", "stray.row_id").alias("b")).distinct()
-    return _named(classes, [*ties, _ties(classes, _checked(pairs, sets, threshold))])
-
-
-def _named(classes: DataFrame, ties: list[DataFrame]) -> DataFrame:
-    """classes with the least name of all classes that the rounds' ties connect."""
-    if not ties:
-        return classes
-    named = components(reduce(DataFrame.union, ties))
-    return classes.join(named, classes["class_id"] == named["node"], "left").select("row_id", F.coalesce("label", "class_id").alias("class_id"))
+    first = shared.groupBy("band").agg(F.min_by("row", "row.row_id").alias("pivot"))
+    near = shared.join(first, "band").filter(_may_link("row", "pivot", threshold))
+    star = checkpointed(_checked(near.select(F.col("pivot.row_id").alias("a"), F.col("row.row_id").alias("b")).distinct(), sets, threshold))
+    hooked = star.groupBy(F.col("b").alias("row_id")).agg(F.min("a").alias("label"))
+    above = hooked.select(F.col("row_id").alias("label"), F.col("label").alias("up"))
+    labels = hooked.join(above, "label", "left").select("row_id", F.coalesce("up", "label").alias("label"))
+    cells = checkpointed(_cells(shared, labels))
+    chunks = max(1, -(-cells.count() // (2 * PIECE)))
+
+    def check(b: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        for _, cell in b.groupby(["band", "i", "j"], sort=False):
+            # a row that stands twice in a cell gives the same links twice
+            found += _cell_links(cell["row_id"].to_numpy(), cell["label"].to_numpy(), [np.asarray(x, np.int64) for x in cell["elements"]], threshold)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    dealt = cells.withColumn("chunk", F.pmod(F.xxhash64("band", "i", "j"), F.lit(chunks))).join(sets, "row_id")
+    return star.unionByName(dealt.groupBy("chunk").applyInPandas(check, "a long, b long"))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, by: str = "set") -> DataFrame:
@@ -312,7 +343,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, by: str = "set")
     met = bands.join(several, "band").join(one.select("row_id", F.struct("row_id", "size", "sig").alias("row")), "row_id")
     shared = checkpointed(met.select("band", "row"))
     named = member.join(shared.select("row.row_id").distinct(), "row_id", "left_semi")
-    classes = _linked_classes(shared, _sets(docs, named, by), threshold).withColumnRenamed("row_id", "set_id")
+    classes = components(_links(shared, _sets(docs, named, by), threshold)).select(F.col("node").alias("set_id"), F.col("label").alias("class_id"))
     return member.join(classes, "set_id", "left").select("row_id", "doc_id", "row_key", F.coalesce("class_id", "set_id").alias("class_id"), "set_id")
 
 
