@@ -1,14 +1,15 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Counts come from every training text. The root's distribution is the base, (c + 1) / (N + V + 1). A context of one or two words is a candidate if it stands before at least `LEAST` words,
-and is retained if its next-word distribution diverges from that of its longest retained suffix: 2 n KL must exceed what chance gives (a chi-square of as many degrees as next words, by four
-standard deviations). A longer context is a candidate if the one shorter by its first word is retained; levels are added until one retains none. At a retained context s the next word t has
-P(t | s) = (c(s, t) + d P(t | suffix of s)) / (n + d), where n counts the context and d its distinct next words: what the context doesn't know goes to its suffix, so each distribution sums to
-1. A text is scored by the longest retained suffix at each word.
-
-The tree is a table that grows with the texts: (context, next) pairs are counted by groupBy, whatever their share, under 64-bit keys hashed from the words. log P(t | s) is a sum: the
-base, the escape log d / (n + d) of each retained suffix, and for each (suffix, next) that was counted what it adds to the escape. So a text's score is a sum over keys, met by one join.
-Keys above a share of all tokens (`ENTRY_P`), and words above `HEAD_P`, are broadcast and looked up in the task; of the others only those that may be in the table, by a filter of at most
+Counts come from every training text. The root's distribution is the base, (c + 1) / (N + V + 1). A next word t is stored after a context s if the two occur together `LEAST` times; so a context can only
+be stored with a suffix that is, and sequences are found level by level. A context with stored next words is retained if its distribution over them, and over all others taken together, diverges from that of its
+longest retained suffix: 2 n KL must exceed what chance gives (a chi-square of as many degrees as stored next words, by four standard deviations). Contexts of one and two words are all tested, a longer one if
+the one shorter by its first word is retained; levels are added until one retains none. At a retained context s, which stands before n words, m of them stored ones, d distinct, the next word t has
+P(t | s) = (c(s, t) + (d + n - m) P(t | suffix of s)) / (n + d), where c is 0 if t isn't stored: what the context doesn't store goes to its suffix, so each distribution sums to 1. A text is scored by the
+longest retained suffix at each word.
+
+The tree is a table that grows with the texts: (context, next) pairs are counted by groupBy, whatever their share of the corpus, under 64-bit keys hashed from the words. log P(t | s) is a sum: the
+base, the escape log (d + n - m) / (n + d) of each retained suffix, and for each (suffix, next) that is stored what it adds to the escape. So a text's score is a sum over keys, met by one join.
+The `HEAD` most frequent words and the `HOT` most frequent keys are broadcast and looked up in the task; of the others only those that may be in the table, by a filter of at most
 2^28 bits without false negatives, are sent to the join. Neither changes a score.
 
 Defined results: a null text counts as empty: it is the end token alone. Without training texts N and V are 0. Rows that repeat count, and are scored, each. Only doc_id and text are read.
@@ -16,23 +17,24 @@ Defined results: a null text counts as empty: it is the end token alone. Without
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, fold_of, texts
 
-HEAD_P, CONTEXT_P, NEXT_P, ENTRY_P = 1e-5, 1e-3, 1e-4, 1e-6
-#: Words that a context stands before, at least: the usual least count for a chi-square.
+#: Occurrences that a stored next word has after its context, at least: the usual least count of a cell for a chi-square.
 LEAST = 5
+#: Words and entries that are broadcast and looked up in the task, at most; all others are met by a join. This changes where the work is done only.
+HEAD, HOT = 1 << 18, 1 << 20
 END = -(1 << 63)  # no word has this number
+ALL = END + 1  # stands for any next word
 
 
 def words_of(text: str) -> list[bytes]:
@@ -41,7 +43,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def word_number(word: bytes) -> int:
-    return max(END + 1, xxhash.xxh3_64_intdigest(word) - (1 << 63))
+    return max(ALL + 1, xxhash.xxh3_64_intdigest(word) - (1 << 63))
 
 
 class Numbers:
@@ -77,85 +79,24 @@ def _count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
-class Tree:
-    """The head words with their base; learn() and logs() are the model's in-memory form for contexts and next words of the head. All arrays are sorted by key."""
-
-    def __init__(self, head: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
-        """head: numbers of words by falling count, the end token among them."""
-        self.place = {int(h): i for i, h in enumerate(head)}
-        self.head, self.total, self.distinct = len(head), total, distinct
-        self.base = (counts + 1.0) / (total + distinct + 1.0)
-        self.contexts = int((counts >= CONTEXT_P * total).sum())
-        self.nexts = int((counts >= NEXT_P * total).sum())
-        self.span = self.nexts + 1  # the last next word stands for all others
-        self.nodes = np.zeros(0, np.int64)
-        self.escape = np.zeros(0)
-        self.keys, self.shares = np.zeros(0, np.int64), np.zeros(0)
-
-    def learn(self, keys: np.ndarray, counts: np.ndarray, totals: dict[int, int]) -> "Tree":
-        """Retain contexts, one word before two. keys, counts: pairs above the bound; totals: how often each candidate context stands before a token."""
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(np.float64)
-        nodes, escape, held, shares = [], [], [], []
-        found: dict[int, tuple[float, dict[int, float]]] = {}
-        by_context = keys // self.span
-        for node in sorted(totals):
-            n = float(totals[node])
-            lo, hi = np.searchsorted(by_context, [node, node + 1])
-            nxt, c = keys[lo:hi] % self.span, counts[lo:hi]
-            own = nxt < self.nexts
-            nxt, c = nxt[own], c[own]
-            if not len(nxt):
-                continue
-            parent = found.get(1 + (node - 1 - self.contexts) % self.contexts) if node > self.contexts else None
-            before = self.base[nxt]
-            if parent is not None:
-                before = np.array([parent[1].get(int(t), 0.0) for t in nxt]) + parent[0] * before
-            p, rest, rest_before = c / n, max(n - c.sum(), 0.0) / n, max(1 - before.sum(), 1e-12)
-            kl = float((p * np.log(p / before)).sum() + (rest * math.log(rest / rest_before) if rest > 0 else 0.0))
-            if 2 * n * kl <= len(nxt) + 4 * math.sqrt(2 * len(nxt)):
-                continue
-            d = float(len(nxt))
-            nodes.append(node)
-            escape.append((d + n - c.sum()) / (n + d))
-            held.append(node * self.span + nxt)
-            shares.append(c / (n + d))
-            found[node] = (escape[-1], dict(zip(nxt.tolist(), shares[-1].tolist(), strict=True)))
-        self.nodes, self.escape = np.array(nodes, np.int64), np.array(escape)
-        self.keys = np.concatenate(held) if held else np.zeros(0, np.int64)
-        self.shares = np.concatenate(shares) if shares else np.zeros(0)
-        return self
-
-    def _at(self, sorted_keys: np.ndarray, values: np.ndarray, keys: np.ndarray, none: float) -> np.ndarray:
-        if not len(sorted_keys):
-            return np.full(len(keys), none)
-        at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-        return np.where(sorted_keys[at] == keys, values[at], none)
-
-    def logs(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 P of each token, for tokens outside the head without their base probability."""
-        c = self.contexts
-        one, two = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        ok = (ids >= 0) & (ids < c)
-        on = np.zeros(len(ids), bool)
-        on[1:] = ok[:-1] & ~starts[1:]
-        i = np.flatnonzero(on)
-        one[i] = 1 + ids[i - 1]
-        on2 = np.zeros(len(ids), bool)
-        on2[2:] = on[2:] & on[1:-1]
-        j = np.flatnonzero(on2)
-        two[j] = 1 + c + ids[j - 2] * c + ids[j - 1]
-        known = ids >= 0
-        p = np.where(known, self.base[np.maximum(ids, 0)] if self.head else 0.0, 1.0)
-        nxt = np.where(known & (ids < self.nexts), ids, self.nexts)
-        for node in (one, two):
-            away = self._at(self.nodes, self.escape, node, 1.0)
-            p = away * p + np.where(nxt < self.nexts, self._at(self.keys, self.shares, node * self.span + nxt, 0.0), 0.0)
-        return np.log10(p)
-
-
-def _ids(tree: Tree, numbers: Numbers, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places in the head (-1: none), starts of texts, numbers of words, and the text of each token; each text ends with the end token."""
+class Head:
+    """The most frequent words, by number, and the base probability of each."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
+        order = np.argsort(words)
+        self.words, self.total = words[order], total
+        self.base = (counts[order] + 1.0) / (total + distinct + 1.0)
+
+    def places(self, numbers: np.ndarray) -> np.ndarray:
+        """Where the numbers stand in the head; -1: nowhere."""
+        if not len(self.words):
+            return np.full(len(numbers), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.words, numbers), len(self.words) - 1)
+        return np.where(self.words[at] == numbers, at, -1)
+
+
+def _tokens(numbers: Numbers, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of words, starts of texts, and the text of each token; each text ends with the end token."""
     split = [words_of(t) for t in batch]
     known = numbers.of(w for s in split for w in s)
     size = np.fromiter((len(s) + 1 for s in split), np.int64, len(split))
@@ -166,9 +107,7 @@ def _ids(tree: Tree, numbers: Numbers, batch: list[str]) -> tuple[np.ndarray, np
     number[inner] = np.fromiter((known[w] for s in split for w in s), np.int64, int(inner.sum()))
     starts = np.zeros(len(number), bool)
     starts[ends + 1 - size] = True
-    unique, back = np.unique(number, return_inverse=True)
-    place = np.fromiter((tree.place.get(x, -1) for x in unique.tolist()), np.int64, len(unique))
-    return place[back], starts, number, np.repeat(np.arange(len(split)), size)
+    return number, starts, np.repeat(np.arange(len(split)), size)
 
 
 def _parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -202,7 +141,7 @@ class Filter:
     def __init__(self, keys: DataFrame) -> None:
         """keys: one column, key."""
         n = keys.count()
-        self.bits = min(28, max(16, (8 * n).bit_length()))
+        self.bits = min(28, max(16, (16 * n).bit_length()))
         inner = self.bits - 10
         slots = keys.select(F.shiftrightunsigned("key", 64 - self.bits).alias("slot")).select((F.expr(f"slot div {1 << inner}")).cast("int").alias("piece"), (F.col("slot") % (1 << inner)).cast("int").alias("slot"))
 
@@ -221,92 +160,120 @@ class Filter:
         return (self.held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _count_level(docs: DataFrame, tree: Broadcast, depth: int, admitted: Filter, by: int) -> DataFrame:
-    """key, context, suffix_key and c of every (context, next) with contexts of `depth` words whose suffix of `by` words may be in admitted."""
-    sent = docs.sparkSession.sparkContext.broadcast(admitted)
+def _entry(node: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of (context, next)."""
+    return _mixed(~node, word)
+
+
+def _count_level(docs: DataFrame, depth: int, attested: Filter, kept: Filter | None) -> DataFrame:
+    """context, shorter (its suffix), word and c of every (context, next) that occurs `LEAST` times, with contexts of `depth` words; and how often each such context occurs, as the word `ALL`.
+
+    attested: keys of the sequences of `depth` words that occur `LEAST` times. Of a sequence that does, the context and all but its first word do too. kept: suffixes whose longer contexts are wanted; None: any.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((attested, kept))
 
     def pair_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        admitted, numbers, found, size = sent.value, Numbers(), [], 0
+        (attested, kept), numbers, found, size = sent.value, Numbers(), [], 0
 
         def out() -> pd.DataFrame:
-            key, context, suffix = (np.concatenate(x) for x in zip(*found, strict=True))
-            key, at, n = np.unique(key, return_index=True, return_counts=True)
-            return pd.DataFrame({"key": key, "context": context[at], "suffix_key": suffix[at], "c": n})
+            context, shorter, word, c = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((word, context))  # rows of one context follow each other, which packs well
+            context, shorter, word, c = context[order], shorter[order], word[order], c[order]
+            new = np.ones(len(context), bool)
+            new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+            at = np.flatnonzero(new)
+            return pd.DataFrame({"context": context[at], "shorter": shorter[at], "word": word[at], "c": np.add.reduceat(c, at) if len(at) else c})
 
         for b in batches:
             for part in _parts(b):
-                _, starts, number, _ = _ids(tree.value, numbers, part["text"].tolist())
-                levels = dict(enumerate(_contexts(number, starts, depth), 1))
-                at, node = levels[depth]
-                over = np.zeros(len(number), np.int64)
-                over[levels[by][0]] = levels[by][1]
-                ok = admitted.has(over[at])
-                at, node = at[ok], node[ok]
-                suffix = number[at]
-                if depth > 1:
-                    shorter = np.zeros(len(number), np.int64)
-                    shorter[levels[depth - 1][0]] = levels[depth - 1][1]
-                    suffix = _entry(shorter[at], number[at])
-                found.append((_entry(node, number[at]), node, suffix))
+                number, starts, _ = _tokens(numbers, part["text"].tolist())
+                own = shorter = np.zeros(len(number), np.int64)
+                for k, (at, node) in enumerate(_contexts(number, starts, depth), 1):
+                    own, shorter = np.zeros(len(number), np.int64), own
+                    own[at] = node
+                # a sequence of `depth` words is an entry of the level before
+                often = attested.has(number if depth == 1 else _entry(shorter, number))
+                if depth <= 3:  # up to there entries of all contexts are at hand
+                    at = at[often[at - 1]]
+                if kept is not None:
+                    at = at[kept.has(shorter[at])]
+                context, n = np.unique(own[at], return_counts=True)
+                found.append((context, np.zeros_like(context), np.full_like(context, ALL), n))
+                at = at[often[at]]
+                found.append((own[at], shorter[at], number[at], np.ones(len(at), np.int64)))
                 size += len(at)
-                if size > 3_000_000:
+                if size > 4_000_000:
                     yield out()
                     found, size = [], 0
         if found:
             yield out()
 
-    rows = docs.select("text").mapInPandas(pair_rows, "key long, context long, suffix_key long, c long")
-    return rows.groupBy("key").agg(F.first("context").alias("context"), F.first("suffix_key").alias("suffix_key"), F.sum("c").alias("c"))
+    rows = docs.select("text").mapInPandas(pair_rows, "context long, shorter long, word long, c long")
+    return checkpointed(rows.groupBy("context", "word").agg(F.max("shorter").alias("shorter"), F.sum("c").alias("c")).filter(F.col("c") >= LEAST))
 
 
-def _entry(node: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys of (context, next)."""
-    return _mixed(~node, word)
+def _keyed(rows: DataFrame, depth: int) -> DataFrame:
+    """Entries with their key and that of the same next word after the suffix."""
+
+    def keys(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            context, shorter, word = (b[x].to_numpy(np.int64) for x in ("context", "shorter", "word"))
+            yield pd.DataFrame({"key": _entry(context, word), "context": context, "suffix_key": word if depth == 1 else _entry(shorter, word), "c": b["c"].to_numpy()})
 
+    return rows.filter(F.col("word") != ALL).mapInPandas(keys, "key long, context long, suffix_key long, c long")
 
-def _weighed(rows: DataFrame, before: DataFrame) -> DataFrame:
-    """The entries of contexts before `LEAST` words: key, context, suffix_key, c, p (of the longest retained suffix, the context among them), the context's n and d, whether it is kept, and what the entry adds to the escape.
+
+def _weighed(rows: DataFrame, before: DataFrame, depth: int) -> DataFrame:
+    """Entries: key, context, c, p (of the longest retained suffix, the context among them), n of the context, its escape, whether it is kept, and what the entry adds to the escape.
 
     rows: as counted; before: key and p of the suffixes' entries.
     """
-    met = checkpointed(rows.join(before.select(F.col("key").alias("suffix_key"), F.col("p").alias("q")), "suffix_key"))
-    of = met.groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("d"), F.sum(F.col("c") * F.log(F.col("c") / F.col("q"))).alias("g")).filter(F.col("n") >= LEAST)
-    of = of.withColumn("kept", 2 * (F.col("g") - F.col("n") * F.log("n")) > F.col("d") + 4 * F.sqrt(2 * F.col("d"))).drop("g")
-    share = (F.col("c") + F.col("d") * F.col("q")) / (F.col("n") + F.col("d"))
-    adds = F.log10(share) - F.log10(F.col("d") / (F.col("n") + F.col("d"))) - F.log10("q")
-    return checkpointed(met.join(of, "context").select("key", "context", "suffix_key", "c", "n", "d", "kept", F.when(F.col("kept"), share).otherwise(F.col("q")).alias("p"), F.when(F.col("kept"), adds).alias("adds")))
+    met = _keyed(rows, depth).join(before.select(F.col("key").alias("suffix_key"), F.col("p").alias("q")), "suffix_key")
+    totals = rows.filter(F.col("word") == ALL).select("context", F.col("c").alias("n"))
+    c, n, m, d = (F.col(x) for x in "cnmd")
+    of = met.groupBy("context").agg(F.sum("c").alias("m"), F.count("*").alias("d"), F.sum(c * F.log(c / F.col("q"))).alias("g"), F.sum("q").alias("known")).join(totals, "context")
+    rest = F.when(n > m, (n - m) * (F.log((n - m) / n) - F.log(F.greatest(1 - F.col("known"), F.lit(1e-12))))).otherwise(F.lit(0.0))
+    of = of.select("context", "n", ((d + n - m) / (n + d)).alias("escape"), (n + d).alias("of"), (2 * (F.col("g") - m * F.log(n) + rest) > d + 4 * F.sqrt(2 * d)).alias("kept"))
+    share = c / F.col("of") + F.col("escape") * F.col("q")
+    adds = F.log10(share) - F.log10("escape") - F.log10("q")
+    return checkpointed(met.join(of, "context").select("key", "context", "c", "n", "escape", "kept", F.when(F.col("kept"), share).otherwise(F.col("q")).alias("p"), F.when(F.col("kept"), adds).alias("adds")))
+
+
+def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> tuple[DataFrame, int]:
+    """The tree's values (key, v and how often it was counted) and its depth, of the texts of docs, whose words are counted in counts (word, n)."""
+    level = counts.filter(F.col("n") >= LEAST).select(F.col("word").alias("key"), ((F.col("n") + 1.0) / F.lit(total + distinct + 1.0)).alias("p"), F.lit(True).alias("kept"))
+    values, depth = [], 0
+    while True:
+        attested = Filter(level.select("key"))
+        over = Filter(level.filter("kept").select(F.col("context").alias("key")).distinct()) if depth > 1 else None
+        # a filter may let others through; the join with the entries before doesn't
+        depth += 1
+        level = _weighed(_count_level(docs, depth, attested, over), level.filter("kept") if depth > 2 else level, depth)
+        kept = level.filter("kept")
+        values.append(kept.select("key", F.col("adds").alias("v"), "c"))
+        values.append(kept.groupBy("context").agg(F.first("n").alias("c"), F.first("escape").alias("e")).select(F.bitwise_not("context").alias("key"), F.log10("e").alias("v"), "c"))
+        if depth > 1 and not kept.limit(1).count():
+            return reduce(DataFrame.unionByName, values), depth - 1
 
 
-def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> tuple[Tree, DataFrame, int]:
-    """The head, the tree's values (key, v and how often it was counted) and its depth, of the texts of docs, whose words are counted in counts (word, n)."""
-    head = counts.filter((F.col("n") >= HEAD_P * total) | (F.col("word") == END)).orderBy(F.desc("n"), "word").collect()  # 1 / HEAD_P rows at most
-    tree = Tree(np.array([r["word"] for r in head], np.int64), np.array([r["n"] for r in head], np.float64), total, distinct)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+def _most_counted(rows: DataFrame, c: str, most: int) -> DataFrame:
+    """The rows with the largest counts, about `most` at most: a bound on the count is taken from the numbers of rows by powers of 2 ** 0.125."""
+    step = F.floor(8 * F.log2(c)).cast("int")
+    held, bound = 0, 1 << 30
+    for r in rows.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 8 * 63 rows at most
+        held += r["count"]
+        if held > most:
+            break
+        bound = r["step"]
+    return rows.filter(step >= bound)
 
-    def two_words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"key": _mixed(b["suffix_key"].to_numpy(np.int64), b["context"].to_numpy(np.int64))})
-
-    words = counts.select(F.col("word").alias("key"), ((F.col("n") + 1.0) / F.lit(total + distinct + 1.0)).alias("p"))
-    often = Filter(counts.filter((F.col("n") >= LEAST) & (F.col("word") != END)).select(F.col("word").alias("key")))
-    levels = [_weighed(_count_level(docs, sent, 1, often, 1), words)]
-    pairs = levels[0].filter((F.col("c") >= LEAST) & (F.col("suffix_key") != END)).select("suffix_key", "context")
-    often = Filter(pairs.mapInPandas(two_words, "key long"))
-    levels.append(_weighed(_count_level(docs, sent, 2, often, 2), levels[0]))
-    while levels[-1].filter("kept").limit(1).count():
-        kept = levels[-1].filter("kept")
-        over = Filter(kept.select(F.col("context").alias("key")).distinct())
-        # the filter may let others through; the join with the kept suffixes' entries doesn't
-        levels.append(_weighed(_count_level(docs, sent, len(levels) + 1, over, len(levels)), kept))
-    values = []
-    for level in levels:
-        kept = level.filter("kept")
-        values.append(kept.select("key", F.col("adds").alias("v"), "c"))
-        values.append(kept.groupBy("context").agg(F.first("n").alias("c"), F.first("d").alias("d")).select(F.bitwise_not("context").alias("key"), F.log10(F.col("d") / (F.col("c") + F.col("d"))).alias("v"), "c"))
-    out = values[0]
-    for more in values[1:]:
-        out = out.unionByName(more)
-    return tree, out, len(levels) - 1
+
+def _arrays(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of a bounded number of rows, sorted by the first."""
+    got = rows.select(F.col(key).cast("long").alias("k"), F.col(value).cast("double").alias("v")).toArrow()
+    keys, values = got["k"].to_numpy(), got["v"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -316,45 +283,51 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
     counts = learned.select("text").mapInPandas(_count_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
     counts = checkpointed(counts)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree, values, depth = train(learned, counts, total, distinct)
+    values, depth = train(learned, counts, total, distinct)
     values = checkpointed(values)
-    hot = values.filter(F.col("c") >= ENTRY_P * total).select("key", "v").toPandas().sort_values("key")  # 2 / ENTRY_P rows a level at most
-    sent = docs.sparkSession.sparkContext.broadcast((tree, hot["key"].to_numpy(np.int64), hot["v"].to_numpy(np.float64), Filter(values.select("key"))))
+    head = Head(*_arrays(_most_counted(counts, "n", HEAD), "word", "n"), total, distinct)
+    sent = docs.sparkSession.sparkContext.broadcast((head, *_arrays(_most_counted(values, "c", HOT), "key", "v"), Filter(values.select("key"))))
 
     def score_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (tree, hot, worth, held), numbers = sent.value, Numbers()
+        (front, hot, worth, held), numbers = sent.value, Numbers()
 
-        def known(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The keys' values where hot, and which of the others may be in the table."""
+        def known(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Places of the keys that may be in the table, the values of those that are hot, and which of the places hold others."""
+            at = np.flatnonzero(held.has(keys))
             if not len(hot):
-                return np.zeros(len(keys)), held.has(keys)
-            near = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-            is_hot = hot[near] == keys
-            return np.where(is_hot, worth[near], 0.0), ~is_hot & held.has(keys)
+                return at, np.zeros(len(at)), np.ones(len(at), bool)
+            near = np.minimum(np.searchsorted(hot, keys[at]), len(hot) - 1)
+            is_hot = hot[near] == keys[at]
+            return at, np.where(is_hot, worth[near], 0.0), ~is_hot
 
         for b in batches:
             for part in _parts(b):
-                ids, starts, number, text = _ids(tree, numbers, part["text"].tolist())
-                n, head = len(part), ids >= 0
-                base = np.log10(tree.base[ids[head]]) if head.any() else np.zeros(0)
-                path = np.zeros(len(number))
+                number, starts, text = _tokens(numbers, part["text"].tolist())
+                place = front.places(number)
+                n, head = len(part), place >= 0
+                base = np.log10(front.base[place[head]]) if head.any() else np.zeros(0)
+                path, open_ = np.zeros(len(number)), np.ones(len(number), bool)
                 other = [(text[~head], number[~head])]
-                for at, node in _contexts(number, starts, depth):
-                    v, ask = known(~node)
+                for k, (at, node) in enumerate(_contexts(number, starts, depth), 1):
+                    if k > 2:  # a longer context is in the tree only if its suffix is
+                        at, node = at[open_[at]], node[open_[at]]
+                    i, v, ask = known(~node)
+                    at, node = at[i], node[i]
+                    open_[:] = False
+                    open_[at] = True
+                    path[at] += v
                     other.append((text[at[ask]], ~node[ask]))
+                    keys = _entry(node, number[at])
+                    i, v, ask = known(keys)
+                    at, keys = at[i], keys[i]
                     path[at] += v
-                    may = (v != 0) | ask
-                    at, keys = at[may], _entry(node[may], number[at[may]])
-                    v, ask = known(keys)
                     other.append((text[at[ask]], keys[ask]))
-                    path[at] += v
                 where, keys = (np.concatenate(x) for x in zip(*other, strict=True))
                 keys = keys[np.argsort(where, kind="stable")]
                 cut = np.bincount(where, minlength=n).cumsum()[:-1]
-                in_training = head & (number != END) if tree.total == 0 else head
                 yield pd.DataFrame({
                     "row_id": part["row_id"].to_numpy(), "doc_id": part["doc_id"].to_numpy(), "n_tokens": np.bincount(text, minlength=n),
-                    "head_known": np.bincount(text[in_training], minlength=n), "head_base": np.bincount(text[head], base, n),
+                    "head_known": np.bincount(text[head], minlength=n), "head_base": np.bincount(text[head], base, n),
                     "path": np.bincount(text, path, n), "rare": np.bincount(text[~head], minlength=n), "other": np.split(keys, cut),
                 }).astype({"doc_id": "Int64"})
 

@@ -261,18 +261,10 @@ def test_base_scores_against_counting(spark, edge):
         assert np.isfinite(r["score"]) and r["held_out"] == (fold(i, 7) == 2)
 
 
-def test_tree_sums_to_one_and_beats_the_base(spark, empty):
+def test_tree_beats_the_base(spark, empty):
     rows = [(i, " ".join(["a b c d"] * 40 + ["e"] * (i % 3)), "en", "a", 1, None, None) for i in range(40)]
     got = suffix_tree_lm.score_documents(spark.createDataFrame(rows, DOCS)).collect()
     assert all(r["score"] > r["base_score"] + 10 for r in got)
-    tree = suffix_tree_lm.Tree(np.arange(3), np.array([50.0, 30.0, 20.0]), 100, 3)
-    tree.learn(np.array([1 * 4 + 1, 1 * 4 + 0, 1 * 4 + 3]), np.array([40, 5, 5]), {1: 50})
-    assert len(tree.nodes) == 1
-    ids = np.array([0, 0, 0, 1, 0, 2, 0, -1])
-    starts = np.array([True, False] * 4)
-    p = 10 ** tree.logs(ids, starts)[1::2]
-    unknown = 1 / 104
-    assert abs(p[0] + p[1] + p[2] + p[3] * unknown - 1) < 1e-9
     assert suffix_tree_lm.score_documents(empty).count() == 0
 
 
@@ -296,8 +288,8 @@ def test_tree_against_counting_every_context(spark):
             context = context[1:]
         if not context:
             return base(w)
-        nexts = kept[context]
-        return (nexts[w] + len(nexts) * p(context[1:], w)) / (nexts.total() + len(nexts))
+        nexts, n = kept[context]
+        return (nexts[w] + (len(nexts) + n - nexts.total()) * p(context[1:], w)) / (n + len(nexts))
 
     depth = 0
     while True:
@@ -310,14 +302,20 @@ def test_tree_against_counting_every_context(spark):
                     found.setdefault(c, Counter())[t[j]] += 1
         new = {}
         for c, nexts in found.items():
-            n, d = nexts.total(), len(nexts)
-            kl = sum(x * np.log(x / n / p(c[1:], w)) for w, x in nexts.items())
-            if n >= least and 2 * kl > d + 4 * np.sqrt(2 * d):
-                new[c] = nexts
+            n = nexts.total()
+            stored = Counter({w: x for w, x in nexts.items() if x >= least})
+            d, rest = len(stored), n - stored.total()
+            kl = sum(x * np.log(x / n / p(c[1:], w)) for w, x in stored.items())
+            if rest:
+                kl += rest * np.log(rest / n / max(1e-12, 1 - sum(p(c[1:], w) for w in stored)))
+            if d and 2 * kl > d + 4 * np.sqrt(2 * d):
+                new[c] = stored, n
         kept.update(new)
         if depth > 1 and not new:
             break
     assert ("rare",) in kept and any(len(c) > 2 for c in kept)
+    for c in kept:  # each distribution sums to 1; words outside the base have what it leaves them
+        assert abs(sum(p(c, w) for w in words) + p(c, "never seen") - 1) < 1e-9
     got = {r["doc_id"]: r for r in suffix_tree_lm.score_documents(spark.createDataFrame(rows, DOCS)).collect()}
     for i, text, *_ in rows:
         t = [*text.split(), None]
