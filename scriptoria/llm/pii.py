@@ -7,17 +7,20 @@ with m = n(t) n(c) / N documents expected, exp(n(t, c) - m) (m / n(t, c)) ^ n(t,
 an entity becomes a span of kind `term` wherever it stands, in any text. In sanitised text base spans become their kind, such a term is generalised to its length class, and removed if its
 share is 1: it occurs beside nobody else.
 
-Texts stay in place: tasks send on the entities and terms of texts that have base spans, counts of terms summed for each task, and in a second pass the places of words that may be such terms.
+Texts stay in place: tasks send on counts of terms and entities, then the entities, and terms rare enough to disclose one, of texts that have base spans, then the places of words that may be such terms. Only
+texts with a span are carried along to be sanitised.
 
-Defined results: a null text counts as empty and has no spans. Rows that repeat are scanned, and counted, each. Only doc_id and text are read.
+Defined results: a null text counts as empty and has no spans. Rows that repeat are scanned, counted and sanitised each, whatever their ids. Of several entities that a term discloses the largest share counts;
+spans that start together go by kind as listed, terms last. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,61 +107,70 @@ def words_outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tupl
             yield s, e
 
 
-def _met_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entities and terms of each text with base spans."""
-    for b in batches:
-        found = [(t, x) for t in b["text"] if (x := base_spans(t))]
-        yield pd.DataFrame({
-            "entities": [list({entity_of(t, *x) for x in spans}) for t, spans in found],
-            "terms": [[_hash(w) for w in {t[s:e].lower() for s, e in words_outside(t, spans)}] for t, spans in found],
-        }, dtype=object)
-
-
-def _term_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In how many documents each term occurs, summed for about a million terms at a time."""
-    counts: Counter = Counter()
+def _count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many documents each term, and each entity, occurs, summed for some hundred thousand of them at a time."""
+    counts: tuple[Counter, Counter] = Counter(), Counter()
     of_token: dict[str, tuple[int, ...]] = {}
 
     def out() -> pd.DataFrame:
-        rows = pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())}, dtype="int64")
-        counts.clear()
+        rows = pd.DataFrame({"key": [*counts[0], *counts[1]], "entity": [0] * len(counts[0]) + [1] * len(counts[1]), "n": [*counts[0].values(), *counts[1].values()]}, dtype="int64")
+        counts[0].clear()
+        counts[1].clear()
         return rows
 
     for b in batches:
         for text in b["text"]:
             tokens = set(text.split())
-            if len(of_token) > 600_000:
+            if len(of_token) > 300_000:
                 of_token.clear()
             for t in tokens.difference(of_token):
                 of_token[t] = tuple(_hash(w.lower()) for w in _WORD.findall(t) if len(w) >= 3)
-            counts.update({h for t in tokens for h in of_token[t]})
-        if len(counts) > 800_000:
-            yield out()
+            counts[0].update({h for t in tokens for h in of_token[t]})
+            counts[1].update({entity_of(text, *x) for x in base_spans(text)})
+            if len(counts[0]) + len(counts[1]) > 500_000:
+                yield out()
     yield out()
 
 
 def disclosing(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     """(term, share): terms that reveal at least threshold of an entity's information, with the largest share."""
-    total = float(docs.count())
-    met = checkpointed(texts(docs).select("text").mapInPandas(_met_rows, "entities array<long>, terms array<long>"))
-    pairs = checkpointed(met.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_tc")))
-    entities = met.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    terms = texts(docs).select("text").mapInPandas(_term_rows, "term long, n long").join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
-    both = pairs.join(entities, "entity").join(terms, "term")
+    plain, total = texts(docs).select("text"), float(docs.count())
+    counts = checkpointed(plain.mapInPandas(_count_rows, "key long, entity long, n long").groupBy("key", "entity").agg(F.sum("n").alias("n")))
+    # n(t, c) is at most n(c), so a term in more documents than this has too small a share whatever they are
+    most = F.lit(total) * F.pow(F.col("n_c") / F.lit(total + 1), F.lit(threshold)) * (1 + 1e-9)
+    entities = counts.filter("entity = 1").select(F.col("key").alias("entity"), F.col("n").alias("n_c")).withColumn("most", most)
+    terms = counts.filter("entity = 0").select(F.col("key").alias("term"), F.col("n").alias("n_t"))
+    rare = terms.filter(F.col("n_t") <= F.lit(entities.agg(F.max("most")).first()[0] or 0.0))
+    sent = docs.sparkSession.sparkContext.broadcast(Filter(rare.select(F.col("term").alias("key"))))
+
+    def met_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Entities of each text with base spans, and its terms that may be rare enough."""
+        for b in (whole.iloc[k : k + 512] for whole in batches for k in range(0, len(whole), 512)):
+            found = [(t, x) for t in b["text"] if (x := base_spans(t))]
+            words = [np.array([_hash(w) for w in {t[s:e].lower() for s, e in words_outside(t, x)}], np.int64) for t, x in found]
+            yield pd.DataFrame({"entities": [list({entity_of(t, *x) for x in spans}) for t, spans in found], "terms": [w[sent.value.has(w)] for w in words]}, dtype=object)
+
+    met = checkpointed(plain.mapInPandas(met_rows, "entities array<long>, terms array<long>").withColumn("id", F.monotonically_increasing_id()))
+    of = met.select("id", F.explode("entities").alias("entity")).join(entities, "entity")
+    beside = met.select("id", F.explode("terms").alias("term")).join(rare, "term")
+    both = of.join(beside, "id").filter(F.col("n_t") <= F.col("most")).groupBy("entity", "term", "n_c", "n_t").agg(F.count("*").alias("n_tc"))
     n, m = F.col("n_tc").cast("double"), F.greatest("n_t", "n_tc").cast("double") * F.col("n_c") / F.lit(total)
     share = F.log(n / m) / F.log((F.lit(total) + 1) / F.col("n_c"))
     sure = (n > m) & (n * F.log(n / m) - n + m >= -math.log(CHANCE))
     return both.filter(sure).select("term", share.alias("share")).filter(F.col("share") >= threshold).groupBy("term").agg(F.max("share").alias("share"))
 
 
-def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
-    """row_id, doc_id, base and added spans (arrays by start), the added ones with their share, for every row of docs."""
+def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE, whole: bool = False) -> DataFrame:
+    """row_id, doc_id, text, base and added spans (arrays by start), the added ones with their share, for every row of docs.
+
+    whole: whether texts without a span are given as well; where text is null, sha256 holds the digest of the text.
+    """
     shares = checkpointed(disclosing(docs, threshold))
     sent = docs.sparkSession.sparkContext.broadcast(Filter(shares.select(F.col("term").alias("key"))))
 
     def scan_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of_token: dict[str, tuple[str, ...]] = {}  # the words, in lower case, that may be terms
-        for b in (whole.iloc[k : k + 256] for whole in batches for k in range(0, len(whole), 256)):
+        for b in (part.iloc[k : k + 256] for part in batches for k in range(0, len(part), 256)):
             if len(of_token) > 200_000:
                 of_token.clear()
             tokens = [set(t.split()) for t in b["text"]]
@@ -172,16 +184,20 @@ def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFr
                 asked = {w for t in own for w in of_token[t]}
                 places = [(s, e, text[s:e].lower()) for s, e in words_outside(text, x)] if asked else []
                 held.append([{"term": _hash(w), "start": s, "end": e} for s, e, w in places if w in asked])
+            carried = [whole or bool(x) or bool(h) for x, h in zip(spans, held, strict=True)]
             yield pd.DataFrame({
                 "row_id": b["row_id"].to_numpy(), "doc_id": b["doc_id"].to_numpy(),
+                "text": [t if on else None for t, on in zip(b["text"], carried, strict=True)],
+                "sha256": [None if on else hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, on in zip(b["text"], carried, strict=True)],
                 "base": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], "held": held,
             }).astype({"doc_id": "Int64"})
 
-    schema = "row_id long, doc_id long, base array<struct<kind: string, start: int, `end`: int>>, held array<struct<term: long, start: int, `end`: int>>"
+    schema = "row_id long, doc_id long, text string, sha256 string, base array<struct<kind: string, start: int, `end`: int>>, held array<struct<term: long, start: int, `end`: int>>"
     found = checkpointed(texts(docs).withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(scan_rows, schema))
     hits = found.filter(F.size("held") > 0).select("row_id", F.explode("held").alias("x")).select("row_id", "x.*").join(shares, "term")
     added = hits.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("added"))  # words of one text
-    return found.select("row_id", "doc_id", "base").join(added, "row_id", "left")
+    none = F.array().cast("array<struct<start: int, end: int, share: double>>")
+    return found.select("row_id", "doc_id", "text", "sha256", "base").join(added, "row_id", "left").withColumn("added", F.coalesce("added", none))
 
 
 def _joined(spans: Column) -> Column:
@@ -189,19 +205,22 @@ def _joined(spans: Column) -> Column:
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256 and all spans, for every row of docs."""
+    """doc_id, counts of base spans by kind, base_sha256, all spans, and the digest of the sanitised text, for every row of docs."""
     found = find_personal_data(docs)
     rank = F.create_map(*[F.lit(x) for i, k in enumerate((*KINDS, "term")) for x in (k, i)])
     keyed = lambda x, kind: F.struct(x["start"].alias("start"), rank[kind].alias("rank"), x["end"].alias("end"), kind.alias("kind"))
     base = F.transform("base", lambda x: keyed(x, x["kind"]))
-    more = F.coalesce(F.transform("added", lambda x: keyed(x, F.lit("term"))), F.array().cast("array<struct<start: int, rank: int, end: int, kind: string>>"))
+    more = F.transform("added", lambda x: keyed(x, F.lit("term")))
     kinds = F.transform("base", lambda x: x["kind"])
     count = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *count, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.array_sort(F.concat(base, more))).alias("spans"))
+    return found.select(
+        "doc_id", *count, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.array_sort(F.concat(base, more))).alias("spans"),
+        F.coalesce("sha256", F.sha2(_clean()("text", "base", "added").cast("binary"), 256)).alias("sanitised_sha256"),
+    )
 
 
 def sanitise_text(text: str, base: list, added: list) -> str:
-    """The text with base spans named by kind, and added ones generalised or, at a share of 1, removed."""
+    """The text with base spans named by kind, and added ones generalised or, at a share of 1, removed. What overlaps a span before it goes with that."""
     spans = [(s["start"], s["end"], f"<{s['kind']}>") for s in base]
     spans += [(s["start"], s["end"], "" if s["share"] >= 1 - 1e-9 else f"<word{len(text[s['start'] : s['end']]) // 4 * 4}>") for s in added]
     out, at = [], 0
@@ -214,12 +233,15 @@ def sanitise_text(text: str, base: list, added: list) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with sanitised texts; doc_id must tell rows apart."""
-    found = find_personal_data(docs).select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start: int, end: int, share: double>>")).alias("added"))
-
+def _clean() -> Callable[..., Column]:
     @F.pandas_udf("string")
     def clean(text: pd.Series, base: pd.Series, added: pd.Series) -> pd.Series:
-        return pd.Series([sanitise_text(t, b, a) for t, b, a in zip(text, base, added, strict=True)], dtype="str")
+        return pd.Series([None if t is None else sanitise_text(t, b, a) for t, b, a in zip(text, base, added, strict=True)], dtype="object")
+
+    return clean
+
 
-    return texts(docs).join(found, "doc_id").select("doc_id", clean("text", "base", "added").alias("text"))
+def sanitise(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
+    """(doc_id, text) with sanitised texts, for every row of docs."""
+    found = find_personal_data(docs, threshold, whole=True)
+    return found.select("doc_id", _clean()("text", "base", "added").alias("text"))

@@ -405,6 +405,45 @@ def test_terms_of_rare_entities_wherever_they_stand(spark):
     assert got[1] == "term:7:10" and got[2].startswith("term:0:3,")
 
 
+def test_shares_against_counting(spark):
+    """All disclosing terms and their shares, by counting documents."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(600):
+        who = int(rng.zipf(1.5)) % 40
+        words = [f"w{'abcdefghij'[int(x) % 10]}{'abcdefghij'[int(x) // 10 % 10]}{'abcdefghij'[int(x) // 100 % 10]}" for x in rng.zipf(1.3, 12) % 1000]
+        texts.append(" ".join([*words, f"p{'abcdefghijklmnopqrstuvwxyz'[who % 26]}near{'xyz'[who % 3]}", f"u{who}@mail.org" if i % 3 else "nobody"]))
+    n_t, n_c, n_tc = Counter(), Counter(), Counter()
+    for t in texts:
+        spans = brute_spans(t)
+        bare = t
+        for _, s, e in spans:
+            bare = bare[:s] + " " * (e - s) + bare[e:]
+        words = {w for w in re.findall(r"[^\W\d_]+", bare.lower()) if len(w) >= 3}
+        n_t.update({w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 3})
+        for c in {t[s:e] for _, s, e in spans}:
+            n_c[c] += 1
+            n_tc.update((w, c) for w in words)
+    want, n = {}, len(texts)
+    for (w, c), k in n_tc.items():
+        m = n_t[w] * n_c[c] / n
+        share = np.log(k / m) / np.log((n + 1) / n_c[c])
+        if k > m and np.exp(k - m) * (m / k) ** k <= pii.CHANCE and share >= pii.DISCLOSURE:
+            want[pii._hash(w)] = max(share, want.get(pii._hash(w), 0))
+    got = {r["term"]: r["share"] for r in pii.disclosing(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert len(want) > 3 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_sanitised_texts_are_of_their_own_rows(spark):
+    """Repeated and null ids, overlapping spans, nulls."""
+    rows = [(1, "ring +49 123 456 789 now"), (1, "mail amy@mail.org now"), (None, "ring +49 123 456 789 now"), (2, None), (3, "4111 1111 1111 1111@mail.org"), (4, "nothing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS spans", "1 AS base")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in pii.sanitise(df, 2.0).collect())
+    assert got == [(0, "ring <phone> now"), (1, "mail <email> now"), (1, "ring <phone> now"), (2, ""), (3, "<card>"), (4, "nothing")]
+    digests = pii.span_digests(df).collect()
+    assert len(digests) == 6 and {r["sanitised_sha256"] for r in digests if r["doc_id"] == 4} == {hashlib.sha256(b"nothing").hexdigest()}
+
+
 # 9
 SPEECH = {"en": "the thing with that other weather and then thought", "fr": "le chat est dans une maison avec des fleurs", "de": "der hund ist nicht schlecht und die katze schläft"}
 
