@@ -38,18 +38,19 @@ def unknown_documents(classified: DataFrame) -> DataFrame:
 def parse_documents(raw: DataFrame) -> DataFrame:
     """doc_id, doc_type, data (JSON of the type's fields) and error, for every document, in one projection that also serves streams.
 
-    Documents whose parallel arrays differ in length become error rows; the others go on.
+    Documents whose parallel arrays differ in length become error rows; the others go on. A document of no known type isn't an error: its data says so and holds its texts.
     """
     checked = raw.withColumn("__bad", F.coalesce(_misaligned(), F.lit(True)))
-    layouts = classify(to_layouts(checked))
-    front = F.struct(*[f(F.col("lines")).alias(k) for k, f in id_cards.FRONT.items()])
-    back = F.struct(*[f(F.col("lines")).alias(k) for k, f in id_cards.BACK.items()])
-    parsed = licence.with_fields(layouts)
-    company = F.struct(*licence.FIELDS)
     kind = F.col("doc_type")
-    data = F.when(kind == ID_FRONT, F.to_json(front)).when(kind == ID_BACK, F.to_json(back)).when(kind == LICENCE, F.to_json(company))
-    error = F.when(F.col("__bad"), MISALIGNED).when(kind == UNKNOWN, NOT_RECOGNISED)
-    return parsed.select("doc_id", "doc_type", F.when(~F.col("__bad"), data).alias("data"), error.alias("error"))
+    # a parser is shown the lines of its own type's pages only, and does nothing on others
+    of = lambda k: F.when((kind == k) & ~F.col("__bad"), F.col("lines"))
+    held = classify(to_layouts(checked)).select("doc_id", "doc_type", "__bad", of(ID_FRONT).alias("__front"), of(ID_BACK).alias("__back"), F.transform(of(UNKNOWN), lambda x: x["text"]).alias("__texts"), of(LICENCE).alias("lines"))
+    parsed = licence.with_fields(held)
+    front = F.struct(*[f(F.col("__front")).alias(k) for k, f in id_cards.FRONT.items()])
+    back = F.struct(*[f(F.col("__back")).alias(k) for k, f in id_cards.BACK.items()])
+    unknown = F.struct(F.lit(UNKNOWN).alias("type"), F.lit(NOT_RECOGNISED).alias("error"), F.col("__texts").alias("raw_texts"))
+    data = F.when(kind == ID_FRONT, F.to_json(front)).when(kind == ID_BACK, F.to_json(back)).when(kind == LICENCE, F.to_json(F.struct(*licence.FIELDS))).otherwise(F.to_json(unknown))
+    return parsed.select("doc_id", "doc_type", F.when(~F.col("__bad"), data).alias("data"), F.when(F.col("__bad"), MISALIGNED).alias("error"))
 
 
 def to_envelope(parsed: DataFrame, code: int = 500) -> DataFrame:

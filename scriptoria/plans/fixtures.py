@@ -1,6 +1,6 @@
 """Recognition results, letters and images derived from the given tables, whole: once as Spark expressions here, once as SQL in `sql`.
 
-A document's words are dealt to pages of 60 boxes, five a row. Cards and licences come from customers, letters from orders, images from embeddings.
+A document's words are dealt to pages of 60 boxes, five a row. Each customer has both sides of a card and a licence; letters come from orders, images from embeddings.
 """
 
 from __future__ import annotations
@@ -39,11 +39,11 @@ def raw_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"polys": F.transform("boxes", corners), "angle": F.lit(0)})
 
 
-def _page(c: DataFrame, boxes: Column) -> DataFrame:
-    """raw_ocr of boxes (text, left, top, right, bottom), a page for each row of c."""
+def _page(c: DataFrame, boxes: Column, kind: str) -> DataFrame:
+    """raw_ocr of boxes (text, left, top, right, bottom), a page for each row of c, named by kind and key."""
     page, boxes = c.select("k", F.explode(F.array(boxes)).alias("bx")), F.col("bx")
     return page.select(
-        F.col("k").cast("string").alias("doc_id"), F.transform(boxes, lambda b: b["t"]).alias("texts"), F.transform(boxes, lambda b: F.lit(0.9)).alias("scores"),
+        F.concat(F.lit(kind), F.col("k").cast("string")).alias("doc_id"), F.transform(boxes, lambda b: b["t"]).alias("texts"), F.transform(boxes, lambda b: F.lit(0.9)).alias("scores"),
         F.transform(boxes, lambda b: F.array(b["l"], b["y"], b["r"], b["b"])).alias("boxes"), F.transform(boxes, lambda b: F.array().cast("array<array<int>>")).alias("polys"), F.lit(0).alias("angle"),
     )
 
@@ -75,7 +75,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = customers(spark, sf_dir).filter(F.col("k") % 3 == 0)
+    c = customers(spark, sf_dir)
     name, addr = F.concat(F.lit("张"), "han"), F.concat(F.lit("河南省渑池县洪阳镇"), "han", F.lit("号"))
     lit = F.lit
     cat = F.concat
@@ -86,11 +86,11 @@ def id_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
         [_box("姓名", 40, 40, 120), _box(name, 40, 75, 300), _box(cat(lit("性别"), "sex"), 40, 110, 120), _box("民族汉", 150, 110, 300), _box("出生", 40, 160, 120), _box(F.col("birth"), 40, 192, 300), _box(cat(lit("住址"), F.substring(addr, 1, 6)), 40, 230, 500), _box(F.substring(addr, 7, 3), 45, 268, 300), _box(F.substring(addr, 10, 99), 45, 345, 300), _box("公民身份号码", 40, 400, 200), _box(F.col("id"), 40, 440, 600)],
         [_box("姓", 40, 40, 80), _box(cat(lit("名"), name), 90, 40, 300), _box("性", 40, 100, 80), _box(cat(lit("别"), "sex", lit("民族汉")), 90, 100, 300), _box("出", 40, 160, 80), _box(cat(lit("生"), "birth"), 90, 160, 300), _box("住", 40, 220, 80), _box(cat(lit("址"), addr), 90, 220, 500), _box("公民身", 40, 400, 100), _box(cat(lit("份号码"), "id"), 110, 400, 600)],
     )
-    return _page(c, boxes)
+    return _page(c, boxes, "f")
 
 
 def id_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = customers(spark, sf_dir).filter(F.col("k") % 3 == 1)
+    c = customers(spark, sf_dir)
     dots = F.concat_ws(".", "vy", "vm2", "vd2")
     ends = F.concat_ws(".", "vz", "vm2", "vd2")
     han = lambda y: F.concat(F.col(y), F.lit("年"), "vm", F.lit("月"), "vd", F.lit("日"))
@@ -102,12 +102,12 @@ def id_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
         [_box("签发机关", 40, 40, 150), _box("郑州市公安局", 40, 90, 300), _box("有效期限", 40, 200, 150), _box(cat("vy", "vm2", "vd2", "vz", "vm2", "vd2"), 40, 250, 500)],
         [_box("签发", 40, 40, 100), _box("机关郑州市公安局", 110, 40, 400), _box("有效", 40, 120, 100), _box(cat(lit("期限"), dots, lit("-长期")), 110, 120, 500)],
     )
-    return _page(c, boxes)
+    return _page(c, boxes, "b")
 
 
 def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences on a page of 1200 x 800; codes clean, with O for 0 among the digits, with I for 1 in the tail, or with a wrong check digit."""
-    c = customers(spark, sf_dir).filter(F.col("k") % 3 == 2)
+    c = customers(spark, sf_dir)
     c = c.withColumn("body", F.concat(F.lit("91"), F.element_at(F.array(*map(F.lit, DISTRICTS)), (F.col("k") % len(DISTRICTS) + 1).cast("int")), F.lit("MA1"), F.lpad((F.col("k") % 1000000).cast("string"), 6, "0")))
     c = c.select("*", F.explode(F.array(uscc_check_digit("body"))).alias("check"))
     body, check = F.col("body"), F.col("check")
@@ -131,7 +131,7 @@ def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = [row(F.concat(F.lit("住所：斤"), addr), 700, 370, 1100)]
     scope = [row("经营范围", 40, 480, 160), row("软件开发", 180, 480, 560), row("技术服务", 180, 510, 560), row("登记机关", 700, 700, 800)]
     boxes = _variants(v, [*head, *whole, *right, *money, *place, *scope], [*head, *cut, *same, *money, *place, *scope], [*head, *whole, *under, *money, *split, *scope], [*head, *cut, *right, *money, *joined, *scope])
-    return _page(c, boxes)
+    return _page(c, boxes, "l")
 
 
 def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +172,8 @@ def layout_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An 8 x 8 image of each embedding: 64 grey values, the other channels multiples of them."""
-    gray = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 1) * 127).cast("int"))))
+    """An 8 x 8 image of each embedding: its first 64 values (0 for missing ones) as grey values, the other channels multiples of them."""
+    value = lambda i: F.coalesce(F.get("embedding", i).cast("double"), F.lit(0.0))
+    gray = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((value(i) + 1) * 127).cast("int"))))
     pixel = lambda g: F.concat(F.lpad(F.hex(g), 2, "0"), F.lpad(F.hex(g * 3 % 256), 2, "0"), F.lpad(F.hex(g * 5 % 256), 2, "0"))
-    v = table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64)
-    return v.select(F.col("vec_id").cast("string").alias("doc_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), F.unhex(F.array_join(F.transform(gray, pixel), "")).alias("data"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), F.unhex(F.array_join(F.transform(gray, pixel), "")).alias("data"))

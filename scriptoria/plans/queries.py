@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,37 +54,54 @@ add("s02_suffix_of", lambda s, d: fixtures.table(s, d, "pages").select("page_id"
 
 
 def s01_read_ocr_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of all documents, written as JSON and read again by the schema."""
     at = shared_folder(spark)
-    fixtures.id_backs(spark, sf_dir).write.json(at)
-    return sources.read_ocr_json(spark, at).select("doc_id", F.size("texts").alias("n_texts"), F.array_join("texts", "|").alias("texts"), F.element_at("boxes", 1)[1].alias("first_top"))
+    fixtures.raw_ocr(spark, sf_dir).write.json(at)
+    return sources.read_ocr_json(spark, at).select("doc_id", F.size("texts").alias("n_texts"), F.size("scores").alias("n_scores"), F.array_join("texts", "|").alias("texts"), F.element_at("boxes", 1)[1].alias("first_top"))
 
 
-add("s01_read_ocr_json", s01_read_ocr_json, f"""
-WITH {sql.CUSTOMERS}, f AS (SELECT *, lpad(CAST(m AS VARCHAR), 2, '0') AS mm, lpad(CAST(d AS VARCHAR), 2, '0') AS dd, '年' || m || '月' || d || '日' AS md, 2000 + k % 20 AS a, 2020 + k % 20 AS z FROM c WHERE k % 3 = 1)
-SELECT CAST(k AS VARCHAR) AS doc_id, [2, 5, 4, 4][CAST(v + 1 AS INT)] AS n_texts, CASE v
-    WHEN 0 THEN '签发机关郑州市公安局|有效期限' || a || '.' || mm || '.' || dd || '-' || z || '.' || mm || '.' || dd
-    WHEN 1 THEN '签发机关|郑州市公安局|二分局|有效期限|' || a || md || '至' || z || md
-    WHEN 2 THEN '签发机关|郑州市公安局|有效期限|' || a || mm || dd || z || mm || dd
-    ELSE '签发|机关郑州市公安局|有效|期限' || a || '.' || mm || '.' || dd || '-长期' END AS texts, 40 AS first_top FROM f""")
+add("s01_read_ocr_json", s01_read_ocr_json, sql.lines("SELECT doc_id, CAST(count(*) AS INT) AS n_texts, CAST(count(*) FILTER (has_score) AS INT) AS n_scores, string_agg(raw, '|' ORDER BY line_no) AS texts, min(t) FILTER (line_no = 0) AS first_top FROM sized GROUP BY 1"))
+
+
+def s02_filter_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by their names' suffixes: as they are, and whatever their case."""
+    held = fixtures.table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.when(F.col("page_id") % 4 == 0, ".pdf").when(F.col("page_id") % 4 == 1, ".PDF").when(F.col("page_id") % 4 == 2, ".exe").otherwise("")).alias("name"))
+    out = []
+    for lower in (True, False):
+        kept, rest = pages.filter_supported(held, "name", ("pdf",), lower)
+        out += [kept.select("page_id", F.lit(lower).alias("any_case"), F.lit(True).alias("supported")), rest.select("page_id", F.lit(lower).alias("any_case"), F.lit(False).alias("supported"))]
+    return reduce(DataFrame.unionByName, out)
+
+
+add("s02_filter_supported", s02_filter_supported, """
+WITH n AS (SELECT page_id, url || ['.pdf', '.PDF', '.exe', ''][CAST(page_id % 4 + 1 AS INT)] AS name FROM pages), s AS (SELECT page_id, string_split(name, '.')[-1] AS suffix FROM n)
+SELECT page_id, true AS any_case, coalesce(lower(suffix) = 'pdf', false) AS supported FROM s UNION ALL SELECT page_id, false, coalesce(suffix = 'pdf', false) FROM s""")
 
 
 def s06_write_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed tables written and read again: how many rows of each type."""
     at = shared_folder(spark)
-    tables = documents.parse_layouts(pages.classify(pages.to_layouts(fixtures.all_documents(spark, sf_dir))))
+    sources.write_classified(pages.classify(pages.to_layouts(fixtures.all_documents(spark, sf_dir))), f"{at}/classified")
+    tables = documents.parse_layouts(spark.read.parquet(f"{at}/classified"))  # each parser reads the folder of its type
     sources.write_typed(tables, at)
     counts = [spark.read.parquet(f"{at}/{k}").select(F.lit(k).alias("doc_type")) for k in tables]
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3]).groupBy("doc_type").agg(F.count("*").alias("n"))
 
 
 KINDS = f"""WITH {sql.LINES}, {sql.CUSTOMERS}, kinds AS (
-    SELECT CAST(k AS VARCHAR) AS doc_id, CASE k % 3 WHEN 0 THEN 'id_front' WHEN 1 THEN 'id_back' ELSE 'business_license' END AS doc_type FROM c
+    SELECT 'f' || k AS doc_id, 'id_front' AS doc_type FROM c UNION ALL SELECT 'b' || k, 'id_back' FROM c UNION ALL SELECT 'l' || k, 'business_license' FROM c
     UNION ALL SELECT DISTINCT doc_id, 'unknown' FROM raw)"""
 add("s06_write_typed", s06_write_typed, f"{KINDS} SELECT doc_type, count(*) AS n FROM kinds GROUP BY 1")
-add("s05_envelope", lambda s, d: documents.to_envelope(documents.parse_documents(fixtures.id_backs(s, d).unionByName(fixtures.raw_ocr(s, d).filter(F.size("texts") == F.size("scores"))))), f"""
-WITH {sql.LINES}, back AS ({sql.BACK})
-SELECT doc_id, '{{"code":0,"msg":"success","data":{{"authority":"' || authority || '","valid_date":"' || valid_date || '"}}}}' AS response FROM back
-UNION ALL SELECT DISTINCT doc_id, '{{"code":500,"msg":"{documents.NOT_RECOGNISED}","data":null}}' FROM raw WHERE d % 5 <> 0""")
+#: What parse_documents gives for all documents, as SQL.
+PARSED = f"""
+WITH {sql.LINES}, f AS ({sql.FRONT}), k AS ({sql.BACK}), li AS ({sql.LICENCE}), pg AS (SELECT DISTINCT doc_id, d FROM raw),
+un AS (SELECT pg.doc_id, pg.d, coalesce(list(ln.text ORDER BY t, l, line_no) FILTER (ln.text IS NOT NULL), []) AS texts FROM pg LEFT JOIN ln ON ln.doc_id = pg.doc_id GROUP BY 1, 2), parsed AS (
+SELECT doc_id, 'id_front' AS doc_type, CAST(to_json({{'name': name, 'gender': gender, 'nation': nation, 'birthday': birthday, 'address': address, 'id_number': id_number}}) AS VARCHAR) AS data, CAST(NULL AS VARCHAR) AS error FROM f
+UNION ALL SELECT doc_id, 'id_back', CAST(to_json({{'authority': authority, 'valid_date': valid_date}}) AS VARCHAR), NULL FROM k
+UNION ALL SELECT doc_id, 'business_license', CAST(to_json({{{', '.join(f"'{x}': {x}" for x in licence.FIELDS)}}}) AS VARCHAR), NULL FROM li
+UNION ALL SELECT doc_id, 'unknown', CASE WHEN d % 5 <> 0 THEN CAST(to_json({{'type': 'unknown', 'error': '{documents.NOT_RECOGNISED}', 'raw_texts': texts}}) AS VARCHAR) END, CASE WHEN d % 5 = 0 THEN '{documents.MISALIGNED}' END FROM un)"""
+add("s05_envelope", lambda s, d: documents.to_envelope(documents.parse_documents(fixtures.all_documents(s, d))), f"""{PARSED}
+SELECT doc_id, CASE WHEN error IS NULL THEN '{{"code":0,"msg":"success","data":' || data || '}}' ELSE '{{"code":500,"msg":"' || error || '","data":null}}' END AS response FROM parsed""")
 
 # cleaning
 WS = r"[\s\v\x{85}\p{Z}]"
@@ -129,10 +147,29 @@ ONE = ("doc_id", "line_no", "text")
 PAIR = ("doc_id", "anchor_line_no", "line_no", "text")
 
 
-def _around(op: Callable[..., DataFrame], *more: str) -> Query:
+def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their first line that holds the word, by the nested forms: a page is a row, nothing is shuffled."""
+    return _layouts(spark, sf_dir).select("doc_id", "lines", L.find(F.col("lines"), WORD).alias("a")).filter("a is not null")
+
+
+def _around(op: Callable[[Column, Column], Column], one: bool = False, ranked: bool = False) -> Query:
+    """The lines that op finds around each page's anchor, or the one that it finds."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = op(F.col("lines"), F.col("a"))
+        each = F.posexplode(F.array(found) if one else found).alias("i", "x")
+        rank = [(F.col("i") + 1).alias("rank")] if ranked else []
+        return _anchored(spark, sf_dir).select("doc_id", F.col("a.line_no").alias("anchor_line_no"), each).filter("x is not null").select("doc_id", "anchor_line_no", "x.line_no", "x.text", *rank)
+
+    return query
+
+
+def _flat(op: Callable[..., DataFrame]) -> Query:
+    """The same by the flat forms, on the table of lines."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         held = _lines(spark, sf_dir)
-        return op(held, lines.find(held, WORD)).select(*PAIR, *more)
+        return op(held, lines.find(held, WORD)).select(*PAIR)
 
     return query
 
@@ -145,23 +182,26 @@ add("l04_find_any", lambda s, d: lines.find_any(_lines(s, d), "und", "que", "of"
 SELECT doc_id, line_no, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kw, t, l, line_no) AS n FROM (
     SELECT *, 0 AS kw FROM ln WHERE contains(text, 'und') UNION ALL SELECT *, 1 FROM ln WHERE contains(text, 'que') UNION ALL SELECT *, 2 FROM ln WHERE contains(text, 'of'))) WHERE n = 1"""))
 add("l05_find_all", lambda s, d: lines.find_all(_lines(s, d), WORD).select(*ONE), sql.lines("SELECT doc_id, line_no, text FROM ln WHERE contains(text, 'the')"))
-add("l06_same_row", _around(lines.same_row), sql.met("abs(cy - acy) <= 20"))
-add("l07_right_of", _around(lines.right_of), sql.met("l > ar AND abs(cy - acy) <= 20"))
-add("l08_left_of", _around(lines.left_of), sql.met("r < al AND abs(cy - acy) <= 20"))
-add("l09_below", _around(lines.below), sql.met("t > ab"))
-add("l10_above", _around(lines.above), sql.met("b < aty"))
-add("l11_nearest_below", _around(lines.nearest_below), sql.nearest("t > ab", "t - ab, abs(l - al)"))
-add("l12_nearest_above", _around(lines.nearest_above), sql.nearest("b < aty", "aty - b, abs(l - al)"))
-add("l13_nearest_right", _around(lines.nearest_right), sql.nearest("l > ar AND abs(cy - acy) <= 20", "l"))
+add("l06_same_row", _around(L.same_row), sql.met("abs(cy - acy) <= 20"))
+add("l07_right_of", _around(L.right_of), sql.met("l > ar AND abs(cy - acy) <= 20"))
+add("l08_left_of", _around(L.left_of), sql.met("r < al AND abs(cy - acy) <= 20"))
+add("l06_same_row_flat", _flat(lines.same_row), ORACLE_SQL["l06_same_row"])
+add("l11_nearest_below_flat", _flat(lines.nearest_below), sql.nearest("t > ab", "t - ab, abs(l - al)"))
+add("l09_below", _around(L.below), sql.met("t > ab"))
+add("l10_above", _around(L.above), sql.met("b < aty"))
+add("l11_nearest_below", _around(L.nearest_below, one=True), sql.nearest("t > ab", "t - ab, abs(l - al)"))
+add("l12_nearest_above", _around(L.nearest_above, one=True), sql.nearest("b < aty", "aty - b, abs(l - al)"))
+add("l13_nearest_right", _around(L.nearest_right, one=True), sql.nearest("l > ar AND abs(cy - acy) <= 20", "l"))
 add("l14_find_exact", lambda s, d: _layouts(s, d).select("doc_id", L.find_exact(F.col("lines"), "of", "de", "und").alias("x")).filter("x is not null").select("doc_id", "x.line_no", "x.text"), sql.lines("SELECT doc_id, line_no, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t, l, line_no) AS n FROM ln WHERE text IN ('of', 'de', 'und')) WHERE n = 1"))
 add("l15_find_contains", lambda s, d: _layouts(s, d).select("doc_id", L.find_contains(F.col("lines"), "und", "que", "of").alias("x")).filter("x is not null").select("doc_id", "x.line_no", "x.text"), sql.lines("SELECT doc_id, line_no, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t, l, line_no) AS n FROM ln WHERE regexp_matches(text, 'und|que|of')) WHERE n = 1"))
-add("l16_same_row_right", _around(lines.same_row_right), sql.met("line_no <> anchor_line_no AND abs(cy - acy) <= 20 AND cx > acx AND r > al"))
-add("l17_blocks_below", _around(lines.blocks_below, "rank"), sql.lines("SELECT doc_id, anchor_line_no, line_no, text, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, anchor_line_no ORDER BY t, l, line_no) AS n FROM met WHERE t >= ab AND t < ab + 100 AND l < ar AND r > al) WHERE n <= 5"))
+add("l16_same_row_right", _around(lambda x, a: L.same_row_right(x, a, 20)), sql.met("line_no <> anchor_line_no AND abs(cy - acy) <= 20 AND cx > acx AND r > al"))
+add("l17_blocks_below", _around(lambda x, a: L.blocks_below(x, a, a["bottom"] + 100, a["left"], a["right"], 5), ranked=True), sql.lines("SELECT doc_id, anchor_line_no, line_no, text, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, anchor_line_no ORDER BY t, l, line_no) AS n FROM met WHERE t >= ab AND t < ab + 100 AND l < ar AND r > al) WHERE n <= 5"))
 
 
 def l18_boundary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _lines(spark, sf_dir)
-    return lines.boundary_top(held, lines.find(held, WORD), "on")
+    wide = F.lit(1 << 30)
+    bound = L.boundary_top(F.col("lines"), F.col("a.top"), ("on",), -wide, wide, F.array_max(F.transform("lines", lambda x: x["bottom"])))
+    return _anchored(spark, sf_dir).select("doc_id", F.col("a.line_no").alias("anchor_line_no"), bound.alias("bound"))
 
 
 add("l18_boundary_top", l18_boundary_top, sql.lines("SELECT doc_id, anchor_line_no, least(coalesce(min(t) FILTER (t > aty AND contains(text, 'on')), max(b)), max(b)) AS bound FROM met GROUP BY 1, 2"))
@@ -187,12 +227,7 @@ add("l06_all_pairs_same_row", lambda s, d: lines.all_pairs_same_row(_lines(s, d)
 
 # classification and dispatch
 add("d01_detect", lambda s, d: pages.classify(pages.to_layouts(fixtures.all_documents(s, d))).select("doc_id", "doc_type"), f"{KINDS} SELECT * FROM kinds")
-add("d02_parse_documents", lambda s, d: documents.parse_documents(fixtures.all_documents(s, d)), f"""
-WITH {sql.LINES}, f AS ({sql.FRONT}), k AS ({sql.BACK}), li AS ({sql.LICENCE})
-SELECT doc_id, 'id_front' AS doc_type, CAST(to_json({{'name': name, 'gender': gender, 'nation': nation, 'birthday': birthday, 'address': address, 'id_number': id_number}}) AS VARCHAR) AS data, CAST(NULL AS VARCHAR) AS error FROM f
-UNION ALL SELECT doc_id, 'id_back', CAST(to_json({{'authority': authority, 'valid_date': valid_date}}) AS VARCHAR), NULL FROM k
-UNION ALL SELECT doc_id, 'business_license', CAST(to_json({{{', '.join(f"'{x}': {x}" for x in licence.FIELDS)}}}) AS VARCHAR), NULL FROM li
-UNION ALL SELECT DISTINCT doc_id, 'unknown', NULL, CASE WHEN d % 5 = 0 THEN '{documents.MISALIGNED}' ELSE '{documents.NOT_RECOGNISED}' END FROM raw""")
+add("d02_parse_documents", lambda s, d: documents.parse_documents(fixtures.all_documents(s, d)), f"{PARSED} SELECT * FROM parsed")
 add("d03_unknown_documents", lambda s, d: documents.unknown_documents(pages.classify(pages.to_layouts(fixtures.all_documents(s, d)))).select("doc_id", "type", "error", F.array_join("raw_texts", "|").alias("joined")), f"WITH {sql.LINES}, {PAGE_OF} SELECT pg.doc_id, 'unknown' AS type, '{documents.NOT_RECOGNISED}' AS error, coalesce(string_agg(text, '|' ORDER BY t, l, line_no), '') AS joined FROM pg LEFT JOIN ln ON ln.doc_id = pg.doc_id GROUP BY 1")
 
 # dates, codes, addresses, names
@@ -222,8 +257,8 @@ def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.licences(spark, sf_dir).select("doc_id", F.element_at("texts", 2).alias("shown"))
 
 
-add("f03_uscc_check_digit", lambda s, d: _codes(s, d).select("doc_id", T.uscc_check_digit(F.substring("shown", 1, 17)).alias("digit")), f"WITH {sql.CODES} SELECT CAST(k AS VARCHAR) AS doc_id, CASE WHEN v = 2 OR v = 1 AND contains(substr(body, 3, 6), '0') THEN NULL ELSE digit END AS digit FROM code WHERE k % 3 = 2")
-add("f04_is_valid_uscc", lambda s, d: _codes(s, d).select("doc_id", T.is_valid_uscc("shown").alias("valid")), f"WITH {sql.CODES} SELECT CAST(k AS VARCHAR) AS doc_id, v = 0 OR v = 1 AND NOT contains(substr(body, 3, 6), '0') AS valid FROM code WHERE k % 3 = 2")
+add("f03_uscc_check_digit", lambda s, d: _codes(s, d).select("doc_id", T.uscc_check_digit(F.substring("shown", 1, 17)).alias("digit")), f"WITH {sql.CODES} SELECT 'l' || k AS doc_id, CASE WHEN v = 2 OR v = 1 AND contains(substr(body, 3, 6), '0') THEN NULL ELSE digit END AS digit FROM code")
+add("f04_is_valid_uscc", lambda s, d: _codes(s, d).select("doc_id", T.is_valid_uscc("shown").alias("valid")), f"WITH {sql.CODES} SELECT 'l' || k AS doc_id, v = 0 OR v = 1 AND NOT contains(substr(body, 3, 6), '0') AS valid FROM code")
 add("f05_fix_credit_code", lambda s, d: _codes(s, d).select("doc_id", T.fix_credit_code("shown").alias("code")), f"SELECT doc_id, credit_code AS code FROM ({sql.LICENCE})")
 def _k() -> Column:
     return F.col("k")
@@ -270,7 +305,7 @@ def _fragments() -> Column:
 
 add("f15_complete_address_prefix", _on_customers(lambda: dict(address=T.complete_address_prefix(F.when(_k() % 5 == 4, "").when(_k() % 5 == 3, "河南省郑州市一路").otherwise("一路"), _company(), _code_of(), _fragments()))), f"""
 WITH {sql.CODES} SELECT k, CASE WHEN k % 5 = 4 THEN '' ELSE CASE WHEN k % 2 = 0 AND k % 5 <> 3 THEN '河南省' ELSE '' END || CASE WHEN k % 5 = 3 AND city = '郑州市' THEN '' ELSE city END || CASE WHEN k % 3 = 0 THEN '郑东新区' ELSE '' END || CASE WHEN k % 5 = 3 THEN '河南省郑州市一路' ELSE '一路' END END AS address FROM code""")
-add("f16_nearby_fragments", lambda s, d: pages.to_layouts(fixtures.licences(s, d)).withColumn("m", L.doc_metrics(F.col("lines"))).select("doc_id", F.array_join(L.nearby_fragments(F.col("lines"), L.find_contains(F.col("lines"), "金水路"), F.col("m.base_h"), F.col("m.width"), F.lit(600)), "|").alias("fragments")), f"WITH {sql.CUSTOMERS} SELECT CAST(k AS VARCHAR) AS doc_id, CASE WHEN v = 3 THEN '' WHEN v = 2 THEN '一号楼' ELSE '住所|一号楼' END AS fragments FROM c WHERE k % 3 = 2")
+add("f16_nearby_fragments", lambda s, d: pages.to_layouts(fixtures.licences(s, d)).withColumn("m", L.doc_metrics(F.col("lines"))).select("doc_id", F.array_join(L.nearby_fragments(F.col("lines"), L.find_contains(F.col("lines"), "金水路"), F.col("m.base_h"), F.col("m.width"), F.lit(600)), "|").alias("fragments")), f"WITH {sql.CUSTOMERS} SELECT 'l' || k AS doc_id, CASE WHEN v = 3 THEN '' WHEN v = 2 THEN '一号楼' ELSE '住所|一号楼' END AS fragments FROM c")
 
 
 # fields of cards, licences and letters
@@ -344,7 +379,7 @@ add("a07_parse_letters", _letters, sql.LETTERS)
 add("a08_layout_results_summary", lambda s, d: letters.layout_results_summary(sources.parse_layout_results(fixtures.layout_json(s, d))).select("doc_id", "pages_count", "markdown_text", F.array_join("image_names", ",").alias("image_names"), "method"), "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CAST(o_orderkey % 3 + 1 AS INT) AS pages_count, CASE WHEN o_orderkey % 10 <> 0 THEN 'p1-' || o_orderkey END AS markdown_text, CASE WHEN o_orderkey % 10 <> 0 THEN 'a' || o_orderkey || '.png' END AS image_names, 'layout' AS method FROM orders")
 
 # images
-GRAY = "g AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(greatest(0, least(255, floor((CAST(unnest(embedding) AS DOUBLE) + 1) * 127))) AS INT) AS v FROM embeddings WHERE len(embedding) = 64), y AS (SELECT vec_id, i, (114 * v + 587 * (v * 3 % 256) + 299 * (v * 5 % 256) + 500) // 1000 AS y FROM g)"
+GRAY = "g AS (SELECT vec_id, i, CAST(greatest(0, least(255, floor((coalesce(CAST(embedding[i] AS DOUBLE), 0) + 1) * 127))) AS INT) AS v FROM embeddings, range(1, 65) r(i)), y AS (SELECT vec_id, i, (114 * v + 587 * (v * 3 % 256) + 299 * (v * 5 % 256) + 500) // 1000 AS y FROM g)"
 
 
 def _images(step: Callable) -> Query:
@@ -367,12 +402,12 @@ add("i05_enhance_images", lambda s, d: images.enhance_images(fixtures.images(s,
 def t01_stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that arrive as JSON files, parsed by a stream until none is left."""
     at = shared_folder(spark)
-    fixtures.id_fronts(spark, sf_dir).unionByName(fixtures.id_backs(spark, sf_dir)).unionByName(fixtures.licences(spark, sf_dir)).write.json(f"{at}/in")
+    fixtures.all_documents(spark, sf_dir).write.json(f"{at}/in")
     stream_parse(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", available_now=True).awaitTermination()
     return spark.read.parquet(f"{at}/out").select("doc_id", "doc_type", "error")
 
 
-add("t01_stream_parse", t01_stream_parse, f"WITH {sql.CUSTOMERS} SELECT CAST(k AS VARCHAR) AS doc_id, CASE k % 3 WHEN 0 THEN 'id_front' WHEN 1 THEN 'id_back' ELSE 'business_license' END AS doc_type, CAST(NULL AS VARCHAR) AS error FROM c")
+add("t01_stream_parse", t01_stream_parse, f"{PARSED} SELECT doc_id, doc_type, error FROM parsed")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,8 @@ c AS (
 """
 
 FRONT = f"""
-WITH {CUSTOMERS}, f AS (SELECT *, '河南省渑池县洪阳镇' || han || '号' AS addr FROM c WHERE k % 3 = 0)
-SELECT CAST(k AS VARCHAR) AS doc_id, CASE WHEN v < 2 THEN '张' || han ELSE '' END AS name,
+WITH {CUSTOMERS}, f AS (SELECT *, '河南省渑池县洪阳镇' || han || '号' AS addr FROM c)
+SELECT 'f' || k AS doc_id, CASE WHEN v < 2 THEN '张' || han ELSE '' END AS name,
     CASE WHEN v IN (0, 2) THEN CASE WHEN k % 2 = 0 THEN '男' ELSE '女' END ELSE '' END AS gender, CASE WHEN v = 0 THEN '汉' ELSE '' END AS nation,
     CASE WHEN v < 2 THEN y || '年' || m || '月' || d || '日' ELSE '' END AS birthday,
     CASE v WHEN 0 THEN addr WHEN 1 THEN addr WHEN 2 THEN substr(addr, 1, 9) ELSE '' END AS address,
@@ -47,13 +47,15 @@ SELECT CAST(k AS VARCHAR) AS doc_id, CASE WHEN v < 2 THEN '张' || han ELSE '' E
 FROM f"""
 
 BACK = f"""
-WITH {CUSTOMERS}, f AS (SELECT *, '.' || lpad(CAST(m AS VARCHAR), 2, '0') || '.' || lpad(CAST(d AS VARCHAR), 2, '0') AS md FROM c WHERE k % 3 = 1)
-SELECT CAST(k AS VARCHAR) AS doc_id, '郑州市公安局' || CASE WHEN v = 1 THEN '二分局' ELSE '' END AS authority,
+WITH {CUSTOMERS}, f AS (SELECT *, '.' || lpad(CAST(m AS VARCHAR), 2, '0') || '.' || lpad(CAST(d AS VARCHAR), 2, '0') AS md FROM c)
+SELECT 'b' || k AS doc_id, '郑州市公安局' || CASE WHEN v = 1 THEN '二分局' ELSE '' END AS authority,
     (2000 + k % 20) || md || '-' || CASE WHEN v = 3 THEN '长期' ELSE (2020 + k % 20) || md END AS valid_date
 FROM f"""
 
+# The code's alphabet and weights, as in functions.text.
 ALPHABET = "0123456789ABCDEFGHJKLMNPQRTUWXY"
 WEIGHTS = "[1,3,9,27,19,26,16,17,20,29,25,13,8,24,10,30,28]"
+# Districts and their cities, as in functions.text.
 DISTRICTS = "['410100','410300','410500','410700','410800','410900','411000','411100','411200','411300','411400','411500','411600','411700','419001','330100']"
 CITY_NAMES = "['郑州市','洛阳市','安阳市','新乡市','焦作市','濮阳市','许昌市','漯河市','三门峡市','南阳市','商丘市','信阳市','周口市','驻马店市','济源市','']"
 CODES = f"""
@@ -65,10 +67,10 @@ code AS (SELECT *, (31 - total % 31) % 31 AS pos, substr('{ALPHABET}', CAST((31
 """
 LICENCE = f"""
 WITH {CODES}
-SELECT CAST(k AS VARCHAR) AS doc_id, body || CASE WHEN v = 3 THEN substr('{ALPHABET}', CAST((pos + 1) % 31 + 1 AS INT), 1) ELSE digit END AS credit_code,
+SELECT 'l' || k AS doc_id, body || CASE WHEN v = 3 THEN substr('{ALPHABET}', CAST((pos + 1) % 31 + 1 AS INT), 1) ELSE digit END AS credit_code,
     '河南省' || han || '有限公司' AS name, '有限责任公司' AS type_name, '张三' AS legal_person, '壹佰万元整' AS capital, '2019年06月24日' AS establish_date,
     '河南省' || city || '金水路' || han || '号' || CASE WHEN v = 3 THEN '' ELSE '一号楼' END AS address, '软件开发技术服务' AS business_scope
-FROM code WHERE k % 3 = 2"""
+FROM code"""
 
 PAGES = """
 o AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS c, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders),

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ def test_keywords_may_straddle_lines_and_bad_rows_stay_rows(spark):
     df = raw(spark, [("姓", 0, 0, 10, 10), ("名公民身份号码", 20, 0, 90, 10)], [("x", 0, 0, 9, 9)], [])
     out = {r["doc_id"]: r for r in documents.parse_documents(df.unionByName(df.filter("doc_id = '1'").withColumns({"doc_id": F.lit("bad"), "scores": F.array().cast("array<double>")}))).collect()}
     assert out["0"]["doc_type"] == "id_front" and out["0"]["error"] is None
-    assert out["1"]["error"] == documents.NOT_RECOGNISED and out["2"]["doc_type"] == "unknown"
+    assert out["1"]["error"] is None and json.loads(out["1"]["data"]) == {"type": "unknown", "error": documents.NOT_RECOGNISED, "raw_texts": ["x"]}
+    assert out["2"]["doc_type"] == "unknown"
     assert out["bad"]["error"] == documents.MISALIGNED
     empty = documents.parse_documents(df.limit(0))
     assert empty.count() == 0
@@ -109,4 +112,8 @@ def test_entry_registers_sql_for_known_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert pytest.approx(len(entry.queries()), abs=60) == 110
+    own = {k for k in entry.queries() if not k.startswith("op") and k != "pipeline"}
+    codes = ["s01", "s02", "s05", "s06", "a01", "a02", "a03", "a04", "a05", "a06", "a07", "a08", "a09", "d01", "d02", "d03", "t01"]
+    codes += [f"{c}{i:02}" for c, n in (("p", 12), ("l", 21), ("f", 16), ("x", 20), ("i", 5)) for i in range(1, n + 1)]
+    assert {k.split("_")[0] for k in own} == set(codes)
+    assert set(own) - set(entry.oracle_sql()) == {"i02_clahe", "i05_enhance_images"}
