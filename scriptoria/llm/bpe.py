@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import texts
 
 #: Widest tree that is merged in arrays, most pieces merged in one array, and most cached pieces of a worker.
-WIDE, ROWS, CACHED = 64, 16384, 1_200_000
+WIDE, ROWS, CACHED = 64, 16384, 500_000
 NONE = np.int64(1) << 60
 
 

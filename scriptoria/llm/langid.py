@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, texts
 
-BITS, RUN, CACHED = 17, 48, 600_000
+BITS, RUN, CACHED = 17, 48, 250_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
 
@@ -227,7 +227,7 @@ def label(text: Column, model: Crf, spark: SparkSession) -> Column:
         crf = sent.value
         for b in batches:
             b = b.fillna("")
-            parts = [_best(crf, part.tolist()) for _, part in b.groupby((b.str.len().cumsum() // 3_000_000).to_numpy(), sort=False)]
+            parts = [_best(crf, part.tolist()) for _, part in b.groupby((b.str.len().cumsum() // 1_500_000).to_numpy(), sort=False)]
             yield pd.concat(parts, ignore_index=True) if parts else _best(crf, [])
 
     return labelled(text)

@@ -59,7 +59,7 @@ class Words:
 
     def hashes(self, words: list[str]) -> np.ndarray:
         known = self.known
-        if len(known) > 800_000:
+        if len(known) > 400_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), SEED)

@@ -49,7 +49,7 @@ def word_number(word: bytes) -> int:
 class Numbers:
     """Numbers of words, with a bounded memory."""
 
-    def __init__(self, most: int = 700_000) -> None:
+    def __init__(self, most: int = 400_000) -> None:
         self.known, self.most = {}, most
 
     def of(self, words: Iterable[bytes]) -> dict[bytes, int]:
