@@ -7,29 +7,35 @@ schedule, and then after any number t of slots every source has more than w t -
 
 Weights are taken as they are: a float is a fraction, and all of them are whole numbers over one total, whatever its size, so releases and deadlines are exact and the bound holds for the
 weights that were given, over any number of slots and for any number of sources. When a source has used up its blocks, a phase ends: the next one shares the slots among the others by their
-weights, and counts anew. So every row is placed once, none is repeated or dropped, and the bound holds in each phase. The slots are worked out on the driver from one row count a source, a
-block at a time, and handed to Spark as a table of blocks (six numbers for block_rows rows); rows find their slot by a join with it, numbered without gathering a source in one task: rows are
-dealt to hashed buckets of bounded size, counted, and numbered inside a bucket from the bucket's offset.
+weights, and counts anew. So every row is placed once, none is repeated or dropped, and the bound holds in each phase.
 
-Defined results: a null source is the source ''. Rows that repeat take places of their own. An empty table gives an empty schedule.
-Sources that weights doesn't name, or to which it gives nothing, get the smallest weight that it gives to one of the others. Other columns are carried along.
+Slots are laid out by Spark, in chunks that know nothing of each other. What earliest deadline first has placed before slot t has a closed form: every source's floor(w t) whole blocks, and of the sources with a
+fraction of a block left, one block more for as many as make up t: in order of their deadlines, those that still fit, for from any time u on no more blocks can have been placed than there are slots to t. (Sets of
+blocks that fit before t are a matroid, and placing the earliest deadline first in each slot gives its greedy choice.) So a task starts at any slot from that state. The driver holds one row count a source, and finds
+where each phase ends by placing blocks from the release of the first last block on; both take the square of the number of sources.
+
+Rows are numbered without gathering a source in one task: they are dealt to hashed buckets of bounded size, counted, and numbered inside a bucket from the bucket's offset; a row finds its slot by a join on its
+source and block.
+
+Defined results: a null source is the source ''. Rows that repeat take places of their own; ties of hashes go by doc_id. An empty table gives an empty schedule. Sources that weights doesn't name, or to which it gives
+nothing, get the smallest weight that it gives to one of the others. Other columns, whatever their names, are carried along; `mix` puts its own mix_slot and mix_place in place of columns of these names.
 """
 
 from __future__ import annotations
 
 import heapq
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from math import lcm
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16
-#: Rows of a hashed bucket, about.
-BUCKET_ROWS = 1 << 14
+#: Rows of a hashed bucket, about, and slots of a chunk.
+BUCKET_ROWS, CHUNK = 1 << 12, 1 << 12
 
 
 def tempered_weights(counts: dict[str, int], exponent: float = 0.5) -> dict[str, float]:
@@ -37,123 +43,140 @@ def tempered_weights(counts: dict[str, int], exponent: float = 0.5) -> dict[str,
     return {s: float(n) ** exponent for s, n in counts.items() if n}
 
 
-def parts_of(weights: dict[str, float], parts: int | None = None) -> dict[str, int]:
-    """Whole numbers in the very proportions of the weights; or, where a number of parts is given, so many parts, one at least for each source, by largest remainder."""
-    if parts is None:
-        exact = {s: Fraction(w) for s, w in weights.items()}
-        below = lcm(*(x.denominator for x in exact.values()))
-        return {s: int(x * below) for s, x in exact.items()}
-    total = sum(weights.values())
-    near = {s: w / total * parts for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in near.items()}
-    for s in sorted(near, key=lambda s: (int(near[s]) - near[s], s))[: max(0, parts - sum(out.values()))]:
-        out[s] += 1
-    return out
+def parts_of(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the very proportions of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    below = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * below) for s, x in exact.items()}
 
 
-def place(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[int, str, int, int, int, int]]:
-    """(phase, source, block in the phase, and its slot, release and deadline in the phase), slot by slot: earliest deadline first among released blocks.
+def _whole_before(times: list[int], parts: list[int]) -> np.ndarray:
+    """ceil(w u), the blocks released before u, of each source (rows) at each time (columns)."""
+    size = sum(parts)
+    near = np.outer([p / size for p in parts], np.array(times, np.float64))
+    out = np.ceil(near)
+    for i, k in np.argwhere(np.abs(near - np.rint(near)) < 1e-6 + near * 1e-12).tolist():  # where floats can't tell
+        out[i, k] = -(-parts[i] * times[k] // size)
+    return out
 
-    blocks: how many blocks each source has. A phase ends with the slot in which a source's last block is placed.
-    """
-    left = {s: blocks[s] for s in sorted(blocks) if blocks[s]}
-    phase = 0
+
+def placed_before(t: int, parts: list[int]) -> list[int]:
+    """How many blocks of each source of a phase earliest deadline first has placed in the slots before t."""
+    size = sum(parts)
+    used = [p * t // size for p in parts]
+    begun = sorted((-(-(used[i] + 1) * size // p), i, used[i] * size // p) for i, p in enumerate(parts) if p * t % size)
+    if not begun:
+        return used
+    times = sorted({r for _, _, r in begun})
+    rank, whole = {r: k for k, r in enumerate(times)}, np.array(used, np.float64)
+    # slots from each time on that whole blocks released from then on leave free
+    room = t - np.array(times, np.float64) - np.maximum(0, whole[:, None] - _whole_before(times, parts)).sum(0)
+    left = t - sum(used)
+    for _, i, r in begun:
+        if not left:
+            break
+        k = rank[r] + 1
+        if room[:k].min() >= 1:
+            room[:k] -= 1
+            used[i] += 1
+            left -= 1
+    return used
+
+
+def phase_list(blocks: list[int], parts: list[int]) -> list[tuple[int, list[int], list[int]]]:
+    """(slots, sources, blocks of each placed before) of each phase; a phase ends with the slot in which a source's last block is placed."""
+    left = {i: n for i, n in enumerate(blocks) if n}
+    out = []
     while left:
-        size = sum(parts[s] for s in left)
-        used = dict.fromkeys(left, 0)
-        ready = [(-(-size // parts[s]), s, 0, 0) for s in left]  # deadline, source, block, release
-        heapq.heapify(ready)
-        coming: list[tuple[int, str]] = []  # release, source
-        slot = 0
-        while True:
-            while coming and coming[0][0] <= slot:
-                release, s = heapq.heappop(coming)
-                heapq.heappush(ready, (-(-(used[s] + 1) * size // parts[s]), s, used[s], release))
-            deadline, s, j, release = heapq.heappop(ready)
-            if deadline <= slot:
-                raise AssertionError("a block would miss its deadline")
-            yield phase, s, j, slot, release, deadline
-            used[s] += 1
-            slot += 1
-            if used[s] == left[s]:
+        live = list(left)
+        own, size = [parts[i] for i in live], sum(parts[i] for i in live)
+        # the first of the last blocks isn't placed before one of them is released
+        start, ends = min((left[i] - 1) * size // parts[i] for i in live), 0
+        for k, j, slot, _, _ in place(start, start + size, own):
+            if j + 1 == left[live[k]]:
+                ends = slot + 1
                 break
-            heapq.heappush(coming, (used[s] * size // parts[s], s))
-        left = {s: n - used[s] for s, n in left.items() if n > used[s]}
-        phase += 1
-
-
-def phases(blocks: dict[str, int], parts: dict[str, int]) -> tuple[list[tuple], list[tuple]]:
-    """(phase, source, first block, blocks, first slot, parts, sum of the phase's parts) and (phase, source, block in the phase, slot in the phase) rows."""
-    spans, slots, used, at = [], [], dict.fromkeys(blocks, 0), 0
-
-    def close(rows: list[tuple]) -> None:
-        live = sorted(s for s in blocks if used[s] < blocks[s])
-        for s in live:
-            n = sum(r[1] == s for r in rows)
-            spans.append((rows[0][0], s, used[s], n, at, parts[s], sum(parts[x] for x in live)))
-        for r in rows:
-            used[r[1]] += 1
-
-    held: list[tuple] = []
-    for row in place(blocks, parts):
-        if held and held[0][0] != row[0]:
-            close(held)
-            at, held = at + len(held), []
-        held.append(row[:4])
-        slots.append(row[:4])
-    if held:
-        close(held)
-    return spans, slots
-
-
-def block_table(blocks: dict[str, int], parts: dict[str, int]) -> pa.Table:
-    """__source, __block, __phase, __slot, __release and __deadline of every block, counted over all phases."""
-    names = sorted(blocks)
-    number = {s: i for i, s in enumerate(names)}
-    out = [array("q") for _ in range(6)]
-    before, start, last = dict.fromkeys(names, 0), 0, 0
-    for at, (phase, s, _, slot, release, deadline) in enumerate(place(blocks, parts)):
-        if phase != last:
-            start, last = at, phase
-        for held, x in zip(out, (number[s], before[s], phase, at, start + release, start + deadline), strict=True):
-            held.append(min(x, (1 << 63) - 1))  # a deadline further away than any slot
-        before[s] += 1
-    source = pa.DictionaryArray.from_arrays(pa.array(out[0], pa.int32()), pa.array(names, pa.string())).cast(pa.string())
-    return pa.table([source, *(pa.array(x, pa.int64()) for x in out[1:])], names=["__source", "__block", "__phase", "__slot", "__release", "__deadline"])
+        out.append((ends, live, [blocks[i] - left[i] for i in live]))
+        left = {i: left[i] - n for i, n in zip(live, placed_before(ends, own), strict=True) if left[i] > n}
+    return out
+
+
+def place(start: int, end: int, parts: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, its block, and the block's slot, release and deadline), for the slots of a phase from start on: earliest deadline first among released blocks."""
+    size, used = sum(parts), placed_before(start, parts)
+    release = lambda i: used[i] * size // parts[i]
+    deadline = lambda i: -(-(used[i] + 1) * size // parts[i])
+    ready = [(deadline(i), i, release(i)) for i in range(len(parts)) if release(i) <= start]
+    coming = [(release(i), i) for i in range(len(parts)) if release(i) > start]
+    heapq.heapify(ready)
+    heapq.heapify(coming)
+    for slot in range(start, end):
+        while coming and coming[0][0] <= slot:
+            r, i = heapq.heappop(coming)
+            heapq.heappush(ready, (deadline(i), i, r))
+        due, i, r = heapq.heappop(ready)
+        if due <= slot:
+            raise AssertionError("a block would miss its deadline")
+        yield i, used[i], slot, r, due
+        used[i] += 1
+        heapq.heappush(coming, (release(i), i))
+
+
+def block_table(docs: DataFrame, counts: dict[str, int], weights: dict[str, float], chunk: int = CHUNK) -> DataFrame:
+    """source, block, phase, slot, release and deadline of every block, counted over all phases; counts: blocks of each source."""
+    spark = docs.sparkSession
+    names = sorted(counts)
+    whole = parts_of(weights)
+    parts = [whole[s] for s in names]
+    found = phase_list([counts[s] for s in names], parts)
+    starts = [0]
+    for n, _, _ in found:
+        starts.append(starts[-1] + n)
+    chunks = sum(-(-n // chunk) for n, _, _ in found)
+    sent = spark.sparkContext.broadcast((names, parts, [(live, before) for _, live, before in found]))  # at most the square of the number of sources
+
+    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, parts, phases = sent.value
+        top = (1 << 63) - 1  # a deadline further away than any slot
+        for b in batches:
+            for phase, first, k, n in zip(b["phase"].tolist(), b["first"].tolist(), b["k"].tolist(), b["n"].tolist(), strict=True):
+                live, before = phases[phase]
+                got = place(k * chunk, min((k + 1) * chunk, n), [parts[i] for i in live])
+                out = [(names[live[i]], before[i] + j, phase, first + slot, first + r, min(first + due, top)) for i, j, slot, r, due in got]
+                yield pd.DataFrame(out, columns=["source", "block", "phase", "slot", "release", "deadline"])
+
+    held = spark.createDataFrame([(k, starts[k], n) for k, (n, _, _) in enumerate(found)], "phase int, first long, n long")
+    held = held.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {chunk} as int)"))).alias("k")).repartition(max(1, -(-chunks // 16)))
+    return held.mapInPandas(rows, "source string, block long, phase int, slot long, release long, deadline long")
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 42) -> DataFrame:
-    """docs with __slot (of the block), __place (in the block), __phase, __block, __release and __deadline (in slots).
+    """row (a struct of the columns of docs), phase, block, slot (of the block, over all phases), place (in the block), release and deadline (in slots).
 
     weights: target weights by source, whatever their sum; None: in proportion to the root of the sources' sizes.
     """
-    spark = docs.sparkSession
-    named = docs.withColumn("__source", F.coalesce(F.col("source"), F.lit(""))).withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    counts = {r["__source"]: r["n"] for r in named.groupBy("__source").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
+    source = F.coalesce(F.col("source"), F.lit(""))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("source"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    counts = {r["source"]: r["n"] for r in docs.groupBy(source.alias("source")).agg(F.count("*").alias("n")).collect()}  # a row a source
     weights = tempered_weights(counts) if weights is None else {s: float(weights.get(s) or 0.0) for s in counts}
     least = min((w for w in weights.values() if w > 0), default=1.0)
-    parts = parts_of({s: w if w > 0 else least for s, w in weights.items()})
-    table = block_table({s: -(-n // block_rows) for s, n in counts.items()}, parts)
-
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    dealt = named.withColumn("__bucket", F.pmod(F.shiftright("__h", 20), F.lit(buckets)))
-    sizes = named.select("__source", F.pmod(F.shiftright("__h", 20), F.lit(buckets)).alias("__bucket")).groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__h", "doc_id")
-    numbered = dealt.withColumn("__n", F.row_number().over(inside)).join(offsets, ["__source", "__bucket"]).withColumn("__i", F.col("__before") + F.col("__n") - 1)
+    table = block_table(docs, {s: -(-n // block_rows) for s, n in counts.items()}, {s: w if w > 0 else least for s, w in weights.items()})
 
-    numbered = numbered.withColumn("__block", F.expr(f"__i div {block_rows}")).withColumn("__place", F.col("__i") % block_rows)
-    placed = numbered.join(spark.createDataFrame(table), ["__source", "__block"])
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], "__phase", "__block", "__slot", "__place", "__release", "__deadline")
+    buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
+    dealt = named.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
+    sizes = dealt.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "row.doc_id")
+    numbered = dealt.withColumn("n", F.row_number().over(inside)).join(offsets, ["source", "bucket"]).withColumn("i", F.col("before") + F.col("n") - 1)
+    numbered = numbered.select("row", "source", F.expr(f"i div {block_rows}").alias("block"), (F.col("i") % block_rows).alias("place"))
+    return numbered.join(table, ["source", "block"]).select("row", "phase", "block", "slot", "place", "release", "deadline")
 
 
 def schedule_rows(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """doc_id, source, phase, block, slot, place, release_slot and deadline_slot of every row; texts stay where they are."""
     slim = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).cast("string").alias("text"))
-    out = schedule(slim, weights)
-    return out.select("doc_id", "source", F.col("__phase").alias("phase"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__place").alias("place"), F.col("__release").alias("release_slot"), F.col("__deadline").alias("deadline_slot"))
+    return schedule(slim, weights).select("row.doc_id", "row.source", "phase", "block", "slot", "place", F.col("release").alias("release_slot"), F.col("deadline").alias("deadline_slot"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, placed: bool = False) -> DataFrame:
@@ -161,5 +184,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, placed: bool =
 
     placed: whether the slot, and the place in it, are added as mix_slot and mix_place; readers that pack files in another order need them.
     """
-    more = [F.col("__slot").alias("mix_slot"), F.col("__place").alias("mix_place")] if placed else []
-    return schedule(docs, weights).orderBy("__slot", "__place").select(*[F.col(f"`{c}`") for c in docs.columns], *more)
+    more = {"slot": "mix_slot", "place": "mix_place"} if placed else {}
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in more.values()]
+    return schedule(docs, weights).orderBy("slot", "place").select(*kept, *[F.col(c).alias(name) for c, name in more.items()])

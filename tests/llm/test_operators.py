@@ -33,45 +33,57 @@ def fold(i, n):
 
 
 # 1
-def test_schedule_against_earliest_deadline_first():
+def earliest_deadline_first(blocks, parts):
+    """(phase, source, block in all, slot, release, deadline) slot by slot, each chosen among all released blocks."""
+    left, used, at, phase = dict(enumerate(blocks)), Counter(), 0, 0
+    left = {i: n for i, n in left.items() if n}
+    while left:
+        size, own, t = sum(parts[i] for i in left), Counter(), 0
+        while all(own[i] < n for i, n in left.items()):
+            ready = [(-(-(own[i] + 1) * size // parts[i]), i, own[i] * size // parts[i]) for i in left if own[i] * size // parts[i] <= t]
+            due, i, r = min(ready)
+            assert due > t
+            yield phase, i, used[i], at + t, at + r, at + due
+            own[i] += 1
+            used[i] += 1
+            t += 1
+            assert all(abs(own[k] * size - t * parts[k]) < size for k in left)  # under one block
+        left = {i: n - own[i] for i, n in left.items() if n > own[i]}
+        at, phase = at + t, phase + 1
+
+
+def test_chunks_against_earliest_deadline_first():
+    """Chunks of any length, each from the closed form of what was placed before it, give the one schedule."""
     rng = np.random.default_rng(0)
-    for _ in range(25):
-        k = int(rng.integers(1, 6))
-        blocks = {f"s{i}": int(rng.integers(0, 200)) for i in range(k)}
-        parts = mixing.parts_of({s: float(rng.random()) + 0.01 for s in blocks}, int(rng.choice([17, 100])))
-        spans, slots = mixing.phases(blocks, parts)
-        look, at = {(p, s, j): t for p, s, j, t in slots}, {}
-        for p, s, first, n, start, q, period in spans:
-            for j in range(n):
-                at[s, first + j] = (start + j // q * period + look[p, s, j % q], p)
-        assert sorted(t for t, _ in at.values()) == list(range(sum(blocks.values())))
-        by_slot = {t: s for (s, _), (t, _) in at.items()}
-        for phase in {p for p, *_ in spans}:
-            rows = [r for r in spans if r[0] == phase]
-            count = Counter()
-            for t in range(sum(r[3] for r in rows)):
-                count[by_slot[rows[0][4] + t]] += 1
-                assert all(abs(count[r[1]] - (t + 1) * r[5] / r[6]) < 1 for r in rows)
-
-
-@pytest.mark.parametrize(("sources", "blocks"), [(7, 9000), (3000, 12)])
-def test_blocks_keep_to_the_weights_as_given(sources, blocks):
-    """Over many thousands of slots, and for thousands of sources, the first phase is under one block off the weights themselves."""
+    for trial in range(40):
+        k = int(rng.integers(1, 9))
+        blocks = [int(n) for n in rng.integers(0, 150, k)]
+        weights = {f"s{i}": float(rng.random() ** 3 + 1e-3) if trial % 2 else float(rng.integers(1, 12)) for i in range(k)}
+        parts = list(mixing.parts_of(weights).values())
+        want = list(earliest_deadline_first(blocks, parts))
+        got, at = [], 0
+        for phase, (n, live, before) in enumerate(mixing.phase_list(blocks, parts)):
+            step = int(rng.integers(1, 40))
+            for start in range(0, n, step):
+                for i, j, slot, r, due in mixing.place(start, min(start + step, n), [parts[i] for i in live]):
+                    got.append((phase, live[i], before[i] + j, at + slot, at + r, at + due))
+            at += n
+        assert got == want
+
+
+@pytest.mark.parametrize(("sources", "slots"), [(7, 40_000), (3000, 6000)])
+def test_blocks_keep_to_the_weights_as_given(sources, slots):
+    """Over many thousands of slots, and for thousands of sources, the blocks placed are under one block off the weights themselves."""
     rng = np.random.default_rng(3)
     weights = {f"s{i:04}": float(w) for i, w in enumerate(rng.random(sources) ** 3 + 1e-4)}
     share = np.array(list(weights.values())) / sum(weights.values())
-    count, slots = np.zeros(sources), 0
-    for phase, s, _, slot, release, deadline in mixing.place(dict.fromkeys(weights, blocks), mixing.parts_of(weights)):
-        if phase:
-            break
-        count[int(s[1:])] += 1
-        slots = slot + 1
+    count = np.zeros(sources)
+    for i, _, slot, release, deadline in mixing.place(0, slots, list(mixing.parts_of(weights).values())):
+        count[i] += 1
         assert release <= slot < deadline
-        assert np.abs(count - share * slots).max() < 1 + 1e-6
-    assert slots > blocks
-    if sources == 7:
-        rounded = mixing.parts_of(weights, 1000)
-        assert max(abs(rounded[s] / 1000 - share[int(s[1:])]) for s in weights) * slots > 1  # what whole thousandths would be off by
+        if slot % 7 == 0:
+            assert np.abs(count - share * (slot + 1)).max() < 1 + 1e-6
+    assert mixing.placed_before(slots, list(mixing.parts_of(weights).values())) == count.astype(int).tolist()
 
 
 def test_rows_take_the_slots_of_their_blocks(spark):
@@ -79,10 +91,12 @@ def test_rows_take_the_slots_of_their_blocks(spark):
     weights = {"a": 0.61803, "b": 0.27183}
     rows = mixing.schedule_rows(docs, weights).collect()
     counts = Counter(r["source"] for r in rows)
-    parts = mixing.parts_of({**weights, "c": 0.27183})
-    at = {(s, b): (slot, phase) for s, b, phase, slot, *_ in zip(*mixing.block_table({s: -(-n // 16) for s, n in counts.items()}, parts).to_pydict().values(), strict=True)}
+    parts = list(mixing.parts_of({**weights, "c": 0.27183}).values())
+    want = {("abc"[i], b): (phase, slot, r, due) for phase, i, b, slot, r, due in earliest_deadline_first([-(-counts[s] // 16) for s in "abc"], parts)}
     assert len(rows) == 3000 and len({(r["slot"], r["place"]) for r in rows}) == 3000
-    assert all(at[r["source"], r["block"]] == (r["slot"], r["phase"]) and r["release_slot"] <= r["slot"] < r["deadline_slot"] for r in rows)
+    assert all(want[r["source"], r["block"]] == (r["phase"], r["slot"], r["release_slot"], r["deadline_slot"]) for r in rows)
+    table = mixing.block_table(docs, {s: -(-n // 16) for s, n in counts.items()}, {**weights, "c": 0.27183}, chunk=10).collect()
+    assert {(r["source"], r["block"]): (r["phase"], r["slot"], r["release"], r["deadline"]) for r in table} == want and len(table) == len(want)
 
 
 def test_mixing_keeps_every_row(edge, empty):
@@ -90,6 +104,10 @@ def test_mixing_keeps_every_row(edge, empty):
     out = mixing.mix(edge)
     assert out.columns == edge.columns and sorted(map(str, out.collect())) == sorted(map(str, edge.collect()))
     assert mixing.mix(empty).count() == 0
+    clash = edge.selectExpr("*", "1 AS phase", "2 AS slot", "3 AS mix_slot", "4 AS row", "5 AS bucket", "6 AS __h")
+    out = mixing.mix(clash, placed=True)
+    assert set(out.columns) == {*clash.columns, "mix_place"} and out.count() == len(EDGE)
+    assert {(r["phase"], r["slot"], r["row"], r["bucket"], r["__h"]) for r in out.collect()} == {(1, 2, 4, 5, 6)}
 
 
 # 2
@@ -516,6 +534,6 @@ def test_pipeline_returns_the_mixture(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     left = docs.join(spark.createDataFrame([(r["doc_id"],) for r in out], "doc_id long"), "doc_id", "left_semi").select(*docs.columns)
-    want = {r["doc_id"]: (r["__slot"], r["__place"]) for r in mixing.schedule(left).collect()}
+    want = {r["doc_id"]: (r["slot"], r["place"]) for r in mixing.schedule(left).select("row.doc_id", "slot", "place").collect()}
     assert {r["doc_id"]: (r["mix_slot"], r["mix_place"]) for r in out} == want
     assert len(set(want.values())) == len(out) > 1
