@@ -3,80 +3,122 @@
 Counts come from every training text. The root's distribution is the base, (c + 1) / (N + V + 1). A next word t is stored after a context s if the two occur together `LEAST` times; so a context can only
 be stored with a suffix that is, and sequences are found level by level. A context with stored next words is retained if its distribution over them, and over all others taken together, diverges from that of its
 longest retained suffix: 2 n KL must exceed what chance gives (a chi-square of as many degrees as stored next words, by four standard deviations). Contexts of one and two words are all tested, a longer one if
-the one shorter by its first word is retained; levels are added until one retains none. At a retained context s, which stands before n words, m of them stored ones, d distinct, the next word t has
+the one shorter by its first word is retained; levels are added until one retains none, up to the order of the tree, `ORDER` words. At a retained context s, which stands before n words, m of them stored ones, d distinct, the next word t has
 P(t | s) = (c(s, t) + (d + n - m) P(t | suffix of s)) / (n + d), where c is 0 if t isn't stored: what the context doesn't store goes to its suffix, so each distribution sums to 1. A text is scored by the
 longest retained suffix at each word.
 
 The tree is a table that grows with the texts: (context, next) pairs are counted by groupBy, whatever their share of the corpus, under 64-bit keys hashed from the words. log P(t | s) is a sum: the
 base, the escape log (d + n - m) / (n + d) of each retained suffix, and for each (suffix, next) that is stored what it adds to the escape. So a text's score is a sum over keys, met by one join.
 The `HEAD` most frequent words and the `HOT` most frequent keys are broadcast and looked up in the task; of the others only those that may be in the table, by a filter of at most
-2^28 bits without false negatives, are sent to the join. Neither changes a score.
+2^28 bits without false negatives, are sent to the join. Neither changes a score. Words and pairs are counted in one pass over the texts, contexts of two words in a second; longer ones in runs of words whose every
+three are stored, written in a third.
 
-Defined results: a null text counts as empty: it is the end token alone. Without training texts N and V are 0. Rows that repeat count, and are scored, each. Only doc_id and text are read.
+Defined results: a null text counts as empty: it is the end token alone. Without training texts N and V are 0. Rows that repeat count, and are scored, each; equal texts get
+equal scores. A text of any length is read whole. Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, fold_of, texts
 
-#: Occurrences that a stored next word has after its context, at least: the usual least count of a cell for a chi-square.
-LEAST = 5
+#: Occurrences that a stored next word has after its context, at least (the usual least count of a cell for a chi-square), and words of the longest context.
+LEAST, ORDER = 5, 5
 #: Words and entries that are broadcast and looked up in the task, at most; all others are met by a join. This changes where the work is done only.
 HEAD, HOT = 1 << 18, 1 << 20
 END = -(1 << 63)  # no word has this number
-ALL = END + 1  # stands for any next word
+ALL, STOP = END + 1, END + 2  # any next word; the end of a run
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.int32)
+_PLACES = 512
+_RANDOM = np.random.default_rng(0x5EED).integers(0, 1 << 64, _PLACES * 256, np.uint64)
 
 
-def words_of(text: str) -> list[bytes]:
-    """The words of a text, lower-cased in A-Z, split at the six white-space characters of ASCII."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def _stirred(x: np.ndarray) -> np.ndarray:
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
 
 
-def word_number(word: bytes) -> int:
-    return max(ALL + 1, xxhash.xxh3_64_intdigest(word) - (1 << 63))
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two numbers, in order."""
+    return _stirred(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)).view(np.int64)
+
 
+def tokens_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words of texts, starts of texts, and the text of each token. Each text ends with the end token.
 
-class Numbers:
-    """Numbers of words, with a bounded memory."""
+    Words are lower-cased in A-Z and split at the six white-space characters of ASCII. A word's number is hashed from its bytes: a random number for each byte at its place, summed.
+    """
+    data = [t.encode("utf-8", "surrogatepass") for t in batch]
+    size = np.fromiter(map(len, data), np.int64, len(data)) + 1
+    raw = np.frombuffer(b"\n".join([*data, b""]), np.uint8)
+    inside = ~_SPACE[raw]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = np.flatnonzero(first)
+    at = np.flatnonzero(inside)
+    begin = np.searchsorted(at, starts)
+    length = np.diff(np.append(begin, len(at)))
+    place = np.arange(len(at)) - np.repeat(begin, length)
+    value = _RANDOM[((place % _PLACES) << 8) | _LOWER[raw[at]]]
+    far = np.flatnonzero(place >= _PLACES)
+    value[far] = _stirred(value[far] + (place[far] // _PLACES).astype(np.uint64))
+    word = np.add.reduceat(value, begin) if len(begin) else np.zeros(0, np.uint64)
+    word = np.maximum(_stirred(word).view(np.int64), STOP + 1)
+    ends = size.cumsum()
+    words = np.searchsorted(starts, ends) - np.searchsorted(starts, ends - size)  # of each text
+    n = words + 1
+    last = n.cumsum() - 1
+    number = np.full(int(n.sum()), END, np.int64)
+    inner = np.ones(len(number), bool)
+    inner[last] = False
+    number[inner] = word
+    new = np.zeros(len(number), bool)
+    new[last + 1 - n] = True
+    return number, new, np.repeat(np.arange(len(batch)), n)
 
-    def __init__(self, most: int = 400_000) -> None:
-        self.known, self.most = {}, most
 
-    def of(self, words: Iterable[bytes]) -> dict[bytes, int]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        self.known.update((w, word_number(w)) for w in set(words).difference(self.known))
-        return self.known
+def _summed(*columns: np.ndarray) -> pd.DataFrame:
+    """context, shorter, word and c, with c summed for each context and word. Rows of one context follow each other, which packs well."""
+    context, shorter, word, c = columns
+    order = np.lexsort((word, context))
+    context, shorter, word, c = context[order], shorter[order], word[order], c[order]
+    new = np.ones(len(context), bool)
+    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+    at = np.flatnonzero(new)
+    return pd.DataFrame({"context": context[at], "shorter": shorter[at], "word": word[at], "c": np.add.reduceat(c, at) if len(at) else c})
 
 
 def _count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, n) summed for about a million words at a time; the end token has the number END."""
-    counts: Counter = Counter()
-    docs = 0
+    """(context, word, c) of single words (their context is END) and pairs of words, summed for a few million words at a time."""
+    found, size = [], 0
 
     def out() -> pd.DataFrame:
-        rows = pd.DataFrame({"word": [END, *map(word_number, counts)], "n": [docs, *counts.values()]}, dtype="int64")
-        counts.clear()
-        return rows
+        number, new = (np.concatenate(x) for x in zip(*found, strict=True))
+        word, n = np.unique(number, return_counts=True)
+        at = np.flatnonzero(~new[1:]) + 1
+        none = np.zeros(len(at), np.int64)
+        pairs = _summed(number[at - 1], none, number[at], none + 1)
+        return pd.concat([pd.DataFrame({"context": np.full(len(word), END), "word": word, "c": n}), pairs[["context", "word", "c"]]])
 
     for b in batches:
-        for t in b["text"]:
-            counts.update(words_of(t))
-        docs += len(b)
-        if len(counts) > 1_000_000:
-            yield out()
-            docs = 0
-    yield out()
+        for part in _parts(b):
+            number, new, _ = tokens_of(part["text"].tolist())
+            found.append((number, new))
+            size += len(number)
+            if size > 4_000_000:
+                yield out()
+                found, size = [], 0
+    if found:
+        yield out()
 
 
 class Head:
@@ -95,34 +137,11 @@ class Head:
         return np.where(self.words[at] == numbers, at, -1)
 
 
-def _tokens(numbers: Numbers, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of words, starts of texts, and the text of each token; each text ends with the end token."""
-    split = [words_of(t) for t in batch]
-    known = numbers.of(w for s in split for w in s)
-    size = np.fromiter((len(s) + 1 for s in split), np.int64, len(split))
-    number = np.full(int(size.sum()), END, np.int64)
-    ends = size.cumsum() - 1
-    inner = np.ones(len(number), bool)
-    inner[ends] = False
-    number[inner] = np.fromiter((known[w] for s in split for w in s), np.int64, int(inner.sum()))
-    starts = np.zeros(len(number), bool)
-    starts[ends + 1 - size] = True
-    return number, starts, np.repeat(np.arange(len(split)), size)
-
-
 def _parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for _, part in b.groupby((b["text"].str.len().cumsum() // 4_000_000).to_numpy(), sort=False):
+    for _, part in b.groupby((b["text"].str.len().cumsum() // 2_000_000).to_numpy(), sort=False):
         yield part
 
 
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of two numbers, in order."""
-    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
-    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
-
-
 def _contexts(number: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length up to depth: the tokens that have so many words before them, and the keys of these contexts; a suffix's key comes before that of the longer context."""
     first = np.maximum.accumulate(np.where(starts, np.arange(len(number)), 0))
@@ -165,41 +184,38 @@ def _entry(node: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(~node, word)
 
 
-def _count_level(docs: DataFrame, depth: int, attested: Filter, kept: Filter | None) -> DataFrame:
+def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter | None) -> DataFrame:
     """context, shorter (its suffix), word and c of every (context, next) that occurs `LEAST` times, with contexts of `depth` words; and how often each such context occurs, as the word `ALL`.
 
-    attested: keys of the sequences of `depth` words that occur `LEAST` times. Of a sequence that does, the context and all but its first word do too. kept: suffixes whose longer contexts are wanted; None: any.
+    source: texts, or runs of words in which all longer sequences that matter stand. attested: keys of the sequences of `depth` words that are entries of the level before. Of a sequence that
+    occurs `LEAST` times, the context and all but its first word do too. kept: suffixes whose longer contexts are wanted; None: any.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((attested, kept))
+    sent = source.sparkSession.sparkContext.broadcast((attested, kept))
+    runs = "run" in source.columns
 
     def pair_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (attested, kept), numbers, found, size = sent.value, Numbers(), [], 0
+        (attested, kept), found, size = sent.value, [], 0
 
         def out() -> pd.DataFrame:
-            context, shorter, word, c = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((word, context))  # rows of one context follow each other, which packs well
-            context, shorter, word, c = context[order], shorter[order], word[order], c[order]
-            new = np.ones(len(context), bool)
-            new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
-            at = np.flatnonzero(new)
-            return pd.DataFrame({"context": context[at], "shorter": shorter[at], "word": word[at], "c": np.add.reduceat(c, at) if len(at) else c})
+            return _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
         for b in batches:
-            for part in _parts(b):
-                number, starts, _ = _tokens(numbers, part["text"].tolist())
+            for number, new in _run_tokens(b) if runs else (tokens_of(part["text"].tolist())[:2] for part in _parts(b)):
                 own = shorter = np.zeros(len(number), np.int64)
-                for k, (at, node) in enumerate(_contexts(number, starts, depth), 1):
+                for at, node in _contexts(number, new, depth):
                     own, shorter = np.zeros(len(number), np.int64), own
                     own[at] = node
                 # a sequence of `depth` words is an entry of the level before
-                often = attested.has(number if depth == 1 else _entry(shorter, number))
+                often = attested.has(_entry(shorter, number))
+                at = at[number[at - 1] != END]
                 if depth <= 3:  # up to there entries of all contexts are at hand
                     at = at[often[at - 1]]
                 if kept is not None:
                     at = at[kept.has(shorter[at])]
-                context, n = np.unique(own[at], return_counts=True)
-                found.append((context, np.zeros_like(context), np.full_like(context, ALL), n))
-                at = at[often[at]]
+                if runs:
+                    context, n = np.unique(own[at], return_counts=True)
+                    found.append((context, np.zeros_like(context), np.full_like(context, ALL), n))
+                at = at[often[at] & (number[at] != STOP)]
                 found.append((own[at], shorter[at], number[at], np.ones(len(at), np.int64)))
                 size += len(at)
                 if size > 4_000_000:
@@ -208,52 +224,103 @@ def _count_level(docs: DataFrame, depth: int, attested: Filter, kept: Filter | N
         if found:
             yield out()
 
-    rows = docs.select("text").mapInPandas(pair_rows, "context long, shorter long, word long, c long")
+    rows = source.mapInPandas(pair_rows, "context long, shorter long, word long, c long")
     return checkpointed(rows.groupBy("context", "word").agg(F.max("shorter").alias("shorter"), F.sum("c").alias("c")).filter(F.col("c") >= LEAST))
 
 
+def _run_tokens(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the words of runs, and starts of runs."""
+    for k in range(0, len(b), 2048):
+        held = [np.asarray(x, np.int64) for x in b["run"].iloc[k : k + 2048]]
+        number = np.concatenate(held)
+        new = np.zeros(len(number), bool)
+        new[0] = True
+        new[1:] = number[:-1] == STOP
+        yield number, new
+
+
+def _runs(docs: DataFrame, attested: Filter) -> DataFrame:
+    """run: of each text the runs of words whose every three words are in attested, each followed by STOP. All longer sequences that occur `LEAST` times stand in them."""
+    sent = docs.sparkSession.sparkContext.broadcast(attested)
+
+    def run_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in _parts(b):
+                number, new, text = tokens_of(part["text"].tolist())
+                node = np.zeros(len(number), np.int64)
+                for at, found in _contexts(number, new, 2):
+                    far, pair = at, found
+                node[far] = pair
+                third = np.zeros(len(number) + 1, bool)  # whether a word ends three attested ones
+                third[far] = sent.value.has(_entry(pair, number[far]))
+                third[-1] = False
+                held = third[:-1].copy()  # words of any such three
+                held[:-1] |= third[1:-1]
+                held[:-2] |= third[2:-1]
+                # a run breaks where a word that is held doesn't end such three, but for the first two of a run
+                ends = np.flatnonzero(held & ~third[1:] & third[:-1])
+                firsts = np.flatnonzero(third[:-1] & ~np.concatenate([[False], third[:-2]])) - 2
+                size = ends - firsts + 1
+                if not len(size):
+                    continue
+                before = (size + 1).cumsum() - (size + 1)
+                where = np.arange(int((size + 1).sum())) - np.repeat(before, size + 1)
+                stop = where == np.repeat(size, size + 1)
+                run = np.where(stop, STOP, number[np.minimum(np.repeat(firsts, size + 1) + where, len(number) - 1)])
+                of = np.repeat(text[firsts], size + 1)
+                cut = np.flatnonzero(np.diff(of)) + 1
+                yield pd.DataFrame({"run": np.split(run, cut)})
+
+    return checkpointed(docs.select("text").mapInPandas(run_rows, "run array<long>"))
+
+
 def _keyed(rows: DataFrame, depth: int) -> DataFrame:
-    """Entries with their key and that of the same next word after the suffix."""
+    """Entries with their key, that of the same next word after the suffix, and that of the context of the two together."""
 
     def keys(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             context, shorter, word = (b[x].to_numpy(np.int64) for x in ("context", "shorter", "word"))
-            yield pd.DataFrame({"key": _entry(context, word), "context": context, "suffix_key": word if depth == 1 else _entry(shorter, word), "c": b["c"].to_numpy()})
+            yield pd.DataFrame({"key": _entry(context, word), "context": context, "suffix_key": word if depth == 1 else _entry(shorter, word), "both": _mixed(word, context), "c": b["c"].to_numpy()})
 
-    return rows.filter(F.col("word") != ALL).mapInPandas(keys, "key long, context long, suffix_key long, c long")
+    return rows.filter(F.col("word") != ALL).mapInPandas(keys, "key long, context long, suffix_key long, both long, c long")
 
 
-def _weighed(rows: DataFrame, before: DataFrame, depth: int) -> DataFrame:
-    """Entries: key, context, c, p (of the longest retained suffix, the context among them), n of the context, its escape, whether it is kept, and what the entry adds to the escape.
+def _weighed(entries: DataFrame, totals: DataFrame, before: DataFrame) -> DataFrame:
+    """Entries: key, context, both, c, p (of the longest retained suffix, the context among them), n of the context, its escape, whether it is kept, and what the entry adds to the escape.
 
-    rows: as counted; before: key and p of the suffixes' entries.
+    totals: context and n; before: key and p of the suffixes' entries.
     """
-    met = _keyed(rows, depth).join(before.select(F.col("key").alias("suffix_key"), F.col("p").alias("q")), "suffix_key")
-    totals = rows.filter(F.col("word") == ALL).select("context", F.col("c").alias("n"))
+    met = entries.join(before.select(F.col("key").alias("suffix_key"), F.col("p").alias("q")), "suffix_key")
     c, n, m, d = (F.col(x) for x in "cnmd")
     of = met.groupBy("context").agg(F.sum("c").alias("m"), F.count("*").alias("d"), F.sum(c * F.log(c / F.col("q"))).alias("g"), F.sum("q").alias("known")).join(totals, "context")
     rest = F.when(n > m, (n - m) * (F.log((n - m) / n) - F.log(F.greatest(1 - F.col("known"), F.lit(1e-12))))).otherwise(F.lit(0.0))
     of = of.select("context", "n", ((d + n - m) / (n + d)).alias("escape"), (n + d).alias("of"), (2 * (F.col("g") - m * F.log(n) + rest) > d + 4 * F.sqrt(2 * d)).alias("kept"))
     share = c / F.col("of") + F.col("escape") * F.col("q")
     adds = F.log10(share) - F.log10("escape") - F.log10("q")
-    return checkpointed(met.join(of, "context").select("key", "context", "c", "n", "escape", "kept", F.when(F.col("kept"), share).otherwise(F.col("q")).alias("p"), F.when(F.col("kept"), adds).alias("adds")))
+    return checkpointed(met.join(of, "context").select("key", "context", "both", "c", "n", "escape", "kept", F.when(F.col("kept"), share).otherwise(F.col("q")).alias("p"), F.when(F.col("kept"), adds).alias("adds")))
 
 
 def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> tuple[DataFrame, int]:
-    """The tree's values (key, v and how often it was counted) and its depth, of the texts of docs, whose words are counted in counts (word, n)."""
-    level = counts.filter(F.col("n") >= LEAST).select(F.col("word").alias("key"), ((F.col("n") + 1.0) / F.lit(total + distinct + 1.0)).alias("p"), F.lit(True).alias("kept"))
-    values, depth = [], 0
+    """The tree's values (key, v and how often it was counted) and its depth, of the texts of docs, whose words and pairs of words are counted in counts (context, word, c)."""
+    words = counts.filter(F.col("context") == END).select(F.col("word").alias("key"), F.col("c").alias("n"), ((F.col("c") + 1.0) / F.lit(total + distinct + 1.0)).alias("p"))
+    pairs = counts.filter(F.col("context") != END).withColumn("shorter", F.lit(0).cast("long"))
+    level = _weighed(_keyed(pairs, 1), words.select(F.col("key").alias("context"), "n"), words)
+    values, depth, source, over = [], 1, docs.select("text"), None
     while True:
-        attested = Filter(level.select("key"))
-        over = Filter(level.filter("kept").select(F.col("context").alias("key")).distinct()) if depth > 1 else None
-        # a filter may let others through; the join with the entries before doesn't
-        depth += 1
-        level = _weighed(_count_level(docs, depth, attested, over), level.filter("kept") if depth > 2 else level, depth)
         kept = level.filter("kept")
         values.append(kept.select("key", F.col("adds").alias("v"), "c"))
         values.append(kept.groupBy("context").agg(F.first("n").alias("c"), F.first("escape").alias("e")).select(F.bitwise_not("context").alias("key"), F.log10("e").alias("v"), "c"))
-        if depth > 1 and not kept.limit(1).count():
-            return reduce(DataFrame.unionByName, values), depth - 1
+        if depth == ORDER or depth > 1 and not kept.limit(1).count():
+            return reduce(DataFrame.unionByName, values), depth
+        attested = Filter(level.select("key"))
+        if depth == 2:
+            source = _runs(docs, attested)
+        if depth > 1:  # a filter may let others through; the join with the entries before doesn't
+            over = Filter(kept.select(F.col("context").alias("key")).distinct())
+        depth += 1
+        rows = _count_level(source, depth, attested, over)
+        totals = level.select(F.col("both").alias("context"), F.col("c").alias("n")) if depth == 2 else rows.filter(F.col("word") == ALL).select("context", F.col("c").alias("n"))
+        level = _weighed(_keyed(rows, depth), totals, kept if depth > 2 else level)
 
 
 def _most_counted(rows: DataFrame, c: str, most: int) -> DataFrame:
@@ -280,16 +347,17 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs."""
     fold = fold_of(F.col("doc_id"), folds)
     learned = texts(docs).filter(fold != held_out)
-    counts = learned.select("text").mapInPandas(_count_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
-    counts = checkpointed(counts)
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counts = learned.select("text").mapInPandas(_count_rows, "context long, word long, c long").groupBy("context", "word").agg(F.sum("c").alias("c"))
+    counts = checkpointed(counts.filter((F.col("context") == END) | (F.col("c") >= LEAST)))
+    words = counts.filter(F.col("context") == END).select("word", F.col("c").alias("n"))
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     values, depth = train(learned, counts, total, distinct)
     values = checkpointed(values)
-    head = Head(*_arrays(_most_counted(counts, "n", HEAD), "word", "n"), total, distinct)
+    head = Head(*_arrays(_most_counted(words, "n", HEAD), "word", "n"), total, distinct)
     sent = docs.sparkSession.sparkContext.broadcast((head, *_arrays(_most_counted(values, "c", HOT), "key", "v"), Filter(values.select("key"))))
 
     def score_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (front, hot, worth, held), numbers = sent.value, Numbers()
+        front, hot, worth, held = sent.value
 
         def known(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Places of the keys that may be in the table, the values of those that are hot, and which of the places hold others."""
@@ -302,7 +370,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
 
         for b in batches:
             for part in _parts(b):
-                number, starts, text = _tokens(numbers, part["text"].tolist())
+                number, starts, text = tokens_of(part["text"].tolist())
                 place = front.places(number)
                 n, head = len(part), place >= 0
                 base = np.log10(front.base[place[head]]) if head.any() else np.zeros(0)
@@ -335,7 +403,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
     scored = checkpointed(texts(docs).withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(score_rows, schema))
     asked = scored.filter(F.size("other") > 0).select("row_id", F.explode("other").alias("key"))
     logs = F.log10((F.col("n") + 1.0) / F.lit(total + distinct + 1.0))
-    table = counts.select(F.col("word").alias("key"), logs.alias("base"), F.lit(None).cast("double").alias("v")).unionByName(values.select("key", F.lit(None).cast("double").alias("base"), "v"))
+    table = words.select(F.col("word").alias("key"), logs.alias("base"), F.lit(None).cast("double").alias("v")).unionByName(values.select("key", F.lit(None).cast("double").alias("base"), "v"))
     per = asked.join(table, "key").groupBy("row_id").agg(F.sum("base").alias("base"), F.count("base").alias("rare_known"), F.sum("v").alias("v"))
     none = F.log10(F.lit(1.0) / F.lit(total + distinct + 1.0))
     rare_base = F.coalesce("base", F.lit(0.0)) + (F.col("rare") - F.coalesce("rare_known", F.lit(0))) * none
