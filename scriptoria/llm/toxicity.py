@@ -1,20 +1,23 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posterior labels.
 
-Voters: each entry of a lexicon of insults (a fixed list), and word-beginning patterns found in labelled training rows; each
-fires or not on a text. The label model takes the voters as conditionally independent but for correlated pairs; a voter that doesn't fire abstains. Its accuracies come from the voters' second moments over all
-training texts by triplets (cov_ij cov_ik / cov_jk holds one voter's own strength) and from the labelled rows it fired on, its class balance from the training labels. What a pair covaries
-beyond that is a correlation, by which the pair's evidence is discounted. A training row's own label votes too. The posterior labels of a bounded sample of training rows then fit a logistic regression on the
-presence of words and word beginnings; it alone scores documents.
+Voters: each entry of a lexicon of insults (a fixed list), and words and word beginnings that stand out in labelled toxic rows; each
+fires or not on a text. In how many labelled rows, and toxic ones, a word or beginning occurs is counted over all of them; one stands out if its share of toxic rows is too high for chance over all that were tried, and surely high in itself. The label
+model takes the voters as conditionally independent but for correlated pairs; a voter that doesn't fire abstains. Its accuracies come from the voters' second moments over all
+training texts by triplets (cov_ij cov_ik / cov_jk holds one voter's own strength) and from the labels of all labelled rows they fired on, its class balance from the training labels. What a pair covaries
+beyond that is a correlation, by which the pair's evidence is discounted. The posterior labels that the votes give training rows, labelled or not, then fit a logistic regression on the
+presence of the words and beginnings that stand out; it alone scores documents.
 
-Bounds: at most sample_rows labelled and as many unlabelled rows (those with the smallest hashes) are fitted on the driver, with at most MAX_FEATURES features and MAX_VOTERS
-voters; second moments are over all training texts, summed in the tasks.
+Texts are reduced in tasks to the numbers of the voters and features they hold. The driver sees sums, the names that stand out, and for the regression at most about sample_rows rows of such numbers, drawn by a hash
+threshold from the rows that hold any, each standing for as many; rows without any are one row of their number. Only that sample is bounded.
 
 Defined results: null texts count as empty, and get the score of a text without any feature. Without labelled rows, the lexicon alone votes, each voter with a
-default accuracy. Rows that repeat are scored each. A doc_id that labels names twice counts as toxic if any row says so. Only doc_id, text and the labels of training rows are read.
+default accuracy. Rows that repeat are scored, and counted, each. A doc_id that labels names twice counts as toxic if any row says so. Equal texts get equal scores. Only doc_id, text and the labels of training rows are
+read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -24,11 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, texts
+from .common import checkpointed, fold_of, texts
 
 #: A lexicon of insults.
 LEXICON = ("bastard", "clown", "disgusting", "dumb", "fool", "freak", "idiot", "idiotic", "imbecile", "jerk", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "vermin", "worthless")
-MAX_VOTERS, MAX_FEATURES, BEGINNINGS = 64, 4096, (3, 4, 5, 6, 7)
+BEGINNINGS, CHANCE, SURE, LIKELY = (3, 4, 5, 6, 7), 0.01, 0.05, 0.7
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -42,35 +45,27 @@ def names_of(word: str) -> list[str]:
     return ["w:" + word, *(f"b:{word[:k]}" for k in BEGINNINGS if len(word) >= k)]
 
 
-def stand_out(toxic: Counter, every: Counter, pi: float, chance: float = 0.01) -> dict[str, float]:
-    """Features whose share of toxic rows is too high for chance, over all features tried together, with the share.
+def stand_out(counts: DataFrame, pi: float, chance: float = CHANCE) -> DataFrame:
+    """feature, share and toxic of those whose share of toxic rows is above pi beyond chance over all features tried together, and above LIKELY for itself; counts: feature, toxic and every.
 
-    The bound on a binomial tail, exp(-n KL(share || pi)), is held against chance / (number of features).
+    The bound on a binomial tail, exp(-n KL(share || p)), is held against chance / (number of features) for p = pi, and against SURE for p = LIKELY.
     """
-    need, out = np.log(max(len(every), 1) / chance), {}
-    for f, c in toxic.items():
-        n = every[f]
-        q = min(c / n, 1 - 1e-9)
-        if q > max(0.7, 2 * pi) and n * (q * np.log(q / pi) + (1 - q) * np.log((1 - q) / (1 - pi))) >= need:
-            out[f] = c / n
-    return out
+    q = F.least(F.col("toxic") / F.col("every"), F.lit(1 - 1e-9))
+    bound = lambda p: F.col("every") * (q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p)))
+    sure = (bound(pi) >= math.log(max(counts.count(), 1) / chance)) & (bound(LIKELY) >= -math.log(SURE))
+    return counts.filter((q > LIKELY) & sure).select("feature", (F.col("toxic") / F.col("every")).alias("share"), "toxic")
 
 
-def find_patterns(rows: list[tuple[Iterable[str], int]], most: int, pi: float, weight: float) -> list[str]:
-    """Words and word beginnings that stand out in toxic rows; a row that isn't toxic stands for weight rows."""
-    toxic, every = Counter(), Counter()
-    for words, y in rows:
-        (toxic if y else every).update({n for w in words for n in names_of(w)})
-    every = Counter({f: n * weight for f, n in every.items()})
-    every.update(toxic)
-    shares = stand_out(toxic, every, pi)
+def patterns(found: list[tuple[str, float, int]]) -> list[str]:
+    """Of (feature, share, toxic rows) the ones that say something new, best first: a beginning that only says what a chosen one says is left out."""
     chosen: list[str] = []
-    for f in sorted(shares, key=lambda f: (-shares[f] * toxic[f], f)):
-        if len(chosen) >= most:
-            break
-        # a beginning that only says what a chosen one says is left out
-        if not any(f[2:].startswith(c[2:]) or c[2:].startswith(f[2:]) for c in chosen):
+    ends: dict[str, bool] = {}  # whether a chosen one is this, or begins so
+    for f, _, _ in sorted(found, key=lambda x: (-x[1] * x[2], x[0])):
+        word = f[2:]
+        if word not in ends and not any(ends.get(word[:k]) for k in range(1, len(word))):
             chosen.append(f)
+            ends |= {word[:k]: ends.get(word[:k], False) for k in range(1, len(word))}
+            ends[word] = True
     return chosen
 
 
@@ -80,9 +75,8 @@ class LabelModel:
     A voter that doesn't fire abstains; that no voter fires at all is a vote as well.
     """
 
-    def __init__(self, n: int, sums: np.ndarray, pairs: np.ndarray, balance: float, gold: np.ndarray, toxic: np.ndarray, weight: float = 1.0) -> None:
-        """n texts, on which voter i fired sums[i] times and i and j together pairs[i, j] times; votes and labels of labelled rows,
-        of which one that isn't toxic stands for weight rows."""
+    def __init__(self, n: int, sums: np.ndarray, pairs: np.ndarray, balance: float, fired: np.ndarray, toxic: np.ndarray, silent: tuple[float, float] = (0, 0)) -> None:
+        """n texts, on which voter i fired sums[i] times and i and j together pairs[i, j] times; on how many labelled and toxic rows each fired; labelled and toxic rows on which none did."""
         k, self.balance = len(sums), balance
         mean = sums / max(n, 1)
         cov = pairs / max(n, 1) - np.outer(mean, mean)
@@ -94,13 +88,11 @@ class LabelModel:
             if on.sum() >= 3:
                 strength[i] = np.sqrt(np.median(cov[i, j[on]] * cov[i, m[on]] / cov[j[on], m[on]]) / spread)
         # P(toxic | voter fired): what the triplets say, and what labelled rows say; each is a guess of its own
-        fired = gold[toxic == 1].sum(0) + weight * gold[toxic == 0].sum(0)
-        seen = (gold[toxic == 1].sum(0) + 2 * balance) / (fired + 2) if len(gold) else np.full(k, balance)
+        seen = (toxic + 2 * balance) / (fired + 2)
         told = np.clip(balance * (mean + (1 - balance) * strength) / np.maximum(mean, 1e-12), 0.02, 0.98)
         sure = np.where(np.isnan(told), np.where(fired > 0, seen, 0.9), (told * 20 + seen * fired) / (20 + fired))
         self.accuracy = np.clip(sure, 0.01, 0.98)
-        none = ~gold.any(1) if len(gold) else np.zeros(0, bool)
-        self.silent = ((toxic[none] == 1).sum() + 4 * balance * 0.1) / ((toxic[none] == 1).sum() + weight * (toxic[none] == 0).sum() + 4)
+        self.silent = (silent[1] + 4 * balance * 0.1) / (silent[0] + 4)
         delta = np.nan_to_num(strength)
         beyond = cov - spread * np.outer(delta, delta)
         sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
@@ -120,9 +112,10 @@ class LabelModel:
 def fit_linear(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, weight: np.ndarray, d: int, steps: int = 300, l2: float = 2e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels; (rows, cols) are the places of ones. Gradient descent by AdaGrad."""
     w, b, g_w, g_b = np.zeros(d), 0.0, np.full(d, 1e-8), 1e-8
+    weight = weight / max(weight.sum(), 1e-9)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], len(y)) + b, -30, 30)))
-        err = weight * (p - y) / max(len(y), 1)
+        err = weight * (p - y)
         grad = np.bincount(cols, err[rows], d) + l2 * w / max(1, len(y)) ** 0.5
         g_w += grad**2
         g_b += err.sum() ** 2
@@ -131,108 +124,132 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, weight: np.nda
     return w, b
 
 
-class Scorer:
-    """A linear classifier on the presence of words and word beginnings."""
+class Finder:
+    """The numbers of known features in a text."""
 
-    def __init__(self, weights: dict[str, float], bias: float) -> None:
-        self.weights, self.bias = weights, bias
-        self._of_word: dict[str, tuple[str, ...]] = {}
+    def __init__(self, place: dict[str, int]) -> None:
+        self.place, self._of_token = place, {}
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "bias": self.bias}
+        return {"place": self.place}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(state["weights"], state["bias"])
+        self.__init__(state["place"])
 
-    def score(self, text: str) -> float:
-        known = self._of_word
-        if len(known) > 600_000:
+    def find(self, text: str) -> list[int]:
+        known, place = self._of_token, self.place
+        if len(known) > 300_000:
             known.clear()
         tokens = set(text.lower().split())
         for t in tokens.difference(known):
-            known[t] = tuple(sorted({n for w in _LETTERS.findall(t) for n in names_of(w) if n in self.weights}))
-        found = {n for t in tokens for n in known[t]}
-        return 1 / (1 + np.exp(-np.clip(self.bias + sum(map(self.weights.__getitem__, sorted(found))), -30, 30)))
+            known[t] = tuple({place[n] for w in _LETTERS.findall(t) for n in names_of(w) if n in place})
+        return sorted({i for t in tokens for i in known[t]})
+
+
+class Scorer:
+    """A linear classifier on the presence of words and word beginnings."""
 
+    def __init__(self, finder: Finder, weights: np.ndarray, bias: float) -> None:
+        self.finder, self.weights, self.bias = finder, weights, bias
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample_rows: int = 4500) -> Scorer:
+    def score(self, text: str) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[self.finder.find(text)].sum(), -30, 30))))
+
+
+def _feature_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """feature, toxic, every: in how many toxic and labelled rows each occurs, summed for about a million features at a time."""
+    toxic, every = Counter(), Counter()
+    of_token: dict[str, tuple[str, ...]] = {}
+
+    def out() -> pd.DataFrame:
+        rows = pd.DataFrame({"feature": pd.Series(list(every), dtype="object"), "toxic": [toxic[f] for f in every], "every": list(every.values())}).astype({"toxic": "int64", "every": "int64"})
+        toxic.clear()
+        every.clear()
+        return rows
+
+    for b in batches:
+        for text, y in zip(b["text"], b["toxic"], strict=True):
+            tokens = set(text.lower().split())
+            if len(of_token) > 200_000:
+                of_token.clear()
+            for t in tokens.difference(of_token):
+                of_token[t] = tuple(n for w in _LETTERS.findall(t) for n in names_of(w))
+            found = {n for t in tokens for n in of_token[t]}
+            every.update(found)
+            if y:
+                toxic.update(found)
+            if len(every) > 600_000:
+                yield out()
+    yield out()
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample_rows: int = 6000) -> Scorer:
     """A scorer learned from the rows outside the held-out fold."""
     spark = docs.sparkSession
     base = texts(docs).filter(fold_of(F.col("doc_id"), folds) != held_out)
-    order = F.xxhash64(F.lit(11), "doc_id")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    balance = marks.agg(F.sum("toxic"), F.count("*")).first()
-    picked = marks.filter("toxic = 1").orderBy(order).limit(sample_rows // 3).unionByName(marks.filter("toxic = 0").orderBy(order).limit(sample_rows - sample_rows // 3))
-    # broadcast: sample_rows ids at most
-    one: dict[str, str] = {}  # a word's copies are one object
-    held_of = lambda text: tuple(one.setdefault(w, w) for w in words_of(text))
-    gold = [(held_of(r["text"]), r["toxic"]) for r in base.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()]
-    free = [held_of(r["text"]) for r in base.orderBy(order, "text").limit(sample_rows // 3).select("text").collect()]
-    pi = min(0.5, max(0.005, ((balance[0] or 0) + 1) / ((balance[1] or 0) + 20)))
-
-    # toxic rows are sampled more densely; a clean one of the sample stands for `dense` rows beside a toxic one
-    n1 = sum(y for _, y in gold)
-    dense = max(1.0, (1 - pi) / pi * n1 / max(len(gold) - n1, 1))
-
-    voters = ["w:" + w for w in LEXICON]
-    voters += [p for p in find_patterns(gold, MAX_VOTERS - len(voters), pi, dense) if p[2:] not in LEXICON]
-    place = {v: i for i, v in enumerate(voters)}
+    marks = checkpointed(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    rows = dict(base.select("doc_id").join(marks, "doc_id").groupBy("toxic").count().collect())  # at most a row a label
+    rows = {0: sum(n for y, n in rows.items() if not y), 1: sum(n for y, n in rows.items() if y)}
+    pi = min(0.5, max(0.005, (rows[1] + 1) / (rows[0] + rows[1] + 20)))
+
+    counts = base.join(marks, "doc_id").select("text", "toxic").mapInPandas(_feature_rows, "feature string, toxic long, every long")
+    counts = checkpointed(counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("every").alias("every")).filter("toxic > 0"))
+    found = [tuple(r) for r in stand_out(counts, pi).collect()]  # as many as are significant
+    entries = ["w:" + w for w in LEXICON]
+    voters = entries + [f for f in patterns(found) if f[2:] not in LEXICON]
+    place = {f: i for i, f in enumerate([*voters, *sorted({f for f, _, _ in found}.difference(voters))])}
+    k, finder = len(voters), Finder(place)
+    sent = spark.sparkContext.broadcast(finder)
+
+    def held_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [sent.value.find(t) for t in b["text"]]
+            keep = np.array([bool(x) for x in got], bool)
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[keep], "h": b["h"].to_numpy()[keep], "held": pd.Series([x for x in got if x], dtype="object")}).astype({"doc_id": "Int64"})
+
+    order = F.xxhash64(F.lit(11), "doc_id", "text")
+    held = checkpointed(base.withColumn("h", order).mapInPandas(held_rows, "doc_id long, h long, held array<int>"))
+    n, n_held = base.count(), held.count()
 
     def moments(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, pairs, known = 0, np.zeros((len(voters), len(voters)), np.int64), {}
+        pairs = np.zeros((k, k), np.int64)
         for b in batches:
-            for t in b["text"]:
-                tokens = set(t.lower().split())
-                if len(known) > 600_000:
-                    known.clear()
-                for x in tokens.difference(known):
-                    known[x] = [place[m] for w in _LETTERS.findall(x) for m in names_of(w) if m in place]
-                fired = sorted({i for x in tokens if known[x] for i in known[x]})
-                n += 1
-                if fired:
-                    pairs[np.ix_(fired, fired)] += 1
+            for x in b["held"]:
+                fired = x[x < k]
+                pairs[np.ix_(fired, fired)] += 1
         i, j = np.nonzero(pairs)
-        yield pd.DataFrame({"i": [-1, *i], "j": [-1, *j], "n": [n, *pairs[i, j]]})
-
-    found = base.select("text").mapInPandas(moments, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    pairs, n = np.zeros((len(voters), len(voters))), 0
-    for r in found:  # MAX_VOTERS squared rows at most
+        yield pd.DataFrame({"i": i, "j": j, "n": pairs[i, j]})
+
+    pairs = np.zeros((k, k))
+    for r in held.select("held").mapInPandas(moments, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # voters squared at most
+        pairs[r["i"], r["j"]] = r["n"]
+    fired, toxic, any_of = np.zeros(k), np.zeros(k), {0: 0, 1: 0}
+    votes = held.select("doc_id", F.filter("held", lambda i: i < k).alias("v")).filter(F.size("v") > 0).join(marks, "doc_id").select((F.col("toxic") > 0).cast("int").alias("toxic"), F.explode(F.concat("v", F.array(F.lit(-1)))).alias("i"))
+    for r in votes.groupBy("i", "toxic").count().collect():
         if r["i"] < 0:
-            n = r["n"]
+            any_of[r["toxic"]] = r["count"]
         else:
-            pairs[r["i"], r["j"]] = r["n"]
-    rows = [w for w, _ in gold] + free
-    votes = np.zeros((len(rows), len(voters)), bool)
-    for r, ws in enumerate(rows):
-        for m in {m for w in ws for m in names_of(w)} & place.keys():
-            votes[r, place[m]] = True
-    model = LabelModel(n, pairs.diagonal().copy(), pairs, pi, votes[: len(gold)], np.array([y for _, y in gold], int), dense)
-    y = model.posterior(votes)
-    for r, (_, label) in enumerate(gold):  # a labelled row is one more, strong voter
-        logit = np.log(max(y[r], 1e-9) / max(1 - y[r], 1e-9)) + (4.0 if label else -4.0)
-        y[r] = 1 / (1 + np.exp(-logit))
-    stands = np.array([1.0 if y else dense for _, y in gold] + [1.0] * len(free))
-    toxic, every = Counter(), Counter()
-    for ws, p, n in zip(rows, y, stands, strict=True):
-        for m in {m for w in ws for m in names_of(w)}:
-            every[m] += n
-            if p > 0.5:
-                toxic[m] += n
-    shares = stand_out(toxic, every, float(np.clip(stands @ (y > 0.5) / max(stands.sum(), 1), 0.005, 0.5)))
-    chosen = sorted(set(sorted(shares, key=lambda m: (-shares[m] * toxic[m], m))[:MAX_FEATURES]) | {"w:" + w for w in LEXICON})
-    at = {m: i for i, m in enumerate(chosen)}
-    ones = [(r, at[m]) for r, ws in enumerate(rows) for m in sorted({m for w in ws for m in names_of(w)} & at.keys())]
-    ones += [(len(rows) + i, at["w:" + w]) for i, w in enumerate(LEXICON)]  # what a lone entry of the lexicon says
-    y = np.append(y, [model.posterior(np.eye(len(voters))[[i]])[0] for i in range(len(LEXICON))])
-    r, c = (np.array(x, np.int64) for x in zip(*ones, strict=True))
-    w, b = fit_linear(r, c, y, np.append(stands, np.ones(len(LEXICON))), len(chosen))
-    return Scorer({m: float(w[i]) for m, i in at.items() if w[i]}, float(b))
+            fired[r["i"]] += r["count"]
+            toxic[r["i"]] += r["toxic"] * r["count"]
+    silent = rows[0] + rows[1] - any_of[0] - any_of[1], rows[1] - any_of[1]
+    model = LabelModel(n, pairs.diagonal().copy(), pairs, pi, fired, toxic, silent)
+
+    share = min(1.0, sample_rows / max(n_held, 1))
+    sample = held.filter(F.col("h") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).select("h", "held").toPandas().sort_values("h") if n_held else pd.DataFrame({"held": []})
+    sets = [np.asarray(x, np.int64) for x in sample["held"]]
+    sets += [np.array([i]) for i in range(len(entries))] + [np.zeros(0, np.int64)]  # what a lone entry of the lexicon says, and rows that hold nothing
+    weight = np.array([1 / share] * len(sample) + [1.0] * len(entries) + [float(n - n_held) + 1])
+    r, c = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    fires = np.zeros((len(sets), k), bool)
+    fires[r[c < k], c[c < k]] = True
+    w, b = fit_linear(r, c, model.posterior(fires), weight, len(place))
+    return Scorer(finder, w, float(b))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, cut: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held_out))  # MAX_FEATURES weights
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held_out))  # a weight for each feature that stands out
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
