@@ -29,10 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, texts
-from .suffix_tree_lm import Filter
+from .suffix_tree_lm import Filter, _arrays
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE, CHANCE = 0.9, 1e-3
+#: Disclosing terms that are broadcast, at most, at 16 bytes each.
+MOST_TERMS = 1 << 21
+_NONE: dict[str, float] = {}
 #: The base patterns. A run of digits is looked at from its first digit only, which finds the same and takes linear time.
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -160,44 +163,72 @@ def disclosing(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     return both.filter(sure).select("term", share.alias("share")).filter(F.col("share") >= threshold).groupBy("term").agg(F.max("share").alias("share"))
 
 
-def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE, whole: bool = False) -> DataFrame:
-    """row_id, doc_id, text, base and added spans (arrays by start), the added ones with their share, for every row of docs.
+class Known:
+    """Disclosing terms: as a sorted array, with their shares, or as a filter that lets few others through and knows no shares."""
 
-    whole: whether texts without a span are given as well; where text is null, sha256 holds the digest of the text.
+    def __init__(self, shares: DataFrame, most: int) -> None:
+        self.exact = shares.count() <= most
+        if self.exact:
+            self.terms, self.shares = _arrays(shares, "term", "share")
+        else:
+            self.filter = Filter(shares.select(F.col("term").alias("key")))
+
+    def shares_of(self, terms: np.ndarray) -> np.ndarray:
+        """NaN: not a disclosing term; 0: perhaps one."""
+        if not self.exact:
+            return np.where(self.filter.has(terms), 0.0, np.nan)
+        if not len(self.terms):
+            return np.full(len(terms), np.nan)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, self.shares[at], np.nan)
+
+
+def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE, whole: bool = False, most_terms: int = MOST_TERMS) -> DataFrame:
+    """doc_id, text, base and added spans (arrays by start), the added ones with their share, for every row of docs.
+
+    whole: whether texts without a span are given as well; where text is null, sha256 holds the digest of the text. most_terms: so many disclosing terms are broadcast, with their shares; with more, words that may be
+    such terms find their shares by a join, with the same result.
     """
     shares = checkpointed(disclosing(docs, threshold))
-    sent = docs.sparkSession.sparkContext.broadcast(Filter(shares.select(F.col("term").alias("key"))))
+    known = Known(shares, most_terms)
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def scan_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of_token: dict[str, tuple[str, ...]] = {}  # the words, in lower case, that may be terms
+        of_token: dict[str, dict[str, float]] = {}  # the words, in lower case, that may be terms
         for b in (part.iloc[k : k + 256] for part in batches for k in range(0, len(part), 256)):
             if len(of_token) > 200_000:
                 of_token.clear()
             tokens = [set(t.split()) for t in b["text"]]
-            words = [(t, w.lower()) for t in set().union(*tokens).difference(of_token) for w in [*_WORD.findall(t), ""]]
-            may = sent.value.has(np.array([_hash(w) for _, w in words], np.int64)) if words else []
-            for (t, w), ok in zip(words, may, strict=True):
-                of_token[t] = of_token.get(t, ()) + ((w,) if ok and len(w) else ())
+            new = set().union(*tokens).difference(of_token)
+            words = [(t, w.lower()) for t in new for w in _WORD.findall(t) if len(w) >= 3]
+            of_token |= {t: _NONE for t in new}
+            share = sent.value.shares_of(np.array([_hash(w) for _, w in words], np.int64))
+            for i in np.flatnonzero(~np.isnan(share)).tolist():
+                t, w = words[i]
+                of_token[t] = {**of_token[t], w: float(share[i])}
             spans = [base_spans(t) for t in b["text"]]
-            held = []
+            added = []
             for text, own, x in zip(b["text"], tokens, spans, strict=True):
-                asked = {w for t in own for w in of_token[t]}
+                asked = {w: v for t in own for w, v in of_token[t].items()}
                 places = [(s, e, text[s:e].lower()) for s, e in words_outside(text, x)] if asked else []
-                held.append([{"term": _hash(w), "start": s, "end": e} for s, e, w in places if w in asked])
-            carried = [whole or bool(x) or bool(h) for x, h in zip(spans, held, strict=True)]
+                added.append([{"start": s, "end": e, "share": asked[w], "term": _hash(w)} for s, e, w in places if w in asked])
+            carried = [whole or bool(x) or bool(h) for x, h in zip(spans, added, strict=True)]
             yield pd.DataFrame({
                 "row_id": b["row_id"].to_numpy(), "doc_id": b["doc_id"].to_numpy(),
-                "text": [t if on else None for t, on in zip(b["text"], carried, strict=True)],
-                "sha256": [None if on else hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, on in zip(b["text"], carried, strict=True)],
-                "base": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], "held": held,
+                "text": pd.Series([t if on else None for t, on in zip(b["text"], carried, strict=True)], dtype="object").to_numpy(),
+                "sha256": pd.Series([None if on else hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, on in zip(b["text"], carried, strict=True)], dtype="object").to_numpy(),
+                "base": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], "added": added,
             }).astype({"doc_id": "Int64"})
 
-    schema = "row_id long, doc_id long, text string, sha256 string, base array<struct<kind: string, start: int, `end`: int>>, held array<struct<term: long, start: int, `end`: int>>"
-    found = checkpointed(texts(docs).withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(scan_rows, schema))
-    hits = found.filter(F.size("held") > 0).select("row_id", F.explode("held").alias("x")).select("row_id", "x.*").join(shares, "term")
-    added = hits.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("added"))  # words of one text
-    none = F.array().cast("array<struct<start: int, end: int, share: double>>")
-    return found.select("row_id", "doc_id", "text", "sha256", "base").join(added, "row_id", "left").withColumn("added", F.coalesce("added", none))
+    schema = "row_id long, doc_id long, text string, sha256 string, base array<struct<kind: string, start: int, `end`: int>>, added array<struct<start: int, `end`: int, share: double, term: long>>"
+    found = texts(docs).withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(scan_rows, schema)
+    if not known.exact:
+        found = checkpointed(found)
+        hits = found.filter(F.size("added") > 0).select("row_id", F.explode("added").alias("x")).select("row_id", "x.start", "x.end", "x.term").join(shares, "term")
+        sure = hits.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", "term"))).alias("sure"))  # words of one text
+        none = F.array().cast("array<struct<start: int, end: int, share: double, term: bigint>>")
+        found = found.join(sure, "row_id", "left").withColumn("added", F.coalesce("sure", none))
+    return found.select("doc_id", "text", "sha256", "base", "added")
 
 
 def _joined(spans: Column) -> Column:
