@@ -136,7 +136,7 @@ def test_label_model_orders_voters():
     rng = np.random.default_rng(2)
     y = rng.random(40000) < 0.2
     votes = np.stack([rng.random(len(y)) < np.where(y, a, b) for a, b in ((0.7, 0.02), (0.6, 0.05), (0.5, 0.1), (0.4, 0.02))], 1)
-    model = toxicity.LabelModel(len(y), votes.sum(0), votes.T.astype(float) @ votes, 0.2, votes[:0], np.zeros(0, int))
+    model = toxicity.LabelModel(len(y), votes.sum(0), votes.T.astype(float) @ votes, 0.2, np.zeros(4), np.zeros(4))
     true = (votes & y[:, None]).sum(0) / votes.sum(0)
     assert np.abs(model.accuracy - true).max() < 0.06
     p = model.posterior(votes)
@@ -279,6 +279,18 @@ def test_base_scores_against_counting(spark, edge):
         assert np.isfinite(r["score"]) and r["held_out"] == (fold(i, 7) == 2)
 
 
+def test_numbers_of_words():
+    """The words are those of the plain pattern, and numbers are equal where words are."""
+    rng = np.random.default_rng(12)
+    batch = ["", " ", "A b", *("".join(rng.choice(list("aAbB \t\n\v\f\r\x1c\x85é\u3000x"), int(rng.integers(0, 60)))) for _ in range(300)), "Q" * 2000 + " " + "q" * 2000 + " " + "q" * 2001, "x" * 512 + "y" + "x" * 512 + " " + "x" * 1024 + "y"]
+    number, new, text = suffix_tree_lm.tokens_of(batch)
+    want = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)), None] for t in batch]
+    flat = [w for t in want for w in t]
+    assert len(number) == len(flat) and new.sum() == len(batch) and text.tolist() == [i for i, t in enumerate(want) for _ in t]
+    of: dict = {}
+    assert all(of.setdefault(w, x) == x for w, x in zip(flat, number.tolist(), strict=True)) and len(set(of.values())) == len(of)
+
+
 def test_tree_beats_the_base(spark, empty):
     rows = [(i, " ".join(["a b c d"] * 40 + ["e"] * (i % 3)), "en", "a", 1, None, None) for i in range(40)]
     got = suffix_tree_lm.score_documents(spark.createDataFrame(rows, DOCS)).collect()
@@ -329,7 +341,7 @@ def test_tree_against_counting_every_context(spark):
             if d and 2 * kl > d + 4 * np.sqrt(2 * d):
                 new[c] = stored, n
         kept.update(new)
-        if depth > 1 and not new:
+        if depth > 1 and not new or depth == suffix_tree_lm.ORDER:
             break
     assert ("rare",) in kept and any(len(c) > 2 for c in kept)
     for c in kept:  # each distribution sums to 1; words outside the base have what it leaves them
@@ -406,6 +418,8 @@ def test_disclosing_terms(spark, edge, empty):
     assert got[0]["spans"] == "term:6:14,email:24:37" and got[0]["n_email"] == 1
     assert got[0]["base_sha256"] == hashlib.sha256(b"email:24:37").hexdigest()
     assert "term" not in got[5]["spans"] and got[100]["spans"] == ""
+    listed = lambda most: sorted(map(str, pii.find_personal_data(df, whole=True, most_terms=most).collect()))
+    assert listed(0) == listed(100)  # terms met by a join, or broadcast
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
     assert "Quagmire" not in clean[0] and "<email>" in clean[0] and clean[100] == rows[-1][1]
     assert pii.span_digests(edge).count() == len(EDGE) and pii.span_digests(empty).count() == 0
