@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, which driver and executors share; where it is unset, one of this machine, if all runs on it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return named
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) is a folder made.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -45,9 +53,45 @@ def keep_rows(docs: DataFrame, kept: DataFrame, repeated: bool) -> DataFrame:
 
     repeated: whether a kept pair may stand on several rows of docs, of which one is to stay.
     """
-    keyed = docs.withColumn("__row_key", row_key(F.col("text")))
-    k = kept.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"))
-    out = keyed.join(k, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__row_key") == F.col("__key")), "left_semi")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("of"), row_key(F.col("text")).alias("key"))
+    k = kept.select(F.col("doc_id").alias("kept_of"), F.col("row_key").alias("kept_key"))
+    out = packed.join(k, F.col("of").eqNullSafe(F.col("kept_of")) & (F.col("key") == F.col("kept_key")), "left_semi")
     if repeated:
-        out = out.dropDuplicates(["doc_id", "__row_key"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.dropDuplicates(["of", "key"])
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def with_group(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """rows beside the row of their group; groups: written once, a row for each group, with its size.
+
+    Groups that hold over a thousandth of all rows, of which there can't be more than a thousand, are broadcast: their rows stay where they are, and no task gets a large group.
+    """
+    n = groups.agg(F.sum(size)).first()[0] or 0
+    large = groups.filter(F.col(size) * 1000 > n)
+    rest = rows.join(F.broadcast(large.select(*on)), on, "left_anti").join(groups.filter(F.col(size) * 1000 <= n), on)
+    return rows.join(F.broadcast(large), on).unionByName(rest)
+
+
+class Filter:
+    """A set of keys as bits by their first `bits` binary digits: says yes to all of the set, and to few others."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        """keys: one column, key."""
+        n = keys.count()
+        self.bits = min(28, max(16, (16 * n).bit_length()))
+        inner = self.bits - 10
+        slots = keys.select(F.shiftrightunsigned("key", 64 - self.bits).alias("slot")).select((F.expr(f"slot div {1 << inner}")).cast("int").alias("piece"), (F.col("slot") % (1 << inner)).cast("int").alias("slot"))
+
+        def piece(part: pd.DataFrame) -> pd.DataFrame:
+            held = np.zeros(1 << inner, bool)
+            held[part["slot"].to_numpy()] = True
+            return pd.DataFrame({"piece": part["piece"].iloc[:1], "held": [np.packbits(held, bitorder="little").tobytes()]})
+
+        self.held = np.zeros(1 << (self.bits - 3), np.uint8)
+        size = 1 << (inner - 3)
+        for r in slots.groupBy("piece").applyInPandas(piece, "piece int, held binary").toLocalIterator():
+            self.held[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["held"], np.uint8)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

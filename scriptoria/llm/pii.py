@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, texts
-from .suffix_tree_lm import Filter, _arrays
+from .common import Filter, checkpointed, texts
+from .suffix_tree_lm import _arrays
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE, CHANCE = 0.9, 1e-3

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fold_of, texts
+from .common import Filter, checkpointed, fold_of, texts
 
 #: Occurrences that a stored next word has after its context, at least (the usual least count of a cell for a chi-square), and words of the longest context.
 LEAST, ORDER = 5, 5
@@ -154,31 +154,6 @@ def _contexts(number: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tu
         yield at, node
 
 
-class Filter:
-    """A set of keys as bits by their first `bits` binary digits: says yes to all of the set, and to few others."""
-
-    def __init__(self, keys: DataFrame) -> None:
-        """keys: one column, key."""
-        n = keys.count()
-        self.bits = min(28, max(16, (16 * n).bit_length()))
-        inner = self.bits - 10
-        slots = keys.select(F.shiftrightunsigned("key", 64 - self.bits).alias("slot")).select((F.expr(f"slot div {1 << inner}")).cast("int").alias("piece"), (F.col("slot") % (1 << inner)).cast("int").alias("slot"))
-
-        def piece(part: pd.DataFrame) -> pd.DataFrame:
-            held = np.zeros(1 << inner, bool)
-            held[part["slot"].to_numpy()] = True
-            return pd.DataFrame({"piece": part["piece"].iloc[:1], "held": [np.packbits(held, bitorder="little").tobytes()]})
-
-        self.held = np.zeros(1 << (self.bits - 3), np.uint8)
-        size = 1 << (inner - 3)
-        for r in slots.groupBy("piece").applyInPandas(piece, "piece int, held binary").toLocalIterator():
-            self.held[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["held"], np.uint8)
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys.view(np.uint64) >> np.uint64(64 - self.bits)
-        return (self.held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _entry(node: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Keys of (context, next)."""
     return _mixed(~node, word)
