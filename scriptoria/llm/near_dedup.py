@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, keep_rows, row_key, texts
+from .common import checkpointed, keep_rows, row_key, texts, with_group
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -333,8 +333,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, by: str = "set")
     """row_id, doc_id, row_key, class_id (a row_id) and set_id (the row_id of the same set that stands for it) of every row of docs."""
     rows = checkpointed(signatures(docs, by))
     worded = rows.filter("size > 0")
-    same = worded.groupBy("set1", "set2").agg(F.min("row_id").alias("set_id"))
-    member = worded.select("row_id", "doc_id", "row_key", "set1", "set2").join(same, ["set1", "set2"]).select("row_id", "doc_id", "row_key", "set_id")
+    same = checkpointed(worded.groupBy("set1", "set2").agg(F.min("row_id").alias("set_id"), F.count("*").alias("n")))
+    member = with_group(worded.select("row_id", "doc_id", "row_key", "set1", "set2"), same, ["set1", "set2"], "n").select("row_id", "doc_id", "row_key", "set_id")
     member = checkpointed(member.unionByName(rows.filter("size = 0").select("row_id", "doc_id", "row_key", F.col("row_id").alias("set_id"))))
     one = worded.join(member.filter("row_id = set_id").select("row_id"), "row_id", "left_semi")
 
@@ -350,8 +350,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, by: str = "set")
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, by: str = "set") -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size and kept (one row of each class), for every row of docs."""
     rows = checkpointed(near_classes(docs, threshold, by))
-    groups = rows.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("keep"), F.count("*").alias("class_size"))
-    return rows.join(groups, "class_id").select(
+    groups = checkpointed(rows.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("keep"), F.count("*").alias("class_size")))
+    return with_group(rows, groups, ["class_id"], "class_size").select(
         "doc_id", F.col("keep.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("keep.row_id")).alias("kept"), "row_key",
     )
 
