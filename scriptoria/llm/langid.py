@@ -10,7 +10,8 @@ Every whole text is then labelled by forward-backward: a task runs the recursion
 A document's language has the largest summed posterior of its words; the score is the mean posterior of that language.
 
 Defined results: null texts and texts without a letter are `und` with score 0. Without any labelled row all are `und`. Ties go to the language named
-first. Rows that repeat are labelled each. Only doc_id, text and, for training, lang are read.
+first. Rows that repeat are labelled each. A text of any length is labelled whole. Only doc_id, text and, for training, lang are read; other columns, whatever
+their names, are carried along by `drop_unidentified`.
 """
 
 from __future__ import annotations
@@ -211,8 +212,14 @@ class Crf:
 def train(docs: DataFrame, docs_per_language: int = 80) -> Crf:
     """A field fitted on a bounded sample of labelled rows: whole texts of at most docs_per_language for each language."""
     rows = docs.filter(F.col("lang").isNotNull() & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)).select("lang", "text", F.xxhash64(F.lit(7), "doc_id", "text").alias("h"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    if not counts:
+        return Crf([])
+    # a bound on the hash that about twice as many rows pass; fewer than wanted do with a chance below e^-20
+    bound = {x: min(1.0, 2 * docs_per_language / n) for x, n in counts.items()}
+    passed = F.col("h") <= F.element_at(F.create_map(*[F.lit(v) for x, b in bound.items() for v in (x, min(2**63 - 1, int(-(2**63) + b * 2**64)))]), F.col("lang"))
     first = Window.partitionBy("lang").orderBy("h", "text")
-    sample = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= docs_per_language).select("lang", "text").collect()
+    sample = rows.filter(passed).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= docs_per_language).select("lang", "text").collect()
     sample = sorted((r["text"], r["lang"]) for r in sample)
     labels = sorted({lang for _, lang in sample})
     return Crf(labels).fit(sample)
@@ -253,5 +260,6 @@ def predict_languages(docs: DataFrame, folds: int = 3, held_out: int = 1) -> Dat
 def drop_unidentified(docs: DataFrame, least: float = 0.4, folds: int = 3, held_out: int = 1) -> DataFrame:
     """docs less those that are `und` or whose score is under least."""
     model = train(docs.filter(fold_of(F.col("doc_id"), folds) != held_out))
-    found = docs.withColumn("__found", label(F.col("text"), model, docs.sparkSession))
-    return found.filter((F.col("__found.lang_pred") != UND) & (F.col("__found.score") >= least)).drop("__found")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), label(F.col("text"), model, docs.sparkSession).alias("found"))
+    kept = packed.filter((F.col("found.lang_pred") != UND) & (F.col("found.score") >= least))
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])
