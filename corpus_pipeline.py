@@ -1,8 +1,12 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents.
+
+Defined results: rows whose text is null, empty or without a letter go in the first stage, as do texts of no clear language. Of rows with equal texts (A-Z lower-cased) the one with the largest doc_id stays, one of them if
+it repeats; of near copies the one with the smallest. Every row that is left gets one slot and place in the mixture, a null source counting as the source '', and is encoded whole, however long. An empty table
+gives no rows. Other columns, whatever their names, are carried up to the last stage and change nothing.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -10,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.llm import bpe, exact_dedup, langid, mixing, near_dedup
+from scriptoria.llm.common import shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, over all documents of sf_dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    at = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")

@@ -373,15 +373,28 @@ def test_huge_texts_are_hashed_in_parts_alike(spark, edge):
     assert plain == split
 
 
-def test_fingerprints_compose_and_collisions_are_found(spark, edge, monkeypatch):
+def test_fingerprints_compose():
     rng = np.random.default_rng(7)
     data = rng.integers(0, 256, 200_001).astype(np.uint8).tobytes()
     h = 0
     for s in np.frombuffer(data + b"\0", "<u2").tolist():
         h = (h * exact_dedup.BASES[0] + s) % exact_dedup.PRIMES[0]
     assert exact_dedup.fingerprint(data)[0] == h
-    shared = spark.createDataFrame([(*exact_dedup.fingerprint(b"one two"), 7)], "fp1 long, fp2 long, n_bytes long")
-    assert exact_dedup.unequal(edge, shared).count() == 0
+
+
+def test_collisions_are_found_and_split(spark, edge):
+    """With primes of a few bits texts of one length collide: the comparison finds them, and classes are those of the texts."""
+    rows = [(i, "".join(chr(97 + i // 3 // 26**k % 26) for k in range(3)), "en", "a", 1, None, None) for i in range(900)] + [(2000, "A" * 70_000 + "b", "en", "a", 1, None, None), (2001, "a" * 70_000 + "c", "en", "a", 1, None, None)]
+    df = spark.createDataFrame(rows, DOCS).unionByName(edge)
+    want = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_classes(df).collect()}
+    found = exact_dedup.fingerprints(df, primes=(7, 5))
+    shared = found.groupBy(*exact_dedup.KEY).count().filter("count > 1")
+    texts_of: dict = {}
+    for r in found.collect():
+        texts_of.setdefault((r["fp1"], r["fp2"], r["n_bytes"]), set()).add(r["text_sha256"])
+    assert {tuple(r) for r in exact_dedup.unequal(df, shared, (7, 5)).collect()} == {k for k, v in texts_of.items() if len(v) > 1} != set()
+    got = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_classes(df, (7, 5)).collect()}
+    assert got == want
 
 
 # 8
@@ -530,6 +543,25 @@ def test_secrets(spark, edge, empty):
 
 
 # pipeline
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty, long, repeated and odd rows, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    more = [(i, f"the thing with that other weather and then thought number {i} of many", "en", None if i % 2 else "a", 1, None, None) for i in range(20, 40)]
+    df = spark.createDataFrame([*EDGE, *more, more[0], (None, more[1][1], *more[1][2:])], DOCS).selectExpr("*", "1 AS phase", "2 AS row_id", "3 AS text_sha256", "4 AS row_key", "5 AS __found")
+    df.write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "some"))
+        assert [c for c in docs.columns if not c.startswith("mix_")] == df.columns, name
+    out = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    ids = [r["doc_id"] for r in out]
+    assert len(ids) == len(set(ids)) and set(range(20, 40)) <= set(ids) and not {3, 4, 5, 6} & set(ids)
+    assert sorted((r["mix_slot"], r["mix_place"]) for r in out) == sorted({(r["mix_slot"], r["mix_place"]) for r in out})
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
