@@ -30,7 +30,12 @@ def add(name: str, query: Query, oracle: str | None = None) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder where all executors see it."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{named}/{uuid.uuid4().hex}"
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
