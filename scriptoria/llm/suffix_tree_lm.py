@@ -33,6 +33,8 @@ from .common import Filter, checkpointed, fold_of, texts
 LEAST, ORDER = 5, 5
 #: Words and entries that are broadcast and looked up in the task, at most; all others are met by a join. This changes where the work is done only.
 HEAD, HOT = 1 << 18, 1 << 20
+#: Words that a task counts at a time, about.
+BLOCK = 1_500_000
 END = -(1 << 63)  # no word has this number
 ALL, STOP = END + 1, END + 2  # any next word; the end of a run
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -105,16 +107,24 @@ def _count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, new = (np.concatenate(x) for x in zip(*found, strict=True))
         word, n = np.unique(number, return_counts=True)
         at = np.flatnonzero(~new[1:]) + 1
-        none = np.zeros(len(at), np.int64)
-        pairs = _summed(number[at - 1], none, number[at], none + 1)
-        return pd.concat([pd.DataFrame({"context": np.full(len(word), END), "word": word, "c": n}), pairs[["context", "word", "c"]]])
+        before, after = number[at - 1], number[at]
+        del number, new, at
+        order = np.lexsort((after, before))
+        before, after = before[order], after[order]
+        del order
+        first = np.ones(len(before), bool)
+        first[1:] = (before[1:] != before[:-1]) | (after[1:] != after[:-1])
+        at = np.flatnonzero(first)
+        return pd.DataFrame({
+            "context": np.concatenate([np.full(len(word), END), before[at]]), "word": np.concatenate([word, after[at]]), "c": np.concatenate([n, np.diff(np.append(at, len(before)))]),
+        })
 
     for b in batches:
         for part in _parts(b):
             number, new, _ = tokens_of(part["text"].tolist())
             found.append((number, new))
             size += len(number)
-            if size > 4_000_000:
+            if size > BLOCK:
                 yield out()
                 found, size = [], 0
     if found:
@@ -138,7 +148,7 @@ class Head:
 
 
 def _parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for _, part in b.groupby((b["text"].str.len().cumsum() // 2_000_000).to_numpy(), sort=False):
+    for _, part in b.groupby((b["text"].str.len().cumsum() // 1_000_000).to_numpy(), sort=False):
         yield part
 
 
@@ -193,7 +203,7 @@ def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter |
                 at = at[often[at] & (number[at] != STOP)]
                 found.append((own[at], shorter[at], number[at], np.ones(len(at), np.int64)))
                 size += len(at)
-                if size > 4_000_000:
+                if size > BLOCK:
                     yield out()
                     found, size = [], 0
         if found:
@@ -205,8 +215,8 @@ def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter |
 
 def _run_tokens(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Numbers of the words of runs, and starts of runs."""
-    for k in range(0, len(b), 2048):
-        held = [np.asarray(x, np.int64) for x in b["run"].iloc[k : k + 2048]]
+    for k in range(0, len(b), 1024):
+        held = [np.asarray(x, np.int64) for x in b["run"].iloc[k : k + 1024]]
         number = np.concatenate(held)
         new = np.zeros(len(number), bool)
         new[0] = True
