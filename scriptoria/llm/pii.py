@@ -124,13 +124,13 @@ def _count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for text in b["text"]:
             tokens = set(text.split())
-            if len(of_token) > 300_000:
+            if len(of_token) > 120_000:
                 of_token.clear()
             for t in tokens.difference(of_token):
                 of_token[t] = tuple(_hash(w.lower()) for w in _WORD.findall(t) if len(w) >= 3)
             counts[0].update({h for t in tokens for h in of_token[t]})
             counts[1].update({entity_of(text, *x) for x in base_spans(text)})
-            if len(counts[0]) + len(counts[1]) > 500_000:
+            if len(counts[0]) + len(counts[1]) > 200_000:
                 yield out()
     yield out()
 
@@ -196,7 +196,7 @@ def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE, whole: bo
     def scan_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of_token: dict[str, dict[str, float]] = {}  # the words, in lower case, that may be terms
         for b in (part.iloc[k : k + 256] for part in batches for k in range(0, len(part), 256)):
-            if len(of_token) > 200_000:
+            if len(of_token) > 120_000:
                 of_token.clear()
             tokens = [set(t.split()) for t in b["text"]]
             new = set().union(*tokens).difference(of_token)
