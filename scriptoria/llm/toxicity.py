@@ -138,7 +138,7 @@ class Finder:
 
     def find(self, text: str) -> list[int]:
         known, place = self._of_token, self.place
-        if len(known) > 300_000:
+        if len(known) > 200_000:
             known.clear()
         tokens = set(text.lower().split())
         for t in tokens.difference(known):
@@ -170,7 +170,7 @@ def _feature_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for text, y in zip(b["text"], b["toxic"], strict=True):
             tokens = set(text.lower().split())
-            if len(of_token) > 200_000:
+            if len(of_token) > 100_000:
                 of_token.clear()
             for t in tokens.difference(of_token):
                 of_token[t] = tuple(n for w in _LETTERS.findall(t) for n in names_of(w))
@@ -178,7 +178,7 @@ def _feature_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             every.update(found)
             if y:
                 toxic.update(found)
-            if len(every) > 600_000:
+            if len(every) > 250_000:
                 yield out()
     yield out()
 
