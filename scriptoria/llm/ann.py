@@ -2,14 +2,14 @@
 
 A unit vector is coded as the sum of one codeword from each of several codebooks of the full dimension. The codebooks are fitted on a bounded sample: residual k-means, then rounds of
 beam-search encoding and least-squares updates of the codebooks, each with the others held. Every row is encoded by beam search, and the length of its decoded vector is stored. A query makes one table of inner
-products for each codebook; a row's score is the sum of its entries, over the stored length. The best `rerank` rows of each query in a block, and all whose
+products for each codebook; a row's score is the sum of its entries, over the stored length. The best `rerank` rows of each query, and all whose
 scores come within the tables' error of the last of them, are then ranked exactly on the original vectors.
 
-Equal vectors are searched once. Of each distinct vector the smallest ids are kept, as many as an answer can hold (an exact bound, not a cap: ties go to the smaller id). Queries and coded rows meet in a grid of blocks, so that
-a task holds one block of either and sends on `top` + 1 rows a query. The stated queries are a fiftieth of the rows, so the grid's work grows with the square of the rows, at a few bytes and
-table look-ups a pair.
+Equal vectors are searched once. Of each distinct vector the smallest ids are kept, as many as an answer can hold (an exact bound, not a cap: ties go to the smaller id). Queries and coded rows meet in a grid of blocks,
+in which a row is its code, length and id; only what goes on to the ranking is joined with its vector. The stated queries are a fiftieth of the rows, so the grid's work grows with the square of the rows, at a few bytes
+and table look-ups a pair.
 
-Defined results: vectors that are null, empty or zero, or hold null or non-finite components, or whose length isn't the most frequent one, take no part; neither do rows without an id.
+Defined results: vectors that are null, empty or zero, or hold null or non-finite components, or whose length isn't the most frequent one, take no part (cosines are defined between vectors of one length only); neither do rows without an id.
 Rows that repeat an id and a vector count once. An empty table gives no rows.
 """
 
@@ -117,7 +117,9 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = 50, rerank: int = R
     queries = asked.select("rep").distinct().join(reps, "rep").select(F.col("rep").alias("q"), F.col("v").alias("qv"))
 
     n, nq = reps.count(), asked.select("rep").distinct().count()
-    fitted = reps.orderBy(F.xxhash64(F.lit(5), "rep")).limit(sample).select("v").toPandas()["v"]
+    h = F.xxhash64(F.lit(5), "rep")
+    bound = min(2**63 - 1, int(-(2**63) + min(1.0, 2 * sample / n) * 2**64))  # about twice as many pass
+    fitted = reps.filter(h <= F.lit(bound)).orderBy(h).limit(sample).select("v").toPandas()["v"]
     x = np.stack([np.asarray(v, np.float64) for v in fitted])
     scale = np.abs(x).max(1, keepdims=True)
     x = x / scale
@@ -137,37 +139,50 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = 50, rerank: int = R
         for b in batches:
             if len(b):
                 codes = beam_codes(unit(b["v"]), books.value)
-                yield pd.DataFrame({"c": b["rep"].to_numpy(), "ids": b["ids"], "v": b["v"], "code": [r.tobytes() for r in codes], "length": np.linalg.norm(decode(codes, books.value), axis=1).astype(np.float64)})
+                yield pd.DataFrame({"c": b["rep"].to_numpy(), "code": [r.tobytes() for r in codes], "length": np.linalg.norm(decode(codes, books.value), axis=1).astype(np.float32)})
 
+    # a coded row is 32 bytes of code, its length and its id, whatever the dimension
     nqb, ncb = max(1, -(-nq // QUERIES)), max(1, -(-n // ROWS))
-    codes = reps.select("rep", "ids", "v").mapInPandas(code_rows, "c long, ids array<long>, v array<double>, code binary, length double")
+    codes = reps.select("rep", "v").mapInPandas(code_rows, "c long, code binary, length float")
     codes = codes.withColumn("cb", F.pmod(F.xxhash64("c"), F.lit(ncb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
     blocks = queries.select("q", "qv").withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nqb)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(ncb - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"q": [], "c": [], "s": []})
         code = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
-        length, c, ids = np.maximum(left["length"].to_numpy(np.float32), 1e-6), left["c"].to_numpy(), left["ids"].to_numpy()
-        v = np.stack(left["v"])
-        v_len = np.sqrt((v * v).sum(1))
-        found = []
+        length, c = np.maximum(left["length"].to_numpy(np.float32), 1e-6), left["c"].to_numpy()
+        qs, cs, ss = [], [], []
         for k in range(0, len(right), 64):
             part = right.iloc[k : k + 64]
             s = table_scores(unit(part["qv"]), code, length, books.value)
             keep = min(rerank, s.shape[1])
             least = -np.partition(-s, keep - 1, axis=1)[:, keep - 1] - margin
-            for q, qv, row, low in zip(part["q"], part["qv"], s, least, strict=True):
+            for q, row, low in zip(part["q"], s, least, strict=True):
                 # rows whose tables say the same as the last one's are looked at as well, however many they are
                 at = np.flatnonzero((row >= low) | (c == q))
-                exact = (v[at] * qv).sum(1) / (v_len[at] * np.sqrt((qv * qv).sum()))
-                best = np.lexsort((c[at], -exact))[: top + 1]
-                found += [(q, i, exact[b]) for b in best for i in ids[at[b]]]
-        return pd.DataFrame(found, columns=["q", "vec_id", "score"])
-
-    met = codes.groupBy("qb", "cb").cogroup(blocks.groupBy("qb", "cb")).applyInPandas(search, "q long, vec_id long, score double")
+                qs.append(np.full(len(at), q))
+                cs.append(c[at])
+                ss.append(row[at])
+        return pd.DataFrame({"q": np.concatenate(qs), "c": np.concatenate(cs), "s": np.concatenate(ss).astype(np.float64)})
+
+    @F.pandas_udf("double")
+    def cosine(v: pd.Series, qv: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype="float64")
+        x, y = np.stack(v), np.stack(qv)
+        return pd.Series((x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))))
+
+    met = codes.groupBy("qb", "cb").cogroup(blocks.groupBy("qb", "cb")).applyInPandas(search, "q long, c long, s double")
+    # over all blocks the best by the tables go on, with all in their error of the last, and are ranked on the vectors
+    by_table = Window.partitionBy("q").orderBy(F.desc("s"), "c")
+    last = F.nth_value("s", rerank).over(by_table.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    near = met.withColumn("last", last).filter(F.col("last").isNull() | (F.col("s") >= F.col("last") - F.lit(margin)) | (F.col("c") == F.col("q"))).select("q", "c")
+    exact = near.join(reps.select(F.col("rep").alias("c"), "ids", "v"), "c").join(queries, "q").select("q", "c", "ids", cosine("v", "qv").alias("score"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    ranked = exact.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= top + 1).select("q", "score", F.explode("ids").alias("vec_id"))
     first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    held = met.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= top + 1)
+    held = ranked.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= top + 1)
     answer = asked.withColumnRenamed("vec_id", "query_id").join(held, F.col("rep") == F.col("q")).filter(F.col("vec_id") != F.col("query_id"))
     place = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return answer.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
