@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scriptoria.llm import ann, bpe, exact_dedup, langid, mixing, near_dedup, pii, secrets, suffix_tree_lm, toxicity
 
@@ -183,6 +184,52 @@ def test_near_classes_against_all_pairs(spark):
     assert kept.columns == df.columns and kept.count() == len(set(got.values()))
 
 
+def test_weighted_classes_against_all_pairs(spark):
+    """Shingles weighed by their occurrences: the layers above one are thrown at, and repeats count in the check."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for base in range(6):
+        words = [f"v{base}x{k}" for k in range(12)]
+        rows += [(len(rows) + k, " ".join(words * int(n) + [f"tail{base}"])) for k, n in enumerate(rng.permutation([1, 2, 3, 8, 9, 10, 11, 20, 40, 47]))]
+    bags = {}
+    for i, t in rows:
+        w = t.split()
+        bags[i] = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    par = {i: i for i in bags}
+
+    def find(i):
+        while par[i] != i:
+            i = par[i]
+        return i
+
+    for a in bags:
+        for b in range(a):
+            both, either = (bags[a] & bags[b]).total(), (bags[a] | bags[b]).total()
+            if both >= 0.8 * either and find(a) != find(b):
+                p, q = find(a), find(b)
+                par[max(p, q)] = min(p, q)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), by="count").collect()}
+    assert got == {i: find(i) for i in bags} and len(set(got.values())) > 12
+    plain = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert plain.select("class_id").distinct().count() < len(set(got.values()))
+
+
+def test_large_bands_are_checked_in_cells(spark, monkeypatch):
+    """Pieces of a few members give the same classes as all pairs."""
+    rng = np.random.default_rng(14)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(120):  # near copies about as far from each other as the threshold
+        words = list(base)
+        for k in rng.choice(60, int(rng.integers(1, 4)), replace=False):
+            words[k] = f"e{i}-{k}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(near_dedup, "PIECE", 7)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert sum(got[i] != want[i] for i in want) <= 1 and len(set(want.values())) > 3
+
+
 def test_near_edge(edge, empty):
     got = near_dedup.near_duplicates(edge).collect()
     assert len(got) == len(EDGE) and sum(r["kept"] for r in got) == len({(r["class_id"], r["class_size"]) if r["class_size"] > 1 else id(r) for r in got})
@@ -531,17 +578,46 @@ def test_forward_backward_against_one_document_at_a_time():
 def test_secrets(spark, edge, empty):
     rng = np.random.default_rng(10)
     key = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
-    rows = [(i, f'set token = "{key()}" and see internationalisationmentation of /usr/local/share/things', "en", "a", 1, None, None) for i in range(120)]
+
+    def filler():
+        junk = "".join(rng.choice(list("abcdeflmnor"), int(rng.integers(3, 9))))
+        return " ".join(rng.choice(["harbour", "lantern", "the", "morning", "of", "a", junk, junk], int(rng.integers(0, 7))))
+
+    rows = [(i, f'{filler()} token = "{key()}" {filler()} internationalisationmentation {filler()} /usr/local/share/things {filler()}', "en", "a", 1, None, None) for i in range(240)]
     rows.append((500, f"a bare {key()} here", "en", "a", 1, None, None))
+    rows.append((501, f"password: {key()[:12]} then api_key={key()} and size=12", "en", "a", 1, None, None))
+    rows += [rows[0], rows[0]]
     got = secrets.classify(spark.createDataFrame(rows, DOCS)).collect()
     for r in got:
-        assert r["is_secret"] == (len(r["candidate"]) == 40), r
+        assert r["is_secret"] == (len(r["candidate"]) == 40) or r["doc_id"] == 501, r
+    assert [len(r["candidate"]) for r in sorted(got, key=lambda r: r["finding"]) if r["doc_id"] == 501] == [12, 40]
+    odd = spark.createDataFrame([(1, "see abcdefghijklmnopQRST0123== and secret: 'x/y.z!#$' or =12345678")], "doc_id long, text string")
+    assert [r["candidate"] for r in secrets.candidates(odd).orderBy("finding").collect()] == ["abcdefghijklmnopQRST0123==", "x/y.z!#$"]
+    assert len({r["probability"] for r in got if r["doc_id"] == 0 and r["finding"] == 0}) == 1 and sum(r["doc_id"] == 0 for r in got) == 9
+    assert {r["label"] for r in got if r["doc_id"] == 0} == {0, 1} and {r["label"] for r in got if r["doc_id"] == 500} == {0}  # evidence errs, the forest doesn't
     assert secrets.classify(empty).count() == 0
-    assert {r["doc_id"] for r in secrets.classify(edge).collect()} == {8}
+    lone = secrets.classify(edge.selectExpr("*", "1 AS row", "2 AS label", "3 AS candidate")).collect()
+    assert {(r["doc_id"], r["probability"]) for r in lone} == {(8, 0.0)}
     plan = secrets.classify(spark.createDataFrame(rows, DOCS))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_features_of_candidates(spark):
+    """Dictionary cover and neighbours by plain counting."""
+    rows = [(i, "the harbour and the lantern " + "abcdefgh"[i % 8] * 5, "en", "a", 1, None, None) for i in range(8)]
+    rows.append((90, "harbour lantern token = harbourLantern_x9y8z7Z and credential zzzz", "en", "a", 1, None, None))
+    df = spark.createDataFrame(rows, DOCS)
+    found = secrets.candidates(df).withColumn("row", F.monotonically_increasing_id())
+    asked = spark.createDataFrame([("harbour",), ("lantern",), ("zzzz",), ("the",)], "word string")
+    known = secrets.dictionary(df, asked)
+    assert {r["word"] for r in known.collect()} == {"harbour", "lantern", "the"}
+    (r,) = secrets.with_features(found, known).collect()
+    assert r["candidate"] == "harbourLantern_x9y8z7Z" and r["length"] == 22 and abs(r["words"] - 14 / 22) < 1e-9 and abs(r["capitals"] - 2 / 22) < 1e-9
+    assert r["named"] == 1 and abs(r["path"] - 1 / 22) < 1e-9 and abs(r["beside"] - 14 / len("harbour lantern   and credential zzzz"[:36])) < 0.02
+    runs = [(c.isdigit(), c.islower(), c.isupper()) for c in r["candidate"]]
+    assert abs(r["transitions"] - sum(a != b for a, b in zip(runs, runs[1:])) / 22) < 1e-9
+
+
 # pipeline
 def test_pipeline_on_odd_rows(spark, tmp_path):
     """Nulls, empty, long, repeated and odd rows, clashing columns, and an empty table."""
