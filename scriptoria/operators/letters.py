@@ -96,12 +96,18 @@ def parse_letters(pages: DataFrame) -> DataFrame:
     return format_letter(postprocess_letter(with_image_flags(merge_letter_pages(parse_letter_text(pages)))))
 
 
+def _of_file(rows: DataFrame) -> list[str]:
+    """Columns about the uploaded file that are carried along where they are there."""
+    return [c for c in ("filename", "file_size") if c in rows.columns]
+
+
 def raw_pages(pages: DataFrame) -> DataFrame:
-    """Each letter's number of pages, characters by page, and the text of its pages that have any, each with a line feed."""
-    held = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
+    """Each letter's file name and size, number of pages, pages (number, text, characters), characters by page, and the text of its pages that have any, each with a line feed."""
+    page = F.struct("page_number", F.coalesce("text", F.lit("")).alias("text"), F.length(F.coalesce("text", F.lit(""))).alias("char_count"))
+    held = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"), *[F.first(c, ignorenulls=True).alias(c) for c in _of_file(pages)])
     return held.select(
-        "doc_id", F.size("p").cast("long").alias("pages_count"), F.transform("p", lambda x: F.length(x["text"])).alias("char_counts"),
-        F.array_join(F.transform(F.filter("p", lambda x: x["text"] != ""), lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("raw_text"),
+        "doc_id", *_of_file(pages), F.size("pages").cast("long").alias("pages_count"), "pages", F.transform("pages", lambda x: x["char_count"]).alias("char_counts"),
+        F.array_join(F.transform(F.filter("pages", lambda x: x["text"] != ""), lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("raw_text"),
     )
 
 
@@ -112,6 +118,6 @@ def letter_raw_text(pages: DataFrame) -> DataFrame:
 
 
 def layout_results_summary(results: DataFrame, method: str = "layout") -> DataFrame:
-    """Number of pages, and markdown text and images of the first page, of each document's array of layout results."""
+    """File name and size, method, number of pages, and markdown text and images of the first page, of each document's array of layout results."""
     first = F.get("pages", 0)["markdown"]
-    return results.select("doc_id", F.size("pages").alias("pages_count"), first["text"].alias("markdown_text"), F.map_keys(first["images"]).alias("image_names"), F.lit(method).alias("method"))
+    return results.select("doc_id", *_of_file(results), F.size("pages").alias("pages_count"), first["text"].alias("markdown_text"), F.map_keys(first["images"]).alias("image_names"), F.lit(method).alias("method"))

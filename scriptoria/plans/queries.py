@@ -374,14 +374,19 @@ def _merged(s: SparkSession, d: str) -> DataFrame:
 
 
 add("a01_merge_letter_pages", lambda s, d: _merged(s, d).select("doc_id", "delegator", "delegator_address", "delegator_phone", "trustee", "signing_date"), f"SELECT doc_id, delegator, delegator_address, delegator_phone, trustee, signing_date FROM ({sql.LETTERS})")
-add("a02_raw_pages", lambda s, d: letters.raw_pages(fixtures.letter_pages(s, d)).select("doc_id", "pages_count", F.array_join(F.col("char_counts").cast("array<string>"), ",").alias("char_counts"), "raw_text"), f"WITH {sql.PAGES} SELECT CAST(k AS VARCHAR) AS doc_id, count(*) AS pages_count, string_agg(CAST(length(text) AS VARCHAR), ',' ORDER BY page_number) AS char_counts, string_agg(CASE WHEN text <> '' THEN text || chr(10) ELSE '' END, '' ORDER BY page_number) AS raw_text FROM p GROUP BY 1")
+def _named(rows: DataFrame) -> DataFrame:
+    """Rows with a name and a size of the file that they came in."""
+    return rows.withColumns({"filename": F.concat("doc_id", F.lit(".pdf")), "file_size": F.col("doc_id").cast("long") * 10})
+
+
+add("a02_raw_pages", lambda s, d: letters.raw_pages(_named(fixtures.letter_pages(s, d))).select("doc_id", "filename", "file_size", "pages_count", F.array_join(F.transform("pages", lambda x: F.concat_ws(":", x["page_number"], x["char_count"], x["text"])), "|").alias("pages"), F.array_join(F.col("char_counts").cast("array<string>"), ",").alias("char_counts"), "raw_text"), f"WITH {sql.PAGES} SELECT CAST(k AS VARCHAR) AS doc_id, k || '.pdf' AS filename, CAST(k * 10 AS BIGINT) AS file_size, string_agg(page_number || ':' || length(text) || ':' || text, '|' ORDER BY page_number) AS pages, count(*) AS pages_count, string_agg(CAST(length(text) AS VARCHAR), ',' ORDER BY page_number) AS char_counts, string_agg(CASE WHEN text <> '' THEN text || chr(10) ELSE '' END, '' ORDER BY page_number) AS raw_text FROM p GROUP BY 1, 2, 3")
 add("a03_letter_raw_text", lambda s, d: letters.letter_raw_text(fixtures.letter_pages(s, d)), f"WITH {sql.PAGES} SELECT CAST(k AS VARCHAR) AS doc_id, string_agg(text, chr(10) ORDER BY page_number) AS raw_text FROM p GROUP BY 1")
 FLAG = "k % 7 <> 0 AND k % 2 = 1"
 add("a04_letter_image_flags", lambda s, d: letters.with_image_flags(_merged(s, d)).select("doc_id", "trustee_signature", "trustee_id_front", "trustee_id_back"), f"WITH {sql.PAGES} SELECT CAST(k AS VARCHAR) AS doc_id, {', '.join(f"CASE WHEN {FLAG} THEN '{x}' END AS {n}" for x, n in zip(letters.CONFIRM, ('trustee_signature', 'trustee_id_front', 'trustee_id_back'), strict=True))} FROM o")
 add("a05_postprocess_letter", lambda s, d: letters.postprocess_letter(_merged(s, d)).select("doc_id", "delegator", "delegator_id", "delegator_address", "trustee", "trustee_id"), f"SELECT doc_id, delegator, delegator_id, delegator_address, trustee, trustee_id FROM ({sql.LETTERS})")
 add("a06_format_letter", lambda s, d: _letters(s, d).select("doc_id", "status", "pages_count"), f"SELECT doc_id, status, pages_count FROM ({sql.LETTERS})")
 add("a07_parse_letters", _letters, sql.LETTERS)
-add("a08_layout_results_summary", lambda s, d: letters.layout_results_summary(sources.parse_layout_results(fixtures.layout_json(s, d))).select("doc_id", "pages_count", "markdown_text", F.array_join("image_names", ",").alias("image_names"), "method"), "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CAST(o_orderkey % 3 + 1 AS INT) AS pages_count, CASE WHEN o_orderkey % 10 <> 0 THEN 'p1-' || o_orderkey END AS markdown_text, CASE WHEN o_orderkey % 10 <> 0 THEN 'a' || o_orderkey || '.png' END AS image_names, 'layout' AS method FROM orders")
+add("a08_layout_results_summary", lambda s, d: letters.layout_results_summary(sources.parse_layout_results(_named(fixtures.layout_json(s, d)))).select("doc_id", "filename", "file_size", "pages_count", "markdown_text", F.array_join("image_names", ",").alias("image_names"), "method"), "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderkey || '.pdf' AS filename, CAST(o_orderkey * 10 AS BIGINT) AS file_size, CAST(o_orderkey % 3 + 1 AS INT) AS pages_count, CASE WHEN o_orderkey % 10 <> 0 THEN 'p1-' || o_orderkey END AS markdown_text, CASE WHEN o_orderkey % 10 <> 0 THEN 'a' || o_orderkey || '.png' END AS image_names, 'layout' AS method FROM orders")
 
 # images
 GRAY = "g AS (SELECT vec_id, i, CAST(greatest(0, least(255, floor((coalesce(CAST(embedding[i] AS DOUBLE), 0) + 1) * 127))) AS INT) AS v FROM embeddings, range(1, 65) r(i)), y AS (SELECT vec_id, i, (114 * v + 587 * (v * 3 % 256) + 299 * (v * 5 % 256) + 500) // 1000 AS y FROM g)"

@@ -30,8 +30,8 @@ def read_image_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_layout_results(rows: DataFrame, column: str = "json") -> DataFrame:
-    """doc_id and pages (markdown text and images) of JSON results."""
-    return rows.select("doc_id", F.from_json(column, MARKDOWN_PAGES).alias("pages"))
+    """doc_id, file name and size where they are there, and pages (markdown text and images) of JSON results."""
+    return rows.select("doc_id", *[c for c in ("filename", "file_size") if c in rows.columns], F.from_json(column, MARKDOWN_PAGES).alias("pages"))
 
 
 def write_typed(tables: dict[str, DataFrame], path: str) -> None:
