@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Filter, checkpointed, fold_of, texts
@@ -99,6 +99,17 @@ def _summed(*columns: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"context": context[at], "shorter": shorter[at], "word": word[at], "c": np.add.reduceat(c, at) if len(at) else c})
 
 
+def _grouped(rows: DataFrame, *more: Column) -> DataFrame:
+    """context, word and c summed over what tasks have counted, from LEAST on.
+
+    Rows are dealt by their context and the first three bits of their word. In each task they come sorted, so those of one context stay together and pack well, and a context that is everywhere lands in eight tasks.
+    Single words, which have no context, are dealt by sixteen bits.
+    """
+    dealt = rows.withColumn("part", F.when(F.col("context") == END, F.shiftright("word", 48)).otherwise(F.shiftright("word", 61)))
+    dealt = dealt.repartition("context", "part").groupBy("context", "part", "word").agg(F.sum("c").alias("c"), *more)
+    return dealt.filter((F.col("c") >= LEAST) | (F.col("context") == END)).drop("part")
+
+
 def _count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(context, word, c) of single words (their context is END) and pairs of words, summed for a few million words at a time."""
     found, size = [], 0
@@ -170,7 +181,7 @@ def _entry(node: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter | None) -> DataFrame:
-    """context, shorter (its suffix), word and c of every (context, next) that occurs `LEAST` times, with contexts of `depth` words; and how often each such context occurs, as the word `ALL`.
+    """context, word and c of every (context, next) that occurs `LEAST` times, with contexts of `depth` words; and, from runs, shorter (the context's suffix) and how often each context occurs, as the word `ALL`.
 
     source: texts, or runs of words in which all longer sequences that matter stand. attested: keys of the sequences of `depth` words that are entries of the level before. Of a sequence that
     occurs `LEAST` times, the context and all but its first word do too. kept: suffixes whose longer contexts are wanted; None: any.
@@ -182,7 +193,8 @@ def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter |
         (attested, kept), found, size = sent.value, [], 0
 
         def out() -> pd.DataFrame:
-            return _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            rows = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            return rows if runs else rows.drop(columns="shorter")
 
         for b in batches:
             for number, new in _run_tokens(b) if runs else (tokens_of(part["text"].tolist())[:2] for part in _parts(b)):
@@ -209,8 +221,8 @@ def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter |
         if found:
             yield out()
 
-    rows = source.mapInPandas(pair_rows, "context long, shorter long, word long, c long")
-    return checkpointed(rows.groupBy("context", "word").agg(F.max("shorter").alias("shorter"), F.sum("c").alias("c")).filter(F.col("c") >= LEAST))
+    rows = source.mapInPandas(pair_rows, f"context long, {'shorter long, ' if runs else ''}word long, c long")
+    return checkpointed(_grouped(rows, *[F.max("shorter").alias("shorter")] if runs else []))
 
 
 def _run_tokens(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -282,7 +294,7 @@ def _weighed(entries: DataFrame, totals: DataFrame, before: DataFrame) -> DataFr
     of = of.select("context", "n", ((d + n - m) / (n + d)).alias("escape"), (n + d).alias("of"), (2 * (F.col("g") - m * F.log(n) + rest) > d + 4 * F.sqrt(2 * d)).alias("kept"))
     share = c / F.col("of") + F.col("escape") * F.col("q")
     adds = F.log10(share) - F.log10("escape") - F.log10("q")
-    return checkpointed(met.join(of, "context").select("key", "context", "both", "c", "n", "escape", "kept", F.when(F.col("kept"), share).otherwise(F.col("q")).alias("p"), F.when(F.col("kept"), adds).alias("adds")))
+    return checkpointed(met.join(of, "context").select("key", "context", "suffix_key", "both", "c", "n", "escape", "kept", F.when(F.col("kept"), share).otherwise(F.col("q")).alias("p"), F.when(F.col("kept"), adds).alias("adds")))
 
 
 def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> tuple[DataFrame, int]:
@@ -304,7 +316,11 @@ def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> tupl
             over = Filter(kept.select(F.col("context").alias("key")).distinct())
         depth += 1
         rows = _count_level(source, depth, attested, over)
-        totals = level.select(F.col("both").alias("context"), F.col("c").alias("n")) if depth == 2 else rows.filter(F.col("word") == ALL).select("context", F.col("c").alias("n"))
+        if depth == 2:  # a context of two words is a pair of the level before, and its suffix the second one
+            totals = level.select(F.col("both").alias("context"), F.col("c").alias("n"))
+            rows = rows.join(level.select(F.col("both").alias("context"), F.col("suffix_key").alias("shorter")), "context")
+        else:
+            totals = rows.filter(F.col("word") == ALL).select("context", F.col("c").alias("n"))
         level = _weighed(_keyed(rows, depth), totals, kept if depth > 2 else level)
 
 
@@ -332,8 +348,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs."""
     fold = fold_of(F.col("doc_id"), folds)
     learned = texts(docs).filter(fold != held_out)
-    counts = learned.select("text").mapInPandas(_count_rows, "context long, word long, c long").groupBy("context", "word").agg(F.sum("c").alias("c"))
-    counts = checkpointed(counts.filter((F.col("context") == END) | (F.col("c") >= LEAST)))
+    counts = checkpointed(_grouped(learned.select("text").mapInPandas(_count_rows, "context long, word long, c long")))
     words = counts.filter(F.col("context") == END).select("word", F.col("c").alias("n"))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     values, depth = train(learned, counts, total, distinct)
