@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -174,7 +175,7 @@ class Bpe:
         wanted, words = {"\n"}, set()
         for t in batch:
             split = [x.split(" ") for x in t.split("\n")]
-            if any("" in x for x in split) or sum(map(len, split)) != len(t.split()):
+            if list(chain.from_iterable(split)) != t.split():  # or else it has other white space, or two in a row
                 lines.append(None)
                 wanted.update(self.pattern.findall(t))
                 continue

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, langid, mixing, near_dedup, pii, secrets, suffix_tree_lm, toxicity
+from . import ann, bpe, drift_clusters, exact_dedup, filter_audit, langid, mixing, near_dedup, pair_bpe, pii, secrets, suffix_tree_lm, toxicity
 from .common import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,24 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.classify(parquet(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pfair_mixing, op2_toxicity, op3_dart_minhash, op4_byte_bpe, op5_additive_quantisation, op6_suffix_tree_lm, op7_exact_dedup, op8_pii_sanitise, op9_language_id, op10_secret_forest)}
+def op11_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded texts for every document."""
+    import public_tokenizers
+
+    return pair_bpe.token_digests(parquet(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes at each step of each order, by language."""
+    return filter_audit.audit(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+
+
+def op13_drift_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every embedding."""
+    return drift_clusters.clustered(parquet(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pfair_mixing, op2_toxicity, op3_dart_minhash, op4_byte_bpe, op5_additive_quantisation, op6_suffix_tree_lm, op7_exact_dedup, op8_pii_sanitise, op9_language_id, op10_secret_forest, op11_pair_index_bpe, op12_filter_audit, op13_drift_clusters)}
 
 #: The columns of op6 that SQL can express are held against it in tests/llm.
 ORACLE_SQL: dict[str, str] = {
@@ -75,4 +92,6 @@ ORACLE_SQL: dict[str, str] = {
         ), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
         FROM n JOIN g ON n.t = g.t""",
+    "op12_filter_audit": filter_audit.AUDIT_SQL,
+    "op13_drift_clusters": drift_clusters.clusters_sql(),
 }
