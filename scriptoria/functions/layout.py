@@ -11,20 +11,35 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import LINE
 from .text import let, strip, text
 
 Test = Callable[[Column], Column]
 
 
+def read_lines(texts: Column, scores: Column, boxes: Column, min_score: float = 0.2) -> Column:
+    """Lines of parallel arrays in reading order: trimmed, not blank, with the score at least min_score; boxes lose their fractions.
+
+    A line that would be kept but lacks its score, or four whole numbers as its box, has nulls in their place. Where the arrays differ in length, places beyond the shortest lack something.
+    """
+
+    def line(b: Column, i: Column) -> Column:
+        score = F.get(scores, i)
+        at = lambda k: F.when(F.size(b) == 4, F.get(b, k).try_cast("int"))
+        shown = F.when(F.coalesce(score >= min_score, F.lit(True)), strip(F.get(texts, i)))
+        return F.struct(at(1).alias("top"), at(0).alias("left"), i.cast("int").alias("line_no"), at(2).alias("right"), at(3).alias("bottom"), shown.alias("text"), score.cast("double").alias("score"))
+
+    return F.coalesce(F.array_sort(F.filter(F.transform(boxes, line), lambda x: x["text"] != "")), F.array().cast(f"array<{LINE}>"))
+
+
+def is_whole(x: Column) -> Column:
+    """Whether a line read from arrays has its score and its box."""
+    return reduce(lambda p, q: p & q, [x[k].isNotNull() for k in ("score", "top", "left", "right", "bottom")])
+
+
 def build_lines(texts: Column, scores: Column, boxes: Column, min_score: float = 0.2) -> Column:
-    """Lines of parallel arrays, cut to the shortest, in reading order: trimmed, not blank, with the score at least min_score; boxes lose their fractions."""
-    n = F.least(F.size(texts), F.size(scores), F.size(boxes))
-    line = lambda i: F.struct(
-        boxes[i][1].cast("int").alias("top"), boxes[i][0].cast("int").alias("left"), i.cast("int").alias("line_no"), boxes[i][2].cast("int").alias("right"),
-        boxes[i][3].cast("int").alias("bottom"), strip(texts[i]).alias("text"), scores[i].alias("score"),
-    )
-    every = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), line)
-    return F.array_sort(F.filter(every, lambda x: (x["text"] != "") & (x["score"] >= min_score)))
+    """Lines of parallel arrays, cut to the shortest, in reading order: trimmed, not blank, with the score at least min_score, and with a whole box."""
+    return F.filter(read_lines(texts, scores, boxes, min_score), is_whole)
 
 
 def center_x(a: Column) -> Column:
@@ -104,12 +119,17 @@ def above(lines: Column, a: Column) -> Column:
     return F.array_sort(F.filter(lines, lambda x: x["bottom"] < a["top"]))
 
 
+def _least(lines: Column, *keys: Callable[[Column], Column]) -> Column:
+    """The line that comes first by the keys, then in reading order."""
+    return F.array_min(F.transform(lines, lambda x: F.struct(*[k(x).alias(f"k{i}") for i, k in enumerate(keys)], x.alias("x"))))["x"]
+
+
 def nearest_below(lines: Column, a: Column) -> Column:
-    return F.get(_sorted(below(lines, a), lambda x: x["top"] - a["bottom"], lambda x: F.abs(x["left"] - a["left"]), lambda x: x["top"], lambda x: x["left"]), 0)
+    return _least(F.filter(lines, lambda x: x["top"] > a["bottom"]), lambda x: x["top"] - a["bottom"], lambda x: F.abs(x["left"] - a["left"]))
 
 
 def nearest_above(lines: Column, a: Column) -> Column:
-    return F.get(_sorted(above(lines, a), lambda x: a["top"] - x["bottom"], lambda x: F.abs(x["left"] - a["left"]), lambda x: x["top"], lambda x: x["left"]), 0)
+    return _least(F.filter(lines, lambda x: x["bottom"] < a["top"]), lambda x: a["top"] - x["bottom"], lambda x: F.abs(x["left"] - a["left"]))
 
 
 def nearest_right(lines: Column, a: Column, tol: float = 20) -> Column:

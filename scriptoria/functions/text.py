@@ -31,6 +31,8 @@ CITIES = {
     "411200": "三门峡市", "411300": "南阳市", "411400": "商丘市", "411500": "信阳市", "411600": "周口市", "411700": "驻马店市", "419001": "济源市",
 }
 HAN = "\\x{4e00}-\\x{9fff}"
+#: Unicode's white space, as the regex class (?U)\\s has it.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c: ColumnOrName) -> Column:
@@ -48,7 +50,7 @@ def text(c: ColumnOrName) -> Column:
 
 def strip(c: ColumnOrName) -> Column:
     """White space off both ends, Unicode's."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
 
 
 def quoted(literal: str) -> str:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TILES, CLIP = 8, 2.0
 
@@ -64,21 +65,28 @@ def enhance(image: np.ndarray) -> np.ndarray:
     return scale_contrast(sharpen(clahe(to_gray(image))))
 
 
-def mapped(images: DataFrame, step: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """doc_id, height, width, data (one grey byte a pixel) and error: step is applied to each image's array."""
+def mapped(images: DataFrame, step: Callable[[np.ndarray], np.ndarray], carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, height, width, data (one grey byte a pixel), error, and a struct of the carried columns if there are any: step is applied to each image's array.
+
+    An image that the reader has found unreadable, or whose bytes aren't those of its size, has no data, and an error. Spark hands the images to a task in batches bounded in bytes
+    (spark.sql.execution.arrow.maxBytesPerBatch), and each result leaves before the next image is looked at, so a task holds one batch and one image more.
+    """
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for doc_id, h, w, c, data in zip(b["doc_id"], b["height"], b["width"], b["channels"], b["data"], strict=True):
+            for i, (h, w, c, data) in enumerate(zip(b["height"], b["width"], b["channels"], b["data"], strict=True)):
                 size = 0 if data is None else len(data)
-                if not (h and w and c == 3 and h > 0 and w > 0 and size == h * w * c):
-                    out.append((doc_id, h, w, None, "unreadable image"))
-                    continue
-                out.append((doc_id, h, w, step(np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3)).tobytes(), None))
-            yield pd.DataFrame(out, columns=["doc_id", "height", "width", "data", "error"]).astype({"height": "Int32", "width": "Int32"})
-
-    return images.select("doc_id", "height", "width", "channels", "data").mapInPandas(rows, "doc_id string, height int, width int, data binary, error string")
+                fine = bool(h and w and c == 3 and h > 0 and w > 0 and size == h * w * c)
+                done = step(np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3)).tobytes() if fine else None
+                one = b.iloc[i : i + 1]
+                yield one[["doc_id", "height", "width"]].astype({"height": "Int32", "width": "Int32"}).assign(data=[done], error=[None if fine else "unreadable image"], **{f"__{k}": one[f"__{k}"] for k in range(len(carried))})
+
+    more = [images[f"`{c}`"].alias(f"__{k}") for k, c in enumerate(carried)]
+    schema = ", ".join(["doc_id string, height int, width int, data binary, error string", *(f"__{k} {images.schema[c].dataType.simpleString()}" for k, c in enumerate(carried))])
+    out = images.select("doc_id", "height", "width", "channels", "data", *more).mapInPandas(rows, schema)
+    if not carried:
+        return out
+    return out.select("doc_id", "height", "width", "data", "error", F.struct(*[F.col(f"__{k}").alias(c) for k, c in enumerate(carried)]).alias("carried"))
 
 
 def enhance_images(images: DataFrame) -> DataFrame:

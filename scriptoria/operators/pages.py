@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions.text import let, postprocess_text, suffix_of
+from ..schemas import BROKEN
 
 ID_FRONT, ID_BACK, LICENCE, UNKNOWN = "id_front", "id_back", "business_license", "unknown"
+#: Why a document can't be parsed.
+NOT_READ = "unreadable record"
+MISSING = "texts, scores or boxes are missing"
+MISALIGNED = "texts, scores and boxes differ in length"
+NO_BOX = "a line without four numbers as its box"
+NO_SCORE = "a line without a score"
 
 
 def filter_supported(files: DataFrame, name: str, allowed: tuple[str, ...], lower: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -47,6 +54,28 @@ def to_layouts(raw: DataFrame, min_score: float = 0.2) -> DataFrame:
     return raw.select(*rest, F.explode(F.array(L.build_lines(F.col("texts"), F.col("scores"), F.col("boxes"), min_score))).alias("lines"))
 
 
+def _fault(lines: Column, broken: bool) -> Column:
+    """Why a document's arrays, of which lines were read, make no page; null if they do."""
+    absent = F.col("texts").isNull() | F.col("scores").isNull() | F.col("boxes").isNull()
+    uneven = (F.size("texts") != F.size("scores")) | (F.size("texts") != F.size("boxes"))
+    box = F.exists(lines, lambda x: x["top"].isNull() | x["left"].isNull() | x["right"].isNull() | x["bottom"].isNull())
+    score = F.exists(lines, lambda x: x["score"].isNull())
+    unread = F.col(BROKEN).isNotNull() if broken else F.lit(False)
+    return F.when(unread, NOT_READ).when(absent, MISSING).when(uneven, MISALIGNED).when(box, NO_BOX).when(score, NO_SCORE)
+
+
+def read_documents(raw: DataFrame, min_score: float = 0.2) -> DataFrame:
+    """(doc_id, lines, error), and other columns of raw: a document that is malformed has its error and no lines, whatever the others hold; no shuffle.
+
+    Malformed are records that can't be read, missing arrays or ones of different lengths, and lines that would be kept but lack a score or a box of four whole numbers. Null texts count as blank.
+    """
+    rest = [c for c in raw.columns if c not in ("texts", "scores", "boxes", "polys", "angle")]
+    lines = L.read_lines(F.col("texts"), F.col("scores"), F.col("boxes"), min_score)
+    held = raw.select(*rest, "texts", "scores", "boxes", F.explode(F.array(lines)).alias("lines"))
+    held = held.select(*rest, "lines", F.explode(F.array(_fault(F.col("lines"), BROKEN in rest))).alias("error"))
+    return held.select(*rest, F.when(F.col("error").isNull(), F.col("lines")).alias("lines"), "error")
+
+
 def build_lines(raw: DataFrame, min_score: float = 0.2) -> DataFrame:
     """The flat table of lines; no shuffle."""
     return to_layouts(raw, min_score).select("doc_id", F.explode("lines").alias("x")).select("doc_id", *[F.col(f"x.{c}") for c in ("line_no", "text", "left", "top", "right", "bottom", "score")])

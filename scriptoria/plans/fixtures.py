@@ -134,9 +134,32 @@ def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(c, boxes, "l")
 
 
+def odd_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The back of a card of each customer, with one flaw: a short, missing or long box, a missing coordinate or score, a missing text, a box that isn't needed, or no texts."""
+    c = customers(spark, sf_dir).withColumn("v", (F.col("k") % 8).cast("int"))
+    v, lit, arr = F.col("v"), F.lit, F.array
+    shown = F.concat(lit("有效期限"), F.concat_ws(".", "vy", "vm2", "vd2"), lit("-长期"))
+    none = lit(None).cast("int")
+    numbers = lambda *n: arr(*map(lit, n)).cast("array<int>")
+    box = F.when(v == 0, numbers(40, 120)).when(v == 1, lit(None)).when(v == 2, numbers(40, 120, 500, 150, 7)).when(v == 3, arr(lit(40), none, lit(500), lit(150))).otherwise(numbers(40, 120, 500, 150))
+    other = F.when(v == 5, lit(None).cast("string")).otherwise("无")
+    return c.select(
+        F.concat(lit("o"), F.col("k").cast("string")).alias("doc_id"), F.when(v != 7, arr(lit("签发机关郑州市公安局"), shown, other)).alias("texts"),
+        arr(lit(0.9), F.when(v != 4, lit(0.9)), F.when(v == 6, lit(0.1)).otherwise(lit(0.9))).alias("scores"), arr(numbers(40, 40, 400, 70), box, F.when(v == 6, numbers(1)).when(v != 5, numbers(40, 200, 90, 230))).alias("boxes"),
+        arr().cast("array<array<array<int>>>").alias("polys"), lit(0).alias("angle"),
+    )
+
+
 def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards, licences, and the documents' pages, which are of no known type."""
-    return id_fronts(spark, sf_dir).unionByName(id_backs(spark, sf_dir)).unionByName(licences(spark, sf_dir)).unionByName(raw_ocr(spark, sf_dir))
+    """Cards, licences, flawed pages, and the documents' pages, which are of no known type."""
+    return id_fronts(spark, sf_dir).unionByName(id_backs(spark, sf_dir)).unionByName(licences(spark, sf_dir)).unionByName(odd_backs(spark, sf_dir)).unionByName(raw_ocr(spark, sf_dir))
+
+
+def cut_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of JSON for each customer, of which some are cut off or hold another type than the schema's."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit('{"doc_id":"j'), k.cast("string"), F.lit('","texts":'), F.when(k % 5 == 1, F.lit('"none"')).otherwise(F.lit('["签发机关甲","有效期限长期"]')), F.lit(',"scores":[0.9,0.8],"boxes":[[1,2,30,40],[1,50,30,90]],"angle":0}'))
+    return table(spark, sf_dir, "customer").select(F.when(k % 5 == 0, F.substring(text, F.lit(1), (20 + k % 31).cast("int"))).otherwise(text).alias("value"))
 
 
 def letter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,3 +200,11 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     gray = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((value(i) + 1) * 127).cast("int"))))
     pixel = lambda g: F.concat(F.lpad(F.hex(g), 2, "0"), F.lpad(F.hex(g * 3 % 256), 2, "0"), F.lpad(F.hex(g * 5 % 256), 2, "0"))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), F.unhex(F.array_join(F.transform(gray, pixel), "")).alias("data"))
+
+
+def bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id and the bytes of a bitmap of each image, as a string; every ninth is cut off in its head."""
+    head = "424DF600000000000000360000002800000008000000080000000100180000000000C0000000000000000000000000000000000000" + "00"
+    rows = F.concat(*[F.substring("data", 24 * (7 - r) + 1, 24) for r in range(8)])  # a bitmap's rows go upwards
+    whole = F.concat(F.unhex(F.lit(head)), rows)
+    return images(spark, sf_dir).select(F.col("doc_id").cast("long").alias("vec_id"), F.when(F.col("doc_id").cast("long") % 9 == 0, F.substring(whole, 1, 30)).otherwise(whole).cast("string").alias("value"))

@@ -14,7 +14,7 @@ from .. import sources
 from ..functions import layout as L
 from ..functions import text as T
 from ..operators import documents, id_cards, images, letters, licence, lines, pages
-from ..streaming import stream_parse
+from ..streaming import stream_parse, stream_typed
 from . import fixtures, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,19 @@ def s01_read_ocr_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("s01_read_ocr_json", s01_read_ocr_json, sql.lines("SELECT doc_id, CAST(count(*) AS INT) AS n_texts, CAST(count(*) FILTER (has_score) AS INT) AS n_scores, string_agg(raw, '|' ORDER BY line_no) AS texts, min(t) FILTER (line_no = 0) AS first_top FROM sized GROUP BY 1"))
 
 
+def s01_broken_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of JSON, some cut off and some of another type than the schema's, parsed: those that can't be read are told so, with their text."""
+    at = shared_folder(spark)
+    fixtures.cut_json(spark, sf_dir).write.text(at)
+    return documents.parse_documents(sources.read_ocr_json(spark, at))
+
+
+add("s01_broken_records", s01_broken_records, f"""
+WITH j AS (SELECT c_custkey AS k, '{{"doc_id":"j' || c_custkey || '","texts":' || CASE WHEN c_custkey % 5 = 1 THEN '"none"' ELSE '["签发机关甲","有效期限长期"]' END || ',"scores":[0.9,0.8],"boxes":[[1,2,30,40],[1,50,30,90]],"angle":0}}' AS line FROM customer)
+SELECT CASE WHEN k % 5 <> 0 THEN 'j' || k END AS doc_id, CASE WHEN k % 5 < 2 THEN 'unknown' ELSE 'id_back' END AS doc_type, CASE WHEN k % 5 >= 2 THEN '{{"authority":"甲","valid_date":""}}' END AS data,
+    CASE WHEN k % 5 < 2 THEN '{pages.NOT_READ}' END AS error, CASE k % 5 WHEN 0 THEN substr(line, 1, 20 + k % 31) WHEN 1 THEN line END AS record FROM j""")
+
+
 def s02_filter_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by their names' suffixes: as they are, and whatever their case."""
     held = fixtures.table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.when(F.col("page_id") % 4 == 0, ".pdf").when(F.col("page_id") % 4 == 1, ".PDF").when(F.col("page_id") % 4 == 2, ".exe").otherwise("")).alias("name"))
@@ -86,25 +99,35 @@ SELECT page_id, true AS any_case, coalesce(lower(suffix) = 'pdf', false) AS supp
 def s06_write_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed tables written and read again: how many rows of each type."""
     at = shared_folder(spark)
-    sources.write_classified(pages.classify(pages.to_layouts(fixtures.all_documents(spark, sf_dir))), f"{at}/classified")
+    sources.write_classified(pages.classify(pages.read_documents(fixtures.all_documents(spark, sf_dir))), f"{at}/classified")
     tables = documents.parse_layouts(spark.read.parquet(f"{at}/classified"))  # each parser reads the folder of its type
     sources.write_typed(tables, at)
-    counts = [spark.read.parquet(f"{at}/{k}").select(F.lit(k).alias("doc_type")) for k in tables]
-    return counts[0].union(counts[1]).union(counts[2]).union(counts[3]).groupBy("doc_type").agg(F.count("*").alias("n"))
+    return _counted(spark, at)
+
+
+def _counted(spark: SparkSession, at: str) -> DataFrame:
+    """How many rows the typed tables under a folder have."""
+    kinds = (pages.ID_FRONT, pages.ID_BACK, pages.LICENCE, pages.UNKNOWN, documents.FAILED)
+    rows = [spark.read.parquet(f"{at}/{k}").select(F.lit(k).alias("doc_type")) for k in kinds]
+    return reduce(DataFrame.union, rows).groupBy("doc_type").agg(F.count("*").alias("n"))
 
 
 KINDS = f"""WITH {sql.LINES}, {sql.CUSTOMERS}, kinds AS (
     SELECT 'f' || k AS doc_id, 'id_front' AS doc_type FROM c UNION ALL SELECT 'b' || k, 'id_back' FROM c UNION ALL SELECT 'l' || k, 'business_license' FROM c
-    UNION ALL SELECT DISTINCT doc_id, 'unknown' FROM raw)"""
-add("s06_write_typed", s06_write_typed, f"{KINDS} SELECT doc_type, count(*) AS n FROM kinds GROUP BY 1")
+    UNION ALL SELECT DISTINCT doc_id, 'unknown' FROM raw UNION ALL SELECT 'o' || k, CASE WHEN k % 8 IN (5, 6) THEN 'id_back' ELSE 'unknown' END FROM c)"""
 #: What parse_documents gives for all documents, as SQL.
 PARSED = f"""
-WITH {sql.LINES}, f AS ({sql.FRONT}), k AS ({sql.BACK}), li AS ({sql.LICENCE}), pg AS (SELECT DISTINCT doc_id, d FROM raw),
+WITH {sql.LINES}, {sql.CUSTOMERS}, f AS ({sql.FRONT}), k AS ({sql.BACK}), li AS ({sql.LICENCE}), pg AS (SELECT DISTINCT doc_id, d FROM raw),
 un AS (SELECT pg.doc_id, pg.d, coalesce(list(ln.text ORDER BY t, l, line_no) FILTER (ln.text IS NOT NULL), []) AS texts FROM pg LEFT JOIN ln ON ln.doc_id = pg.doc_id GROUP BY 1, 2), parsed AS (
 SELECT doc_id, 'id_front' AS doc_type, CAST(to_json({{'name': name, 'gender': gender, 'nation': nation, 'birthday': birthday, 'address': address, 'id_number': id_number}}) AS VARCHAR) AS data, CAST(NULL AS VARCHAR) AS error FROM f
 UNION ALL SELECT doc_id, 'id_back', CAST(to_json({{'authority': authority, 'valid_date': valid_date}}) AS VARCHAR), NULL FROM k
 UNION ALL SELECT doc_id, 'business_license', CAST(to_json({{{', '.join(f"'{x}': {x}" for x in licence.FIELDS)}}}) AS VARCHAR), NULL FROM li
-UNION ALL SELECT doc_id, 'unknown', CASE WHEN d % 5 <> 0 THEN CAST(to_json({{'type': 'unknown', 'error': '{documents.NOT_RECOGNISED}', 'raw_texts': texts}}) AS VARCHAR) END, CASE WHEN d % 5 = 0 THEN '{documents.MISALIGNED}' END FROM un)"""
+UNION ALL SELECT doc_id, 'unknown', CASE WHEN d % 5 <> 0 THEN CAST(to_json({{'type': 'unknown', 'error': '{documents.NOT_RECOGNISED}', 'raw_texts': texts}}) AS VARCHAR) END, CASE WHEN d % 5 = 0 THEN '{documents.MISALIGNED}' END FROM un
+UNION ALL SELECT 'o' || k, CASE WHEN k % 8 IN (5, 6) THEN 'id_back' ELSE 'unknown' END, CASE WHEN k % 8 IN (5, 6) THEN
+    CAST(to_json({{'authority': '郑州市公安局', 'valid_date': (2000 + k % 20) || '.' || lpad(CAST(m AS VARCHAR), 2, '0') || '.' || lpad(CAST(d AS VARCHAR), 2, '0') || '-长期'}}) AS VARCHAR) END,
+    CASE k % 8 WHEN 4 THEN '{pages.NO_SCORE}' WHEN 5 THEN NULL WHEN 6 THEN NULL WHEN 7 THEN '{pages.MISSING}' ELSE '{pages.NO_BOX}' END FROM c)"""
+TYPED = f"{PARSED} SELECT CASE WHEN error IS NULL THEN doc_type ELSE '{documents.FAILED}' END AS doc_type, count(*) AS n FROM parsed GROUP BY 1"
+add("s06_write_typed", s06_write_typed, TYPED)
 add("s05_envelope", lambda s, d: documents.to_envelope(documents.parse_documents(fixtures.all_documents(s, d))), f"""{PARSED}
 SELECT doc_id, CASE WHEN error IS NULL THEN '{{"code":0,"msg":"success","data":' || data || '}}' ELSE '{{"code":500,"msg":"' || error || '","data":null}}' END AS response FROM parsed""")
 
@@ -233,7 +256,7 @@ add("l06_all_pairs_same_row", lambda s, d: lines.all_pairs_same_row(_lines(s, d)
 # classification and dispatch
 add("d01_detect", lambda s, d: pages.classify(pages.to_layouts(fixtures.all_documents(s, d))).select("doc_id", "doc_type"), f"{KINDS} SELECT * FROM kinds")
 add("d02_parse_documents", lambda s, d: documents.parse_documents(fixtures.all_documents(s, d)), f"{PARSED} SELECT * FROM parsed")
-add("d03_unknown_documents", lambda s, d: documents.unknown_documents(pages.classify(pages.to_layouts(fixtures.all_documents(s, d)))).select("doc_id", "type", "error", F.array_join("raw_texts", "|").alias("joined")), f"WITH {sql.LINES}, {PAGE_OF} SELECT pg.doc_id, 'unknown' AS type, '{documents.NOT_RECOGNISED}' AS error, coalesce(string_agg(text, '|' ORDER BY t, l, line_no), '') AS joined FROM pg LEFT JOIN ln ON ln.doc_id = pg.doc_id GROUP BY 1")
+add("d03_unknown_documents", lambda s, d: documents.unknown_documents(pages.classify(pages.to_layouts(fixtures.all_documents(s, d)))).select("doc_id", "type", "error", F.array_join("raw_texts", "|").alias("joined")), f"WITH {sql.LINES}, {PAGE_OF} SELECT pg.doc_id, 'unknown' AS type, '{documents.NOT_RECOGNISED}' AS error, coalesce(string_agg(text, '|' ORDER BY t, l, line_no), '') AS joined FROM pg LEFT JOIN ln ON ln.doc_id = pg.doc_id GROUP BY 1 UNION ALL SELECT 'o' || c_custkey, 'unknown', '{documents.NOT_RECOGNISED}', CASE WHEN c_custkey % 8 = 7 THEN '' ELSE '签发机关郑州市公安局|无' END FROM customer WHERE c_custkey % 8 NOT IN (5, 6)")
 
 # dates, codes, addresses, names
 def f01_normalize_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,11 +424,47 @@ def _pixels(value: str) -> str:
 
 
 add("i01_to_gray", _images(images.to_gray), _pixels("y"))
-add("i02_clahe", _images(lambda x: images.clahe(images.to_gray(x), tiles=2)))
+def equalised_sql(tiles: int) -> str:
+    """e: vec_id, i and v, the equalised grey values of the 8 x 8 images in y, by a grid of tiles x tiles."""
+    size = 8 // tiles
+    n, limit = size * size, max(int(2.0 * size * size / 256), 1)
+    near = lambda at, d: f"CAST(least({tiles - 1}, greatest(0, floor(({at} + 0.5) / {size} - 0.5) + {d})) AS INT)"
+    weight = lambda at, d: f"(CASE {d} WHEN 0 THEN 1 - (({at} + 0.5) / {size} - 0.5 - floor(({at} + 0.5) / {size} - 0.5)) ELSE ({at} + 0.5) / {size} - 0.5 - floor(({at} + 0.5) / {size} - 0.5) END)"
+    return f"""px AS (SELECT vec_id, i, y AS g, CAST((i - 1) // 8 AS DOUBLE) AS r, CAST((i - 1) % 8 AS DOUBLE) AS c FROM y),
+        hist AS (SELECT vec_id, CAST(floor(r / {size}) AS INT) AS ty, CAST(floor(c / {size}) AS INT) AS tx, g AS v, count(*) AS n FROM px GROUP BY ALL),
+        tile AS (SELECT vec_id, ty, tx, CAST(sum(greatest(n - {limit}, 0)) AS BIGINT) AS over FROM hist GROUP BY ALL),
+        cor AS (SELECT px.vec_id, i, g, dy, dx, {near('r', 'dy')} AS ty, {near('c', 'dx')} AS tx, {weight('r', 'dy')} * {weight('c', 'dx')} AS w FROM px, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx)),
+        low AS (SELECT cor.vec_id, i, dy, dx, any_value(w) AS w, any_value(g) AS g, any_value(over) AS over, coalesce(sum(least(n, {limit})) FILTER (v <= g), 0) AS held
+            FROM cor JOIN tile USING (vec_id, ty, tx) JOIN hist USING (vec_id, ty, tx) GROUP BY cor.vec_id, i, dy, dx),
+        e AS (SELECT vec_id, i, CAST(round_even(sum(w * least(255, greatest(0, round_even((held + (g + 1) * (over // 256) + CASE WHEN over % 256 > 0 THEN least(over % 256, g // greatest(256 // (over % 256), 1) + 1) ELSE 0 END)
+            * (255.0::DOUBLE / {n}), 0)))), 0) AS INT) AS v FROM low GROUP BY 1, 2)"""
+
+
+def _equalised(tiles: int, value: str, more: str = "", source: str = "e") -> str:
+    return f"WITH {GRAY}, {equalised_sql(tiles)}{more} SELECT CAST(vec_id AS VARCHAR) AS doc_id, 8 AS height, 8 AS width, string_agg(upper(printf('%02x', CAST({value} AS INT))), '' ORDER BY i) AS pixels, CAST(NULL AS VARCHAR) AS error FROM {source} GROUP BY 1"
+
+
+add("i02_clahe", _images(lambda x: images.clahe(images.to_gray(x), tiles=2)), _equalised(2, "v"))
 NEAR = " + ".join(f"list_extract(p, 1 + CASE WHEN (i - 1) // 8 + ({dy}) < 0 THEN 1 WHEN (i - 1) // 8 + ({dy}) > 7 THEN 6 ELSE (i - 1) // 8 + ({dy}) END * 8 + CASE WHEN (i - 1) % 8 + ({dx}) < 0 THEN 1 WHEN (i - 1) % 8 + ({dx}) > 7 THEN 6 ELSE (i - 1) % 8 + ({dx}) END)" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
 add("i03_sharpen", _images(lambda x: images.sharpen(images.to_gray(x))), f"WITH {GRAY}, z AS (SELECT vec_id, list(y ORDER BY i) AS p FROM y GROUP BY 1), s AS (SELECT vec_id, p, unnest(range(1, 65)) AS i FROM z) SELECT CAST(vec_id AS VARCHAR) AS doc_id, 8 AS height, 8 AS width, string_agg(upper(printf('%02x', CAST(greatest(0, least(255, 10 * p[i] - ({NEAR}))) AS INT))), '' ORDER BY i) AS pixels, CAST(NULL AS VARCHAR) AS error FROM s GROUP BY 1")
 add("i04_scale_contrast", _images(lambda x: images.scale_contrast(images.to_gray(x))), _pixels("least(255, round(abs(1.2 * y + 30)))"))
-add("i05_enhance_images", lambda s, d: images.enhance_images(fixtures.images(s, d)).select("doc_id", "height", "width", F.hex("data").alias("pixels"), "error"))
+SHARP = f", z AS (SELECT vec_id, list(v ORDER BY i) AS p FROM e GROUP BY 1), q AS (SELECT vec_id, p, unnest(range(1, 65)) AS i FROM z), sharp AS (SELECT vec_id, i, least(255, round(abs(1.2 * greatest(0, least(255, 10 * p[i] - ({NEAR}))) + 30))) AS v FROM q)"
+add("i05_enhance_images", lambda s, d: images.enhance_images(fixtures.images(s, d)).select("doc_id", "height", "width", F.hex("data").alias("pixels"), "error"), _equalised(8, "v", SHARP, "sharp"))
+
+
+def s03_read_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bitmaps written from the images, every ninth cut off, read as files, decoded in the tasks, and enhanced: the pixels as they were read and as they came out, or the error."""
+    at = shared_folder(spark)
+    fixtures.bitmaps(spark, sf_dir).write.partitionBy("vec_id").text(at)
+    held = sources.read_images(spark, at).withColumn("doc_id", F.regexp_extract("doc_id", r"vec_id=(-?\d+)", 1))
+    done = images.mapped(held, images.enhance, carried=("data",))
+    return done.select("doc_id", F.hex("carried.data").alias("pixels"), F.hex("data").alias("enhanced"), "error")
+
+
+COLOURS = "string_agg(upper(printf('%02x%02x%02x', v, v * 3 % 256, v * 5 % 256)), '' ORDER BY i)"
+add("s03_read_images", s03_read_images, f"""
+WITH done AS ({_equalised(8, "v", SHARP, "sharp")}), {GRAY}, given AS (SELECT CAST(vec_id AS VARCHAR) AS doc_id, {COLOURS} AS pixels, vec_id % 9 = 0 AS cut FROM g GROUP BY vec_id)
+SELECT doc_id, CASE WHEN NOT cut THEN given.pixels END AS pixels, CASE WHEN NOT cut THEN done.pixels END AS enhanced, CASE WHEN cut THEN 'unreadable image' END AS error FROM given JOIN done USING (doc_id)""")
 
 
 # streaming
@@ -417,6 +476,17 @@ def t01_stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").select("doc_id", "doc_type", "error")
 
 
+def t01_stream_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive as JSON files, in typed tables by a stream of several batches that ends and is started again when more have come: how many rows of each type."""
+    at, run = shared_folder(spark), lambda: stream_typed(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", available_now=True, files_per_trigger=4).awaitTermination()
+    fixtures.odd_backs(spark, sf_dir).unionByName(fixtures.raw_ocr(spark, sf_dir)).write.json(f"{at}/in")
+    run()
+    fixtures.id_fronts(spark, sf_dir).unionByName(fixtures.id_backs(spark, sf_dir)).unionByName(fixtures.licences(spark, sf_dir)).write.mode("append").json(f"{at}/in")
+    run()
+    return _counted(spark, f"{at}/out")
+
+
+add("t01_stream_typed", t01_stream_typed, TYPED)
 add("t01_stream_parse", t01_stream_parse, f"{PARSED} SELECT doc_id, doc_type, error FROM parsed")
 
 

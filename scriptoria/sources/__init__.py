@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import MARKDOWN_PAGES, RAW_OCR
+from ..schemas import BROKEN, MARKDOWN_PAGES, RAW_OCR, RAW_OCR_JSON
 
 
 def read_ocr_json(spark: SparkSession, path: str) -> DataFrame:
-    """Recognition results, a document a line, by the fixed schema."""
-    return spark.read.schema(RAW_OCR).json(path)
+    """Recognition results, a document a line, by the fixed schema. A line that can't be read, or not by the schema, keeps its text in the column `record`, beside what could be read of it."""
+    return spark.read.schema(RAW_OCR_JSON).option("columnNameOfCorruptRecord", BROKEN).json(path)
 
 
 def read_ocr_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -34,10 +34,11 @@ def parse_layout_results(rows: DataFrame, column: str = "json") -> DataFrame:
     return rows.select("doc_id", *[c for c in ("filename", "file_size") if c in rows.columns], F.from_json(column, MARKDOWN_PAGES).alias("pages"))
 
 
-def write_typed(tables: dict[str, DataFrame], path: str) -> None:
-    """A Parquet table for each document type under path."""
+def write_typed(tables: dict[str, DataFrame], path: str, batch_id: int | None = None) -> None:
+    """A Parquet table for each document type under path. With a batch_id only that batch's part of each table is written, in place of what an earlier attempt at the batch left."""
+    part = "" if batch_id is None else f"/batch_id={batch_id}"
     for kind, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{kind}")
+        df.write.mode("overwrite").parquet(f"{path}/{kind}{part}")
 
 
 def write_classified(classified: DataFrame, path: str) -> None:

@@ -226,7 +226,7 @@ def test_entry_registers_sql_for_known_queries():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     own = {k for k in entry.queries() if not k.startswith("op") and k != "pipeline"}
-    codes = ["s01", "s02", "s05", "s06", "a01", "a02", "a03", "a04", "a05", "a06", "a07", "a08", "a09", "d01", "d02", "d03", "t01"]
+    codes = ["s01", "s02", "s03", "s05", "s06", "a01", "a02", "a03", "a04", "a05", "a06", "a07", "a08", "a09", "d01", "d02", "d03", "t01"]
     codes += [f"{c}{i:02}" for c, n in (("p", 12), ("l", 21), ("f", 16), ("x", 20), ("i", 5)) for i in range(1, n + 1)]
     assert {k.split("_")[0] for k in own} == set(codes)
-    assert set(own) - set(entry.oracle_sql()) == {"i02_clahe", "i05_enhance_images"}
+    assert set(own) <= set(entry.oracle_sql())
