@@ -39,6 +39,9 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 class Bpe:
     """Merges, by the given ranks, of the matches of a pattern."""
 
+    #: Most pieces and words that are held.
+    cached = CACHED
+
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.vocabulary = {i: t for t, i in ranks.items()}
@@ -169,7 +172,7 @@ class Bpe:
         A space or line feed between two characters that are no white space always starts a piece. So where a text has
         no other white space, it falls into words whose pieces don't depend on their neighbours.
         """
-        if len(self.cache) + len(self.after_space) > CACHED:
+        if len(self.cache) + len(self.after_space) > self.cached:
             self.cache, self.after_space = {}, {}
         lines: list[list[list[str]] | None] = []
         wanted, words = {"\n"}, set()
