@@ -10,7 +10,8 @@ in which a row is its code, length and id; only what goes on to the ranking is j
 and table look-ups a pair.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, or whose length isn't the most frequent one, take no part (cosines are defined between vectors of one length only); neither do rows without an id.
-Rows that repeat an id and a vector count once. An empty table gives no rows.
+Rows that repeat an id and a vector count once. An id with several vectors gets an answer for each; no row of its own id is in it. Components of any size are
+scored as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -111,13 +112,17 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = 50, rerank: int = R
     # a rank with a limit keeps only `top + 1` ids of a vector in each task before the shuffle, however often a row repeats
     smallest = Window.partitionBy("v").orderBy("vec_id")
     ids = rows.withColumn("n", F.dense_rank().over(smallest)).filter(F.col("n") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    reps = checkpointed(ids.select(F.col("ids")[0].alias("rep"), "ids", "v"))
+    # numbered for good as they are written; an id may stand first for several vectors
+    reps = checkpointed(ids.select(F.monotonically_increasing_id().alias("rep"), F.col("ids")[0].alias("least"), "ids", "v"))
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "v"])
     asked = checkpointed(asked.join(reps.select("v", "rep"), "v").select("vec_id", "rep"))
-    queries = asked.select("rep").distinct().join(reps, "rep").select(F.col("rep").alias("q"), F.col("v").alias("qv"))
+    # an id with several vectors is no answer to its own: it asks for itself, and vectors that it alone has are passed over for it
+    several = asked.groupBy("vec_id").count().filter("count > 1").select("vec_id", F.col("vec_id").alias("own"))
+    asked = checkpointed(asked.join(several, "vec_id", "left"))
+    queries = asked.select("rep", "own").distinct().join(reps, "rep").select(F.col("rep").alias("q"), "own", F.col("v").alias("qv"))
 
-    n, nq = reps.count(), asked.select("rep").distinct().count()
-    h = F.xxhash64(F.lit(5), "rep")
+    n, nq = reps.count(), asked.select("rep", "own").distinct().count()
+    h = F.xxhash64(F.lit(5), "least", "v")
     bound = min(2**63 - 1, int(-(2**63) + min(1.0, 2 * sample / n) * 2**64))  # about twice as many pass
     fitted = reps.filter(h <= F.lit(bound)).orderBy(h).limit(sample).select("v").toPandas()["v"]
     x = np.stack([np.asarray(v, np.float64) for v in fitted])
@@ -139,50 +144,59 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = 50, rerank: int = R
         for b in batches:
             if len(b):
                 codes = beam_codes(unit(b["v"]), books.value)
-                yield pd.DataFrame({"c": b["rep"].to_numpy(), "code": [r.tobytes() for r in codes], "length": np.linalg.norm(decode(codes, books.value), axis=1).astype(np.float32)})
+                yield pd.DataFrame({"c": b["rep"].to_numpy(), "sole": b["sole"].astype("Int64"), "code": [r.tobytes() for r in codes], "length": np.linalg.norm(decode(codes, books.value), axis=1).astype(np.float32)})
 
-    # a coded row is 32 bytes of code, its length and its id, whatever the dimension
+    # a coded row is 32 bytes of code, its length, its id, and whether that id alone has it, whatever the dimension
     nqb, ncb = max(1, -(-nq // QUERIES)), max(1, -(-n // ROWS))
-    codes = reps.select("rep", "v").mapInPandas(code_rows, "c long, code binary, length float")
+    codes = reps.select("rep", F.when(F.size("ids") == 1, F.col("least")).alias("sole"), "v").mapInPandas(code_rows, "c long, sole long, code binary, length float")
     codes = codes.withColumn("cb", F.pmod(F.xxhash64("c"), F.lit(ncb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
-    blocks = queries.select("q", "qv").withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nqb)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(ncb - 1))))
+    blocks = queries.withColumn("qb", F.pmod(F.xxhash64("q", "own"), F.lit(nqb)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(ncb - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "c": [], "s": []})
+            return pd.DataFrame({"q": [], "own": [], "c": [], "s": []})
         code = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
         length, c = np.maximum(left["length"].to_numpy(np.float32), 1e-6), left["c"].to_numpy()
-        qs, cs, ss = [], [], []
+        none = left["sole"].isna().to_numpy()
+        sole = left["sole"].astype("Int64").fillna(0).to_numpy(np.int64)
+        qs, owns, cs, ss = [], [], [], []
         for k in range(0, len(right), 64):
             part = right.iloc[k : k + 64]
             s = table_scores(unit(part["qv"]), code, length, books.value)
+            for i, own in enumerate(part["own"]):
+                if not pd.isna(own):
+                    s[i, ~none & (sole == int(own))] = -np.inf
             keep = min(rerank, s.shape[1])
             least = -np.partition(-s, keep - 1, axis=1)[:, keep - 1] - margin
-            for q, row, low in zip(part["q"], s, least, strict=True):
+            for q, own, row, low in zip(part["q"], part["own"], s, least, strict=True):
                 # rows whose tables say the same as the last one's are looked at as well, however many they are
-                at = np.flatnonzero((row >= low) | (c == q))
+                at = np.flatnonzero((row >= low) & (row > -np.inf) | (c == q))
                 qs.append(np.full(len(at), q))
+                owns += [own] * len(at)
                 cs.append(c[at])
                 ss.append(row[at])
-        return pd.DataFrame({"q": np.concatenate(qs), "c": np.concatenate(cs), "s": np.concatenate(ss).astype(np.float64)})
+        return pd.DataFrame({"q": np.concatenate(qs), "own": pd.array([None if pd.isna(x) else int(x) for x in owns], "Int64"), "c": np.concatenate(cs), "s": np.concatenate(ss).astype(np.float64)})
 
     @F.pandas_udf("double")
     def cosine(v: pd.Series, qv: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype="float64")
-        x, y = np.stack(v), np.stack(qv)
+        # by powers of two, which change no digit, so that no square is too large or too small
+        x, y = (z * np.ldexp(1.0, np.clip(-np.frexp(np.abs(z).max(1))[1], -1022, 1022))[:, None] for z in (np.stack(v), np.stack(qv)))
         return pd.Series((x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))))
 
-    met = codes.groupBy("qb", "cb").cogroup(blocks.groupBy("qb", "cb")).applyInPandas(search, "q long, c long, s double")
+    met = codes.groupBy("qb", "cb").cogroup(blocks.groupBy("qb", "cb")).applyInPandas(search, "q long, own long, c long, s double")
     # over all blocks the best by the tables go on, with all in their error of the last, and are ranked on the vectors
-    by_table = Window.partitionBy("q").orderBy(F.desc("s"), "c")
+    by_table = Window.partitionBy("q", "own").orderBy(F.desc("s"), "c")
     last = F.nth_value("s", rerank).over(by_table.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    near = met.withColumn("last", last).filter(F.col("last").isNull() | (F.col("s") >= F.col("last") - F.lit(margin)) | (F.col("c") == F.col("q"))).select("q", "c")
-    exact = near.join(reps.select(F.col("rep").alias("c"), "ids", "v"), "c").join(queries, "q").select("q", "c", "ids", cosine("v", "qv").alias("score"))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    ranked = exact.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= top + 1).select("q", "score", F.explode("ids").alias("vec_id"))
-    first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    held = ranked.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= top + 1)
-    answer = asked.withColumnRenamed("vec_id", "query_id").join(held, F.col("rep") == F.col("q")).filter(F.col("vec_id") != F.col("query_id"))
-    place = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+    near = met.withColumn("last", last).filter(F.col("last").isNull() | (F.col("s") >= F.col("last") - F.lit(margin)) | (F.col("c") == F.col("q"))).select("q", "own", "c")
+    vectors_of = queries.select("q", "qv").dropDuplicates(["q"])
+    exact = near.join(reps.select(F.col("rep").alias("c"), "least", "ids", "v"), "c").join(vectors_of, "q").select("q", "own", "c", "least", "ids", cosine("v", "qv").alias("score"))
+    best = Window.partitionBy("q", "own").orderBy(F.desc("score"), "least", "c")
+    ranked = exact.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= top + 1).select("q", "own", "score", F.explode("ids").alias("vec_id")).filter(~F.col("vec_id").eqNullSafe(F.col("own")))
+    first = Window.partitionBy("q", "own").orderBy(F.desc("score"), "vec_id")
+    held = ranked.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= top + 1).withColumnRenamed("own", "held_own")
+    of = asked.withColumnRenamed("vec_id", "query_id")
+    answer = of.join(held, (F.col("rep") == F.col("q")) & F.col("own").eqNullSafe(F.col("held_own"))).filter(F.col("vec_id") != F.col("query_id"))
+    place = Window.partitionBy("query_id", "q", "own").orderBy(F.desc("score"), "vec_id")
     return answer.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -256,3 +256,31 @@ def test_geometry_leaves_fewer_vectors_to_scan(spark, monkeypatch):
 
     (by_geometry, a), (by_drift, b) = scanned(False), scanned(True)
     assert a == b and by_geometry < by_drift < 6 * 3000
+
+
+# 5
+def test_an_id_with_several_vectors_and_components_of_any_size(spark):
+    """Vectors of the query's own id leave the places to others, though they are nearest and many; squares beyond doubles change nothing."""
+    rng = np.random.default_rng(14)
+    middle = rng.normal(size=16)
+    rows = [(50, (middle + rng.normal(0, 1e-4, 16)).tolist()) for _ in range(190)] + [(i, (middle + rng.normal(0, 0.3, 16)).tolist()) for i in range(1, 40)] + [(100, rows_of) for rows_of in [(middle * 2).tolist()]]
+    rows += [(7, (middle * 4).tolist()), (50, (middle * 4).tolist())]
+    from scriptoria.llm import ann
+
+    def nearest_by_all(rows):
+        unit = lambda v: [float(x) for x in (np.array(v, np.longdouble) / np.sqrt((np.array(v, np.longdouble) ** 2).sum()))]
+        held = sorted({(i, *v) for i, v in rows})
+        units, out = [np.array(unit(v)) for _, *v in held], []
+        for (i, *_), u in zip(held, units, strict=True):
+            if i % 50 == 0:
+                found = sorted((-round(float(u @ w), 12), j) for (j, *_), w in zip(held, units, strict=True) if j != i)
+                out += [(i, k + 1, j) for k, (_, j) in enumerate(found[:5])]
+        return sorted(out)
+
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 5 * (191 + 1)  # each of the id's vectors is a query
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == nearest_by_all(rows)
+    large = [(50, [1e200, 1e-200, 0.0]), (1, [-1.0, 0.0, 0.0]), (2, [1e-200, 1e-200, 0.0]), (3, [0.0, 5e-324, 0.0]), (4, [1e308, 1e308, 1e308])]
+    got = [(r["vec_id"], r["score"]) for r in ann.nearest(spark.createDataFrame(large, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [2, 4, 3, 1]
+    assert np.allclose([s for _, s in got], [2**-0.5, 3**-0.5, 0, -1])
