@@ -167,6 +167,14 @@ def row_tol(base_h: Column, a: Column, scale: float) -> Column:
 PART = "array<struct<x: struct<top: int, left: int, line_no: int, right: int, bottom: int, text: string, score: double>, text: string>>"
 
 
+def without_prefix(raw: Column, prefixes: tuple[str, ...]) -> Column:
+    """A text less the first of the prefixes that it starts with, and the colons after it."""
+    out = raw
+    for p in reversed(prefixes):
+        out = F.when(raw.startswith(p), strip(F.regexp_replace(F.substring(raw, len(p) + 1, 1 << 30), "^[:：]+", ""))).otherwise(out)
+    return out
+
+
 def row_sequence(blocks: Column, gap: Column, skip: tuple[str, ...] = (), prefixes: tuple[str, ...] = ()) -> Column:
     """(line, text) parts of blocks from left to right, until the gap to the one before is too wide.
 
@@ -174,14 +182,8 @@ def row_sequence(blocks: Column, gap: Column, skip: tuple[str, ...] = (), prefix
     """
     start = F.struct(F.lit(False).alias("stop"), F.lit(None).cast("int").alias("right"), F.array().cast(PART).alias("parts"))
 
-    def body(raw: Column) -> Column:
-        out = raw
-        for p in reversed(prefixes):
-            out = F.when(raw.startswith(p), strip(F.regexp_replace(F.substring(raw, len(p) + 1, 1 << 30), "^[:：]+", ""))).otherwise(out)
-        return out
-
     def step(s: Column, x: Column) -> Column:
-        read = lambda raw: F.struct(raw.alias("raw"), body(raw).alias("body"), (s["stop"] | ((raw != "") & F.coalesce(x["left"] - s["right"] > gap, F.lit(False)))).alias("stop"))
+        read = lambda raw: F.struct(raw.alias("raw"), without_prefix(raw, prefixes).alias("body"), (s["stop"] | ((raw != "") & F.coalesce(x["left"] - s["right"] > gap, F.lit(False)))).alias("stop"))
 
         def moved(y: Column) -> Column:
             take = ~y["stop"] & (y["raw"] != "") & (y["body"] != "") & (~y["raw"].isin(*skip) if skip else F.lit(True))

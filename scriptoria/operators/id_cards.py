@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions.text import HAN, extract_validity, strip
+from . import lines as flat
 
+# Labels that end an address.
 STOP_LABELS = "公民身份号码|姓名|性别|民族|出生|住址"
 
 
@@ -53,6 +55,22 @@ def address(lines: Column) -> Column:
     return F.coalesce(F.concat(first, F.array_join(parts, "")), F.lit(""))
 
 
+def address_of_lines(lines: DataFrame) -> DataFrame:
+    """doc_id and address of each page in the flat table of lines: the same by a running maximum of bottoms, without gathering a page."""
+    order = F.struct(*flat.READING)
+    first = lambda label, value: F.min_by(value, F.when(F.col("text").contains(label), order))
+    whole = F.struct(*[F.col(c) for c in flat.COLUMNS])
+    marks = lines.groupBy("doc_id").agg(first("住址", whole).alias("a"), first("公民身份号码", F.col("top")).alias("number"))
+    a = F.col("a")
+    bound = F.when(F.col("number") > a["top"], F.col("number"))
+    least = a["top"] + ((a["bottom"] - a["top"]) * F.lit(0.55)).cast("int")
+    inside = (F.col("line_no") != a["line_no"]) & F.coalesce(F.col("top") < bound, F.lit(True)) & (F.col("top") >= least) & (F.col("left") < a["right"] + 300) & (F.col("right") > a["left"] - 50)
+    under = lines.join(marks.filter("a IS NOT NULL"), "doc_id").filter(inside).withColumn("anchor_line_no", a["line_no"])
+    parts = flat.continuation(under, a["bottom"], lambda x: x["text"].rlike(STOP_LABELS), lambda x: F.lit(False), F.lit(40), running_max=True)
+    own = strip(F.regexp_replace(a["text"], "^(.*?)住址", "$1"))
+    return marks.join(flat.joined(parts), "doc_id", "left").select("doc_id", F.coalesce(F.concat(own, F.coalesce("joined", F.lit(""))), F.lit("")).alias("address"))
+
+
 def id_number(lines: Column) -> Column:
     pattern = r"(?U)\d{17}[0-9Xx]"
     return F.upper(_first_of(_match(L.find(lines, "公民身份号码")["text"], pattern), _match(_squeezed(lines), pattern)))

@@ -101,20 +101,31 @@ def _of_file(rows: DataFrame) -> list[str]:
     return [c for c in ("filename", "file_size") if c in rows.columns]
 
 
+#: Pages that are put together in one place before a letter is; a letter of any number of pages then meets as so many fewer pieces.
+RANGE = 256
+
+
+def _ranges(pages: DataFrame, page: Column, *more: Column) -> DataFrame:
+    """doc_id, the number of a range of pages, the range's pages in order, and what more asks of them."""
+    by = F.floor((F.col("page_number") - 1) / RANGE).alias("range")
+    return pages.groupBy("doc_id", by).agg(F.array_sort(F.collect_list(page)).alias("pages"), *more)
+
+
 def raw_pages(pages: DataFrame) -> DataFrame:
-    """Each letter's file name and size, number of pages, pages (number, text, characters), characters by page, and the text of its pages that have any, each with a line feed."""
+    """Each letter's file name and size, number of pages, pages (number, text, characters), characters by page, and the text of its pages that have any, each with a line feed. Pages are put in order by ranges, then the ranges."""
     page = F.struct("page_number", F.coalesce("text", F.lit("")).alias("text"), F.length(F.coalesce("text", F.lit(""))).alias("char_count"))
-    held = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"), *[F.first(c, ignorenulls=True).alias(c) for c in _of_file(pages)])
-    return held.select(
-        "doc_id", *_of_file(pages), F.size("pages").cast("long").alias("pages_count"), "pages", F.transform("pages", lambda x: x["char_count"]).alias("char_counts"),
-        F.array_join(F.transform(F.filter("pages", lambda x: x["text"] != ""), lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("raw_text"),
-    )
+    file = [F.first(c, ignorenulls=True).alias(c) for c in _of_file(pages)]
+    pieces = _ranges(pages, page, *file).withColumn("piece", F.array_join(F.transform(F.filter("pages", lambda x: x["text"] != ""), lambda x: F.concat(x["text"], F.lit("\n"))), ""))
+    held = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("range", "pages", "piece"))).alias("p"), *file)
+    ordered = held.select("doc_id", *_of_file(pages), F.explode(F.array(F.flatten(F.transform("p", lambda x: x["pages"])))).alias("pages"), F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("raw_text"))
+    return ordered.select("doc_id", *_of_file(pages), F.size("pages").cast("long").alias("pages_count"), "pages", F.transform("pages", lambda x: x["char_count"]).alias("char_counts"), "raw_text")
 
 
 def letter_raw_text(pages: DataFrame) -> DataFrame:
-    """All pages' texts, empty ones too, joined by line feeds."""
-    held = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
-    return held.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("raw_text"))
+    """All pages' texts, empty ones too, joined by line feeds: first those of a range of pages, then the ranges'."""
+    pieces = _ranges(pages, F.struct("page_number", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "range", F.array_join(F.transform("pages", lambda x: x["text"]), "\n").alias("piece"))
+    held = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("range", "piece"))).alias("p"))
+    return held.select("doc_id", F.array_join(F.transform("p", lambda x: x["piece"]), "\n").alias("raw_text"))
 
 
 def layout_results_summary(results: DataFrame, method: str = "layout") -> DataFrame:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions.text import clean_address, complete_address_prefix, fix_credit_code, is_date_text, is_label_like, is_person_name, is_valid_uscc, let, looks_like_address, looks_like_capital, strip, strip_label
+from . import lines as flat
 
 # Labels and boundary words of a licence.
 ADDRESS_LABELS = ("住所", "营业场所", "经营场所", "注册地址")
 BOUNDARY = ("登记机关", "市场监督", "国家企业信用信息公示系统网址")
 STOPS = "登记机关|市场监督|国家企业信用信息公示系统网址|http"
 CODE = "[0-9A-Z]{18}"
+#: Most lines that are looked at under the start of an address and of a scope.
+ADDRESS_BLOCKS, SCOPE_BLOCKS = 10, 50
 FIELDS = ("credit_code", "name", "type_name", "legal_person", "capital", "establish_date", "address", "business_scope")
 
 
@@ -105,12 +108,20 @@ def _address_start(lines: Column) -> Column:
     return F.coalesce(let(L.find_contains(lines, *ADDRESS_LABELS), by_label), let(L.find_exact(lines, "所"), by_second_half), let(L.find_exact(lines, "住"), by_first_half))
 
 
-def _address_rest(lines: Column, a: Column, bound: Column) -> Column:
-    left = F.greatest(F.lit(0), a["left"] - _m("base_h") * 2)
+def _address_tests() -> tuple[L.Test, L.Test, Column]:
+    """What ends an address, what is passed over in it, and the widest gap."""
     tall = lambda x: ((x["bottom"] - x["top"]) > _m("base_h") * F.lit(2.2)) & (F.length(strip(x["text"])) <= 2)
     stops = lambda x: x["text"].rlike(STOPS) | is_date_text(x["text"]) | strip(x["text"]).rlike(r"(?U)^[\d年月日\s]+\z")
-    under = F.filter(L.blocks_below(lines, a, bound, left, _m("width"), 10), lambda x: x["line_no"] != a["line_no"])
-    return L.continuation(under, a["bottom"], stops, tall, F.greatest(F.lit(25), _m("base_h") * 3), clean_address)
+    return stops, tall, F.greatest(F.lit(25), _m("base_h") * 3)
+
+
+def _address_left(a: Column) -> Column:
+    return F.greatest(F.lit(0), a["left"] - _m("base_h") * 2)
+
+
+def _address_rest(lines: Column, a: Column, bound: Column) -> Column:
+    under = F.filter(L.blocks_below(lines, a, bound, _address_left(a), _m("width"), ADDRESS_BLOCKS), lambda x: x["line_no"] != a["line_no"])
+    return L.continuation(under, a["bottom"], *_address_tests(), clean_address)
 
 
 def _scope(lines: Column) -> tuple[Column, Column]:
@@ -119,21 +130,31 @@ def _scope(lines: Column) -> tuple[Column, Column]:
     return F.coalesce(strip_label(L.find(lines, "经营范围")["text"], "经营范围"), F.lit("")), let(L.find(lines, "经营范围"), row)
 
 
-def _scope_rest(lines: Column) -> Column:
+def _scope_columns() -> tuple[Column, Column, Column, Column]:
+    """The line under which a scope goes on, the columns that it goes on in, and the numbers of the lines that it has already."""
     a, first = F.col("scope_label"), F.get(F.col("scope_row"), 0)["x"]
-    bound = L.boundary_top(lines, a["top"], BOUNDARY, F.lit(0), _m("width"), _m("height"))
-    start = F.coalesce(first, a)
     left = F.when(first.isNotNull(), F.greatest(F.lit(0), first["left"] - _m("base_h"))).otherwise(a["right"])
     right = F.when(first.isNotNull(), F.least(_m("width"), first["right"] + _m("base_h") * 2)).otherwise((_m("width") * F.lit(0.7)).cast("int"))
-    seen = F.concat(F.array(a["line_no"]), F.transform("scope_row", lambda p: p["x"]["line_no"]))
-    under = F.filter(L.blocks_below(lines, start, bound, left, right, 50), lambda x: ~F.array_contains(seen, x["line_no"]))
+    return F.coalesce(first, a), left, right, F.concat(F.array(a["line_no"]), F.transform("scope_row", lambda p: p["x"]["line_no"]))
+
+
+def _scope_tests() -> tuple[L.Test, L.Test, Column]:
     stops = lambda x: x["text"].rlike(STOPS) | strip(x["text"]).rlike(r"(?U)^(\d{1,4}|[年月日])\z") | is_date_text(x["text"])
-    return L.continuation(under, start["bottom"], stops, lambda x: F.lit(False), F.greatest(F.lit(25.0), _m("base_h") * F.lit(2.5)))
+    return stops, lambda x: F.lit(False), F.greatest(F.lit(25.0), _m("base_h") * F.lit(2.5))
 
 
-def with_fields(layouts: DataFrame) -> DataFrame:
-    """layouts with the eight fields. A page without lines has ''."""
-    kept = layouts.columns
+def _scope_bound(lines: Column) -> Column:
+    return L.boundary_top(lines, F.col("scope_label")["top"], BOUNDARY, F.lit(0), _m("width"), _m("height"))
+
+
+def _scope_rest(lines: Column) -> Column:
+    start, left, right, seen = _scope_columns()
+    under = F.filter(L.blocks_below(lines, start, _scope_bound(lines), left, right, SCOPE_BLOCKS), lambda x: ~F.array_contains(seen, x["line_no"]))
+    return L.continuation(under, start["bottom"], *_scope_tests())
+
+
+def _staged(layouts: DataFrame) -> DataFrame:
+    """layouts with metrics, the fields that end on their row, and where address and scope start."""
     lines = F.col("lines")
     rest, row = _scope(lines)
     staged = layouts.withColumn("m", L.doc_metrics(lines)).withColumns({
@@ -142,13 +163,44 @@ def with_fields(layouts: DataFrame) -> DataFrame:
         "start": _address_start(lines), "scope_label": L.find(lines, "经营范围"), "scope_text": rest, "scope_row": row,
     })
     a = F.col("start.x")
-    staged = staged.withColumn("bound", L.boundary_top(lines, a["top"], (*BOUNDARY, "国家市场监督管理总局监制"), F.greatest(F.lit(0), a["left"] - _m("base_h") * 2), _m("width"), _m("height")))
-    staged = staged.withColumns({"more": _address_rest(lines, a, F.col("bound")), "fragments": L.nearby_fragments(lines, a, _m("base_h"), _m("width"), F.col("bound")), "scope_more": _scope_rest(lines)})
-    address = complete_address_prefix(F.concat(F.col("start.text"), F.array_join("more", "")), F.col("name"), F.col("credit_code"), F.col("fragments"))
-    scope = F.concat(F.col("scope_text"), _joined(F.col("scope_row")), F.array_join("scope_more", ""))
+    staged = staged.withColumn("bound", L.boundary_top(lines, a["top"], (*BOUNDARY, "国家市场监督管理总局监制"), _address_left(a), _m("width"), _m("height")))
+    return staged.withColumn("fragments", L.nearby_fragments(lines, a, _m("base_h"), _m("width"), F.col("bound")))
+
+
+def _finished(staged: DataFrame, kept: list[str], more: Column, scope_more: Column) -> DataFrame:
+    """The fields, of staged pages and of the texts that address and scope go on with."""
+    address = complete_address_prefix(F.concat(F.col("start.text"), more), F.col("name"), F.col("credit_code"), F.col("fragments"))
+    scope = F.concat(F.col("scope_text"), _joined(F.col("scope_row")), scope_more)
     return staged.select(*kept, *FIELDS[:6], F.when(F.col("start").isNotNull(), address).otherwise("").alias("address"), F.when(F.col("scope_label").isNotNull(), scope).otherwise("").alias("business_scope"))
 
 
+def with_fields(layouts: DataFrame) -> DataFrame:
+    """layouts with the eight fields. A page without lines has ''."""
+    lines = F.col("lines")
+    staged = _staged(layouts).withColumns({"more": _address_rest(lines, F.col("start.x"), F.col("bound")), "scope_more": _scope_rest(lines)})
+    return _finished(staged, layouts.columns, F.array_join("more", ""), F.array_join("scope_more", ""))
+
+
+def fields_of_lines(lines: DataFrame) -> DataFrame:
+    """doc_id and the eight fields of each page in the flat table of lines. Labels and rows are looked up on the page as an array; the folds under address and scope are windows over the flat lines, with running bottoms and stops."""
+    staged = _staged(flat.to_layouts(lines))
+
+    def rest(start: Column, bound: Column, left: Column, right: Column, seen: Column, most: int, tests: tuple[L.Test, L.Test, Column], clean: L.Test) -> DataFrame:
+        asked = staged.select("doc_id", "m", start.alias("a"), bound.alias("top_max"), left.alias("col_left"), right.alias("col_right"), seen.alias("seen")).filter("a IS NOT NULL")
+        a = F.col("a")
+        inside = (F.col("top") >= a["bottom"]) & (F.col("top") < F.col("top_max")) & (F.col("left") < F.col("col_right")) & (F.col("right") > F.col("col_left"))
+        met = lines.join(asked, "doc_id").filter(inside).withColumn("anchor_line_no", a["line_no"])
+        first = met.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*flat.READING))).filter(F.col("rank") <= most)
+        return flat.joined(flat.continuation(first.filter(~F.array_contains("seen", F.col("line_no"))), a["bottom"], *tests, clean))
+
+    at = F.col("start.x")
+    more = rest(at, F.col("bound"), _address_left(at), _m("width"), F.array(at["line_no"]), ADDRESS_BLOCKS, _address_tests(), clean_address).withColumnRenamed("joined", "more")
+    start, left, right, seen = _scope_columns()
+    scope_more = rest(start, _scope_bound(F.col("lines")), left, right, seen, SCOPE_BLOCKS, _scope_tests(), lambda t: t).withColumnRenamed("joined", "scope_more")
+    whole = staged.join(more, "doc_id", "left").join(scope_more, "doc_id", "left")
+    return _finished(whole, ["doc_id"], F.coalesce("more", F.lit("")), F.coalesce("scope_more", F.lit("")))
+
+
 def parse_business_license(layouts: DataFrame) -> DataFrame:
     """doc_id and the eight fields."""
     return with_fields(layouts.select("doc_id", "lines")).select("doc_id", *FIELDS)

@@ -1,6 +1,7 @@
 """Spatial operators on the flat table of lines (doc_id, line_no, text, left, top, right, bottom, score).
 
-Anchors are rows of lines. Look-ups join on doc_id, so a page's lines meet in one task; pages are bounded by what a recogniser finds on an image. Multi-page scans should carry the page in doc_id.
+Anchors are rows of lines. Look-ups of a few anchors join on doc_id, so a page's lines meet in one task; pages are bounded by what a recogniser finds on an image. Where every line is an anchor, `nearest_of_every_line` sweeps
+sorted windows and makes no pairs. Scans of many pages under one doc_id carry `page`: `reading_order_of_pages` and `doc_metrics` deal one document's lines to many tasks.
 """
 
 from __future__ import annotations
@@ -8,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.layout import Test, without_prefix
+from ..functions.text import strip, text
+
 READING = ("top", "left", "line_no")
 COLUMNS = ("line_no", "text", "left", "top", "right", "bottom")
 
@@ -121,9 +125,132 @@ def boundary_top(lines: DataFrame, anchors: DataFrame, keyword: str) -> DataFram
 
 
 def doc_metrics(lines: DataFrame) -> DataFrame:
-    """Extent and the whole part of the exact median line height of each page."""
-    h = F.greatest(F.lit(1), F.col("bottom") - F.col("top"))
-    return lines.groupBy("doc_id").agg(F.max("right").alias("doc_width"), F.max("bottom").alias("doc_height"), F.median(h).cast("int").alias("base_h"))
+    """Extent and the whole part of the exact median line height of each document.
+
+    Lines are counted by height in the tasks first, so a document of any number of lines is a histogram before it meets in one place, and the median is read off the running counts.
+    """
+    heights = lines.groupBy("doc_id", F.greatest(F.lit(1), F.col("bottom") - F.col("top")).alias("h")).agg(F.count("*").alias("n"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))
+    of = Window.partitionBy("doc_id")
+    counted = heights.withColumns({"upto": F.sum("n").over(of.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(of)})
+    middle = lambda i: F.min(F.when(F.col("upto") > F.expr(i), F.col("h")))
+    median = (middle("(total - 1) div 2") + middle("total div 2")) / F.lit(2.0)
+    return counted.groupBy("doc_id").agg(F.max("right").alias("doc_width"), F.max("bottom").alias("doc_height"), median.cast("int").alias("base_h"))
+
+
+def reading_order_of_pages(lines: DataFrame) -> DataFrame:
+    """lines (doc_id, page, ...) with their place in the document, from 1, in the order of pages and on each page of reading.
+
+    Lines are counted by page and top in the tasks first. Prefix sums of the counts, over pages and then over a page's tops, give what comes before each top; only lines of one top of one page are sorted in one place. So a
+    document of any number of lines is dealt to many tasks, and none gets more than its pages and the lines of one top.
+    """
+    tops = lines.groupBy("doc_id", "page", "top").agg(F.count("*").alias("n"))
+    earlier = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    on_page = tops.withColumn("above", earlier(["doc_id", "page"], "top"))
+    pages = tops.groupBy("doc_id", "page").agg(F.sum("n").alias("n")).select("doc_id", "page", earlier(["doc_id"], "page").alias("before"))
+    offsets = on_page.join(pages, ["doc_id", "page"]).select("doc_id", "page", "top", (F.col("above") + F.col("before")).alias("__before"))
+    ranked = lines.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id", "page", "top").orderBy("left", "line_no")))
+    placed = ranked.join(offsets, ["doc_id", "page", "top"]).withColumn("place", (F.col("__before") + F.col("__rank")).cast("long"))
+    return placed.select(*lines.columns, "place")
+
+
+def _last(value: Column, keys: list[str], *order: Column) -> Column:
+    """The last value that isn't null up to a row."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+FOUND = ("top", "left", "line_no", "text")
+
+
+def _swept(lines: DataFrame, edge: str, facing: str, sign: int) -> DataFrame:
+    """For every line, as an anchor, the first line beyond its edge: by the distance of the facing edge, then of the left ones, then in reading order. sign: 1 where greater coordinates are beyond, -1 where smaller.
+
+    A first sweep along the page finds for each anchor the nearest facing edge beyond; a second one, among the lines that share that edge, the nearest ones to the left and to the right.
+    """
+    row = F.struct(*[F.col(c) for c in FOUND]).alias("x")
+    each = lines.select("doc_id", F.col(facing).alias("level"), F.col("left").alias("at"), row, F.lit(1).alias("is_line"), F.lit(None).cast("int").alias("anchor_line_no"))
+    asked = lines.select("doc_id", F.col(edge).alias("level"), F.col("left").alias("at"), F.lit(None).cast(each.schema["x"].dataType).alias("x"), F.lit(0).alias("is_line"), F.col("line_no").alias("anchor_line_no"))
+    level = _last(F.when(F.col("is_line") == 1, F.col("level")), ["doc_id"], F.col("level") * -sign, F.col("is_line"))  # from beyond towards the anchor, which comes first where they are level
+    reached = each.unionByName(asked).withColumn("level", level).filter((F.col("is_line") == 0) & F.col("level").isNotNull())
+    met, keys = each.unionByName(reached), ["doc_id", "level"]
+    tail = [F.desc("is_line"), F.desc("x.top"), F.desc("x.line_no")]  # of lines at one place the first in reading order is the last to be passed
+    sides = met.withColumns({"before": _last(F.col("x"), keys, F.asc("at"), *tail), "after": _last(F.col("x"), keys, F.desc("at"), *tail)}).filter("is_line = 0")
+    by = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(f"{s}.left") - F.col("at")).alias("dx"), F.col(s).alias("x")))
+    return sides.select("doc_id", "anchor_line_no", F.least(by("before"), by("after"))["x"].alias("x"))
+
+
+def _bands(low: Column, high: Column, levels: int) -> Column:
+    """The fewest bands (level, at), of heights that are powers of two at places that are multiples of them, that together are the whole numbers from low to high."""
+    band = lambda k, at: F.array(F.struct(k.alias("level"), at.alias("at")))
+    none = F.array().cast("array<struct<level: int, at: int>>")
+    odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+
+    def step(s: Column, k: Column) -> Column:
+        inside = s["l"] < s["r"]
+        up, down = inside & odd(s["l"]), inside & odd(s["r"])
+        taken = F.concat(s["bands"], F.when(up, band(k, s["l"])).otherwise(none), F.when(down, band(k, s["r"] - 1)).otherwise(none))
+        half = lambda x: F.shiftright(x, 1)
+        return F.struct(half(F.when(up, s["l"] + 1).otherwise(s["l"])).alias("l"), half(F.when(down, s["r"] - 1).otherwise(s["r"])).alias("r"), taken.alias("bands"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), F.struct(low.alias("l"), (high + 1).alias("r"), none.alias("bands")), step, lambda s: s["bands"])
+
+
+def _swept_right(lines: DataFrame, tol: int) -> DataFrame:
+    """For every line, as an anchor, the first line to its right on its row.
+
+    Twice a centre's height is a whole number. A line stands in one band of each height that is a power of two; an anchor's row is a few whole bands, in each of which one sweep from right to left finds its neighbour.
+    """
+    twice, levels = F.col("top") + F.col("bottom"), (4 * tol + 1).bit_length() + 1
+    row = F.struct(F.col("left"), F.col("top"), F.col("line_no"), F.col("text")).alias("x")
+    each = lines.select("doc_id", twice.cast("int").alias("y2"), row).select("doc_id", F.expr(f"explode(transform(sequence(0, {levels - 1}), k -> struct(k AS level, shiftright(y2, k) AS at)))").alias("band"), "x")
+    each = each.select("doc_id", "band.level", "band.at", F.col("x.left").alias("edge"), "x", F.lit(1).alias("is_line"), F.lit(None).cast("int").alias("anchor_line_no"))
+    asked = lines.select("doc_id", F.explode(_bands((twice - 2 * tol).cast("int"), (twice + 2 * tol).cast("int"), levels)).alias("band"), F.col("right").alias("edge"), F.col("line_no").alias("anchor_line_no"))
+    asked = asked.select("doc_id", "band.level", "band.at", "edge", F.lit(None).cast(each.schema["x"].dataType).alias("x"), F.lit(0).alias("is_line"), "anchor_line_no")
+    found = _last(F.col("x"), ["doc_id", "level", "at"], F.desc("edge"), F.asc("is_line"), F.desc("x.top"), F.desc("x.line_no"))
+    met = each.unionByName(asked).withColumn("x", found).filter("is_line = 0 AND x IS NOT NULL")
+    return met.groupBy("doc_id", "anchor_line_no").agg(F.min("x").alias("x"))
+
+
+def nearest_of_every_line(lines: DataFrame, where: str, tol: int = 20) -> DataFrame:
+    """doc_id, anchor_line_no, line_no and text: for every line the nearest one `below`, `above` or to the `right` of it, if there is any. No pairs of lines are made: sorted windows with running values, O(n log n) a document."""
+    found = _swept_right(lines, tol) if where == "right" else _swept(lines, *{"below": ("bottom", "top", 1), "above": ("top", "bottom", -1)}[where])
+    return found.select("doc_id", "anchor_line_no", "x.line_no", "x.text")
+
+
+def row_sequence(blocks: DataFrame, gap: Column | float, skip: tuple[str, ...] = (), prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """The blocks of each anchor's row (doc_id, anchor_line_no, ...) from left to right up to the first gap that is too wide, with what is left of their texts as `part`.
+
+    Each block is measured from the right edge of the one before, whether that one is taken, blank or skipped; from the first gap on the running flag is set.
+    """
+    order = Window.partitionBy("doc_id", "anchor_line_no").orderBy("left", "top", "line_no")
+    gap = gap if isinstance(gap, Column) else F.lit(gap)
+    marked = blocks.withColumn("__raw", strip("text"))
+    marked = marked.withColumn("__wide", F.coalesce((F.col("__raw") != "") & (F.col("left") - F.lag("right").over(order) > gap), F.lit(False)))
+    marked = marked.withColumns({"__over": F.max("__wide").over(order.rowsBetween(Window.unboundedPreceding, 0)), "part": without_prefix(F.col("__raw"), prefixes)})
+    fits = ~F.col("__over") & (F.col("__raw") != "") & (F.col("part") != "")
+    return marked.filter(fits & ~F.col("__raw").isin(*skip) if skip else fits).drop("__raw", "__wide", "__over")
+
+
+def continuation(blocks: DataFrame, bottom: Column, stops: Test, skips: Test, gap: Column, clean: Test = lambda t: t, running_max: bool = False) -> DataFrame:
+    """The blocks under each anchor's first line (doc_id, anchor_line_no, ...) down to a stop or too wide a gap, with their cleaned texts as `part`.
+
+    Up to the first stop every block that has anything left is taken, so the bottom that a block is measured from is the running last, or largest, bottom of those before it; from the first stop on the running flag is set.
+    """
+    order = Window.partitionBy("doc_id", "anchor_line_no").orderBy(*READING)
+    x = F.struct(*[F.col(c) for c in ("top", "left", "line_no", "right", "bottom", "text")])
+    marked = blocks.withColumn("__raw", strip(text("text")))
+    marked = marked.withColumn("part", F.when((F.col("__raw") != "") & ~skips(x), clean(F.col("__raw"))).otherwise(""))
+    own, earlier = F.when(F.col("part") != "", F.col("bottom")), order.rowsBetween(Window.unboundedPreceding, -1)
+    low = F.greatest(bottom, F.max(own).over(earlier)) if running_max else F.coalesce(F.last(own, ignorenulls=True).over(earlier), bottom)
+    marked = marked.withColumn("__low", low)
+    marked = marked.withColumn("__stop", (F.col("__raw") != "") & (stops(x) | (F.col("top") - F.col("__low") > gap)))
+    marked = marked.withColumn("__over", F.max("__stop").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.filter(~F.col("__over") & (F.col("part") != "")).drop("__raw", "__low", "__stop", "__over")
+
+
+def joined(parts: DataFrame, order: tuple[str, ...] = READING, between: str = "") -> DataFrame:
+    """doc_id and the parts of its rows joined in order."""
+    held = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order, "part"))).alias("p"))
+    return held.select("doc_id", F.array_join(F.transform("p", lambda p: p["part"]), between).alias("joined"))
 
 
 def all_pairs_same_row(lines: DataFrame, tol: int = 20) -> DataFrame:

@@ -215,6 +215,9 @@ add("l07_right_of", _around(L.right_of), sql.met("l > ar AND abs(cy - acy) <= 20
 add("l08_left_of", _around(L.left_of), sql.met("r < al AND abs(cy - acy) <= 20"))
 add("l06_same_row_flat", _flat(lines.same_row), ORACLE_SQL["l06_same_row"])
 add("l11_nearest_below_flat", _flat(lines.nearest_below), sql.nearest("t > ab", "t - ab, abs(l - al)"))
+EVERY = "SELECT doc_id, anchor_line_no, line_no, text FROM (SELECT x.*, a.line_no AS anchor_line_no, row_number() OVER (PARTITION BY x.doc_id, a.line_no ORDER BY {order}, x.t, x.l, x.line_no) AS n FROM ln x JOIN ln a ON x.doc_id = a.doc_id AND {where}) WHERE n = 1"
+for _name, _where, _order in (("below", "x.t > a.b", "x.t - a.b, abs(x.l - a.l)"), ("above", "x.b < a.t", "a.t - x.b, abs(x.l - a.l)"), ("right", "x.l > a.r AND abs(x.cy - a.cy) <= 20", "x.l")):
+    add({"below": "l11_every_nearest_below", "above": "l12_every_nearest_above", "right": "l13_every_nearest_right"}[_name], lambda s, d, w=_name: lines.nearest_of_every_line(_lines(s, d), w), sql.lines(EVERY.format(where=_where, order=_order)))
 add("l09_below", _around(L.below), sql.met("t > ab"))
 add("l10_above", _around(L.above), sql.met("b < aty"))
 add("l11_nearest_below", _around(L.nearest_below, one=True), sql.nearest("t > ab", "t - ab, abs(l - al)"))
@@ -247,10 +250,33 @@ add("l19_row_sequence", l19_row_sequence, sql.lines("""
 g AS (SELECT *, CASE WHEN l - lag(r) OVER (PARTITION BY doc_id ORDER BY l, t, line_no) > 60 THEN 1 ELSE 0 END AS brk FROM s),
 k AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY l, t, line_no) AS island FROM g)
 SELECT a.doc_id, coalesce(string_agg(k.text, '|' ORDER BY k.l, k.t, k.line_no), '') AS joined FROM anchor a LEFT JOIN (SELECT * FROM k WHERE island = 0) k ON k.doc_id = a.doc_id GROUP BY 1""").replace(") \n\n,", "),").replace("USING (doc_id))\n \n,", "USING (doc_id)),"))
+
+
+def l19_row_sequence_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on the flat table of lines."""
+    held = _lines(spark, sf_dir)
+    anchors = lines.find(held, WORD)
+    parts = lines.row_sequence(lines.same_row_right(held, anchors, 12), 60)
+    found = lines.joined(parts, ("left", "top", "line_no"), "|")
+    return anchors.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("joined", F.lit("")).alias("joined"))
+
+
+add("l19_row_sequence_flat", l19_row_sequence_flat, ORACLE_SQL["l19_row_sequence"])
 add("l20_row_value_by_label", lambda s, d: pages.to_layouts(fixtures.licences(s, d)).withColumn("m", L.doc_metrics(F.col("lines"))).select("doc_id", licence.row_value(F.col("lines"), ("注册资本", "注册资金"), T.looks_like_capital).alias("value")), f"SELECT doc_id, capital AS value FROM ({sql.LICENCE})")
 METRICS = sql.lines("SELECT doc_id, max(r) AS doc_width, max(b) AS doc_height, CAST(trunc(median(greatest(1, b - t))) AS INT) AS base_h FROM ln GROUP BY 1")
 add("l21_doc_metrics", lambda s, d: _layouts(s, d).filter(F.size("lines") > 0).select("doc_id", L.doc_metrics(F.col("lines")).alias("m")).select("doc_id", F.col("m.width").alias("doc_width"), F.col("m.height").alias("doc_height"), "m.base_h"), METRICS)
 add("a09_doc_metrics", lambda s, d: lines.doc_metrics(_lines(s, d)), METRICS)
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of whole documents, of many pages each under one id."""
+    part = lambda k: F.substring_index("doc_id", "-", k)
+    return _lines(spark, sf_dir).withColumns({"page": part(-1).cast("int"), "doc_id": part(1)})
+
+
+SCANS = f"{sql.LINES}, sc AS (SELECT string_split(doc_id, '-')[1] AS doc_id, CAST(string_split(doc_id, '-')[2] AS INT) AS page, line_no, t, l, r, b FROM ln)"
+add("l01_reading_order_of_pages", lambda s, d: lines.reading_order_of_pages(_scans(s, d)).select("doc_id", "page", "line_no", "place"), f"WITH {SCANS} SELECT doc_id, page, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY page, t, l, line_no) AS place FROM sc")
+add("a09_metrics_of_scans", lambda s, d: lines.doc_metrics(_scans(s, d)), f"WITH {SCANS} SELECT doc_id, max(r) AS doc_width, max(b) AS doc_height, CAST(trunc(median(greatest(1, b - t))) AS INT) AS base_h FROM sc GROUP BY 1")
 add("l06_all_pairs_same_row", lambda s, d: lines.all_pairs_same_row(_lines(s, d)).groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum(F.col("a") * F.col("b")).cast("long").alias("checksum")), sql.lines("SELECT x.doc_id, count(*) AS pairs, CAST(sum(x.line_no * y.line_no) AS BIGINT) AS checksum FROM ln x JOIN ln y ON x.doc_id = y.doc_id AND x.line_no <> y.line_no AND abs(x.cy - y.cy) <= 20 GROUP BY 1"))
 
 # classification and dispatch
@@ -360,6 +386,8 @@ for _name, _table, _sql, _fields in (
     ("x13_establish_date", _licences, sql.LICENCE, ("establish_date",)), ("x14_address", _licences, sql.LICENCE, ("address",)), ("x15_business_scope", _licences, sql.LICENCE, ("business_scope",)),
 ):
     add(_name, _field(_table, *_fields), f"SELECT doc_id, {', '.join(_fields)} FROM ({_sql})")
+add("x04_address_flat", lambda s, d: id_cards.address_of_lines(pages.build_lines(fixtures.id_fronts(s, d))), f"SELECT doc_id, address FROM ({sql.FRONT})")
+add("x14_licence_flat", lambda s, d: licence.fields_of_lines(pages.build_lines(fixtures.licences(s, d))).select("doc_id", "address", "business_scope"), f"SELECT doc_id, address, business_scope FROM ({sql.LICENCE})")
 add("x16_parse_id_front", _fronts, sql.FRONT)
 add("x16_parse_id_back", _backs, sql.BACK)
 add("x16_parse_business_license", _licences, sql.LICENCE)
