@@ -7,8 +7,9 @@ with m = n(t) n(c) / N documents expected, exp(n(t, c) - m) (m / n(t, c)) ^ n(t,
 an entity becomes a span of kind `term` wherever it stands, in any text. In sanitised text base spans become their kind, such a term is generalised to its length class, and removed if its
 share is 1: it occurs beside nobody else.
 
-Texts stay in place: tasks send on counts of terms and entities, then the entities, and terms rare enough to disclose one, of texts that have base spans, then the places of words that may be such terms. Only
-texts with a span are carried along to be sanitised.
+Texts stay in place: tasks send on counts of terms and entities, then the entities, and terms rare enough to disclose one, of texts that have base spans. Entities that occur in the same documents are one class, and so are terms that
+are counted equally and stand in the same of these texts (by two 64-bit hashes of the sets): one pair of classes stands for all pairs of their members, as n(t, c) is the same. A text whose pairs of classes are many is dealt to cells by
+its terms. Texts are sanitised, and their digests taken, in the scan that finds their spans; only where terms are too many to be known in the task are texts with a span carried along.
 
 Defined results: a null text counts as empty and has no spans. Rows that repeat are scanned, counted and sanitised each, whatever their ids. Of several entities that a term discloses the largest share counts;
 spans that start together go by kind as listed, terms last. Only doc_id and text are read.
@@ -33,6 +34,8 @@ from .suffix_tree_lm import _arrays
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE, CHANCE = 0.9, 1e-3
+#: Pairs of one text that are made in one place, about.
+CELL = 1 << 16
 #: Disclosing terms that are broadcast, at most, at 16 bytes each.
 MOST_TERMS = 1 << 21
 _NONE: dict[str, float] = {}
@@ -135,6 +138,28 @@ def _count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
+def members(rows: DataFrame, key: str, name: str, *same: str) -> DataFrame:
+    """Each key of rows (id, key, ...; a key once for each id) with its columns in `same` and two hashes, name1 and name2, of the set of ids that it has: keys of one class have all of them alike."""
+    sets = [F.bit_xor(F.xxhash64(F.lit(seed), "id")).alias(f"{name}{seed}") for seed in (1, 2)]
+    return rows.groupBy(key, *same).agg(*sets)
+
+
+def classes(rows: DataFrame, key: str, name: str, *same: str) -> DataFrame:
+    """The classes of each id: id, the columns in `same`, and the class's two hashes."""
+    of = checkpointed(members(rows, key, name, *same))
+    return rows.select("id", key).join(of, key).select("id", *same, f"{name}1", f"{name}2").distinct()
+
+
+def paired(of: DataFrame, beside: DataFrame) -> DataFrame:
+    """The rows of both of one id, side by side. An id with more than about CELL pairs is dealt to cells: its rows of beside by their hash, its rows of `of`, of which there are fewer as a rule, to each."""
+    sizes = of.groupBy("id").agg(F.count("*").alias("a")).join(beside.groupBy("id").agg(F.count("*").alias("b")), "id")
+    large = checkpointed(sizes.filter(F.col("a") * F.col("b") > CELL).select("id", F.least(F.col("b"), F.ceil(F.col("a") * F.col("b") / CELL)).cast("int").alias("cells")))
+    dealt = lambda rows: rows.join(large, "id", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    left = dealt(of).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    right = dealt(beside).withColumn("cell", F.pmod(F.xxhash64("t1", "t2"), F.col("cells")).cast("int")).drop("cells")
+    return left.join(right, ["id", "cell"])
+
+
 def disclosing(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     """(term, share): terms that reveal at least threshold of an entity's information, with the largest share."""
     plain, total = texts(docs).select("text"), float(docs.count())
@@ -154,13 +179,16 @@ def disclosing(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
             yield pd.DataFrame({"entities": [list({entity_of(t, *x) for x in spans}) for t, spans in found], "terms": [w[sent.value.has(w)] for w in words]}, dtype=object)
 
     met = checkpointed(plain.mapInPandas(met_rows, "entities array<long>, terms array<long>").withColumn("id", F.monotonically_increasing_id()))
-    of = met.select("id", F.explode("entities").alias("entity")).join(entities, "entity")
-    beside = met.select("id", F.explode("terms").alias("term")).join(rare, "term")
-    both = of.join(beside, "id").filter(F.col("n_t") <= F.col("most")).groupBy("entity", "term", "n_c", "n_t").agg(F.count("*").alias("n_tc"))
+    of = classes(met.select("id", F.explode("entities").alias("entity")).join(entities, "entity"), "entity", "c", "n_c", "most")
+    term_rows = met.select("id", F.explode("terms").alias("term")).join(rare, "term")
+    term_classes = checkpointed(members(term_rows, "term", "t", "n_t"))
+    beside = term_rows.join(term_classes.select("term", "t1", "t2"), "term").select("id", "n_t", "t1", "t2").distinct()
+    both = paired(of, beside).filter(F.col("n_t") <= F.col("most")).groupBy("c1", "c2", "t1", "t2", "n_c", "n_t").agg(F.count("*").alias("n_tc"))
     n, m = F.col("n_tc").cast("double"), F.greatest("n_t", "n_tc").cast("double") * F.col("n_c") / F.lit(total)
     share = F.log(n / m) / F.log((F.lit(total) + 1) / F.col("n_c"))
     sure = (n > m) & (n * F.log(n / m) - n + m >= -math.log(CHANCE))
-    return both.filter(sure).select("term", share.alias("share")).filter(F.col("share") >= threshold).groupBy("term").agg(F.max("share").alias("share"))
+    found = both.filter(sure).select("t1", "t2", "n_t", share.alias("share")).filter(F.col("share") >= threshold).groupBy("t1", "t2", "n_t").agg(F.max("share").alias("share"))
+    return term_classes.join(found, ["t1", "t2", "n_t"]).select("term", "share")
 
 
 class Known:
@@ -183,15 +211,16 @@ class Known:
         return np.where(self.terms[at] == terms, self.shares[at], np.nan)
 
 
-def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE, whole: bool = False, most_terms: int = MOST_TERMS) -> DataFrame:
+def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE, whole: bool = False, most_terms: int = MOST_TERMS, digest: bool = False) -> DataFrame:
     """doc_id, text, base and added spans (arrays by start), the added ones with their share, for every row of docs.
 
-    whole: whether texts without a span are given as well; where text is null, sha256 holds the digest of the text. most_terms: so many disclosing terms are broadcast, with their shares; with more, words that may be
+    whole: whether texts without a span are given as well. digest: whether the digest of the sanitised text will do, in sha256, in place of texts. most_terms: so many disclosing terms are broadcast, with their shares; with more, words that may be
     such terms find their shares by a join, with the same result.
     """
     shares = checkpointed(disclosing(docs, threshold))
     known = Known(shares, most_terms)
     sent = docs.sparkSession.sparkContext.broadcast(known)
+    here = digest and known.exact  # whether texts are sanitised where they are
 
     def scan_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of_token: dict[str, dict[str, float]] = {}  # the words, in lower case, that may be terms
@@ -212,12 +241,14 @@ def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE, whole: bo
                 asked = {w: v for t in own for w, v in of_token[t].items()}
                 places = [(s, e, text[s:e].lower()) for s, e in words_outside(text, x)] if asked else []
                 added.append([{"start": s, "end": e, "share": asked[w], "term": _hash(w)} for s, e, w in places if w in asked])
-            carried = [whole or bool(x) or bool(h) for x, h in zip(spans, added, strict=True)]
+            base = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans]
+            carried = [(whole or bool(x) or bool(h)) and not here for x, h in zip(spans, added, strict=True)]
+            clean = [sanitise_text(t, x, h) if here and (x or h) else t for t, x, h in zip(b["text"], base, added, strict=True)]
             yield pd.DataFrame({
                 "row_id": b["row_id"].to_numpy(), "doc_id": b["doc_id"].to_numpy(),
                 "text": pd.Series([t if on else None for t, on in zip(b["text"], carried, strict=True)], dtype="object").to_numpy(),
-                "sha256": pd.Series([None if on else hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, on in zip(b["text"], carried, strict=True)], dtype="object").to_numpy(),
-                "base": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], "added": added,
+                "sha256": pd.Series([None if on else hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, on in zip(clean, carried, strict=True)], dtype="object").to_numpy(),
+                "base": base, "added": added,
             }).astype({"doc_id": "Int64"})
 
     schema = "row_id long, doc_id long, text string, sha256 string, base array<struct<kind: string, start: int, `end`: int>>, added array<struct<start: int, `end`: int, share: double, term: long>>"
@@ -228,6 +259,8 @@ def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE, whole: bo
         sure = hits.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", "term"))).alias("sure"))  # words of one text
         none = F.array().cast("array<struct<start: int, end: int, share: double, term: bigint>>")
         found = found.join(sure, "row_id", "left").withColumn("added", F.coalesce("sure", none))
+    if digest and not here:
+        found = found.withColumns({"sha256": F.coalesce("sha256", F.sha2(_clean()("text", "base", "added").cast("binary"), 256)), "text": F.lit(None).cast("string")})
     return found.select("doc_id", "text", "sha256", "base", "added")
 
 
@@ -237,7 +270,7 @@ def _joined(spans: Column) -> Column:
 
 def span_digests(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256, all spans, and the digest of the sanitised text, for every row of docs."""
-    found = find_personal_data(docs)
+    found = find_personal_data(docs, digest=True)
     rank = F.create_map(*[F.lit(x) for i, k in enumerate((*KINDS, "term")) for x in (k, i)])
     keyed = lambda x, kind: F.struct(x["start"].alias("start"), rank[kind].alias("rank"), x["end"].alias("end"), kind.alias("kind"))
     base = F.transform("base", lambda x: keyed(x, x["kind"]))
@@ -246,7 +279,7 @@ def span_digests(docs: DataFrame) -> DataFrame:
     count = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(
         "doc_id", *count, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.array_sort(F.concat(base, more))).alias("spans"),
-        F.coalesce("sha256", F.sha2(_clean()("text", "base", "added").cast("binary"), 256)).alias("sanitised_sha256"),
+        F.col("sha256").alias("sanitised_sha256"),
     )
 
 

@@ -284,3 +284,67 @@ def test_an_id_with_several_vectors_and_components_of_any_size(spark):
     got = [(r["vec_id"], r["score"]) for r in ann.nearest(spark.createDataFrame(large, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
     assert [i for i, _ in got] == [2, 4, 3, 1]
     assert np.allclose([s for _, s in got], [2**-0.5, 3**-0.5, 0, -1])
+
+
+# 8
+def test_a_text_of_many_pairs_is_paired_by_classes(spark, monkeypatch):
+    """Five thousand addresses beside five thousand rare words: pairs of classes, not of members; and cells change nothing."""
+    import time
+
+    from scriptoria.llm import pii
+
+    letters = "abcdefghijklmnopqrst"
+    word = lambda k: "".join(letters[k // 20**j % 20] for j in range(4)) + "ux"
+    rng = np.random.default_rng(17)
+    docs = [(0, " ".join(f"u{k}@x.org {word(k)}" for k in range(5000)))]
+    docs += [(i, " ".join([f"u{k}@x.org" for k in rng.integers(0, 40, 2)] + [word(int(k)) for k in rng.integers(0, 9000, 6)] + [f"common{i % 3}"])) for i in range(1, 400)]
+    docs += [(1000 + i, f"plain text {word(i)}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r["term"]: r["share"] for r in pii.disclosing(df).collect()}
+    assert time.perf_counter() - start < 60
+    # all pairs, counted
+    from collections import Counter
+
+    n_t, n_c, n_tc = Counter(), Counter(), Counter()
+    for _, t in docs:
+        spans = pii.base_spans(t)
+        own = {pii.entity_of(t, *x) for x in spans}
+        terms = {pii._hash(t[s:e].lower()) for s, e in pii.words_outside(t, spans)}
+        every = {pii._hash(w.lower()) for x in t.split() for w in pii._WORD.findall(x) if len(w) >= 3}
+        n_c.update(own)
+        n_t.update(every)
+        if len(own) < 100:
+            n_tc.update((w, c) for w in terms for c in own)
+        else:
+            big = (terms, own)
+    total, want = len(docs), {}
+    for w in {w for w, _ in n_tc} | big[0]:
+        best = 0.0
+        for c in n_c:
+            k = n_tc.get((w, c), 0) + (w in big[0] and c in big[1])
+            if k:
+                m = max(n_t[w], k) * n_c[c] / total
+                if k > m and k * math.log(k / m) - k + m >= -math.log(pii.CHANCE):
+                    best = max(best, math.log(k / m) / math.log((total + 1) / n_c[c]))
+        if best >= pii.DISCLOSURE:
+            want[w] = best
+        if len(want) > 300:
+            break
+    assert want and all(abs(got[w] - v) < 1e-9 for w, v in want.items())
+    monkeypatch.setattr(pii, "CELL", 7)
+    again = {r["term"]: r["share"] for r in pii.disclosing(df).collect()}
+    assert again.keys() == got.keys() and all(abs(again[w] - got[w]) < 1e-12 for w in got)
+
+
+def test_digests_in_the_scan_are_those_of_the_sanitised_texts(spark):
+    from scriptoria.llm import pii
+
+    docs = [(i, f"Ann{i % 7} writes from ann{i % 7}@x.org about topic{i}, call +44 20 7946 00{i % 90 + 10:02}") for i in range(200)] + [(300 + i, f"plain text number {i}") for i in range(200)] + [(None, None), (500, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = sorted(sha(r["text"]) for r in pii.sanitise(df).collect())
+    assert sorted(r["sanitised_sha256"] for r in pii.span_digests(df).collect()) == want
+    assert len(set(want) & {sha(t or "") for _, t in docs}) < len(docs)
+    few = pii.find_personal_data(df, most_terms=0, digest=True)
+    assert sorted(r["sha256"] for r in few.collect()) == want and few.filter("text IS NOT NULL").count() == 0
