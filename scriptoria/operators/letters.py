@@ -25,8 +25,8 @@ TRUSTEE = (r"(?U)受托人[：:]{1,2}[_\s]*([^_\n]+)", r"(?Ud)委托.*?受托人
 
 
 def _match(t: Column, pattern: str) -> Column:
-    """The first match's group, stripped; null without a match."""
-    return F.when(t.rlike(pattern), strip(F.regexp_extract(t, pattern, 1)))
+    """The first match's group, stripped; null without a match. No group of these patterns matches the empty text."""
+    return strip(F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")))
 
 
 def _zfill(c: Column) -> Column:
