@@ -1,17 +1,17 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Counts come from every training text. The root's distribution is the base, (c + 1) / (N + V + 1). A next word t is stored after a context s if the two occur together `LEAST` times; so a context can only
+Counts come from every training text. The root's distribution is the base, (c + 1) / (N + V + 1). A next word t is stored after a context s if the two occur together `least` times; so a context can only
 be stored with a suffix that is, and sequences are found level by level. A context with stored next words is retained if its distribution over them, and over all others taken together, diverges from that of its
 longest retained suffix: 2 n KL must exceed what chance gives (a chi-square of as many degrees as stored next words, by four standard deviations). Contexts of one and two words are all tested, a longer one if
-the one shorter by its first word is retained; levels are added until one retains none, up to the order of the tree, `ORDER` words. At a retained context s, which stands before n words, m of them stored ones, d distinct, the next word t has
+the one shorter by its first word is retained; levels are added until one retains none, up to the order of the tree, `order` words, if it is given. At a retained context s, which stands before n words, m of them stored ones, d distinct, the next word t has
 P(t | s) = (c(s, t) + (d + n - m) P(t | suffix of s)) / (n + d), where c is 0 if t isn't stored: what the context doesn't store goes to its suffix, so each distribution sums to 1. A text is scored by the
 longest retained suffix at each word.
 
 The tree is a table that grows with the texts: (context, next) pairs are counted by groupBy, whatever their share of the corpus, under 64-bit keys hashed from the words. log P(t | s) is a sum: the
 base, the escape log (d + n - m) / (n + d) of each retained suffix, and for each (suffix, next) that is stored what it adds to the escape. So a text's score is a sum over keys, met by one join.
 The `HEAD` most frequent words and the `HOT` most frequent keys are broadcast and looked up in the task; of the others only those that may be in the table, by a filter of at most
-2^28 bits without false negatives, are sent to the join. Neither changes a score. Words and pairs are counted in one pass over the texts, contexts of two words in a second; longer ones in runs of words whose every
-three are stored, written in a third.
+2^28 bits without false negatives, are sent to the join. Neither changes a score. A first pass over the texts finds which pairs may occur often enough, at four bytes a pair; words and those pairs are counted in a second, contexts of two
+words in a third; longer ones in runs of words whose every three are stored, written in a fourth.
 
 Defined results: a null text counts as empty: it is the end token alone. Without training texts N and V are 0. Rows that repeat count, and are scored, each; equal texts get
 equal scores. A text of any length is read whole. Only doc_id and text are read, whatever other columns there are.
@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import Filter, checkpointed, fold_of, texts
 
-#: Occurrences that a stored next word has after its context, at least (the usual least count of a cell for a chi-square), and words of the longest context.
+#: What `least` and `order` are by default: occurrences that a stored next word has after its context, at least (the usual least count of a cell for a chi-square), and words of the longest context, None for as many as are
+#: retained.
 LEAST, ORDER = 5, 5
 #: Words and entries that are broadcast and looked up in the task, at most; all others are met by a join. This changes where the work is done only.
 HEAD, HOT = 1 << 18, 1 << 20
 #: Words that a task counts at a time, about.
-BLOCK = 1_500_000
+BLOCK = 3_000_000
 END = -(1 << 63)  # no word has this number
 ALL, STOP = END + 1, END + 2  # any next word; the end of a run
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -99,63 +100,133 @@ def _summed(*columns: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"context": context[at], "shorter": shorter[at], "word": word[at], "c": np.add.reduceat(c, at) if len(at) else c})
 
 
-def _grouped(rows: DataFrame, *more: Column) -> DataFrame:
-    """context, word and c summed over what tasks have counted, from LEAST on.
+def _grouped(rows: DataFrame, least: int, *more: Column) -> DataFrame:
+    """context, word and c summed over what tasks have counted, from `least` on.
 
     Rows are dealt by their context and the first three bits of their word. In each task they come sorted, so those of one context stay together and pack well, and a context that is everywhere lands in eight tasks.
     Single words, which have no context, are dealt by sixteen bits.
     """
     dealt = rows.withColumn("part", F.when(F.col("context") == END, F.shiftright("word", 48)).otherwise(F.shiftright("word", 61)))
     dealt = dealt.repartition("context", "part").groupBy("context", "part", "word").agg(F.sum("c").alias("c"), *more)
-    return dealt.filter((F.col("c") >= LEAST) | (F.col("context") == END)).drop("part")
+    return dealt.filter((F.col("c") >= least) | (F.col("context") == END)).drop("part")
 
 
-def _count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(context, word, c) of single words (their context is END) and pairs of words, summed for a few million words at a time."""
-    found, size = [], 0
-
-    def out() -> pd.DataFrame:
-        number, new = (np.concatenate(x) for x in zip(*found, strict=True))
-        word, n = np.unique(number, return_counts=True)
-        at = np.flatnonzero(~new[1:]) + 1
-        before, after = number[at - 1], number[at]
-        del number, new, at
-        order = np.lexsort((after, before))
-        before, after = before[order], after[order]
-        del order
-        first = np.ones(len(before), bool)
-        first[1:] = (before[1:] != before[:-1]) | (after[1:] != after[:-1])
-        at = np.flatnonzero(first)
-        return pd.DataFrame({
-            "context": np.concatenate([np.full(len(word), END), before[at]]), "word": np.concatenate([word, after[at]]), "c": np.concatenate([n, np.diff(np.append(at, len(before)))]),
-        })
+def _often(docs: DataFrame, least: int) -> Filter | None:
+    """The pairs of words that occur `least` times, and few others; None: all, if one time is enough.
 
+    A pair is the first 32 bits of its key beyond those of its bucket, in each task once for some million words, with its count. What can't be frequent is thus found at some four bytes a pair, and never sent on as a row.
+    """
+    if least <= 1:
+        return None
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(10, min(22, (size >> 25).bit_length()))  # about 32 MB of text a bucket
+
+    def packed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for number, new in _blocks(batches):
+            at = np.flatnonzero(~new[1:]) + 1
+            key = _entry(number[at - 1], number[at]).view(np.uint64) >> np.uint64(32 - bits)
+            key, n = np.unique(key, return_counts=True)
+            n = np.minimum(n, 255).astype(np.uint8)
+            cut = np.searchsorted(key, np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(32))
+            low, n = np.split((key & np.uint64(0xFFFFFFFF)).astype("<u4"), cut), np.split(n, cut)
+            some = [k for k, x in enumerate(low) if len(x)]
+            yield pd.DataFrame({"bucket": some, "low": [low[k].tobytes() for k in some], "n": [n[k].tobytes() for k in some]}).astype({"bucket": "int32"})
+
+    def summed(b: pd.DataFrame) -> pd.DataFrame:
+        low, n = np.frombuffer(b"".join(b["low"]), "<u4"), np.frombuffer(b"".join(b["n"]), np.uint8)
+        order = np.argsort(low)
+        low, n = low[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+        kept = low[first][np.add.reduceat(n, first) >= least] if len(first) else low
+        key = (np.uint64(b["bucket"].iloc[0]) << np.uint64(64 - bits)) | (kept.astype(np.uint64) << np.uint64(32 - bits))
+        return pd.DataFrame({"key": key.view(np.int64)})
+
+    return Filter(docs.select("text").mapInPandas(packed, "bucket int, low binary, n binary").groupBy("bucket").applyInPandas(summed, "key long"))
+
+
+def _blocks(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the words of texts and whether they start a text, some million words at a time."""
+    found, size = [], 0
     for b in batches:
         for part in _parts(b):
             number, new, _ = tokens_of(part["text"].tolist())
             found.append((number, new))
             size += len(number)
             if size > BLOCK:
-                yield out()
+                yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
                 found, size = [], 0
     if found:
-        yield out()
+        yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _counted(docs: DataFrame, least: int) -> DataFrame:
+    """(context, word, c) of single words (their context is END), and of the pairs of words that occur `least` times."""
+    sent = docs.sparkSession.sparkContext.broadcast(_often(docs, least))
+
+    def count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = sent.value
+        for number, new in _blocks(batches):
+            word, n = np.unique(number, return_counts=True)
+            at = np.flatnonzero(~new[1:]) + 1
+            if often is not None:
+                at = at[often.has(_entry(number[at - 1], number[at]))]
+            before, after = number[at - 1], number[at]
+            order = np.lexsort((after, before))
+            before, after = before[order], after[order]
+            first = np.ones(len(before), bool)
+            first[1:] = (before[1:] != before[:-1]) | (after[1:] != after[:-1])
+            at = np.flatnonzero(first)
+            yield pd.DataFrame({
+                "context": np.concatenate([np.full(len(word), END), before[at]]), "word": np.concatenate([word, after[at]]), "c": np.concatenate([n, np.diff(np.append(at, len(before)))]),
+            })
+
+    return checkpointed(_grouped(docs.select("text").mapInPandas(count_rows, "context long, word long, c long"), least))
+
+
+class Table:
+    """Places of numbers among known ones, by open addressing: all numbers step on from their slots together until they are found or a slot is empty."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        """keys: distinct, and hashed, so that their first bits tell them apart."""
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys = keys
+        left, at = np.arange(len(keys)), self._first(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            # of those that meet in a slot one gets it
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def places(self, numbers: np.ndarray) -> np.ndarray:
+        """-1: not a known number."""
+        if not len(self.keys):
+            return np.full(len(numbers), -1, np.int64)
+        at = self._first(numbers)
+        out = self.slots[at].astype(np.int64)
+        open_ = np.flatnonzero((out >= 0) & (self.keys[out] != numbers))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.slots[at[open_]].astype(np.int64)
+            out[open_] = found
+            open_ = open_[(found >= 0) & (self.keys[found] != numbers[open_])]
+        return out
 
 
 class Head:
     """The most frequent words, by number, and the base probability of each."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
-        order = np.argsort(words)
-        self.words, self.total = words[order], total
-        self.base = (counts[order] + 1.0) / (total + distinct + 1.0)
+        self.table, self.total = Table(words), total
+        self.base = (counts + 1.0) / (total + distinct + 1.0)
 
     def places(self, numbers: np.ndarray) -> np.ndarray:
         """Where the numbers stand in the head; -1: nowhere."""
-        if not len(self.words):
-            return np.full(len(numbers), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, numbers), len(self.words) - 1)
-        return np.where(self.words[at] == numbers, at, -1)
+        return self.table.places(numbers)
 
 
 def _parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -180,11 +251,11 @@ def _entry(node: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(~node, word)
 
 
-def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter | None) -> DataFrame:
-    """context, word and c of every (context, next) that occurs `LEAST` times, with contexts of `depth` words; and, from runs, shorter (the context's suffix) and how often each context occurs, as the word `ALL`.
+def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter | None, least: int) -> DataFrame:
+    """context, word and c of every (context, next) that occurs `least` times, with contexts of `depth` words; and, from runs, shorter (the context's suffix) and how often each context occurs, as the word `ALL`.
 
     source: texts, or runs of words in which all longer sequences that matter stand. attested: keys of the sequences of `depth` words that are entries of the level before. Of a sequence that
-    occurs `LEAST` times, the context and all but its first word do too. kept: suffixes whose longer contexts are wanted; None: any.
+    occurs `least` times, the context and all but its first word do too. kept: suffixes whose longer contexts are wanted; None: any.
     """
     sent = source.sparkSession.sparkContext.broadcast((attested, kept))
     runs = "run" in source.columns
@@ -222,7 +293,7 @@ def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter |
             yield out()
 
     rows = source.mapInPandas(pair_rows, f"context long, {'shorter long, ' if runs else ''}word long, c long")
-    return checkpointed(_grouped(rows, *[F.max("shorter").alias("shorter")] if runs else []))
+    return checkpointed(_grouped(rows, least, *[F.max("shorter").alias("shorter")] if runs else []))
 
 
 def _run_tokens(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -237,7 +308,7 @@ def _run_tokens(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _runs(docs: DataFrame, attested: Filter) -> DataFrame:
-    """run: of each text the runs of words whose every three words are in attested, each followed by STOP. All longer sequences that occur `LEAST` times stand in them."""
+    """run: of each text the runs of words whose every three words are in attested, each followed by STOP. All longer sequences that occur as often as entries must stand in them."""
     sent = docs.sparkSession.sparkContext.broadcast(attested)
 
     def run_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,7 +368,7 @@ def _weighed(entries: DataFrame, totals: DataFrame, before: DataFrame) -> DataFr
     return checkpointed(met.join(of, "context").select("key", "context", "suffix_key", "both", "c", "n", "escape", "kept", F.when(F.col("kept"), share).otherwise(F.col("q")).alias("p"), F.when(F.col("kept"), adds).alias("adds")))
 
 
-def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> tuple[DataFrame, int]:
+def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int, least: int = LEAST, order: int | None = ORDER) -> tuple[DataFrame, int]:
     """The tree's values (key, v and how often it was counted) and its depth, of the texts of docs, whose words and pairs of words are counted in counts (context, word, c)."""
     words = counts.filter(F.col("context") == END).select(F.col("word").alias("key"), F.col("c").alias("n"), ((F.col("c") + 1.0) / F.lit(total + distinct + 1.0)).alias("p"))
     pairs = counts.filter(F.col("context") != END).withColumn("shorter", F.lit(0).cast("long"))
@@ -307,7 +378,7 @@ def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> tupl
         kept = level.filter("kept")
         values.append(kept.select("key", F.col("adds").alias("v"), "c"))
         values.append(kept.groupBy("context").agg(F.first("n").alias("c"), F.first("escape").alias("e")).select(F.bitwise_not("context").alias("key"), F.log10("e").alias("v"), "c"))
-        if depth == ORDER or depth > 1 and not kept.limit(1).count():
+        if depth == order or depth > 1 and not kept.limit(1).count():
             return reduce(DataFrame.unionByName, values), depth
         attested = Filter(level.select("key"))
         if depth == 2:
@@ -315,7 +386,7 @@ def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> tupl
         if depth > 1:  # a filter may let others through; the join with the entries before doesn't
             over = Filter(kept.select(F.col("context").alias("key")).distinct())
         depth += 1
-        rows = _count_level(source, depth, attested, over)
+        rows = _count_level(source, depth, attested, over, least)
         if depth == 2:  # a context of two words is a pair of the level before, and its suffix the second one
             totals = level.select(F.col("both").alias("context"), F.col("c").alias("n"))
             rows = rows.join(level.select(F.col("both").alias("context"), F.col("suffix_key").alias("shorter")), "context")
@@ -344,17 +415,21 @@ def _arrays(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarr
     return keys[order], values[order]
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs."""
+def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, least: int = LEAST, order: int | None = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
+
+    With least = 1 every sequence is counted, and with order = None contexts grow until none is retained: the divergence test alone then decides, at the cost of a table of every pair and of a job for each length.
+    """
     fold = fold_of(F.col("doc_id"), folds)
     learned = texts(docs).filter(fold != held_out)
-    counts = checkpointed(_grouped(learned.select("text").mapInPandas(_count_rows, "context long, word long, c long")))
+    counts = _counted(learned, least)
     words = counts.filter(F.col("context") == END).select("word", F.col("c").alias("n"))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    values, depth = train(learned, counts, total, distinct)
+    values, depth = train(learned, counts, total, distinct, least, order)
     values = checkpointed(values)
     head = Head(*_arrays(_most_counted(words, "n", HEAD), "word", "n"), total, distinct)
-    sent = docs.sparkSession.sparkContext.broadcast((head, *_arrays(_most_counted(values, "c", HOT), "key", "v"), Filter(values.select("key"))))
+    hot_keys, hot_values = _arrays(_most_counted(values, "c", HOT), "key", "v")
+    sent = docs.sparkSession.sparkContext.broadcast((head, Table(hot_keys), hot_values, Filter(values.select("key"))))
 
     def score_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         front, hot, worth, held = sent.value
@@ -362,11 +437,11 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
         def known(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Places of the keys that may be in the table, the values of those that are hot, and which of the places hold others."""
             at = np.flatnonzero(held.has(keys))
-            if not len(hot):
-                return at, np.zeros(len(at)), np.ones(len(at), bool)
-            near = np.minimum(np.searchsorted(hot, keys[at]), len(hot) - 1)
-            is_hot = hot[near] == keys[at]
-            return at, np.where(is_hot, worth[near], 0.0), ~is_hot
+            near = hot.places(keys[at])
+            is_hot = near >= 0
+            v = np.zeros(len(at))
+            v[is_hot] = worth[near[is_hot]]
+            return at, v, ~is_hot
 
         for b in batches:
             for part in _parts(b):

@@ -345,8 +345,9 @@ def test_tree_beats_the_base(spark, empty):
     assert suffix_tree_lm.score_documents(empty).count() == 0
 
 
-def test_tree_against_counting_every_context(spark):
-    """Rare content words and contexts of three words make the scores that plain counting gives."""
+@pytest.mark.parametrize(("least", "order"), [(5, 5), (1, None)])
+def test_tree_against_counting_every_context(spark, least, order):
+    """Rare content words and contexts of three words make the scores that plain counting gives, with every sequence stored and contexts of any length too."""
     rng = np.random.default_rng(5)
     rows = []
     for i in range(400):
@@ -356,7 +357,7 @@ def test_tree_against_counting_every_context(spark):
         rows.append((i, " ".join(words), "en", "a", 1, None, None))
     train = [[*r[1].split(), None] for r in rows if fold(r[0], 7) != 2]
     words = Counter(w for t in train for w in t)
-    total, least = words.total(), suffix_tree_lm.LEAST
+    total = words.total()
     base = lambda w: (words[w] + 1) / (total + len(words) + 1)
     kept: dict = {}
 
@@ -388,12 +389,12 @@ def test_tree_against_counting_every_context(spark):
             if d and 2 * kl > d + 4 * np.sqrt(2 * d):
                 new[c] = stored, n
         kept.update(new)
-        if depth > 1 and not new or depth == suffix_tree_lm.ORDER:
+        if depth > 1 and not new or depth == order:
             break
     assert ("rare",) in kept and any(len(c) > 2 for c in kept)
     for c in kept:  # each distribution sums to 1; words outside the base have what it leaves them
         assert abs(sum(p(c, w) for w in words) + p(c, "never seen") - 1) < 1e-9
-    got = {r["doc_id"]: r for r in suffix_tree_lm.score_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score_documents(spark.createDataFrame(rows, DOCS), least=least, order=order).collect()}
     for i, text, *_ in rows:
         t = [*text.split(), None]
         want = sum(np.log10(p(tuple(t[:j]), w)) for j, w in enumerate(t))

@@ -348,3 +348,36 @@ def test_digests_in_the_scan_are_those_of_the_sanitised_texts(spark):
     assert len(set(want) & {sha(t or "") for _, t in docs}) < len(docs)
     few = pii.find_personal_data(df, most_terms=0, digest=True)
     assert sorted(r["sha256"] for r in few.collect()) == want and few.filter("text IS NOT NULL").count() == 0
+
+
+# 6
+def test_tables_of_numbers():
+    """Known and unknown numbers, also where many share their first bits, against a dictionary."""
+    from scriptoria.llm.suffix_tree_lm import Table
+
+    rng = np.random.default_rng(18)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(np.concatenate([rng.integers(-(1 << 63), 1 << 63, n, np.int64), np.arange(n // 3) + (5 << 50), [-(1 << 63)] * (n > 1)]).astype(np.int64))
+        rng.shuffle(keys)
+        asked = np.concatenate([keys, rng.integers(-(1 << 63), 1 << 63, 500, np.int64), np.arange(n) + (5 << 50)]).astype(np.int64)
+        place = {k: i for i, k in enumerate(keys.tolist())}
+        assert Table(keys).places(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+
+
+def test_pairs_that_may_be_frequent(spark):
+    """No pair that occurs often enough is missing, wherever its occurrences are, and most others are."""
+    from collections import Counter
+
+    from scriptoria.llm import suffix_tree_lm as lm
+
+    rng = np.random.default_rng(19)
+    docs = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 3000)) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    may, seen = lm._often(df, 4), Counter()
+    for _, t in docs:
+        number = lm.tokens_of([t])[0]
+        seen.update(lm._entry(number[:-1], number[1:]).tolist())
+    keys = np.array(list(seen), np.int64)
+    often = np.array([seen[k] >= 4 for k in keys.tolist()])
+    assert may.has(keys[often]).all() and may.has(keys[~often]).mean() < 0.2 and often.sum() > 100
+    assert lm._often(df, 1) is None and lm._often(df.limit(0), 4).has(keys).sum() == 0
