@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Filter, checkpointed, fold_of, texts
@@ -35,7 +35,7 @@ LEAST, ORDER = 5, 5
 #: Words and entries that are broadcast and looked up in the task, at most; all others are met by a join. This changes where the work is done only.
 HEAD, HOT = 1 << 18, 1 << 20
 #: Words that a task counts at a time, about.
-BLOCK = 3_000_000
+BLOCK = 2_000_000
 END = -(1 << 63)  # no word has this number
 ALL, STOP = END + 1, END + 2  # any next word; the end of a run
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -141,7 +141,7 @@ def _often(docs: DataFrame, least: int) -> Filter | None:
         key = (np.uint64(b["bucket"].iloc[0]) << np.uint64(64 - bits)) | (kept.astype(np.uint64) << np.uint64(32 - bits))
         return pd.DataFrame({"key": key.view(np.int64)})
 
-    return Filter(docs.select("text").mapInPandas(packed, "bucket int, low binary, n binary").groupBy("bucket").applyInPandas(summed, "key long"))
+    return Filter(checkpointed(docs.select("text").mapInPandas(packed, "bucket int, low binary, n binary").groupBy("bucket").applyInPandas(summed, "key long")))
 
 
 def _blocks(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -368,6 +368,11 @@ def _weighed(entries: DataFrame, totals: DataFrame, before: DataFrame) -> DataFr
     return checkpointed(met.join(of, "context").select("key", "context", "suffix_key", "both", "c", "n", "escape", "kept", F.when(F.col("kept"), share).otherwise(F.col("q")).alias("p"), F.when(F.col("kept"), adds).alias("adds")))
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: the shuffle files of finished jobs go when it does, which may else be long after the disks are full."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int, least: int = LEAST, order: int | None = ORDER) -> tuple[DataFrame, int]:
     """The tree's values (key, v and how often it was counted) and its depth, of the texts of docs, whose words and pairs of words are counted in counts (context, word, c)."""
     words = counts.filter(F.col("context") == END).select(F.col("word").alias("key"), F.col("c").alias("n"), ((F.col("c") + 1.0) / F.lit(total + distinct + 1.0)).alias("p"))
@@ -381,10 +386,11 @@ def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int, least:
         if depth == order or depth > 1 and not kept.limit(1).count():
             return reduce(DataFrame.unionByName, values), depth
         attested = Filter(level.select("key"))
+        _let_go(docs.sparkSession)
         if depth == 2:
             source = _runs(docs, attested)
         if depth > 1:  # a filter may let others through; the join with the entries before doesn't
-            over = Filter(kept.select(F.col("context").alias("key")).distinct())
+            over = Filter(checkpointed(kept.select(F.col("context").alias("key")).distinct()))
         depth += 1
         rows = _count_level(source, depth, attested, over, least)
         if depth == 2:  # a context of two words is a pair of the level before, and its suffix the second one
@@ -423,10 +429,12 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, least: i
     fold = fold_of(F.col("doc_id"), folds)
     learned = texts(docs).filter(fold != held_out)
     counts = _counted(learned, least)
+    _let_go(docs.sparkSession)
     words = counts.filter(F.col("context") == END).select("word", F.col("c").alias("n"))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     values, depth = train(learned, counts, total, distinct, least, order)
     values = checkpointed(values)
+    _let_go(docs.sparkSession)
     head = Head(*_arrays(_most_counted(words, "n", HEAD), "word", "n"), total, distinct)
     hot_keys, hot_values = _arrays(_most_counted(values, "c", HOT), "key", "v")
     sent = docs.sparkSession.sparkContext.broadcast((head, Table(hot_keys), hot_values, Filter(values.select("key"))))
