@@ -17,6 +17,7 @@ spans that start together go by kind as listed, terms last. Only doc_id and text
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import re
@@ -34,6 +35,8 @@ from .suffix_tree_lm import _arrays
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE, CHANCE = 0.9, 1e-3
+#: Tokens whose words a task holds, at most.
+TOKENS = 400_000
 #: Pairs of one text that are made in one place, about.
 CELL = 1 << 16
 #: Disclosing terms that are broadcast, at most, at 16 bytes each.
@@ -117,6 +120,7 @@ def _count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """In how many documents each term, and each entity, occurs, summed for some hundred thousand of them at a time."""
     counts: tuple[Counter, Counter] = Counter(), Counter()
     of_token: dict[str, tuple[int, ...]] = {}
+    gc.disable()  # strings and numbers make no cycles
 
     def out() -> pd.DataFrame:
         rows = pd.DataFrame({"key": [*counts[0], *counts[1]], "entity": [0] * len(counts[0]) + [1] * len(counts[1]), "n": [*counts[0].values(), *counts[1].values()]}, dtype="int64")
@@ -127,7 +131,7 @@ def _count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for text in b["text"]:
             tokens = set(text.split())
-            if len(of_token) > 120_000:
+            if len(of_token) > TOKENS:
                 of_token.clear()
             for t in tokens.difference(of_token):
                 of_token[t] = tuple(_hash(w.lower()) for w in _WORD.findall(t) if len(w) >= 3)
@@ -225,7 +229,7 @@ def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE, whole: bo
     def scan_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of_token: dict[str, dict[str, float]] = {}  # the words, in lower case, that may be terms
         for b in (part.iloc[k : k + 256] for part in batches for k in range(0, len(part), 256)):
-            if len(of_token) > 120_000:
+            if len(of_token) > TOKENS:
                 of_token.clear()
             tokens = [set(t.split()) for t in b["text"]]
             new = set().union(*tokens).difference(of_token)
