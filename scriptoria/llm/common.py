@@ -73,14 +73,18 @@ def with_group(rows: DataFrame, groups: DataFrame, on: list[str], size: str) ->
 
 
 class Filter:
-    """A set of keys as bits by their first `bits` binary digits: says yes to all of the set, and to few others."""
+    """A set of keys as bits, two a key: by its first `bits` binary digits, and by the last `bits` of its first 42. Says yes to all of the set, and to few others.
+
+    Keys are hashes, of which the first 42 digits count.
+    """
 
     def __init__(self, keys: DataFrame) -> None:
         """keys: one column, key."""
         n = keys.count()
         self.bits = min(28, max(16, (16 * n).bit_length()))
         inner = self.bits - 10
-        slots = keys.select(F.shiftrightunsigned("key", 64 - self.bits).alias("slot")).select((F.expr(f"slot div {1 << inner}")).cast("int").alias("piece"), (F.col("slot") % (1 << inner)).cast("int").alias("slot"))
+        both = F.array(F.shiftrightunsigned("key", 64 - self.bits), F.shiftrightunsigned("key", 22).bitwiseAND((1 << self.bits) - 1))
+        slots = keys.select(F.explode(both).alias("slot")).select((F.expr(f"slot div {1 << inner}")).cast("int").alias("piece"), (F.col("slot") % (1 << inner)).cast("int").alias("slot"))
 
         def piece(part: pd.DataFrame) -> pd.DataFrame:
             held = np.zeros(1 << inner, bool)
@@ -92,6 +96,11 @@ class Filter:
         for r in slots.groupBy("piece").applyInPandas(piece, "piece int, held binary").toLocalIterator():
             self.held[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["held"], np.uint8)
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys.view(np.uint64) >> np.uint64(64 - self.bits)
+    def _set(self, slot: np.ndarray) -> np.ndarray:
         return (self.held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.view(np.uint64)
+        out = self._set(keys >> np.uint64(64 - self.bits))
+        out[out] = self._set(keys[out] >> np.uint64(22) & np.uint64((1 << self.bits) - 1))
+        return out

@@ -8,9 +8,9 @@ P(t | s) = (c(s, t) + (d + n - m) P(t | suffix of s)) / (n + d), where c is 0 if
 longest retained suffix at each word.
 
 The tree is a table that grows with the texts: (context, next) pairs are counted by groupBy, whatever their share of the corpus, under 64-bit keys hashed from the words. log P(t | s) is a sum: the
-base, the escape log (d + n - m) / (n + d) of each retained suffix, and for each (suffix, next) that is stored what it adds to the escape. So a text's score is a sum over keys, met by one join.
+base, the escape log (d + n - m) / (n + d) of each retained suffix, and for each (suffix, next) that is stored what it adds to the escape. So a text's score is a sum over keys, met by one cogroup by ranges of keys.
 The `HEAD` most frequent words and the `HOT` most frequent keys are broadcast and looked up in the task; of the others only those that may be in the table, by a filter of at most
-2^28 bits without false negatives, are sent to the join. Neither changes a score. A first pass over the texts finds which pairs may occur often enough, at four bytes a pair; words and those pairs are counted in a second, contexts of two
+2^28 bits without false negatives, are sent on, packed by range and block of texts, and their sums come back by block. Neither changes a score. A first pass over the texts finds which pairs may occur often enough, at four bytes a pair; words and those pairs are counted in a second, contexts of two
 words in a third; longer ones in runs of words whose every three are stored, written in a fourth.
 
 Defined results: a null text counts as empty: it is the end token alone. Without training texts N and V are 0. Rows that repeat count, and are scored, each; equal texts get
@@ -19,6 +19,8 @@ equal scores. A text of any length is read whole. Only doc_id and text are read,
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -369,7 +371,12 @@ def _weighed(entries: DataFrame, totals: DataFrame, before: DataFrame) -> DataFr
 
 
 def _let_go(spark: SparkSession) -> None:
-    """Have the driver collect its garbage: the shuffle files of finished jobs go when it does, which may else be long after the disks are full."""
+    """Have the driver collect its garbage: the shuffle files and checkpoints that nothing refers to go when it does, which may else be long after the disks are full.
+
+    Python's own garbage is first: it holds tables in cycles, and tells the JVM about what it lets go from a thread of its own, within a second.
+    """
+    gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -401,8 +408,8 @@ def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int, least:
         level = _weighed(_keyed(rows, depth), totals, kept if depth > 2 else level)
 
 
-def _most_counted(rows: DataFrame, c: str, most: int) -> DataFrame:
-    """The rows with the largest counts, about `most` at most: a bound on the count is taken from the numbers of rows by powers of 2 ** 0.125."""
+def _most_counted(rows: DataFrame, c: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with the largest counts, about `most` at most, and the others: a bound on the count is taken from the numbers of rows by powers of 2 ** 0.125."""
     step = F.floor(8 * F.log2(c)).cast("int")
     held, bound = 0, 1 << 30
     for r in rows.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 8 * 63 rows at most
@@ -410,7 +417,7 @@ def _most_counted(rows: DataFrame, c: str, most: int) -> DataFrame:
         if held > most:
             break
         bound = r["step"]
-    return rows.filter(step >= bound)
+    return rows.filter(step >= bound), rows.filter(step < bound)
 
 
 def _arrays(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -421,6 +428,63 @@ def _arrays(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarr
     return keys[order], values[order]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers with all first bytes, then all second ones and so on: bytes that hardly change pack well."""
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _looked_up(asked: DataFrame, table: DataFrame, bits: int) -> DataFrame:
+    """Sums of base and path, and the number of known words, for every text of asked.
+
+    asked: rows of texts (keys is null), and packs of keys with the places of their texts in a block of texts, dealt to buckets by the first `bits` bits of the keys. table: key, word (whether it is a word) and x.
+    What a bucket finds is summed by text and goes back to the block.
+    """
+    texts_of = ["block", "row_id", "doc_id", "has_id", "n_tokens", "known", "base", "path"]
+    blank = {"row_id": 0, "doc_id": 0, "has_id": False, "n_tokens": 0, "known": 0, "base": 0.0, "path": 0.0}
+
+    def meet(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        whole = asked["keys"].isna()
+        out = [asked.loc[whole, texts_of].assign(word=False, places=None, sums=None, counts=None)]
+        for word in (True, False):
+            own = table[table["word"] == word].sort_values("key")
+            known, x = own["key"].to_numpy(np.int64), own["x"].to_numpy(np.float64)
+            packs = asked[~whole & (asked["word"] == word)] if len(known) else asked.iloc[:0]
+            found = []
+            for block, keys, places in zip(packs["block"], packs["keys"], packs["places"], strict=True):
+                keys, places = _from_planes(keys, "<i8"), _from_planes(places, "<u4")
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                n = np.bincount(places[hit])
+                at, total = np.flatnonzero(n), np.bincount(places[hit], x[at[hit]])
+                found.append({"block": block, **blank, "word": word, "places": _planes(at.astype("<u4")), "sums": total[at].tobytes(), "counts": _planes(n[at].astype("<u4"))})
+            out.append(pd.DataFrame(found, columns=out[0].columns))
+        out = [x for x in out if len(x)]
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in [*texts_of, "word", "places", "sums", "counts"]})
+
+    def together(b: pd.DataFrame) -> pd.DataFrame:
+        whole = b["places"].isna()
+        own = b.loc[whole, texts_of[1:]].reset_index(drop=True)
+        at = own["row_id"].to_numpy() - b["block"].iloc[0]
+        known, base, path = (np.zeros(at.max() + 1) for _ in range(3))
+        packs = b[~whole]
+        for word, places, sums, counts in zip(packs["word"], packs["places"], packs["sums"], packs["counts"], strict=True):
+            places = _from_planes(places, "<u4")
+            (base if word else path)[places] += np.frombuffer(sums)
+            if word:
+                known[places] += _from_planes(counts, "<u4")
+        return own.assign(known=own["known"] + known[at].astype(np.int64), base=own["base"] + base[at], path=own["path"] + path[at])
+
+    texts_schema = "row_id long, doc_id long, has_id boolean, n_tokens long, known long, base double, path double"
+    bucketed = table.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits).cast("int"))
+    met = asked.groupBy("bucket").cogroup(bucketed.groupBy("bucket")).applyInPandas(meet, f"block long, {texts_schema}, word boolean, places binary, sums binary, counts binary")
+    return met.groupBy("block").applyInPandas(together, texts_schema)
+
+
 def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, least: int = LEAST, order: int | None = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
@@ -435,12 +499,16 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, least: i
     values, depth = train(learned, counts, total, distinct, least, order)
     values = checkpointed(values)
     _let_go(docs.sparkSession)
-    head = Head(*_arrays(_most_counted(words, "n", HEAD), "word", "n"), total, distinct)
-    hot_keys, hot_values = _arrays(_most_counted(values, "c", HOT), "key", "v")
-    sent = docs.sparkSession.sparkContext.broadcast((head, Table(hot_keys), hot_values, Filter(values.select("key"))))
+    (often, rare), (hot, cold) = _most_counted(words, "n", HEAD), _most_counted(values, "c", HOT)
+    hot_keys, hot_values = _arrays(hot, "key", "v")
+    sent = docs.sparkSession.sparkContext.broadcast((Head(*_arrays(often, "word", "n"), total, distinct), Table(hot_keys), hot_values, Filter(values.select("key"))))
+    none = -np.log10(total + distinct + 1.0)  # of a word that isn't known
+    bits = max(4, min(22, (total >> 22).bit_length()))  # about four million words a bucket
 
     def score_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         front, hot, worth, held = sent.value
+        block, rows, size = -1, 0, 0
+        asked: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}  # keys and the places of their texts in the block: of words, and of the tree
 
         def known(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Places of the keys that may be in the table, the values of those that are hot, and which of the places hold others."""
@@ -451,14 +519,37 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, least: i
             v[is_hot] = worth[near[is_hot]]
             return at, v, ~is_hot
 
+        def packs() -> Iterator[pd.DataFrame]:
+            for word, parts in asked.items():
+                if not parts:
+                    continue
+                keys, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(keys.view(np.uint64))
+                keys, places = keys[order], places[order]
+                ends = np.searchsorted(keys.view(np.uint64), np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(64 - bits))
+                keys, places = np.split(keys, ends), np.split(places, ends)
+                some = [k for k, x in enumerate(keys) if len(x)]
+                yield pd.DataFrame({
+                    "bucket": some, "block": block, "row_id": 0, "doc_id": 0, "has_id": False, "n_tokens": 0, "known": 0, "base": 0.0, "path": 0.0, "word": word,
+                    "keys": [_planes(keys[k]) for k in some], "places": [_planes(places[k]) for k in some],
+                }).astype({"bucket": "int32"})
+                parts.clear()
+
         for b in batches:
             for part in _parts(b):
+                if size > BLOCK or rows > BLOCK:
+                    yield from packs()
+                    block, rows, size = -1, 0, 0
                 number, starts, text = tokens_of(part["text"].tolist())
+                row_id = part["row_id"].to_numpy()
+                block = int(row_id[0]) if block < 0 else block
+                at_row = (row_id - block).astype("<u4")
                 place = front.places(number)
                 n, head = len(part), place >= 0
                 base = np.log10(front.base[place[head]]) if head.any() else np.zeros(0)
                 path, open_ = np.zeros(len(number)), np.ones(len(number), bool)
-                other = [(text[~head], number[~head])]
+                asked[True].append((number[~head], at_row[text[~head]]))
+                other = []
                 for k, (at, node) in enumerate(_contexts(number, starts, depth), 1):
                     if k > 2:  # a longer context is in the tree only if its suffix is
                         at, node = at[open_[at]], node[open_[at]]
@@ -467,30 +558,25 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, least: i
                     open_[:] = False
                     open_[at] = True
                     path[at] += v
-                    other.append((text[at[ask]], ~node[ask]))
+                    other.append((~node[ask], at_row[text[at[ask]]]))
                     keys = _entry(node, number[at])
                     i, v, ask = known(keys)
                     at, keys = at[i], keys[i]
                     path[at] += v
-                    other.append((text[at[ask]], keys[ask]))
-                where, keys = (np.concatenate(x) for x in zip(*other, strict=True))
-                keys = keys[np.argsort(where, kind="stable")]
-                cut = np.bincount(where, minlength=n).cumsum()[:-1]
+                    other.append((keys[ask], at_row[text[at[ask]]]))
+                asked[False] += other
+                rows, size = rows + n, size + len(asked[True][-1][0]) + sum(len(x) for x, _ in other)
+                missing = part["doc_id"].isna().to_numpy()
                 yield pd.DataFrame({
-                    "row_id": part["row_id"].to_numpy(), "doc_id": part["doc_id"].to_numpy(), "n_tokens": np.bincount(text, minlength=n),
-                    "head_known": np.bincount(text[head], minlength=n), "head_base": np.bincount(text[head], base, n),
-                    "path": np.bincount(text, path, n), "rare": np.bincount(text[~head], minlength=n), "other": np.split(keys, cut),
-                }).astype({"doc_id": "Int64"})
-
-    schema = "row_id long, doc_id long, n_tokens long, head_known long, head_base double, path double, rare long, other array<long>"
-    scored = checkpointed(texts(docs).withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(score_rows, schema))
-    asked = scored.filter(F.size("other") > 0).select("row_id", F.explode("other").alias("key"))
-    logs = F.log10((F.col("n") + 1.0) / F.lit(total + distinct + 1.0))
-    table = words.select(F.col("word").alias("key"), logs.alias("base"), F.lit(None).cast("double").alias("v")).unionByName(values.select("key", F.lit(None).cast("double").alias("base"), "v"))
-    per = asked.join(table, "key").groupBy("row_id").agg(F.sum("base").alias("base"), F.count("base").alias("rare_known"), F.sum("v").alias("v"))
-    none = F.log10(F.lit(1.0) / F.lit(total + distinct + 1.0))
-    rare_base = F.coalesce("base", F.lit(0.0)) + (F.col("rare") - F.coalesce("rare_known", F.lit(0))) * none
-    return scored.join(per, "row_id", "left").select(
-        "doc_id", (fold == held_out).alias("held_out"), "n_tokens", (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("head_base") + rare_base).alias("base_score"), (F.col("path") + F.coalesce("v", F.lit(0.0)) + F.col("head_base") + rare_base).alias("score"),
-    )
+                    "bucket": (row_id % (1 << bits)).astype(np.int32), "block": block, "row_id": row_id, "doc_id": part["doc_id"].fillna(0).astype("int64").to_numpy(), "has_id": ~missing,
+                    "n_tokens": np.bincount(text, minlength=n), "known": np.bincount(text[head], minlength=n),
+                    "base": np.bincount(text[head], base, n) + none * np.bincount(text[~head], minlength=n), "path": np.bincount(text, path, n), "word": False, "keys": None, "places": None,
+                })
+        yield from packs()
+
+    schema = "bucket int, block long, row_id long, doc_id long, has_id boolean, n_tokens long, known long, base double, path double, word boolean, keys binary, places binary"
+    asked = texts(docs).withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(score_rows, schema)
+    beyond = F.log10((F.col("n") + 1.0) / F.lit(total + distinct + 1.0)) - F.lit(float(none))
+    table = rare.select(F.col("word").alias("key"), F.lit(True).alias("word"), beyond.alias("x")).unionByName(cold.select("key", F.lit(False).alias("word"), F.col("v").alias("x")))
+    scored = _looked_up(asked, table, bits).withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id")))
+    return scored.select("doc_id", (fold == held_out).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("path") + F.col("base")).alias("score"))

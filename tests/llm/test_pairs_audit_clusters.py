@@ -381,3 +381,30 @@ def test_pairs_that_may_be_frequent(spark):
     often = np.array([seen[k] >= 4 for k in keys.tolist()])
     assert may.has(keys[often]).all() and may.has(keys[~often]).mean() < 0.2 and often.sum() > 100
     assert lm._often(df, 1) is None and lm._often(df.limit(0), 4).has(keys).sum() == 0
+
+
+def test_filters_let_few_others_through(spark):
+    """Every key of the set is found, and about one in a hundred others at most, also of keys of which only the first 42 digits are set."""
+    from scriptoria.llm.common import Filter
+
+    rng = np.random.default_rng(20)
+    for shift in (0, 22):
+        keys, others = (rng.integers(-(1 << 63), 1 << 63, 20_000, np.int64) >> shift << shift for _ in "ab")
+        held = Filter(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+        assert held.has(keys).all() and held.has(others).mean() < 0.012
+
+
+def test_keys_that_no_task_knows_are_looked_up_by_bucket(spark, monkeypatch):
+    """Scores are the same whether words and entries of the tree are broadcast or looked up in buckets, for ids beyond 2^53, rows that repeat and null ids as well."""
+    from scriptoria.llm import suffix_tree_lm as lm
+
+    rng = np.random.default_rng(21)
+    docs = [((1 << 60) + i, " ".join(f"w{x}" for x in rng.zipf(1.5, 50) % 300)) for i in range(150)]
+    docs += [docs[0], docs[0], (None, docs[1][1]), (None, None), (7, "never seen")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    key = lambda r: (r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6))
+    want = sorted(map(key, lm.score_documents(df, order=3).collect()))
+    monkeypatch.setattr(lm, "HEAD", 1)
+    monkeypatch.setattr(lm, "HOT", 1)
+    assert sorted(map(key, lm.score_documents(df, order=3).collect())) == want and len(want) == len(docs)
+    assert any(k[4] > k[3] + 1 for k in want)
