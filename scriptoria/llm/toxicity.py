@@ -7,7 +7,7 @@ training texts by triplets (cov_ij cov_ik / cov_jk holds one voter's own strengt
 beyond that is a correlation, by which the pair's evidence is discounted. The posterior labels that the votes give training rows, labelled or not, then fit a logistic regression on the
 presence of the words and beginnings that stand out; it alone scores documents.
 
-Texts are reduced in tasks to the numbers of the voters and features they hold. The driver sees sums, the names that stand out, and for the regression at most about sample_rows rows of such numbers, drawn by a hash
+Of the texts only those are dealt out whose ids may be labelled, by a filter of bits; the join with the labels, which grow with the documents, never broadcasts. Texts are reduced in tasks to the numbers of the voters and features they hold. The driver sees sums, the names that stand out, and for the regression at most about sample_rows rows of such numbers, drawn by a hash
 threshold from the rows that hold any, each standing for as many; rows without any are one row of their number. Only that sample is bounded.
 
 Defined results: null texts count as empty, and get the score of a text without any feature. Without labelled rows, the lexicon alone votes, each voter with a
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fold_of, texts
+from .common import Filter, checkpointed, fold_of, texts
 
 #: A lexicon of insults.
 LEXICON = ("bastard", "clown", "disgusting", "dumb", "fool", "freak", "idiot", "idiotic", "imbecile", "jerk", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "vermin", "worthless")
@@ -183,6 +183,17 @@ def _feature_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
+def labelled(base: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of base whose doc_id may be in marks: all that are, and about one in a hundred others."""
+    sent = base.sparkSession.sparkContext.broadcast(Filter(marks.select(F.xxhash64("doc_id").alias("key"))))
+
+    @F.pandas_udf("boolean")
+    def may_be(key: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.has(key.to_numpy(np.int64)))
+
+    return base.filter(may_be(F.xxhash64("doc_id")))
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample_rows: int = 6000) -> Scorer:
     """A scorer learned from the rows outside the held-out fold."""
     spark = docs.sparkSession
@@ -193,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     rows = {0: sum(n for y, n in rows.items() if not y), 1: sum(n for y, n in rows.items() if y)}
     pi = min(0.5, max(0.005, (rows[1] + 1) / (rows[0] + rows[1] + 20)))
 
-    counts = base.join(marks, "doc_id").select("text", "toxic").mapInPandas(_feature_rows, "feature string, toxic long, every long")
+    counts = labelled(base, marks).join(marks.hint("merge"), "doc_id").select("text", "toxic").mapInPandas(_feature_rows, "feature string, toxic long, every long")
     counts = checkpointed(counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("every").alias("every")).filter("toxic > 0"))
     found = [tuple(r) for r in stand_out(counts, pi).collect()]  # as many as are significant
     entries = ["w:" + w for w in LEXICON]

@@ -408,3 +408,17 @@ def test_keys_that_no_task_knows_are_looked_up_by_bucket(spark, monkeypatch):
     monkeypatch.setattr(lm, "HOT", 1)
     assert sorted(map(key, lm.score_documents(df, order=3).collect())) == want and len(want) == len(docs)
     assert any(k[4] > k[3] + 1 for k in want)
+
+
+# 2
+def test_only_texts_that_may_be_labelled_are_dealt_out(spark):
+    """Every labelled row is among them, whatever its id, and hardly any other."""
+    from scriptoria.llm import toxicity
+
+    base = spark.range(-3000, 3000).select(F.when(F.col("id") != 5, F.col("id")).alias("doc_id"), F.lit("a b").alias("text"))
+    marks = spark.range(-9000, 9000, 7).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    got = toxicity.labelled(base, marks)
+    want = {i for i in range(-3000, 3000) if (i + 9000) % 7 == 0 and i != 5}
+    ids = [r["doc_id"] for r in got.select("doc_id").collect()]
+    assert want <= set(ids) and len(ids) < len(want) + 150
+    assert toxicity.labelled(base, marks.limit(0)).count() == 0
