@@ -15,6 +15,7 @@ and text are read.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -41,9 +42,12 @@ class Bpe:
 
     #: Most pieces and words that are held.
     cached = CACHED
+    #: Whether a space and the letters after it, if nothing else follows, are one piece.
+    whole_words = False
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.whole_words = pattern.startswith(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|")
         self.vocabulary = {i: t for t, i in ranks.items()}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.pairs = {}
@@ -186,7 +190,8 @@ class Bpe:
             for x in split:
                 wanted.update(self.pattern.findall(x[0]))
                 words.update(x[1:])
-        cut = {w: self.pattern.findall(" " + w) for w in words if w not in self.after_space}
+        whole = self.whole_words  # what Python takes for letters the pattern does too
+        cut = {w: [" " + w] if whole and w.isalpha() else self.pattern.findall(" " + w) for w in words if w not in self.after_space}
         for pieces in cut.values():
             wanted.update(pieces)
         self.learn(p for p in wanted if p not in self.cache)
@@ -220,6 +225,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, carried: tu
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = _encoder(sent.value, pattern)
+        gc.disable()  # strings and bytes make no cycles
         for b in batches:
             for k in range(0, len(b), 512):
                 part = b.iloc[k : k + 512]

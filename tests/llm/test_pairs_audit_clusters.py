@@ -422,3 +422,32 @@ def test_only_texts_that_may_be_labelled_are_dealt_out(spark):
     ids = [r["doc_id"] for r in got.select("doc_id").collect()]
     assert want <= set(ids) and len(ids) < len(want) + 150
     assert toxicity.labelled(base, marks.limit(0)).count() == 0
+
+
+# 4
+def test_words_of_letters_need_no_pattern():
+    """A space and letters are cut by no pattern where that makes one piece of them, with the library's ids; with another pattern they are."""
+    import regex
+    import tiktoken
+
+    letter = regex.compile(r"\p{L}")
+    assert all(letter.match(chr(c)) for c in range(0x110000) if chr(c).isalpha())
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    words = "a it's größe 日本語 naïve x1 ²³ ǅ ſ".split()
+
+    class Asked:
+        def __init__(self, pattern):
+            self.pattern, self.seen = regex.compile(pattern), []
+
+        def findall(self, t):
+            self.seen.append(t)
+            return self.pattern.findall(t)
+
+    for pattern, want in ((public_tokenizers.PATTERN, [" it's", " x1", " ²³"]), (r" ?\p{L}|[^\p{L}]+", [" " + w for w in words])):
+        own = bpe.Bpe(ranks, pattern)
+        own.pattern = Asked(pattern)
+        text = " ".join(["first", *words])
+        got = own.encode([text])[0]
+        assert sorted(x for x in own.pattern.seen if x.startswith(" ")) == sorted(want)
+        assert np.frombuffer(got, "<u4").tolist() == tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
