@@ -39,6 +39,8 @@ DISCLOSURE, CHANCE = 0.9, 1e-3
 TOKENS = 400_000
 #: Pairs of one text that are made in one place, about.
 CELL = 1 << 16
+#: Tokens of one text that are looked for one by one, at most; with more the text is read word by word.
+SOUGHT = 8
 #: Disclosing terms that are broadcast, at most, at 16 bytes each.
 MOST_TERMS = 1 << 21
 _NONE: dict[str, float] = {}
@@ -101,15 +103,28 @@ def entity_of(text: str, kind: str, start: int, end: int) -> int:
     return _hash(f"{kind}:{text[start:end].lower() if kind == 'email' else _NO_DIGIT.sub('', text[start:end]) if kind != 'ip' else text[start:end]}")
 
 
-def words_outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """(start, end) of the words of three letters or more that touch no span."""
+def words_of_tokens(text: str, tokens: Iterable[str]) -> list[tuple[int, int]]:
+    """(start, end) of the words of the given tokens (what white space parts) wherever they stand in the text, in order."""
+    out = []
+    for t in tokens:
+        inner, n = [m.span() for m in _WORD.finditer(t)], len(t)
+        at = text.find(t)
+        while at >= 0:
+            alone = (at == 0 or text[at - 1].isspace()) and (at + n == len(text) or text[at + n].isspace())
+            if alone:
+                out += [(at + s, at + e) for s, e in inner]
+            at = text.find(t, at + (n if alone else 1))
+    return sorted(out)
+
+
+def words_outside(text: str, spans: list[tuple[str, int, int]], words: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int]]:
+    """(start, end) of the words of three letters or more that touch no span; words: those that are asked for, in order, or else all of the text."""
     reach, at = [], 0  # spans with their ends so far: those that start before a word end before it, or one of them touches it
     for _, s, e in spans:
         at = max(at, e)
         reach.append((s, at))
     k = -1
-    for m in _WORD.finditer(text):
-        s, e = m.span()
+    for s, e in (m.span() for m in _WORD.finditer(text)) if words is None else words:
         while k + 1 < len(reach) and reach[k + 1][0] < e:
             k += 1
         if e - s >= 3 and (k < 0 or reach[k][1] <= s):
@@ -228,22 +243,25 @@ def find_personal_data(docs: DataFrame, threshold: float = DISCLOSURE, whole: bo
 
     def scan_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of_token: dict[str, dict[str, float]] = {}  # the words, in lower case, that may be terms
+        gc.disable()  # strings and numbers make no cycles
         for b in (part.iloc[k : k + 256] for part in batches for k in range(0, len(part), 256)):
             if len(of_token) > TOKENS:
                 of_token.clear()
             tokens = [set(t.split()) for t in b["text"]]
             new = set().union(*tokens).difference(of_token)
-            words = [(t, w.lower()) for t in new for w in _WORD.findall(t) if len(w) >= 3]
+            unknown = [(t, w.lower()) for t in new for w in _WORD.findall(t) if len(w) >= 3]
             of_token |= {t: _NONE for t in new}
-            share = sent.value.shares_of(np.array([_hash(w) for _, w in words], np.int64))
+            share = sent.value.shares_of(np.array([_hash(w) for _, w in unknown], np.int64))
             for i in np.flatnonzero(~np.isnan(share)).tolist():
-                t, w = words[i]
+                t, w = unknown[i]
                 of_token[t] = {**of_token[t], w: float(share[i])}
             spans = [base_spans(t) for t in b["text"]]
             added = []
             for text, own, x in zip(b["text"], tokens, spans, strict=True):
-                asked = {w: v for t in own for w, v in of_token[t].items()}
-                places = [(s, e, text[s:e].lower()) for s, e in words_outside(text, x)] if asked else []
+                some = [t for t in own if of_token[t]]
+                asked = {w: v for t in some for w, v in of_token[t].items()}
+                words = words_of_tokens(text, some) if len(some) <= SOUGHT else None
+                places = [(s, e, text[s:e].lower()) for s, e in words_outside(text, x, words)] if asked else []
                 added.append([{"start": s, "end": e, "share": asked[w], "term": _hash(w)} for s, e, w in places if w in asked])
             base = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans]
             carried = [(whole or bool(x) or bool(h)) and not here for x, h in zip(spans, added, strict=True)]

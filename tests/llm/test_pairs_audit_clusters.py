@@ -451,3 +451,24 @@ def test_words_of_letters_need_no_pattern():
         got = own.encode([text])[0]
         assert sorted(x for x in own.pattern.seen if x.startswith(" ")) == sorted(want)
         assert np.frombuffer(got, "<u4").tolist() == tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+
+
+# 8
+def test_words_of_sought_tokens_are_those_of_the_whole_text():
+    """Places of words by looking for their tokens are those by reading all words, also at the ends, inside other tokens, in runs and beside spans."""
+    import random
+    import re
+
+    from scriptoria.llm import pii
+
+    rng = random.Random(22)
+    marks = ["a", "b", "É", "ß", "1", "_", "@", ".", " ", " ", "\n", "\u3000", "\x1c", "\x85"]
+    texts = ["", "aaa aa aaa", "aaaa", "aa.bbb aa.bbb", *("".join(rng.choices(marks, k=rng.randrange(80))) for _ in range(3000))]
+    for text in texts:
+        tokens = sorted(set(text.split()))
+        sought = rng.sample(tokens, min(len(tokens), rng.randrange(9)))
+        reach = [("ip", s, s + rng.randrange(1, 6)) for s in sorted(rng.sample(range(len(text) + 1), min(2, len(text))))]
+        every = list(pii.words_outside(text, reach))
+        of = {i: m.group() for m in re.finditer(r"\S+", text) for i in range(*m.span())}
+        want = [(s, e) for s, e in every if of[s] in sought]
+        assert list(pii.words_outside(text, reach, pii.words_of_tokens(text, sought))) == want
