@@ -23,6 +23,7 @@ import gc
 import time
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -38,10 +39,12 @@ LEAST, ORDER = 5, 5
 HEAD, HOT = 1 << 18, 1 << 20
 #: Words that a task counts at a time, about.
 BLOCK = 2_000_000
+#: Numbers of a block that are mixed, or sent on, at a time: what a task holds beside its block is some of these.
+SLICE = 1 << 17
 END = -(1 << 63)  # no word has this number
 ALL, STOP = END + 1, END + 2  # any next word; the end of a run
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
-_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.int32)
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 _PLACES = 512
 _RANDOM = np.random.default_rng(0x5EED).integers(0, 1 << 64, _PLACES * 256, np.uint64)
 
@@ -66,17 +69,20 @@ def tokens_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, data), np.int64, len(data)) + 1
     raw = np.frombuffer(b"\n".join([*data, b""]), np.uint8)
     inside = ~_SPACE[raw]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    starts = np.flatnonzero(first)
-    at = np.flatnonzero(inside)
-    begin = np.searchsorted(at, starts)
-    length = np.diff(np.append(begin, len(at)))
-    place = np.arange(len(at)) - np.repeat(begin, length)
-    value = _RANDOM[((place % _PLACES) << 8) | _LOWER[raw[at]]]
-    far = np.flatnonzero(place >= _PLACES)
-    value[far] = _stirred(value[far] + (place[far] // _PLACES).astype(np.uint64))
-    word = np.add.reduceat(value, begin) if len(begin) else np.zeros(0, np.uint64)
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, length = edges[::2], edges[1::2] - edges[::2]
+    held = _LOWER[raw[inside]]
+    begin = length.cumsum() - length
+    word = np.zeros(len(starts), np.uint64)
+    # whole words of some bytes together at a time
+    cuts = np.unique(np.searchsorted(begin, np.arange(0, len(held), SLICE)))
+    for a, b in pairwise([*cuts[cuts < len(starts)].tolist(), len(starts)]):
+        own = begin[a:b] - begin[a]
+        place = np.arange(own[-1] + length[b - 1]) - np.repeat(own, length[a:b])
+        value = _RANDOM[((place % _PLACES) << 8) | held[begin[a] : begin[a] + len(place)]]
+        far = np.flatnonzero(place >= _PLACES)
+        value[far] = _stirred(value[far] + (place[far] // _PLACES).astype(np.uint64))
+        word[a:b] = np.add.reduceat(value, own)
     word = np.maximum(_stirred(word).view(np.int64), STOP + 1)
     ends = size.cumsum()
     words = np.searchsorted(starts, ends) - np.searchsorted(starts, ends - size)  # of each text
@@ -91,15 +97,32 @@ def tokens_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return number, new, np.repeat(np.arange(len(batch)), n)
 
 
-def _summed(*columns: np.ndarray) -> pd.DataFrame:
-    """context, shorter, word and c, with c summed for each context and word. Rows of one context follow each other, which packs well."""
-    context, shorter, word, c = columns
-    order = np.lexsort((word, context))
-    context, shorter, word, c = context[order], shorter[order], word[order], c[order]
+def _joined(found: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """The columns of what was found, each in one piece; found is empty then, so that a task holds them once."""
+    columns = [list(x) for x in zip(*found, strict=True)]
+    found.clear()
+    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
+
+
+def _sliced(columns: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Rows in their order, some at a time: neither the task nor Spark holds another copy of a block."""
+    for k in range(0, len(next(iter(columns.values()))), SLICE):
+        yield pd.DataFrame({name: x[k : k + SLICE] for name, x in columns.items()})
+
+
+def _summed(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The columns, of which context and word are two, with c summed for each context and word; without c, rows are counted. Rows of one context follow each other, which packs well."""
+    order = np.lexsort((columns["word"], columns["context"]))
+    for name in columns:
+        columns[name] = columns[name][order]
+    del order
+    context, word = columns["context"], columns["word"]
     new = np.ones(len(context), bool)
     new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
     at = np.flatnonzero(new)
-    return pd.DataFrame({"context": context[at], "shorter": shorter[at], "word": word[at], "c": np.add.reduceat(c, at) if len(at) else c})
+    c = columns.pop("c", None)
+    c = np.diff(np.append(at, len(context))) if c is None else np.add.reduceat(c, at) if len(at) else c
+    return {name: x[at] for name, x in columns.items()} | {"c": c}
 
 
 def _grouped(rows: DataFrame, least: int, *more: Column) -> DataFrame:
@@ -125,10 +148,12 @@ def _often(docs: DataFrame, least: int) -> Filter | None:
 
     def packed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, new in _blocks(batches):
-            at = np.flatnonzero(~new[1:]) + 1
-            key = _entry(number[at - 1], number[at]).view(np.uint64) >> np.uint64(32 - bits)
-            key, n = np.unique(key, return_counts=True)
-            n = np.minimum(n, 255).astype(np.uint8)
+            key = np.concatenate([_entry(number[at - 1], number[at]).view(np.uint64) >> np.uint64(32 - bits) for at in _seconds(new)])
+            del number, new
+            key.sort()
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            n = np.minimum(np.diff(np.append(at, len(key))), 255).astype(np.uint8)
+            key = key[at]
             cut = np.searchsorted(key, np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(32))
             low, n = np.split((key & np.uint64(0xFFFFFFFF)).astype("<u4"), cut), np.split(n, cut)
             some = [k for k, x in enumerate(low) if len(x)]
@@ -154,11 +179,18 @@ def _blocks(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
             number, new, _ = tokens_of(part["text"].tolist())
             found.append((number, new))
             size += len(number)
+            del number, new
             if size > BLOCK:
-                yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
-                found, size = [], 0
+                yield _joined(found)
+                size = 0
     if found:
-        yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        yield _joined(found)
+
+
+def _seconds(new: np.ndarray) -> Iterator[np.ndarray]:
+    """The tokens that have one before them in their text, some at a time."""
+    for k in range(0, len(new), SLICE):
+        yield np.flatnonzero(~new[k : k + SLICE]) + k
 
 
 def _counted(docs: DataFrame, least: int) -> DataFrame:
@@ -169,18 +201,11 @@ def _counted(docs: DataFrame, least: int) -> DataFrame:
         often = sent.value
         for number, new in _blocks(batches):
             word, n = np.unique(number, return_counts=True)
-            at = np.flatnonzero(~new[1:]) + 1
-            if often is not None:
-                at = at[often.has(_entry(number[at - 1], number[at]))]
-            before, after = number[at - 1], number[at]
-            order = np.lexsort((after, before))
-            before, after = before[order], after[order]
-            first = np.ones(len(before), bool)
-            first[1:] = (before[1:] != before[:-1]) | (after[1:] != after[:-1])
-            at = np.flatnonzero(first)
-            yield pd.DataFrame({
-                "context": np.concatenate([np.full(len(word), END), before[at]]), "word": np.concatenate([word, after[at]]), "c": np.concatenate([n, np.diff(np.append(at, len(before)))]),
-            })
+            yield from _sliced({"context": np.full(len(word), END), "word": word, "c": n})
+            at = np.concatenate([x if often is None else x[often.has(_entry(number[x - 1], number[x]))] for x in _seconds(new)])
+            pairs = {"context": number[at - 1], "word": number[at]}
+            del number, new, at, word, n
+            yield from _sliced(_summed(pairs))
 
     return checkpointed(_grouped(docs.select("text").mapInPandas(count_rows, "context long, word long, c long"), least))
 
@@ -220,11 +245,11 @@ class Table:
 
 
 class Head:
-    """The most frequent words, by number, and the base probability of each."""
+    """The most frequent words, by number, and the logarithm of each one's base probability."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
         self.table, self.total = Table(words), total
-        self.base = (counts + 1.0) / (total + distinct + 1.0)
+        self.base = np.log10((counts + 1.0) / (total + distinct + 1.0))
 
     def places(self, numbers: np.ndarray) -> np.ndarray:
         """Where the numbers stand in the head; -1: nowhere."""
@@ -264,10 +289,10 @@ def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter |
 
     def pair_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (attested, kept), found, size = sent.value, [], 0
+        names = ("context", "word", "shorter", "c") if runs else ("context", "word")
 
-        def out() -> pd.DataFrame:
-            rows = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            return rows if runs else rows.drop(columns="shorter")
+        def out() -> Iterator[pd.DataFrame]:
+            yield from _sliced(_summed(dict(zip(names, _joined(found), strict=True))))
 
         for b in batches:
             for number, new in _run_tokens(b) if runs else (tokens_of(part["text"].tolist())[:2] for part in _parts(b)):
@@ -284,15 +309,15 @@ def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter |
                     at = at[kept.has(shorter[at])]
                 if runs:
                     context, n = np.unique(own[at], return_counts=True)
-                    found.append((context, np.zeros_like(context), np.full_like(context, ALL), n))
+                    found.append((context, np.full_like(context, ALL), np.zeros_like(context), n))
                 at = at[often[at] & (number[at] != STOP)]
-                found.append((own[at], shorter[at], number[at], np.ones(len(at), np.int64)))
+                found.append((own[at], number[at], shorter[at], np.ones(len(at), np.int64))[: len(names)])
                 size += len(at)
                 if size > BLOCK:
-                    yield out()
-                    found, size = [], 0
+                    yield from out()
+                    size = 0
         if found:
-            yield out()
+            yield from out()
 
     rows = source.mapInPandas(pair_rows, f"context long, {'shorter long, ' if runs else ''}word long, c long")
     return checkpointed(_grouped(rows, least, *[F.max("shorter").alias("shorter")] if runs else []))
@@ -519,21 +544,41 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, least: i
             v[is_hot] = worth[near[is_hot]]
             return at, v, ~is_hot
 
+        # most contexts of one word are words of the head: these are looked up once. 0: not in the table, 1: hot, 2: may be in it, 3: of words beyond the head, -1
+        state, of_head = np.zeros(len(front.table.keys) + 1, np.int8), np.zeros(len(front.table.keys) + 1)
+        i, v, ask = known(~front.table.keys)
+        state[i], of_head[i], state[-1] = 1 + ask, v, 3
+
+        def known_words(place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The same for words as contexts, by their places in the head."""
+            found, v = state[place], of_head[place]
+            far = np.flatnonzero(found == 3)
+            i, worth_far, ask = known(~word[far])
+            found[far] = 0
+            found[far[i]], v[far[i]] = 1 + ask, worth_far
+            at = np.flatnonzero(found)
+            return at, v[at], found[at] == 2
+
         def packs() -> Iterator[pd.DataFrame]:
             for word, parts in asked.items():
                 if not parts:
                     continue
-                keys, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+                keys, places = _joined(parts)
                 order = np.argsort(keys.view(np.uint64))
                 keys, places = keys[order], places[order]
+                del order
                 ends = np.searchsorted(keys.view(np.uint64), np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(64 - bits))
                 keys, places = np.split(keys, ends), np.split(places, ends)
-                some = [k for k, x in enumerate(keys) if len(x)]
-                yield pd.DataFrame({
-                    "bucket": some, "block": block, "row_id": 0, "doc_id": 0, "has_id": False, "n_tokens": 0, "known": 0, "base": 0.0, "path": 0.0, "word": word,
-                    "keys": [_planes(keys[k]) for k in some], "places": [_planes(places[k]) for k in some],
-                }).astype({"bucket": "int32"})
-                parts.clear()
+                some, held_back = [], 0
+                for k, x in enumerate(keys):
+                    some += [k] * (len(x) > 0)
+                    held_back += len(x)
+                    if some and (held_back >= SLICE or k == len(keys) - 1):
+                        yield pd.DataFrame({
+                            "bucket": some, "block": block, "row_id": 0, "doc_id": 0, "has_id": False, "n_tokens": 0, "known": 0, "base": 0.0, "path": 0.0, "word": word,
+                            "keys": [_planes(keys[k]) for k in some], "places": [_planes(places[k]) for k in some],
+                        }).astype({"bucket": "int32"})
+                        some, held_back = [], 0
 
         for b in batches:
             for part in _parts(b):
@@ -546,14 +591,14 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, least: i
                 at_row = (row_id - block).astype("<u4")
                 place = front.places(number)
                 n, head = len(part), place >= 0
-                base = np.log10(front.base[place[head]]) if head.any() else np.zeros(0)
+                base = front.base[place[head]]
                 path, open_ = np.zeros(len(number)), np.ones(len(number), bool)
                 asked[True].append((number[~head], at_row[text[~head]]))
                 other = []
                 for k, (at, node) in enumerate(_contexts(number, starts, depth), 1):
                     if k > 2:  # a longer context is in the tree only if its suffix is
                         at, node = at[open_[at]], node[open_[at]]
-                    i, v, ask = known(~node)
+                    i, v, ask = known_words(place[at - 1], node) if k == 1 else known(~node)
                     at, node = at[i], node[i]
                     open_[:] = False
                     open_[at] = True

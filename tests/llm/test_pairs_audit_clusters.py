@@ -6,6 +6,7 @@ import math
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -383,6 +384,60 @@ def test_pairs_that_may_be_frequent(spark):
     assert lm._often(df, 1) is None and lm._often(df.limit(0), 4).has(keys).sum() == 0
 
 
+@pytest.mark.parametrize("runs", [None, False, True])
+def test_tasks_hold_a_block_about_once(spark, monkeypatch, runs):
+    """What a task that counts holds at most is a few arrays of a block's tokens, and what it sends on comes some rows at a time: pairs of words (None), contexts in texts and in runs."""
+    import gc
+    import tracemalloc
+
+    from scriptoria.llm import suffix_tree_lm as lm
+
+    class Source:
+        """Keeps the function that a task would run."""
+
+        columns = ["run" if runs else "text"]
+        sparkSession = sparkContext = select = property(lambda self: self)
+
+        def __call__(self, *_):
+            return self
+
+        def broadcast(self, x):
+            self.value = x
+            return self
+
+        def mapInPandas(self, f, _):
+            self.task = f
+            return self
+
+    class Any:
+        def has(self, keys):
+            return np.ones(len(keys), bool)
+
+    source, rng = Source(), np.random.default_rng(22)
+    monkeypatch.setattr(lm, "checkpointed", lambda df: df)
+    monkeypatch.setattr(lm, "_grouped", lambda rows, *_: rows)
+    monkeypatch.setattr(lm, "_often", lambda *_: Any())
+    lm._counted(source, 5) if runs is None else lm._count_level(source, 4 if runs else 2, Any(), None, 5)
+    words = [rng.integers(0, 1 << 40, 2_000) for _ in range(300)]
+    n = sum(map(len, words))
+    if runs:
+        parts = [pd.DataFrame({"run": [np.append(w, lm.STOP) for w in words[k : k + 50]]}) for k in range(0, 300, 50)]
+    else:
+        parts = [pd.DataFrame({"text": [" ".join(map(str, w)) for w in words[k : k + 10]]}) for k in range(0, 300, 10)]
+    gc.collect()
+    tracemalloc.start()
+    try:
+        most, rows = 0, 0
+        for x in source.task(iter(parts)):
+            most, rows = max(most, len(x)), rows + int(x["c"][x["word"] != lm.ALL].sum())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows >= 0.99 * n
+    assert most <= 1 << 17
+    assert peak < (160 if runs else 80) * n
+
+
 def test_filters_let_few_others_through(spark):
     """Every key of the set is found, and about one in a hundred others at most, also of keys of which only the first 42 digits are set."""
     from scriptoria.llm.common import Filter
