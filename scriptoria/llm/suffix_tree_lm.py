@@ -10,7 +10,7 @@ longest retained suffix at each word.
 The tree is a table that grows with the texts: (context, next) pairs are counted by groupBy, whatever their share of the corpus, under 64-bit keys hashed from the words. log P(t | s) is a sum: the
 base, the escape log (d + n - m) / (n + d) of each retained suffix, and for each (suffix, next) that is stored what it adds to the escape. So a text's score is a sum over keys, met by one cogroup by ranges of keys.
 The `HEAD` most frequent words and the `HOT` most frequent keys are broadcast and looked up in the task; of the others only those that may be in the table, by a filter of at most
-2^28 bits without false negatives, are sent on, packed by range and block of texts, and their sums come back by block. Neither changes a score. A first pass over the texts finds which pairs may occur often enough, at four bytes a pair; words and those pairs are counted in a second, contexts of two
+2^28 bits without false negatives, are sent on, packed by range and block of texts, and their sums come back by block. Neither changes a score. A first pass over the texts finds which pairs may occur often enough, at four bytes a pair; words are counted beside it, those pairs in a second, contexts of two
 words in a third; longer ones in runs of words whose every three are stored, written in a fourth.
 
 Defined results: a null text counts as empty: it is the end token alone. Without training texts N and V are 0. Rows that repeat count, and are scored, each; equal texts get
@@ -27,7 +27,9 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Filter, checkpointed, fold_of, texts
@@ -43,10 +45,16 @@ BLOCK = 2_000_000
 SLICE = 1 << 17
 END = -(1 << 63)  # no word has this number
 ALL, STOP = END + 1, END + 2  # any next word; the end of a run
+NEW = (1 << 32) - 1  # in packs: a word beyond the most frequent ones
+#: Packs of counts, and the numbers that they hold.
+_PACK = "bucket int, contexts binary, n binary, words binary, c binary, others binary"
+_KINDS = {"contexts": "<i8", "n": "<u4", "words": "<u4", "c": "<u4", "others": "<i8", "shorter": "<i8"}
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 _PLACES = 512
 _RANDOM = np.random.default_rng(0x5EED).integers(0, 1 << 64, _PLACES * 256, np.uint64)
+#: What turns a context by the first three bits of the next word.
+_TURNS = np.random.default_rng(0x7EED).integers(0, 1 << 64, 8, np.uint64)
 
 
 def _stirred(x: np.ndarray) -> np.ndarray:
@@ -104,50 +112,126 @@ def _joined(found: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
     return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
 
 
-def _sliced(columns: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
-    """Rows in their order, some at a time: neither the task nor Spark holds another copy of a block."""
-    for k in range(0, len(next(iter(columns.values()))), SLICE):
-        yield pd.DataFrame({name: x[k : k + SLICE] for name, x in columns.items()})
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers with all first bytes, then all second ones and so on, packed: bytes that hardly change, or of which few values occur, take little."""
+    raw = numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True) if raw else b""
 
 
-def _summed(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The columns, of which context and word are two, with c summed for each context and word; without c, rows are counted. Rows of one context follow each other, which packs well."""
-    order = np.lexsort((columns["word"], columns["context"]))
-    for name in columns:
-        columns[name] = columns[name][order]
-    del order
-    context, word = columns["context"], columns["word"]
-    new = np.ones(len(context), bool)
-    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
-    at = np.flatnonzero(new)
-    c = columns.pop("c", None)
-    c = np.diff(np.append(at, len(context))) if c is None else np.add.reduceat(c, at) if len(at) else c
-    return {name: x[at] for name, x in columns.items()} | {"c": c}
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _grouped(rows: DataFrame, least: int, *more: Column) -> DataFrame:
-    """context, word and c summed over what tasks have counted, from `least` on.
+def _rising(keys: np.ndarray) -> bytes:
+    """Keys that rise, or nearly do, as the steps between them."""
+    return _planes(np.diff(keys.view(np.uint64), prepend=np.uint64(0)))
+
+
+def _from_rising(raw: bytes) -> np.ndarray:
+    return _from_planes(raw, "<u8").cumsum(dtype=np.uint64).view(np.int64)
+
+
+def _dealt(size: int, least: int, each: int) -> int:
+    """Bits of a bucket's number for so many bytes of text, about 2 ** each a bucket, of which there are 2 ** least at least."""
+    return max(least, min(22, (size >> each).bit_length()))
 
-    Rows are dealt by their context and the first three bits of their word. In each task they come sorted, so those of one context stay together and pack well, and a context that is everywhere lands in eight tasks.
-    Single words, which have no context, are dealt by sixteen bits.
-    """
-    dealt = rows.withColumn("part", F.when(F.col("context") == END, F.shiftright("word", 48)).otherwise(F.shiftright("word", 61)))
-    dealt = dealt.repartition("context", "part").groupBy("context", "part", "word").agg(F.sum("c").alias("c"), *more)
-    return dealt.filter((F.col("c") >= least) | (F.col("context") == END)).drop("part")
 
+def _sent(bucket: np.ndarray, columns: dict[str, list[bytes]], size: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The packs of buckets, some at a time: neither the task nor Spark holds another copy of a block."""
+    cut = np.flatnonzero(np.diff(size.cumsum() // SLICE)) + 1
+    for a, b in pairwise([0, *cut.tolist(), len(bucket)]):
+        if a < b:
+            yield pd.DataFrame({"bucket": bucket[a:b].astype(np.int32), **{name: x[a:b] for name, x in columns.items()}})
 
-def _often(docs: DataFrame, least: int) -> Filter | None:
-    """The pairs of words that occur `least` times, and few others; None: all, if one time is enough.
+
+def _codes(numbers: np.ndarray, known: Table) -> tuple[np.ndarray, np.ndarray]:
+    """The places of words among the known ones, others as `NEW`; and which these others are."""
+    place = known.places(numbers)
+    return np.where(place < 0, NEW, place).astype("<u4"), place < 0
+
+
+def _packs(columns: dict[str, np.ndarray], known: Table, bits: int) -> Iterator[pd.DataFrame]:
+    """Rows of context and word, with c summed for each context and word, as packs for buckets; without c, rows are counted. columns is empty then.
+
+    A row is dealt by its context and the first three bits of its word, so a context that is everywhere lands in eight buckets. A pack holds each context once, with what else is the context's own (`shorter`), how many words it has there,
+    and their places among the known words: some seven bytes a row, where a row of its own takes 14 to 20.
+    """
+    word = columns.pop("word")
+    turned = columns.pop("context").view(np.uint64) ^ _TURNS[word.view(np.uint64) >> np.uint64(61)]
+    # of one context words go by their last bits: equal rows are together, but for chance, and are summed anew in the bucket
+    last = np.uint64((1 << 20) - 1)
+    order = np.argsort((turned & ~last) | (word.view(np.uint64) & last))
+    turned, word = turned[order], word[order]
+    rest = {name: columns.pop(name)[order] for name in list(columns)}
+    del order
+    if not len(word):
+        return
+    first = np.concatenate([[True], turned[1:] != turned[:-1]])  # of a context
+    new = first.copy()
+    new[1:] |= word[1:] != word[:-1]
+    at = np.flatnonzero(new)
+    c = np.diff(np.append(at, len(word))) if "c" not in rest else np.add.reduceat(rest["c"], at)
+    turned, word, first, shorter = turned[at], word[at], first[at], rest["shorter"][at] if "shorter" in rest else None
+    del rest, new, at
+    code, far = _codes(word, known)
+    top = np.flatnonzero(first)
+    n = np.diff(np.append(top, len(word)))
+    held = turned[top]
+    edges = np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(64 - bits)
+    by_row, by_context = np.searchsorted(turned >> np.uint64(20), edges >> np.uint64(20)), np.searchsorted(held >> np.uint64(20), edges >> np.uint64(20))
+    parts = {"contexts": np.split(held.view(np.int64), by_context), "n": np.split(n.astype("<u4"), by_context), "words": np.split(code, by_row), "c": np.split(c.astype("<u4"), by_row)}
+    parts["others"] = np.split(word[far], np.append(0, far.cumsum())[by_row])
+    if shorter is not None:
+        parts["shorter"] = np.split(shorter[top], by_context)
+    size = np.fromiter(map(len, parts["words"]), np.int64, 1 << bits)
+    some = np.flatnonzero(size)
+    yield from _sent(some, {name: [(_rising if name == "contexts" else _planes)(x[k]) for k in some] for name, x in parts.items()}, size[some])
+
+
+def _grouped(packs: DataFrame, known: Broadcast, least: int) -> DataFrame:
+    """context, word and c summed over what tasks have counted, from `least` on; and shorter, if packs hold it. Packs of a bucket are summed together; a bucket holds what a bounded share of the texts has."""
+    names = ["context", "word", *["shorter"] * ("shorter" in packs.columns), "c"]
+
+    def summed(b: pd.DataFrame) -> pd.DataFrame:
+        column = {name: np.concatenate([_from_rising(x) if name == "contexts" else _from_planes(x, kind) for x in b[name]]) for name, kind in _KINDS.items() if name in b}
+        word = np.append(known.value.keys, 0)[np.minimum(column["words"], len(known.value.keys))]
+        word[column["words"] == NEW] = column["others"]
+        turned = np.repeat(column["contexts"].view(np.uint64), column["n"])
+        context = (turned ^ _TURNS[word.view(np.uint64) >> np.uint64(61)]).view(np.int64)
+        key = _entry(context, word)
+        order = np.argsort(key)
+        key = key[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        c = np.add.reduceat(column["c"][order].astype(np.int64), at)
+        kept = c >= least
+        at, c = order[at[kept]], c[kept]
+        out = {"context": context[at], "word": word[at], "c": c}
+        if "shorter" in column:
+            out["shorter"] = np.repeat(column["shorter"], column["n"])[at]
+        return pd.DataFrame({name: out[name] for name in names})
+
+    return packs.groupBy("bucket").applyInPandas(summed, ", ".join(f"{name} long" for name in names))
+
+
+def _words(docs: DataFrame, size: int, least: int) -> tuple[DataFrame, Filter | None]:
+    """(word, c) of all words; and the pairs of words that occur `least` times, and few others; None: all, if one time is enough.
 
     A pair is the first 32 bits of its key beyond those of its bucket, in each task once for some million words, with its count. What can't be frequent is thus found at some four bytes a pair, and never sent on as a row.
     """
-    if least <= 1:
-        return None
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(10, min(22, (size >> 25).bit_length()))  # about 32 MB of text a bucket
+    bits, of_words = _dealt(size, 10, 25), _dealt(size, 6, 25)
 
     def packed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, new in _blocks(batches):
+            key, n = np.unique(number.view(np.uint64), return_counts=True)
+            cut = np.searchsorted(key, np.arange(1, 1 << of_words).astype(np.uint64) << np.uint64(64 - of_words))
+            key, n = np.split(key, cut), np.split(n.astype("<u4"), cut)
+            some = [k for k, x in enumerate(key) if len(x)]
+            yield pd.DataFrame({"bucket": [k + (1 << bits) for k in some], "low": [_rising(key[k]) for k in some], "n": [_planes(n[k]) for k in some]}).astype({"bucket": "int32"})
+            if least <= 1:
+                continue
             key = np.concatenate([_entry(number[at - 1], number[at]).view(np.uint64) >> np.uint64(32 - bits) for at in _seconds(new)])
             del number, new
             key.sort()
@@ -160,15 +244,25 @@ def _often(docs: DataFrame, least: int) -> Filter | None:
             yield pd.DataFrame({"bucket": some, "low": [low[k].tobytes() for k in some], "n": [n[k].tobytes() for k in some]}).astype({"bucket": "int32"})
 
     def summed(b: pd.DataFrame) -> pd.DataFrame:
-        low, n = np.frombuffer(b"".join(b["low"]), "<u4"), np.frombuffer(b"".join(b["n"]), np.uint8)
+        is_words = b["bucket"].iloc[0] >= 1 << bits
+        if is_words:
+            low, n = np.concatenate([_from_rising(x) for x in b["low"]]), np.concatenate([_from_planes(x, "<u4") for x in b["n"]])
+        else:
+            low, n = np.frombuffer(b"".join(b["low"]), "<u4"), np.frombuffer(b"".join(b["n"]), np.uint8)
         order = np.argsort(low)
         low, n = low[order], n[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
-        kept = low[first][np.add.reduceat(n, first) >= least] if len(first) else low
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        n = np.add.reduceat(n, first)
+        if is_words:
+            return pd.DataFrame({"key": low[first], "c": n})
+        kept = low[first][n >= least]
         key = (np.uint64(b["bucket"].iloc[0]) << np.uint64(64 - bits)) | (kept.astype(np.uint64) << np.uint64(32 - bits))
-        return pd.DataFrame({"key": key.view(np.int64)})
+        return pd.DataFrame({"key": key.view(np.int64), "c": 0})
 
-    return Filter(checkpointed(docs.select("text").mapInPandas(packed, "bucket int, low binary, n binary").groupBy("bucket").applyInPandas(summed, "key long")))
+    found = checkpointed(docs.select("text").mapInPandas(packed, "bucket int, low binary, n binary").groupBy("bucket").applyInPandas(summed, "key long, c long"))
+    _let_go(docs.sparkSession)
+    often = None if least <= 1 else Filter(found.filter("c = 0").select("key"))
+    return checkpointed(found.filter("c > 0").select(F.col("key").alias("word"), "c")), often
 
 
 def _blocks(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -193,21 +287,19 @@ def _seconds(new: np.ndarray) -> Iterator[np.ndarray]:
         yield np.flatnonzero(~new[k : k + SLICE]) + k
 
 
-def _counted(docs: DataFrame, least: int) -> DataFrame:
-    """(context, word, c) of single words (their context is END), and of the pairs of words that occur `least` times."""
-    sent = docs.sparkSession.sparkContext.broadcast(_often(docs, least))
+def _counted(docs: DataFrame, often: Filter | None, known: Broadcast, bits: int, least: int) -> DataFrame:
+    """(context, word, c) of the pairs of words that occur `least` times."""
+    sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def count_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = sent.value
         for number, new in _blocks(batches):
-            word, n = np.unique(number, return_counts=True)
-            yield from _sliced({"context": np.full(len(word), END), "word": word, "c": n})
             at = np.concatenate([x if often is None else x[often.has(_entry(number[x - 1], number[x]))] for x in _seconds(new)])
             pairs = {"context": number[at - 1], "word": number[at]}
-            del number, new, at, word, n
-            yield from _sliced(_summed(pairs))
+            del number, new, at
+            yield from _packs(pairs, known.value, bits)
 
-    return checkpointed(_grouped(docs.select("text").mapInPandas(count_rows, "context long, word long, c long"), least))
+    return checkpointed(_grouped(docs.select("text").mapInPandas(count_rows, _PACK), known, least))
 
 
 class Table:
@@ -278,21 +370,21 @@ def _entry(node: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(~node, word)
 
 
-def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter | None, least: int) -> DataFrame:
-    """context, word and c of every (context, next) that occurs `least` times, with contexts of `depth` words; and, from runs, shorter (the context's suffix) and how often each context occurs, as the word `ALL`.
+def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter | None, known: Broadcast, bits: int, least: int) -> DataFrame:
+    """context, word and c of every (context, next) that occurs `least` times, with contexts of `depth` words; and, from four words on, shorter (the context's suffix) and how often each context occurs, as the word `ALL`.
 
     source: texts, or runs of words in which all longer sequences that matter stand. attested: keys of the sequences of `depth` words that are entries of the level before. Of a sequence that
     occurs `least` times, the context and all but its first word do too. kept: suffixes whose longer contexts are wanted; None: any.
     """
     sent = source.sparkSession.sparkContext.broadcast((attested, kept))
-    runs = "run" in source.columns
+    runs, far = "run" in source.columns, depth > 3
 
     def pair_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (attested, kept), found, size = sent.value, [], 0
-        names = ("context", "word", "shorter", "c") if runs else ("context", "word")
+        names = ("context", "word", "shorter", "c") if far else ("context", "word")
 
         def out() -> Iterator[pd.DataFrame]:
-            yield from _sliced(_summed(dict(zip(names, _joined(found), strict=True))))
+            yield from _packs(dict(zip(names, _joined(found), strict=True)), known.value, bits)
 
         for b in batches:
             for number, new in _run_tokens(b) if runs else (tokens_of(part["text"].tolist())[:2] for part in _parts(b)):
@@ -307,9 +399,11 @@ def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter |
                     at = at[often[at - 1]]
                 if kept is not None:
                     at = at[kept.has(shorter[at])]
-                if runs:
-                    context, n = np.unique(own[at], return_counts=True)
-                    found.append((context, np.full_like(context, ALL), np.zeros_like(context), n))
+                if far:
+                    by = at[np.argsort(own[at])]
+                    context = own[by]
+                    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(by) else by
+                    found.append((context[first], np.full(len(first), ALL), shorter[by[first]], np.diff(np.append(first, len(by)))))
                 at = at[often[at] & (number[at] != STOP)]
                 found.append((own[at], number[at], shorter[at], np.ones(len(at), np.int64))[: len(names)])
                 size += len(at)
@@ -319,8 +413,7 @@ def _count_level(source: DataFrame, depth: int, attested: Filter, kept: Filter |
         if found:
             yield from out()
 
-    rows = source.mapInPandas(pair_rows, f"context long, {'shorter long, ' if runs else ''}word long, c long")
-    return checkpointed(_grouped(rows, least, *[F.max("shorter").alias("shorter")] if runs else []))
+    return checkpointed(_grouped(source.mapInPandas(pair_rows, _PACK + ", shorter binary" * far), known, least))
 
 
 def _run_tokens(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -370,20 +463,31 @@ def _runs(docs: DataFrame, attested: Filter) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, depth: int) -> DataFrame:
-    """Entries with their key, that of the same next word after the suffix, and that of the context of the two together."""
+    """Entries with their key and that of the same next word after the suffix, and of contexts of up to two words those of the context of the two together (`both`) and its suffix (`tail`)."""
 
     def keys(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             context, shorter, word = (b[x].to_numpy(np.int64) for x in ("context", "shorter", "word"))
-            yield pd.DataFrame({"key": _entry(context, word), "context": context, "suffix_key": word if depth == 1 else _entry(shorter, word), "both": _mixed(word, context), "c": b["c"].to_numpy()})
+            more = {}
+            if depth == 2:
+                more["tail"] = _mixed(word, shorter)
+                more["both"] = _mixed(more["tail"], b["first"].to_numpy(np.int64))
+            yield pd.DataFrame({"key": _entry(context, word), "context": context, "suffix_key": _entry(shorter, word), "c": b["c"].to_numpy(), **more})
+
+    return rows.mapInPandas(keys, "key long, context long, suffix_key long, c long" + ", tail long, both long" * (depth == 2))
 
-    return rows.filter(F.col("word") != ALL).mapInPandas(keys, "key long, context long, suffix_key long, both long, c long")
+
+def _keyed_pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same for weighed pairs of words, whose suffixes' keys are the words themselves."""
+    for b in batches:
+        context, word = b["context"].to_numpy(np.int64), b["suffix_key"].to_numpy(np.int64)
+        yield b.drop(columns="suffix_key").assign(key=_entry(context, word), tail=word, both=_mixed(word, context))
 
 
 def _weighed(entries: DataFrame, totals: DataFrame, before: DataFrame) -> DataFrame:
-    """Entries: key, context, both, c, p (of the longest retained suffix, the context among them), n of the context, its escape, whether it is kept, and what the entry adds to the escape.
+    """Entries with n of the context, its escape, p (of the longest retained suffix, the context among them), and what the entry adds to the escape, null where the context isn't kept.
 
-    totals: context and n; before: key and p of the suffixes' entries.
+    entries: context, suffix_key, c, and what else is to be kept; totals: context and n; before: key and p of the suffixes' entries.
     """
     met = entries.join(before.select(F.col("key").alias("suffix_key"), F.col("p").alias("q")), "suffix_key")
     c, n, m, d = (F.col(x) for x in "cnmd")
@@ -392,7 +496,11 @@ def _weighed(entries: DataFrame, totals: DataFrame, before: DataFrame) -> DataFr
     of = of.select("context", "n", ((d + n - m) / (n + d)).alias("escape"), (n + d).alias("of"), (2 * (F.col("g") - m * F.log(n) + rest) > d + 4 * F.sqrt(2 * d)).alias("kept"))
     share = c / F.col("of") + F.col("escape") * F.col("q")
     adds = F.log10(share) - F.log10("escape") - F.log10("q")
-    return checkpointed(met.join(of, "context").select("key", "context", "suffix_key", "both", "c", "n", "escape", "kept", F.when(F.col("kept"), share).otherwise(F.col("q")).alias("p"), F.when(F.col("kept"), adds).alias("adds")))
+    more = [x for x in entries.columns if x != "suffix_key" or "key" not in entries.columns]
+    out = met.join(of, "context").select(*more, "n", "escape", F.when(F.col("kept"), share).otherwise(F.col("q")).alias("p"), F.when(F.col("kept"), adds).alias("adds"))
+    if "key" not in out.columns:
+        out = out.mapInPandas(_keyed_pairs, "key long, context long, tail long, both long, c long, n long, escape double, p double, adds double")
+    return checkpointed(out)
 
 
 def _let_go(spark: SparkSession) -> None:
@@ -405,14 +513,13 @@ def _let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int, least: int = LEAST, order: int | None = ORDER) -> tuple[DataFrame, int]:
-    """The tree's values (key, v and how often it was counted) and its depth, of the texts of docs, whose words and pairs of words are counted in counts (context, word, c)."""
-    words = counts.filter(F.col("context") == END).select(F.col("word").alias("key"), F.col("c").alias("n"), ((F.col("c") + 1.0) / F.lit(total + distinct + 1.0)).alias("p"))
-    pairs = counts.filter(F.col("context") != END).withColumn("shorter", F.lit(0).cast("long"))
-    level = _weighed(_keyed(pairs, 1), words.select(F.col("key").alias("context"), "n"), words)
+def train(docs: DataFrame, words: DataFrame, pairs: DataFrame, known: Broadcast, bits: int, total: int, distinct: int, least: int = LEAST, order: int | None = ORDER) -> tuple[DataFrame, int]:
+    """The tree's values (key, v and how often it was counted) and its depth, of the texts of docs, whose words are counted in words (word, c) and their pairs in pairs (context, word, c)."""
+    words = words.select(F.col("word").alias("key"), F.col("c").alias("n"), ((F.col("c") + 1.0) / F.lit(total + distinct + 1.0)).alias("p"))
+    level = _weighed(pairs.withColumnRenamed("word", "suffix_key"), words.select(F.col("key").alias("context"), "n"), words)
     values, depth, source, over = [], 1, docs.select("text"), None
     while True:
-        kept = level.filter("kept")
+        kept = level.filter("adds is not null")
         values.append(kept.select("key", F.col("adds").alias("v"), "c"))
         values.append(kept.groupBy("context").agg(F.first("n").alias("c"), F.first("escape").alias("e")).select(F.bitwise_not("context").alias("key"), F.log10("e").alias("v"), "c"))
         if depth == order or depth > 1 and not kept.limit(1).count():
@@ -424,12 +531,14 @@ def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int, least:
         if depth > 1:  # a filter may let others through; the join with the entries before doesn't
             over = Filter(checkpointed(kept.select(F.col("context").alias("key")).distinct()))
         depth += 1
-        rows = _count_level(source, depth, attested, over, least)
-        if depth == 2:  # a context of two words is a pair of the level before, and its suffix the second one
+        rows = _count_level(source, depth, attested, over, known, bits, least)
+        _let_go(docs.sparkSession)
+        if depth <= 3:  # a context of two or three words is an entry of the level before, with its next word
             totals = level.select(F.col("both").alias("context"), F.col("c").alias("n"))
-            rows = rows.join(level.select(F.col("both").alias("context"), F.col("suffix_key").alias("shorter")), "context")
+            rows = rows.join(level.select(F.col("both").alias("context"), F.col("tail").alias("shorter"), *[F.col("context").alias("first")] * (depth == 2)), "context")
         else:
             totals = rows.filter(F.col("word") == ALL).select("context", F.col("c").alias("n"))
+            rows = rows.filter(F.col("word") != ALL)
         level = _weighed(_keyed(rows, depth), totals, kept if depth > 2 else level)
 
 
@@ -453,20 +562,10 @@ def _arrays(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarr
     return keys[order], values[order]
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers with all first bytes, then all second ones and so on: bytes that hardly change pack well."""
-    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
-
-
-def _from_planes(raw: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def _looked_up(asked: DataFrame, table: DataFrame, bits: int) -> DataFrame:
     """Sums of base and path, and the number of known words, for every text of asked.
 
-    asked: rows of texts (keys is null), and packs of keys with the places of their texts in a block of texts, dealt to buckets by the first `bits` bits of the keys. table: key, word (whether it is a word) and x.
+    asked: rows of texts (keys is null), and packs of keys with the places of their texts in a block of texts, dealt to buckets by the first `bits` bits of the keys. table: key, word (whether it is a word) and x, which are packed too.
     What a bucket finds is summed by text and goes back to the block.
     """
     texts_of = ["block", "row_id", "doc_id", "has_id", "n_tokens", "known", "base", "path"]
@@ -476,17 +575,19 @@ def _looked_up(asked: DataFrame, table: DataFrame, bits: int) -> DataFrame:
         whole = asked["keys"].isna()
         out = [asked.loc[whole, texts_of].assign(word=False, places=None, sums=None, counts=None)]
         for word in (True, False):
-            own = table[table["word"] == word].sort_values("key")
-            known, x = own["key"].to_numpy(np.int64), own["x"].to_numpy(np.float64)
+            own = table[table["word"] == word]
+            known = np.concatenate([np.zeros(0, np.int64), *map(_from_rising, own["keys"])])
+            order = np.argsort(known)
+            known, x = known[order], np.concatenate([np.zeros(0), *(_from_planes(v, "<f8") for v in own["x"])])[order]
             packs = asked[~whole & (asked["word"] == word)] if len(known) else asked.iloc[:0]
             found = []
             for block, keys, places in zip(packs["block"], packs["keys"], packs["places"], strict=True):
-                keys, places = _from_planes(keys, "<i8"), _from_planes(places, "<u4")
+                keys, places = _from_rising(keys), _from_planes(places, "<u4")
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 hit = known[at] == keys
                 n = np.bincount(places[hit])
                 at, total = np.flatnonzero(n), np.bincount(places[hit], x[at[hit]])
-                found.append({"block": block, **blank, "word": word, "places": _planes(at.astype("<u4")), "sums": total[at].tobytes(), "counts": _planes(n[at].astype("<u4"))})
+                found.append({"block": block, **blank, "word": word, "places": _planes(np.diff(at, prepend=0).astype("<u4")), "sums": _planes(total[at]), "counts": _planes(n[at].astype("<u4")) if word else None})
             out.append(pd.DataFrame(found, columns=out[0].columns))
         out = [x for x in out if len(x)]
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in [*texts_of, "word", "places", "sums", "counts"]})
@@ -498,14 +599,38 @@ def _looked_up(asked: DataFrame, table: DataFrame, bits: int) -> DataFrame:
         known, base, path = (np.zeros(at.max() + 1) for _ in range(3))
         packs = b[~whole]
         for word, places, sums, counts in zip(packs["word"], packs["places"], packs["sums"], packs["counts"], strict=True):
-            places = _from_planes(places, "<u4")
-            (base if word else path)[places] += np.frombuffer(sums)
+            places = _from_planes(places, "<u4").cumsum()
+            (base if word else path)[places] += _from_planes(sums, "<f8")
             if word:
                 known[places] += _from_planes(counts, "<u4")
         return own.assign(known=own["known"] + known[at].astype(np.int64), base=own["base"] + base[at], path=own["path"] + path[at])
 
+    def table_packs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> pd.DataFrame:
+            key, x, word = _joined(found)
+            order = np.argsort(key.view(np.uint64))
+            key, x, word = key[order], x[order], word[order]
+            packs = []
+            for is_word in (True, False):
+                own, values = key[word == is_word], x[word == is_word]
+                bucket = (own.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                packs += [(int(bucket[a]), is_word, _rising(own[a:b]), _planes(values[a:b])) for a, b in pairwise([*first.tolist(), len(own)])]
+            return pd.DataFrame(packs, columns=["bucket", "word", "keys", "x"])
+
+        for b in batches:
+            found.append((b["key"].to_numpy(np.int64), b["x"].to_numpy(np.float64), b["word"].to_numpy(bool)))
+            if sum(len(x) for x, *_ in found) > 4 * SLICE:
+                yield out()
+        if found:
+            yield out()
+
     texts_schema = "row_id long, doc_id long, has_id boolean, n_tokens long, known long, base double, path double"
-    bucketed = table.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits).cast("int"))
+    # a union has the partitions of all its parts, which make as many small packs
+    few = table.coalesce(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bucketed = few.mapInPandas(table_packs, "bucket int, word boolean, keys binary, x binary")
     met = asked.groupBy("bucket").cogroup(bucketed.groupBy("bucket")).applyInPandas(meet, f"block long, {texts_schema}, word boolean, places binary, sums binary, counts binary")
     return met.groupBy("block").applyInPandas(together, texts_schema)
 
@@ -517,16 +642,26 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, least: i
     """
     fold = fold_of(F.col("doc_id"), folds)
     learned = texts(docs).filter(fold != held_out)
-    counts = _counted(learned, least)
+    size = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted, frequent = _words(learned, size, least)
     _let_go(docs.sparkSession)
-    words = counts.filter(F.col("context") == END).select("word", F.col("c").alias("n"))
+    words = counted.select("word", F.col("c").alias("n"))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    values, depth = train(learned, counts, total, distinct, least, order)
+    often, rare = _most_counted(words, "n", HEAD)
+    heads, n = _arrays(often, "word", "n")
+    by = np.argsort(-n, kind="stable")  # packs write places: small ones are the frequent ones
+    front = Head(heads[by], n[by], total, distinct)
+    numbered, buckets = docs.sparkSession.sparkContext.broadcast(front.table), _dealt(size, 7, 23)
+    pairs = _counted(learned, frequent, numbered, buckets, least)
+    _let_go(docs.sparkSession)
+    values, depth = train(learned, counted, pairs, numbered, buckets, total, distinct, least, order)
     values = checkpointed(values)
+    del pairs
     _let_go(docs.sparkSession)
-    (often, rare), (hot, cold) = _most_counted(words, "n", HEAD), _most_counted(values, "c", HOT)
+    hot, cold = _most_counted(values, "c", HOT)
     hot_keys, hot_values = _arrays(hot, "key", "v")
-    sent = docs.sparkSession.sparkContext.broadcast((Head(*_arrays(often, "word", "n"), total, distinct), Table(hot_keys), hot_values, Filter(values.select("key"))))
+    sent = docs.sparkSession.sparkContext.broadcast((front, Table(hot_keys), hot_values, Filter(values.select("key"))))
+    _let_go(docs.sparkSession)
     none = -np.log10(total + distinct + 1.0)  # of a word that isn't known
     bits = max(4, min(22, (total >> 22).bit_length()))  # about four million words a bucket
 
@@ -576,7 +711,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, least: i
                     if some and (held_back >= SLICE or k == len(keys) - 1):
                         yield pd.DataFrame({
                             "bucket": some, "block": block, "row_id": 0, "doc_id": 0, "has_id": False, "n_tokens": 0, "known": 0, "base": 0.0, "path": 0.0, "word": word,
-                            "keys": [_planes(keys[k]) for k in some], "places": [_planes(places[k]) for k in some],
+                            "keys": [_rising(keys[k]) for k in some], "places": [_planes(places[k]) for k in some],
                         }).astype({"bucket": "int32"})
                         some, held_back = [], 0
 

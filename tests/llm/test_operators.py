@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -401,6 +402,42 @@ def test_tree_against_counting_every_context(spark, least, order):
         assert abs(got[i]["score"] - want) < 1e-6
 
 
+def _shuffled(spark) -> int:
+    """Bytes that stages have written to shuffles so far."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_counts_are_shuffled_in_packs(spark):
+    """Sequences are counted in few bytes a token: 600,000 tokens take under 6 MB."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(3000)])
+    rows = [(i, " ".join(words[rng.zipf(1.3, 1500) % 3000]), "en", "a", 1, None, None) for i in range(400)]
+    before = _shuffled(spark)
+    assert suffix_tree_lm.score_documents(spark.createDataFrame(rows, DOCS)).count() == 400
+    assert _shuffled(spark) - before < 6_000_000
+
+
+def test_packs_of_counts_against_counting(spark):
+    """Counts of packs are those of single rows, with a context that is everywhere, words beyond the known ones, the word for all and rows that are counted before."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: rng.integers(-(1 << 63) + 3, 1 << 63, n)
+    contexts, words = draw(400), np.append(draw(200), suffix_tree_lm.ALL)
+    known = spark.sparkContext.broadcast(suffix_tree_lm.Table(words[50:150]))
+    want, packs = Counter(), []
+    for _ in range(3):
+        at, of, c = rng.integers(0, 400, 5000) * (rng.random(5000) < 0.7), rng.integers(0, 201, 5000), rng.integers(1, 300, 5000)
+        for row in zip(contexts[at].tolist(), words[of].tolist(), (contexts[at] ^ 5).tolist(), c.tolist(), strict=True):
+            want[row[:3]] += row[3]
+        packs += suffix_tree_lm._packs({"context": contexts[at], "word": words[of], "shorter": contexts[at] ^ 5, "c": c}, known.value, 4)
+    assert not list(suffix_tree_lm._packs({"context": contexts[:0], "word": words[:0]}, known.value, 4))
+    got = suffix_tree_lm._grouped(spark.createDataFrame(pd.concat(packs), suffix_tree_lm._PACK + ", shorter binary"), known, 400).collect()
+    assert {(r["context"], r["word"], r["shorter"]): r["c"] for r in got} == {k: c for k, c in want.items() if c >= 400} and len(got) > 100
+    one = pd.concat(suffix_tree_lm._packs({"context": np.repeat(contexts[:100], 50), "word": np.tile(words[50:100], 100)}, known.value, 4))
+    assert one["n"].map(lambda x: suffix_tree_lm._from_planes(x, "<u4").sum()).sum() == 5000
+
+
 # 7
 def test_exact_classes(spark, edge, empty):
     got = exact_dedup.exact_classes(edge).collect()
