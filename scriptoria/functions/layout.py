@@ -136,6 +136,84 @@ def nearest_right(lines: Column, a: Column, tol: float = 20) -> Column:
     return F.get(right_of(lines, a, tol), 0)
 
 
+def _first_after(keys: Column, powers: Column, start: Column, passed: Test) -> Column:
+    """The first place from start on whose key isn't passed; those that are come first. powers: descending powers of two that together reach the last place."""
+    return F.aggregate(powers, start - 1, lambda p, k: F.when(passed(F.get(keys, p + k)), p + k).otherwise(p), lambda p: p + 1)
+
+
+def _powers(n: Column) -> Column:
+    """The descending powers of two up to n; 1 for 0."""
+    return F.transform(F.sequence(F.length(F.bin(n)) - 1, F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+
+
+def _found(lines: Column, nearest: Test) -> Column:
+    """(anchor_line_no, line_no, text) of every line that has a nearest one."""
+    each = F.transform(lines, lambda a: let(nearest(a), lambda x: F.when(x.isNotNull(), F.struct(a["line_no"].alias("anchor_line_no"), x["line_no"].alias("line_no"), x["text"].alias("text")))))
+    return F.filter(each, lambda p: p.isNotNull())
+
+
+def _facing(lines: Column, edge: str, facing: str, down: bool) -> Column:
+    """For every line, as an anchor, the nearest one that faces its edge from beyond.
+
+    A key is the facing edge, counted from the anchor on, then left, in one whole number; of lines with one key the first in reading order stands for all. A search finds the nearest edge beyond the anchor's, a second one among its
+    lines the neighbours of the anchor's left.
+    """
+    level = lambda x, c: x[c] if down else F.bitwise_not(x[c])
+    key = lambda level, left: F.shiftleft(level.cast("long"), 32) + (left + F.lit(1 << 31))
+    each = F.sort_array(F.transform(lines, lambda x: F.struct(key(level(x, facing), x["left"]).alias("key"), x["top"].alias("top"), x["line_no"].alias("line_no"), x["text"].alias("text"))))
+    rows = let(each, lambda r: F.filter(r, lambda x, i: (i == 0) | (x["key"] != F.get(r, i - 1)["key"])))
+
+    def nearest(r: Column, keys: Column, powers: Column, a: Column) -> Column:
+        edge_of = lambda p: F.get(keys, p).bitwiseAND(F.lit(-1 << 32))
+        near = lambda distance, q: F.struct(distance.alias("distance"), F.get(r, q)["top"].alias("top"), q.alias("place"))
+
+        def among(p: Column, own: Column) -> Column:
+            neighbours = lambda q: F.least(F.when(q > p, near(own - F.get(keys, q - 1), q - 1)), F.when(edge_of(q) == edge_of(p), near(F.get(keys, q) - own, q)))
+            return let(_first_after(keys, powers, p, lambda k: k < own), neighbours)
+
+        first = let(key(level(a, edge), F.lit((1 << 31) - 1)), lambda last: _first_after(keys, powers, F.lit(0), lambda k: k <= last))
+        return F.get(r, let(first, lambda p: let(edge_of(p) + (a["left"] + F.lit(1 << 31)), lambda own: among(p, own)))["place"])
+
+    return let(rows, lambda r: let(r["key"], lambda keys: let(_powers(F.size(r)), lambda powers: _found(lines, lambda a: nearest(r, keys, powers, a)))))
+
+
+def _beside(lines: Column, tol: float) -> Column:
+    """For every line, as an anchor, the first line to its right on its row.
+
+    A key is twice the centre's height, a whole number, then the place from left to right, in one whole number. Searches find the first place beyond the anchor, and the heights, 4 * tol + 1 at most, of its row; one more at each
+    height finds the first line there from that place on.
+    """
+    twice = lambda x: x["top"].cast("long") + x["bottom"]
+    rows = F.sort_array(F.transform(lines, lambda x: F.struct(*[x[c].alias(c) for c in ("left", "top", "line_no", "bottom", "text")])))
+
+    def heights(keys: Column) -> Column:
+        """Each height with its least key, the place of its first one, and the steps of a search among its own."""
+        of = lambda i: F.shiftright(F.get(keys, i), 31)
+        firsts = F.filter(F.transform(keys, lambda _, i: i), lambda i: (i == 0) | (of(i) != of(i - 1)))
+        return let(firsts, lambda at: F.transform(at, lambda i, j: F.struct(of(i).alias("height"), F.shiftleft(of(i), 31).alias("least"), i.alias("first"), _powers(F.coalesce(F.get(at, j + 1), F.size(keys)) - i).alias("powers"))))
+
+    def nearest(r: Column, lefts: Column, keys: Column, powers: Column, v: Column, tall: Column, steps: Column, a: Column) -> Column:
+        within = lambda test, start: _first_after(tall, steps, start, test)
+        row = let(within(lambda y: y < twice(a) - 2 * tol, F.lit(0)), lambda p: F.slice(v, p + 1, within(lambda y: y <= twice(a) + 2 * tol, p) - p))
+
+        def at(h: Column, beyond: Column) -> Column:
+            first = _first_after(keys, h["powers"], h["first"], lambda k: k < h["least"] + beyond)
+            return let(F.get(keys, first), lambda k: F.when(k < h["least"] + F.lit(1 << 31), (k - h["least"]).cast("int")))
+
+        beyond = _first_after(lefts, powers, F.lit(0), lambda left: left <= a["right"])
+        return F.get(r, let(beyond, lambda b: F.array_min(F.transform(row, lambda h: at(h, b)))))
+
+    keyed = lambda r: F.sort_array(F.transform(r, lambda x, i: F.shiftleft(twice(x), 31) + i))
+    steps = lambda of, use: let(_powers(F.size(of)), use)
+    found = lambda r, lefts, keys, v, tall: steps(r, lambda p: steps(v, lambda q: _found(lines, lambda a: nearest(r, lefts, keys, p, v, tall, q, a))))
+    return let(rows, lambda r: let(r["left"], lambda lefts: let(keyed(r), lambda keys: let(heights(keys), lambda v: let(v["height"], lambda tall: found(r, lefts, keys, v, tall))))))
+
+
+def nearest_of_every_line(lines: Column, where: str, tol: float = 20) -> Column:
+    """An array of (anchor_line_no, line_no, text): for every line the nearest one `below`, `above` or to the `right` of it, if there is any. No shuffle and no pairs: a page is sorted once, and each line looks its neighbour up by halving."""
+    return _beside(lines, tol) if where == "right" else _facing(lines, *{"below": ("bottom", "top", True), "above": ("top", "bottom", False)}[where])
+
+
 def same_row_right(lines: Column, a: Column, tol: Column | float) -> Column:
     """Other lines on the row whose centre lies to the right; slight overlap is allowed."""
     return _by_left(F.filter(lines, lambda x: (x["line_no"] != a["line_no"]) & _level(x, a, tol) & (center_x(x) > center_x(a)) & (x["right"] > a["left"])))

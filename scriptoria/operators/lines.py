@@ -1,7 +1,7 @@
 """Spatial operators on the flat table of lines (doc_id, line_no, text, left, top, right, bottom, score).
 
 Anchors are rows of lines. Look-ups of a few anchors join on doc_id, so a page's lines meet in one task; pages are bounded by what a recogniser finds on an image. Where every line is an anchor, `nearest_of_every_line` sweeps
-sorted windows and makes no pairs. Scans of many pages under one doc_id carry `page`: `reading_order_of_pages` and `doc_metrics` deal one document's lines to many tasks.
+sorted windows and makes no pairs; it shuffles lines, and bands of them, so pages that are still held as arrays go through `layout.nearest_of_every_line`, which shuffles nothing. Scans of many pages under one doc_id carry `page`: `reading_order_of_pages` and `doc_metrics` deal one document's lines to many tasks.
 """
 
 from __future__ import annotations

@@ -153,3 +153,39 @@ def test_lines_of_a_page_by_the_array_and_by_the_table(spark, random_pages):
     for where, column in (("below", "b"), ("above", "u")):
         assert {(r["doc_id"], r["line_no"], r[column]) for r in got if r[column] is not None} == {(r["doc_id"], r["anchor_line_no"], r["line_no"]) for r in lines.nearest_of_every_line(df, where).collect()}
     assert pages.to_layouts(spark.createDataFrame([], RAW_OCR)).count() == 0
+
+
+def _edge_pages():
+    """A page of 1500 lines on few heights and edges, and pages with coordinates at both ends of whole numbers."""
+    rng = np.random.default_rng(24)
+    left, top = rng.integers(0, 40, 1500) * 9, rng.integers(0, 30, 1500) * 4
+    rows = [("dense", i, f"t{i}", int(left[i]), int(top[i]), int(left[i] + i % 50), int(top[i] + i % 5), 0.9) for i in range(1500)]
+    ends = [-(2**31), -(2**31) + 1, -7, 0, 1, 2**31 - 2, 2**31 - 1]
+    return rows + [(f"e{d}", i, f"t{i}", *[int(rng.choice(ends)) for _ in range(4)], 0.9) for d in range(12) for i in range(25)]
+
+
+@pytest.mark.parametrize("where", ["right"])
+def test_nearest_of_every_line_of_a_page_held_as_an_array(spark, random_pages, where):
+    """Those of all pairs; the registered query over pages shuffles nothing."""
+    from scriptoria.plans.queries import QUERIES
+
+    for tol in (0, 3, 20) if where == "right" else (20,):
+        for rows in (random_pages[0], _edge_pages()):
+            pages_of = {}
+            for r in rows:
+                pages_of.setdefault(r[0], []).append(r)
+            want = {}
+            for d, page in pages_of.items():
+                no, left, top, right, bottom = (np.array([r[k] for r in page], np.int64) for k in (1, 3, 4, 5, 6))
+                for i, a in enumerate(page):
+                    beyond = {"below": top > bottom[i], "above": bottom < top[i], "right": (left > right[i]) & (abs(top + bottom - top[i] - bottom[i]) <= 2 * tol)}[where]
+                    by = {"below": (top, abs(left - left[i])), "above": (-bottom, abs(left - left[i])), "right": (left,)}[where]
+                    order = np.lexsort((no, left, top, *by[::-1]))
+                    found = order[beyond[order]]
+                    if len(found):
+                        want[d, a[1]] = (int(no[found[0]]), page[found[0]][2])
+            nested = lines.to_layouts(spark.createDataFrame(rows, LINES)).select("doc_id", F.explode(L.nearest_of_every_line(F.col("lines"), where, tol)).alias("x"))
+            got = nested.select("doc_id", "x.*").collect()
+            assert {(r["doc_id"], r["anchor_line_no"]): (r["line_no"], r["text"]) for r in got} == want and len(got) == len(want)
+    name = {"below": "l11_every_nearest_below", "above": "l12_every_nearest_above", "right": "l13_every_nearest_right"}[where]
+    assert "Exchange" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
