@@ -159,7 +159,7 @@ def _facing(lines: Column, edge: str, facing: str, down: bool) -> Column:
     lines the neighbours of the anchor's left.
     """
     level = lambda x, c: x[c] if down else F.bitwise_not(x[c])
-    key = lambda level, left: F.shiftleft(level.cast("long"), 32) + (left + F.lit(1 << 31))
+    key = lambda level, left: F.shiftleft(level.cast("long"), 32).bitwiseOR(left + F.lit(1 << 31))
     each = F.sort_array(F.transform(lines, lambda x: F.struct(key(level(x, facing), x["left"]).alias("key"), x["top"].alias("top"), x["line_no"].alias("line_no"), x["text"].alias("text"))))
     rows = let(each, lambda r: F.filter(r, lambda x, i: (i == 0) | (x["key"] != F.get(r, i - 1)["key"])))
 
@@ -172,7 +172,7 @@ def _facing(lines: Column, edge: str, facing: str, down: bool) -> Column:
             return let(_first_after(keys, powers, p, lambda k: k < own), neighbours)
 
         first = let(key(level(a, edge), F.lit((1 << 31) - 1)), lambda last: _first_after(keys, powers, F.lit(0), lambda k: k <= last))
-        return F.get(r, let(first, lambda p: let(edge_of(p) + (a["left"] + F.lit(1 << 31)), lambda own: among(p, own)))["place"])
+        return F.get(r, let(first, lambda p: let(edge_of(p).bitwiseOR(a["left"] + F.lit(1 << 31)), lambda own: among(p, own)))["place"])
 
     return let(rows, lambda r: let(r["key"], lambda keys: let(_powers(F.size(r)), lambda powers: _found(lines, lambda a: nearest(r, keys, powers, a)))))
 
