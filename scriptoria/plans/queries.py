@@ -223,7 +223,7 @@ add("l06_same_row_flat", _flat(lines.same_row), ORACLE_SQL["l06_same_row"])
 add("l11_nearest_below_flat", _flat(lines.nearest_below), sql.nearest("t > ab", "t - ab, abs(l - al)"))
 EVERY = "SELECT doc_id, anchor_line_no, line_no, text FROM (SELECT x.*, a.line_no AS anchor_line_no, row_number() OVER (PARTITION BY x.doc_id, a.line_no ORDER BY {order}, x.t, x.l, x.line_no) AS n FROM ln x JOIN ln a ON x.doc_id = a.doc_id AND {where}) WHERE n = 1"
 for _name, _where, _order in (("below", "x.t > a.b", "x.t - a.b, abs(x.l - a.l)"), ("above", "x.b < a.t", "a.t - x.b, abs(x.l - a.l)"), ("right", "x.l > a.r AND abs(x.cy - a.cy) <= 20", "x.l")):
-    add({"below": "l11_every_nearest_below", "above": "l12_every_nearest_above", "right": "l13_every_nearest_right"}[_name], lambda s, d, w=_name: _every(s, d, w) if w != "below" else lines.nearest_of_every_line(_lines(s, d), w), sql.lines(EVERY.format(where=_where, order=_order)))
+    add({"below": "l11_every_nearest_below", "above": "l12_every_nearest_above", "right": "l13_every_nearest_right"}[_name], lambda s, d, w=_name: _every(s, d, w), sql.lines(EVERY.format(where=_where, order=_order)))
 add("l09_below", _around(L.below), sql.met("t > ab"))
 add("l10_above", _around(L.above), sql.met("b < aty"))
 add("l11_nearest_below", _around(L.nearest_below, one=True), sql.nearest("t > ab", "t - ab, abs(l - al)"))

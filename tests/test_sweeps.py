@@ -164,7 +164,7 @@ def _edge_pages():
     return rows + [(f"e{d}", i, f"t{i}", *[int(rng.choice(ends)) for _ in range(4)], 0.9) for d in range(12) for i in range(25)]
 
 
-@pytest.mark.parametrize("where", ["right", "above"])
+@pytest.mark.parametrize("where", ["right", "above", "below"])
 def test_nearest_of_every_line_of_a_page_held_as_an_array(spark, random_pages, where):
     """Those of all pairs; the registered query over pages shuffles nothing."""
     from scriptoria.plans.queries import QUERIES
