@@ -1,7 +1,7 @@
 """Spatial operators on the flat table of lines (doc_id, line_no, text, left, top, right, bottom, score).
 
 Anchors are rows of lines. Look-ups of a few anchors join on doc_id, so a page's lines meet in one task; pages are bounded by what a recogniser finds on an image. Where every line is an anchor, `nearest_of_every_line` sweeps
-sorted windows and makes no pairs; it shuffles lines, and bands of them, so pages that are still held as arrays go through `layout.nearest_of_every_line`, which shuffles nothing. Scans of many pages under one doc_id carry `page`: `reading_order_of_pages` and `doc_metrics` deal one document's lines to many tasks.
+sorted windows and makes no pairs; it shuffles lines, and bands of them, so pages that are still held as arrays go through `layout.nearest_of_every_line`, which shuffles nothing. Scans of many pages under one doc_id carry `page`: `reading_order_of_pages` and `doc_metrics` deal one document's lines to many tasks, `reading_order_of_layouts` its pages, held as arrays.
 """
 
 from __future__ import annotations
@@ -153,6 +153,22 @@ def reading_order_of_pages(lines: DataFrame) -> DataFrame:
     return placed.select(*lines.columns, "place")
 
 
+def reading_order_of_layouts(layouts: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, page, the named fields of the lines, and their place in the document, from 1: of pages (doc_id, page, lines) held as arrays in reading order.
+
+    Pages are counted in the tasks, and only the counts meet by document. Then a page meets what comes before it, whole, packed to the fields it takes and dealt by document and page; rows of one page are merged there.
+    """
+    held, own = layouts.filter(F.size("lines") > 0), Window.partitionBy("doc_id", "page")
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("page")) - F.sum("n").over(own)  # up to the page, less its own
+    counts = held.select("doc_id", "page", F.size("lines").alias("n")).select("doc_id", "page", before.alias("__before")).dropDuplicates(["doc_id", "page"])
+    fields = tuple(dict.fromkeys((*READING, *columns)))
+    packed = held.select("doc_id", "page", F.struct(*[F.col("lines")[c].alias(c) for c in fields]).alias("__p"))
+    whole = packed.join(counts, ["doc_id", "page"]).groupBy("doc_id", "page", "__before").agg(F.collect_list("__p").alias("__p"))
+    unpacked = F.flatten(F.transform("__p", lambda p: F.arrays_zip(*[p[c].alias(c) for c in fields])))
+    each = whole.select("doc_id", "page", "__before", F.posexplode(F.when(F.size("__p") == 1, unpacked).otherwise(F.array_sort(unpacked))).alias("__at", "__x"))
+    return each.select("doc_id", "page", *[F.col("__x")[c].alias(c) for c in columns], (F.col("__before") + F.col("__at") + 1).cast("long").alias("place"))
+
+
 def _last(value: Column, keys: list[str], *order: Column) -> Column:
     """The last value that isn't null up to a row."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

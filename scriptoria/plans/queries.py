@@ -274,15 +274,15 @@ add("l21_doc_metrics", lambda s, d: _layouts(s, d).filter(F.size("lines") > 0).s
 add("a09_doc_metrics", lambda s, d: lines.doc_metrics(_lines(s, d)), METRICS)
 
 
-def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of whole documents, of many pages each under one id."""
+def _paged(rows: DataFrame) -> DataFrame:
+    """Pages, or lines, of whole documents, of many pages each under one id."""
     part = lambda k: F.substring_index("doc_id", "-", k)
-    return _lines(spark, sf_dir).withColumns({"page": part(-1).cast("int"), "doc_id": part(1)})
+    return rows.withColumns({"page": part(-1).cast("int"), "doc_id": part(1)})
 
 
 SCANS = f"{sql.LINES}, sc AS (SELECT string_split(doc_id, '-')[1] AS doc_id, CAST(string_split(doc_id, '-')[2] AS INT) AS page, line_no, t, l, r, b FROM ln)"
-add("l01_reading_order_of_pages", lambda s, d: lines.reading_order_of_pages(_scans(s, d)).select("doc_id", "page", "line_no", "place"), f"WITH {SCANS} SELECT doc_id, page, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY page, t, l, line_no) AS place FROM sc")
-add("a09_metrics_of_scans", lambda s, d: lines.doc_metrics(_scans(s, d)), f"WITH {SCANS} SELECT doc_id, max(r) AS doc_width, max(b) AS doc_height, CAST(trunc(median(greatest(1, b - t))) AS INT) AS base_h FROM sc GROUP BY 1")
+add("l01_reading_order_of_pages", lambda s, d: lines.reading_order_of_layouts(_paged(_layouts(s, d)), "line_no"), f"WITH {SCANS} SELECT doc_id, page, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY page, t, l, line_no) AS place FROM sc")
+add("a09_metrics_of_scans", lambda s, d: lines.doc_metrics(_paged(_lines(s, d))), f"WITH {SCANS} SELECT doc_id, max(r) AS doc_width, max(b) AS doc_height, CAST(trunc(median(greatest(1, b - t))) AS INT) AS base_h FROM sc GROUP BY 1")
 add("l06_all_pairs_same_row", lambda s, d: lines.all_pairs_same_row(_lines(s, d)).groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum(F.col("a") * F.col("b")).cast("long").alias("checksum")), sql.lines("SELECT x.doc_id, count(*) AS pairs, CAST(sum(x.line_no * y.line_no) AS BIGINT) AS checksum FROM ln x JOIN ln y ON x.doc_id = y.doc_id AND x.line_no <> y.line_no AND abs(x.cy - y.cy) <= 20 GROUP BY 1"))
 
 # classification and dispatch

@@ -189,3 +189,23 @@ def test_nearest_of_every_line_of_a_page_held_as_an_array(spark, random_pages, w
             assert {(r["doc_id"], r["anchor_line_no"]): (r["line_no"], r["text"]) for r in got} == want and len(got) == len(want)
     name = {"below": "l11_every_nearest_below", "above": "l12_every_nearest_above", "right": "l13_every_nearest_right"}[where]
     assert "Exchange" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reading_order_of_pages_held_as_arrays(spark):
+    """Places are those that the flat table of lines gets, also where a page comes in several rows; pages are shuffled packed, not line by line."""
+    from scriptoria.plans.queries import QUERIES
+
+    rng = np.random.default_rng(25)
+    rows = []
+    for d, n in (("huge", 6000), ("a", 90), ("b", 1)):
+        page, strip, left, top = rng.integers(-2, max(2, n // 50), n), rng.integers(0, 3, n), rng.integers(0, 9, n) * 100, rng.integers(0, 20, n) * 10
+        rows += [(d, int(page[i]) - (2**31 - 2) * (i == 7), int(strip[i]) if page[i] % 2 else 0, i, f"t{i}", int(left[i]), int(top[i]), int(left[i] + 50), int(top[i] + 5), 0.9) for i in range(n)]
+    df = spark.createDataFrame(rows, f"doc_id string, page int, strip int, {LINES.split(', ', 1)[1]}").persist()
+    held = df.groupBy("doc_id", "page", "strip").agg(F.array_sort(F.collect_list(F.struct(*lines.READING, "right", "bottom", "text", "score"))).alias("lines")).drop("strip")
+    held = held.unionByName(held.limit(1).select(F.lit("none").alias("doc_id"), "page", F.slice("lines", 1, 0).alias("lines")))
+    want = sorted((r["doc_id"], r["page"], r["line_no"], r["text"], r["place"]) for r in lines.reading_order_of_pages(df.drop("strip")).collect())
+    got = lines.reading_order_of_layouts(held, "line_no", "text")
+    assert sorted(map(tuple, got.collect())) == want and got.columns == ["doc_id", "page", "line_no", "text", "place"] and len(want) == len(rows)
+    df.unpersist()
+    plan = QUERIES["l01_reading_order_of_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan[: plan.index("Exchange")] and "explode(lines" not in plan
