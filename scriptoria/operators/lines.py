@@ -156,16 +156,18 @@ def reading_order_of_pages(lines: DataFrame) -> DataFrame:
 def reading_order_of_layouts(layouts: DataFrame, *columns: str) -> DataFrame:
     """doc_id, page, the named fields of the lines, and their place in the document, from 1: of pages (doc_id, page, lines) held as arrays in reading order.
 
-    Pages are counted in the tasks, and only the counts meet by document. Then a page meets what comes before it, whole, packed to the fields it takes and dealt by document and page; rows of one page are merged there.
+    A page is dealt by document and page, whole and packed to the fields it takes; rows of one page are merged there. Counts are read off the same packed pages, so these are made and shuffled once, and only the counts meet by document.
     """
-    held, own = layouts.filter(F.size("lines") > 0), Window.partitionBy("doc_id", "page")
-    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("page")) - F.sum("n").over(own)  # up to the page, less its own
-    counts = held.select("doc_id", "page", F.size("lines").alias("n")).select("doc_id", "page", before.alias("__before")).dropDuplicates(["doc_id", "page"])
     fields = tuple(dict.fromkeys((*READING, *columns)))
-    packed = held.select("doc_id", "page", F.struct(*[F.col("lines")[c].alias(c) for c in fields]).alias("__p"))
-    whole = packed.join(counts, ["doc_id", "page"]).groupBy("doc_id", "page", "__before").agg(F.collect_list("__p").alias("__p"))
+    there = (F.size("lines") > 0) & F.col("doc_id").isNotNull() & F.col("page").isNotNull()  # as the join asks for, so that both its sides are one shuffle
+    packed = layouts.filter(there).select("doc_id", "page", F.struct(*[F.col("lines")[c].alias(c) for c in fields]).alias("__p"))
+    whole = packed.groupBy("doc_id", "page").agg(F.collect_list("__p").alias("__p"))
+    n = F.aggregate("__p", F.lit(0).cast("long"), lambda total, p: total + F.size(p["line_no"]))
+    earlier = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    counts = whole.select("doc_id", "page", n.alias("n")).select("doc_id", "page", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
     unpacked = F.flatten(F.transform("__p", lambda p: F.arrays_zip(*[p[c].alias(c) for c in fields])))
-    each = whole.select("doc_id", "page", "__before", F.posexplode(F.when(F.size("__p") == 1, unpacked).otherwise(F.array_sort(unpacked))).alias("__at", "__x"))
+    merged = F.when(F.size("__p") == 1, unpacked).otherwise(F.array_sort(unpacked))
+    each = whole.join(counts, ["doc_id", "page"]).select("doc_id", "page", "__before", F.posexplode(merged).alias("__at", "__x"))
     return each.select("doc_id", "page", *[F.col("__x")[c].alias(c) for c in columns], (F.col("__before") + F.col("__at") + 1).cast("long").alias("place"))
 
 

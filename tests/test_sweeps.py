@@ -207,5 +207,8 @@ def test_reading_order_of_pages_held_as_arrays(spark):
     got = lines.reading_order_of_layouts(held, "line_no", "text")
     assert sorted(map(tuple, got.collect())) == want and got.columns == ["doc_id", "page", "line_no", "text", "place"] and len(want) == len(rows)
     df.unpersist()
-    plan = QUERIES["l01_reading_order_of_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    query = QUERIES["l01_reading_order_of_pages"](spark, "/root/testdata/sf0.001")
+    query.collect()
+    plan = query._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "posexplode" in plan[: plan.index("Exchange")] and "explode(lines" not in plan
+    assert "ReusedExchange" in plan and plan.count("FileScan") == 1  # pages are made and shuffled once
